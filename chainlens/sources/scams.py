@@ -1,0 +1,76 @@
+"""scams.json reader.
+
+The document maps an address to an entry ``{id, name, url, coin, category,
+[subcategory], status, addresses: [...]}``.  The reference flattens it on
+the driver into one comma-joined text row per listed address and re-splits
+those rows; here the document is parsed with ``from_json`` on the
+executors and the same row rules are applied as column predicates:
+
+* every value is rendered like Python ``str()``: JSON null -> ``'None'``;
+* category ``'Scam'`` becomes ``'Scamming'``;
+* a missing ``subcategory`` becomes ``''``;
+* a row survives only if its id is all digits and no field contains ','
+  (a comma would change the field count of the reference's text row).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainlens.functions.parse import is_digits
+from chainlens.schema import SCAM_FIELDS
+
+# Every entry value is kept as its JSON text, so numbers, nulls and the
+# nested address list all survive parsing.
+SCAM_DOCUMENT_SCHEMA = "struct<result: map<string, map<string, string>>>"
+
+
+def read_scams(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """Scam rows from JSON documents.
+
+    ``multiline=False`` reads one document per line (the reference's file is
+    one line; several lines are several documents, parsed in parallel).
+    ``multiline=True`` reads each file as one document.
+    """
+    return parse_scams(spark.read.text(path, wholetext=multiline))
+
+
+def _str(entry: Column, key: str) -> Column:
+    """Python ``str(entry[key])``; NULL when the key is absent."""
+    return F.when(
+        F.map_contains_key(entry, key), F.coalesce(F.try_element_at(entry, F.lit(key)), F.lit("None"))
+    )
+
+
+def parse_scams(docs: DataFrame, line_col: str = "value", keep_commas: bool = False) -> DataFrame:
+    """One row per (entry, listed address): the eight fields of SCAM_FIELDS."""
+    doc = F.from_json(F.col(line_col), SCAM_DOCUMENT_SCHEMA)
+    entries = docs.select(F.explode(doc.getField("result")).alias("key", "e"))
+    e = F.col("e")
+    category = _str(e, "category")
+    rows = entries.select(
+        _str(e, "id").alias("id"),
+        _str(e, "name").alias("name"),
+        _str(e, "url").alias("url"),
+        _str(e, "coin").alias("coin"),
+        F.when(category == "Scam", F.lit("Scamming")).otherwise(category).alias("category"),
+        F.when(F.map_contains_key(e, "subcategory"), _str(e, "subcategory"))
+        .otherwise(F.lit(""))
+        .alias("subcategory"),
+        F.explode(F.from_json(F.try_element_at(e, F.lit("addresses")), "array<string>")).alias("address"),
+        _str(e, "status").alias("status"),
+    ).select(*SCAM_FIELDS)
+    present = [F.col(c).isNotNull() for c in SCAM_FIELDS]
+    rule = is_digits(F.col("id"))
+    for c in present:
+        rule = rule & c
+    if not keep_commas:
+        for c in SCAM_FIELDS:
+            rule = rule & ~F.col(c).contains(",")
+    return rows.where(rule)
+
+
+def scam_addresses(scams: DataFrame) -> DataFrame:
+    """The join side used by the scam queries: (address, id, category)."""
+    return scams.select("address", "id", "category")
