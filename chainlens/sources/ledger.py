@@ -76,6 +76,7 @@ def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
     ts = field(f, _tx("block_timestamp"))
     gas_int, gas_frac, gas_parsed = split_number(field(f, _tx("gas")))
     out = parts.select(
+        F.col("_n").alias("n_fields"),
         shape.alias("well_formed"),
         (shape & is_digits(field(f, _tx("block_number")))).alias("block_ok"),
         field(f, _tx("to_address")).alias("to_address"),
@@ -100,6 +101,7 @@ def parse_contracts(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """``address`` plus ``well_formed`` (exactly 6 fields)."""
     parts = split_lines(lines, line_col)
     return parts.select(
+        F.col("_n").alias("n_fields"),
         (F.col("_n") == len(CONTRACT_FIELDS)).alias("well_formed"),
         field(F.col("_f"), field_index(CONTRACT_FIELDS, "address")).alias("address"),
     )
@@ -110,6 +112,7 @@ def parse_blocks(lines: DataFrame, line_col: str = "value") -> DataFrame:
     parts = split_lines(lines, line_col)
     f = F.col("_f")
     return parts.select(
+        F.col("_n").alias("n_fields"),
         (
             (F.col("_n") == len(BLOCK_FIELDS))
             & F.coalesce(field(f, field_index(BLOCK_FIELDS, "hash")) != "hash", F.lit(False))

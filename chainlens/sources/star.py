@@ -41,8 +41,16 @@ EPOCH_1996 = 820454400  # 1996-01-01T00:00:00Z
 EPOCH_1997_07 = 867715200  # 1997-07-01T00:00:00Z
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, resolved once per application (file listing and footer
+    reads are not repeated for every derived view)."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(key[1])
+    return _TABLES[key]
 
 
 def _text(c: Column) -> Column:
