@@ -19,8 +19,16 @@ from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
 from chainlens.sinks.results import json_array, json_text, parse_json_array
 from chainlens.sources import star
-from chainlens.sources.ledger import parse_blocks, parse_contracts, parse_transactions
-from chainlens.sources.scams import parse_scams
+from chainlens.sources.ledger import (
+    parse_blocks,
+    parse_contracts,
+    parse_transactions,
+    read_blocks,
+    read_blocks_table,
+    read_contracts,
+    read_transactions,
+)
+from chainlens.sources.scams import parse_scams, read_scams
 
 # Category columns of the scam pivot over the star view: region names, with
 # the one the view labels 'Scam' recoded to 'Scamming' by the reader.
@@ -56,6 +64,33 @@ class LedgerInputs:
         return parse_scams(star.scam_lines(self.spark, self.sf_dir))
 
 
+class FileInputs:
+    """Parsed ledger frames read from files (see ``star.write_ledger_files``)."""
+
+    def __init__(self, spark: SparkSession, paths: dict[str, str]):
+        self.spark, self.paths = spark, paths
+
+    @cached_property
+    def tx(self) -> DataFrame:
+        return read_transactions(self.spark, self.paths["transactions"])
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return read_contracts(self.spark, self.paths["contracts"])
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return read_blocks(self.spark, self.paths["blocks"])
+
+    @cached_property
+    def blocks_table(self) -> DataFrame:
+        return read_blocks_table(self.spark, self.paths["blocks_csv"])
+
+    @cached_property
+    def scams(self) -> DataFrame:
+        return read_scams(self.spark, self.paths["scams"])
+
+
 def _scam_json_round_trip(top: DataFrame) -> DataFrame:
     """Q5 written in the reference's JSON-array form, read back, flattened."""
     keyed = top.withColumn("_key", F.array("id", "category"))
@@ -71,7 +106,7 @@ def _rules(df: DataFrame, *flags: str) -> DataFrame:
     return df.groupBy("n_fields", *flags).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def build(inputs: LedgerInputs) -> dict[str, Callable[[], DataFrame]]:
+def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame]]:
     i = inputs
     q = {
         "q1_monthly_count": lambda: Q.monthly_transaction_count(i.tx),

@@ -360,3 +360,19 @@ def _doc(key: Column, entry_json: Column) -> Column:
     return F.concat(
         F.lit('{"success": true, "result": {"'), key, F.lit('": '), entry_json, F.lit("}}")
     ).alias("value")
+
+
+def write_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
+    """Write the derived ledger inputs as files, the form real jobs read.
+
+    ``transactions``, ``contracts``, ``blocks``: text lines; ``blocks_csv``:
+    headed CSV of the valid blocks (the storage profile's input);
+    ``scams``: one JSON document per line.  Returns the paths.
+    """
+    paths = {name: f"{out_dir}/{name}" for name in ("transactions", "contracts", "blocks", "blocks_csv", "scams")}
+    transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["transactions"])
+    contract_lines(spark, sf_dir).write.mode("overwrite").text(paths["contracts"])
+    block_lines(spark, sf_dir).write.mode("overwrite").text(paths["blocks"])
+    blocks_table(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["blocks_csv"])
+    scam_lines(spark, sf_dir).write.mode("overwrite").text(paths["scams"])
+    return paths
