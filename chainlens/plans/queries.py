@@ -21,13 +21,20 @@ from chainlens.sources.scams import scam_addresses
 
 
 
-def _calendar(agg: DataFrame, *cols) -> DataFrame:
-    """Render the month DATE as 'MM/YYYY' and order rows by calendar month."""
-    return agg.orderBy("month").select(month_text(F.col("month")).alias("month"), *cols)
+def _monthly(agg: DataFrame, *cols) -> DataFrame:
+    """Render the month DATE as 'MM/YYYY'.
+
+    Row order is left open, as in the reference (its result is "any 100"
+    rows of an unordered aggregate); the JSON-array sink and the reports
+    impose an order on the small result without a global sort here.
+    """
+    return agg.select(month_text(F.col("month")).alias("month"), *cols)
 
 
 def _text_ordered(agg: DataFrame, *cols) -> DataFrame:
-    """Render the month and order by its text, as the reference's sortByKey."""
+    """Render the month and order by its *text*, as the reference's sortByKey
+    ('01/2016' < '01/2017' < '02/2016').  The result has one row per month,
+    so the global sort moves a few hundred rows."""
     return agg.select(month_text(F.col("month")).alias("month"), *cols).orderBy("month")
 
 
@@ -35,7 +42,7 @@ def monthly_transaction_count(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     """Q1: transactions per UTC month -> (month, n)."""
     valid = keep_valid(tx, F.col("ts_digits"), F.col("block_timestamp").isNotNull(), on_bad, "block_timestamp")
     agg = valid.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    return _calendar(agg, "n")
+    return _monthly(agg, "n")
 
 
 def monthly_average_value(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
@@ -48,7 +55,7 @@ def monthly_average_value(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
         "value/block_timestamp",
     )
     agg = valid.groupBy("month").agg(*split_sum("value_int", "value_frac", "value"), F.count(F.lit(1)).alias("n"))
-    return _calendar(agg, split_mean("value", "n").alias("avg_value"))
+    return _monthly(agg, split_mean("value", "n").alias("avg_value"))
 
 
 def top_services(
@@ -105,7 +112,7 @@ def scam_by_month_from_base(base: DataFrame) -> DataFrame:
     rows = base.where(F.col("month").isNotNull())
     return rows.select(
         month_text(F.col("month")).alias("month"), "id", "category", split_total("ether").alias("ether")
-    ).orderBy("month", "id", "category")
+    )
 
 
 def top_scams(
