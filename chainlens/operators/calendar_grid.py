@@ -26,20 +26,21 @@ def year_month_grid(monthly: DataFrame, value_col: str, month_col: str = "month"
     """All twelve months of every year present, 0 where a month is absent.
 
     -> (year INT, month INT, month_name STRING, <value_col>), in calendar
-    order.  The twelve months come from ``explode(sequence(1, 12))`` per
-    distinct year and meet the values in a left join on (year, month).
+    order.  One pass over ``monthly``: values are gathered per year into a
+    map of at most twelve entries, and ``explode(sequence(1, 12))`` spans the
+    year; no self-join, so the input is computed once.
     """
     d = _dated(monthly, month_col)
     cells = d.groupBy(F.col("_year").alias("year"), F.col("_month").alias("month")).agg(
         F.sum(value_col).alias("_v")
     )
-    grid = cells.select("year").distinct().select("year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    full = grid.join(cells, ["year", "month"], "left")
-    return full.select(
+    years = cells.groupBy("year").agg(F.map_from_entries(F.collect_list(F.struct("month", "_v"))).alias("_by_month"))
+    grid = years.select("year", "_by_month", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
+    return grid.select(
         "year",
         "month",
         month_abbrev(F.make_date(F.col("year"), F.col("month"), F.lit(1))).alias("month_name"),
-        F.coalesce(F.col("_v"), F.lit(0)).alias(value_col),
+        F.coalesce(F.element_at(F.col("_by_month"), F.col("month")), F.lit(0)).alias(value_col),
     ).orderBy("year", "month")
 
 

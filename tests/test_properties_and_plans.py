@@ -140,3 +140,22 @@ def test_large_side_is_not_hinted(spark):
     _, small = broadcast_if_small(df, 10)
     assert not small
     assert F is not None
+
+
+def test_every_query_scans_each_input_once(spark, files, tmp_path):
+    """No plan reads an input file twice (a self-join or re-scan would)."""
+    from chainlens.plans.catalog import FileInputs
+
+    paths = {
+        "transactions": files["transactions.csv"],
+        "contracts": files["contracts.csv"],
+        "blocks": files["blocks.csv"],
+        "blocks_csv": files["blocks_table.csv"],
+        "scams": files["scams.json"],
+    }
+    for name, make in build(FileInputs(spark, paths)).items():
+        text = plan_text(make())
+        physical = text.split("\n\n")[0]
+        for key, path in paths.items():
+            scans = [ln for ln in physical.splitlines() if "Scan" in ln and path.rsplit("/", 1)[-1] in ln]
+            assert len(scans) <= 1, (name, key, len(scans))
