@@ -30,7 +30,7 @@ def hex_bytes_per_row(mean_length: Column) -> Column:
 
 
 def _measured(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: ``_s<i>`` = bytes of column ``i`` over all rows."""
+    """One row: column ``_s<i>`` = bytes of ``columns[i]`` over all rows."""
     means = [F.avg(F.length(F.col(c))).alias(f"_m{i}") for i, c in enumerate(columns)]
     row = df.agg(F.count(F.lit(1)).alias(ROWS), *means)
     return row.select(
@@ -38,6 +38,19 @@ def _measured(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _one_row_per_column(sizes: DataFrame, columns: Sequence[str], value_name: str, ids: list[str]) -> DataFrame:
+    """Unpivot the ``_s<i>`` columns of the single row into named rows.
+
+    ``unpivot`` plans an ``Expand``: one small generated method per output
+    row, where an ``inline`` of one array of structs would build a single
+    method too large to compile for wide tables.
+    """
+    long = sizes.unpivot(ids, [f"_s{i}" for i in range(len(columns))], "_slot", value_name)
+    names = F.array(*[F.lit(c) for c in columns])
+    index = F.substring(F.col("_slot"), 3, 6).cast("int") + 1
+    return long.select(F.element_at(names, index).alias("column_name"), *ids, value_name)
+
+
 def column_space_share(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Q10: (column_name, space_saved, percentage_saved) for every column."""
     columns = list(columns or df.columns)
@@ -45,26 +58,15 @@ def column_space_share(df: DataFrame, columns: Sequence[str] | None = None) -> D
     total = F.col("_s0")
     for i in range(1, len(columns)):
         total = total + F.col(f"_s{i}")
-    with_total = sizes.select("*", total.alias("_total"))
-    entries = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.col(f"_s{i}").alias("space_saved"),
-            (F.col(f"_s{i}") / F.col("_total") * 100).alias("percentage_saved"),
-        )
-        for i, name in enumerate(columns)
-    ]
-    return with_total.select(F.inline(F.array(*entries)))
+    rows = _one_row_per_column(sizes.select("*", total.alias("_total")), columns, "space_saved", ["_total"])
+    return rows.select(
+        "column_name", "space_saved", (F.col("space_saved") / F.col("_total") * 100).alias("percentage_saved")
+    )
 
 
 def column_space(df: DataFrame, columns: Sequence[str] = HEX_OVERHEAD_COLUMNS) -> DataFrame:
     """Q9: (column_name, size_bytes) for the named columns, in one pass."""
-    sizes = _measured(df, columns)
-    entries = [
-        F.struct(F.lit(name).alias("column_name"), F.col(f"_s{i}").alias("size_bytes"))
-        for i, name in enumerate(columns)
-    ]
-    return sizes.select(F.inline(F.array(*entries)))
+    return _one_row_per_column(_measured(df, list(columns)), list(columns), "size_bytes", [])
 
 
 def column_space_from_share(share: DataFrame, columns: Sequence[str] = HEX_OVERHEAD_COLUMNS) -> DataFrame:

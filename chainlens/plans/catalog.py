@@ -29,6 +29,7 @@ from chainlens.sources.ledger import (
     read_transactions,
 )
 from chainlens.sources.scams import parse_scams, read_scams
+from chainlens.sources.staging import read_staged
 
 # Category columns of the scam pivot over the star view: region names, with
 # the one the view labels 'Scam' recoded to 'Scamming' by the reader.
@@ -91,6 +92,27 @@ class FileInputs:
         return read_scams(self.spark, self.paths["scams"])
 
 
+class StagedInputs(FileInputs):
+    """Like :class:`FileInputs`, with transactions/contracts/blocks read from
+    their staged Parquet form (see :mod:`chainlens.sources.staging`)."""
+
+    def __init__(self, spark: SparkSession, paths: dict[str, str], staged: dict[str, str]):
+        super().__init__(spark, paths)
+        self.staged = staged
+
+    @cached_property
+    def tx(self) -> DataFrame:
+        return read_staged(self.spark, self.staged["transactions"])
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return read_staged(self.spark, self.staged["contracts"])
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return read_staged(self.spark, self.staged["blocks"])
+
+
 def _scam_json_round_trip(top: DataFrame) -> DataFrame:
     """Q5 written in the reference's JSON-array form, read back, flattened."""
     keyed = top.withColumn("_key", F.array("id", "category"))
