@@ -67,7 +67,13 @@ def _addr(key: Column) -> Column:
 
 
 def _epoch(ts: Column) -> Column:
-    return F.unix_timestamp(ts.cast("timestamp"))
+    """Epoch seconds of a TIMESTAMP_NTZ read as UTC wall-clock time.
+
+    Built from the date and the time-of-day fields, which do not depend on
+    the session time zone (a cast to TIMESTAMP would).
+    """
+    days = F.unix_date(F.to_date(ts)).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def _zeros(n: int) -> Column:

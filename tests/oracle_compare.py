@@ -83,6 +83,8 @@ def main(argv):
     names = argv[2:]
     spark = build_session(master="local[8]", conf={"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("CHAINLENS_TZ"):  # results must not depend on the session zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHAINLENS_TZ"])
     con = duckdb_connection(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
