@@ -1,0 +1,72 @@
+"""Rule functions on edge cases, against Python's own string tests."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from chainlens.functions.calendar import epoch_seconds, month_start, month_text
+from chainlens.functions.parse import exact_wei, is_digits, is_numeric_like, split_fields, split_number
+
+SAMPLES = ["", ".", "-1", "1e5", "1.2.3", "5.", ".5", "007", "12", " 12", "12 ", "1_000", "+3", "0", "0.0", "abc",
+           "12\n", "99999999999999999999999999", "1.50"]
+
+
+def python_digits(s):
+    return s.isdigit() and s.isascii()
+
+
+def python_numeric_like(s):
+    t = s.replace(".", "", 1)
+    return t.isdigit() and t.isascii()
+
+
+def test_digit_and_numeric_rules_match_python(spark):
+    df = spark.createDataFrame([(s,) for s in SAMPLES], "s string")
+    got = df.select("s", is_digits(F.col("s")).alias("d"), is_numeric_like(F.col("s")).alias("n")).collect()
+    for r in got:
+        assert r.d == python_digits(r.s), r.s
+        assert r.n == python_numeric_like(r.s), r.s
+
+
+def test_split_keeps_trailing_empty_fields(spark):
+    df = spark.createDataFrame([("a,b,,",), ("",), ('x,"y,z"',)], "v string")
+    sizes = [r[0] for r in df.select(F.size(split_fields(F.col("v")))).collect()]
+    assert sizes == [len("a,b,,".split(",")), len("".split(",")), len('x,"y,z"'.split(","))]
+
+
+def test_split_number_equals_float(spark):
+    texts = ["12", "12.5", ".5", "5.", "007", "1e3", "-7", "84155363699941767867374641"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    i, f, ok = split_number(F.col("t"))
+    for t, (iv, fv, okv) in zip(texts, df.select(i, f, ok).collect()):
+        assert okv
+        assert float(iv) + fv == float(t), t
+    bad = spark.createDataFrame([("abc",), ("1.2.3",), ("",)], "t string")
+    assert [r[0] for r in bad.select(split_number(F.col("t"))[2]).collect()] == [False, False, False]
+
+
+def test_exact_wei_is_python_int(spark):
+    texts = ["56", "+3", "-5", "007", "84155363699941767867374641", "1e3", "1.0", " 7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(exact_wei(F.col("t"))).collect()]
+    want = []
+    for t in texts:
+        try:
+            want.append(Decimal(int(t)) if t.strip() == t else None)
+        except ValueError:
+            want.append(None)
+    assert got == want
+
+
+def test_month_key_is_utc_and_zone_independent(spark):
+    df = spark.createDataFrame([("1451606399",), ("1451606400",), ("0",), ("253402300800",)], "t string")
+    month = month_text(month_start(epoch_seconds(F.col("t"))))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Pacific/Kiritimati", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in df.select(month).collect()] == ["12/2015", "01/2016", "01/1970", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
