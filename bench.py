@@ -11,7 +11,8 @@ to completion (``collect`` of the small result).  Each query runs once to
 warm the JVM, then ``BENCH_RUNS`` (default 2) timed runs; the fastest
 counts.  ``value`` is the sum over all queries on the text path (what the
 reference reads).  ``staged_*`` repeats the suite after the transactions,
-contracts and blocks were parsed once into typed Parquet.
+contracts and blocks were parsed once into typed Parquet.  ``jobs`` times
+the seven batch jobs once each (text inputs, results written to scratch).
 
 Prints one JSON line.
 """
@@ -109,6 +110,26 @@ def main() -> None:
     timings, rows = time_suite(queries, selected, runs)
     staged_timings, staged_rows = time_suite(build(StagedInputs(spark, paths, staged)), selected, runs)
     assert staged_rows == rows, "staged path must give the same row counts"
+
+    # The batch jobs: the same questions grouped as a user runs them, with
+    # shared scans (Q1+Q2, Q5+Q6, Q7+Q8, Q9+Q10 each from one pass).
+    from chainlens.jobs import parser, run_job
+
+    results = f"{base}/results-{uuid.uuid4().hex[:8]}"
+    job_args = {
+        "time": ["--transactions", paths["transactions"]],
+        "services": ["--transactions", paths["transactions"], "--contracts", paths["contracts"]],
+        "miners": ["--blocks", paths["blocks"]],
+        "scams": ["--transactions", paths["transactions"], "--scams", paths["scams"]],
+        "gas": ["--transactions", paths["transactions"], "--contracts", paths["contracts"]],
+        "overhead": ["--blocks", paths["blocks_csv"]],
+        "reports": ["--results", results, "--drop-years", "2001"],
+    }
+    job_timings = {}
+    for job, extra in job_args.items():
+        start = time.time()
+        run_job(spark, job, parser().parse_args([job, *extra, "--out", results if job != "reports" else results + "/reports", "--run-id", "bench"]))
+        job_timings[job] = round(time.time() - start, 3)
     out = {
         "metric": "total_query_seconds",
         "value": round(sum(timings.values()), 3),
@@ -120,6 +141,8 @@ def main() -> None:
         "runs": runs,
         "staged_value": round(sum(staged_timings.values()), 3),
         "staged_queries": staged_timings,
+        "jobs_total": round(sum(job_timings.values()), 3),
+        "jobs": job_timings,
         "setup_write_files_sec": round(setup, 3),
         "setup_stage_parquet_sec": round(stage_secs, 3),
     }
