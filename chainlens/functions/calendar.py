@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chainlens.functions.parse import is_integer_literal
+
 SECONDS_PER_DAY = 86400
-# Last second of 9999-12-31 UTC: the widest instant Spark's DATE can render
-# as a four-digit year.  Larger epoch values are treated as unconvertible.
+# First second of 0001-01-01 and last second of 9999-12-31 UTC: the range a
+# DATE renders with a four-digit year.  Values outside are unconvertible.
+MIN_EPOCH_SECONDS = -62135596800
 MAX_EPOCH_SECONDS = 253402300799
 MONTH_TEXT_FORMAT = "MM/yyyy"
 
 
 def epoch_seconds(text: Column) -> Column:
-    """BIGINT of all-digit epoch text within the DATE range, else NULL."""
-    value = F.when(F.length(text) <= 12, text.try_cast("bigint"))
-    return F.when(value <= MAX_EPOCH_SECONDS, value)
+    """BIGINT of integer epoch text (``int(s)``: optional sign) in range, else NULL."""
+    value = F.when(is_integer_literal(text) & (F.length(text) <= 13), text.try_cast("bigint"))
+    return F.when((value >= MIN_EPOCH_SECONDS) & (value <= MAX_EPOCH_SECONDS), value)
 
 
 def month_start(epoch: Column) -> Column:

@@ -66,7 +66,8 @@ def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
     ``ts_numeric`` (block time digits / numeric-like).  Conversions:
     ``value_int`` + ``value_frac`` (float value, exact integer part),
     ``value_wei`` (int value), ``gas_*``, ``gas_price_*``,
-    ``block_timestamp`` and its UTC ``month``.
+    ``block_timestamp`` (``int()`` of the text, so ``-5`` converts where no
+    guard stops it, as in Q6) and its UTC ``month``.
     """
     parts = split_lines(lines, line_col)
     f = F.col("_f")
@@ -92,7 +93,7 @@ def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
         fraction_part(gas_price).alias("gas_price_frac"),
         (shape & is_digits(ts)).alias("ts_digits"),
         (shape & is_numeric_like(ts)).alias("ts_numeric"),
-        F.when(is_digits(ts), epoch_seconds(ts)).alias("block_timestamp"),
+        epoch_seconds(ts).alias("block_timestamp"),
     )
     return out.withColumn("month", month_start(F.col("block_timestamp")))
 
