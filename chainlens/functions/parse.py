@@ -61,6 +61,21 @@ def fraction_part(text: Column) -> Column:
     )
 
 
+def fits_wei(text: Column) -> Column:
+    """For numeric-like text: its integer part fits DECIMAL(38,0).
+
+    Equivalent to ``integer_part(text).isNotNull()`` without parsing, so a
+    filter on it does not repeat the projection's decimal parse.
+    """
+    return F.length(F.substring_index(text, ".", 1)) <= 38
+
+
+def fits_exact_wei(text: Column) -> Column:
+    """``exact_wei(text).isNotNull()`` without parsing: integer text, <= 38 digits."""
+    digits = F.length(text) - F.when(F.substring(text, 1, 1).isin("+", "-"), 1).otherwise(0)
+    return is_integer_literal(text) & (digits <= 38)
+
+
 def exact_wei(text: Column) -> Column:
     """Python ``int(s)`` for integer text, as DECIMAL(38,0); NULL otherwise."""
     return F.when(is_integer_literal(text), text.try_cast(WEI))
@@ -77,7 +92,7 @@ def split_number(text: Column) -> tuple[Column, Column, Column]:
     as_double = text.try_cast("double")
     int_part = F.when(numeric, integer_part(text)).otherwise(F.lit(0).cast(WEI))
     frac = F.when(numeric, fraction_part(text)).otherwise(as_double)
-    parsed = F.when(numeric, integer_part(text).isNotNull()).otherwise(as_double.isNotNull())
+    parsed = F.when(numeric, fits_wei(text)).otherwise(as_double.isNotNull())
     return int_part, frac, F.coalesce(parsed, F.lit(False))
 
 

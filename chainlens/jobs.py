@@ -50,7 +50,7 @@ def monthly_counts_and_averages(tx: DataFrame) -> DataFrame:
     numeric-like value), so Q2's sums are conditional aggregates.
     """
     valid = keep_valid(tx, F.col("ts_digits"), F.col("block_timestamp").isNotNull(), "drop", "block_timestamp")
-    q2_row = F.col("value_ok") & F.col("value_int").isNotNull()
+    q2_row = F.col("value_ok") & F.col("value_fits")
     return valid.groupBy("month").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(q2_row, F.lit(1))).alias("n_value"),
@@ -64,7 +64,7 @@ def gas_pre_aggregate(tx: DataFrame) -> DataFrame:
     rows = keep_valid(
         tx,
         F.col("gas_price_ok") & F.col("ts_numeric"),
-        F.col("block_timestamp").isNotNull() & F.col("gas_price_int").isNotNull(),
+        F.col("block_timestamp").isNotNull() & F.col("gas_price_fits"),
         "drop",
         "block_timestamp",
     )

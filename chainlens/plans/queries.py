@@ -50,7 +50,7 @@ def monthly_average_value(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     valid = keep_valid(
         tx,
         F.col("value_ok") & F.col("ts_digits"),
-        F.col("block_timestamp").isNotNull() & F.col("value_int").isNotNull(),
+        F.col("block_timestamp").isNotNull() & F.col("value_fits"),
         on_bad,
         "value/block_timestamp",
     )
@@ -71,7 +71,7 @@ def top_services(
     contract listed twice appears twice with the same total (the
     reference's fan-out); ``distinct_contracts=True`` lists it once.
     """
-    valid = keep_valid(tx, F.col("block_ok"), F.col("value_wei").isNotNull(), on_bad, "value")
+    valid = keep_valid(tx, F.col("block_ok"), F.col("value_wei_fits"), on_bad, "value")
     sums = valid.groupBy(F.col("to_address").alias("address")).agg(F.sum("value_wei").alias("value"))
     addresses = contracts.where("well_formed").select("address")
     how = "left_semi" if distinct_contracts else "inner"
@@ -95,7 +95,7 @@ def scam_month_base(
     check, so the transactions are neither shuffled nor skewed by a hot
     address; they are filtered by the join and pre-aggregated in each task.
     """
-    valid = keep_valid(tx, F.col("value_ok"), F.col("value_int").isNotNull(), on_bad, "value")
+    valid = keep_valid(tx, F.col("value_ok"), F.col("value_fits"), on_bad, "value")
     side, _ = broadcast_if_small(scam_addresses(scams), max_broadcast_rows)
     joined = valid.join(side, valid["to_address"] == side["address"])
     return joined.groupBy("month", "id", "category").agg(*split_sum("value_int", "value_frac", "ether"))
@@ -132,7 +132,7 @@ def scam_value_by_month(
 
 
 def _gas_rows(tx: DataFrame, on_bad: str, need_gas: bool) -> DataFrame:
-    converted = F.col("block_timestamp").isNotNull() & F.col("gas_price_int").isNotNull()
+    converted = F.col("block_timestamp").isNotNull() & F.col("gas_price_fits")
     if need_gas:
         converted = converted & F.col("gas_parsed")
     return keep_valid(

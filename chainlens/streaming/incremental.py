@@ -38,7 +38,7 @@ def monthly_time_analysis(lines: DataFrame, lateness: str = "62 days") -> DataFr
     """
     tx = parse_transactions(lines)
     rows = tx.where(F.col("ts_digits") & F.col("block_timestamp").isNotNull())
-    q2_row = F.col("value_ok") & F.col("value_int").isNotNull()
+    q2_row = F.col("value_ok") & F.col("value_fits")
     timed = rows.withColumn("month_start", F.col("month").cast("timestamp")).withWatermark("month_start", lateness)
     agg = timed.groupBy("month_start").agg(
         F.count(F.lit(1)).alias("n"),
