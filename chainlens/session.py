@@ -61,14 +61,21 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) is ``fallback`` - or a fresh temporary folder - installed.
+    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
+    is a folder installed: ``fallback`` if given, else - in local mode only -
+    a fresh temporary folder.  On a cluster a machine-local folder would be
+    lost with its executor, so an unset setting is an error there.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
-        return current
-    path = fallback or tempfile.mkdtemp(prefix="chainlens-ckpt-")
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
+        return spark.sparkContext.getCheckpointDir() or current
+    if fallback is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        fallback = tempfile.mkdtemp(prefix="chainlens-ckpt-")
+    if "://" not in fallback:
+        os.makedirs(fallback, exist_ok=True)
+    spark.sparkContext.setCheckpointDir(fallback)
+    return spark.sparkContext.getCheckpointDir() or fallback
