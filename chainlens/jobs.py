@@ -38,7 +38,7 @@ from chainlens.sources.ledger import (
     read_contracts,
     read_transactions,
 )
-from chainlens.sources.scams import read_scams
+from chainlens.sources.scam_list import read_scams
 
 JOBS = ("time", "services", "miners", "scams", "gas", "overhead", "reports")
 

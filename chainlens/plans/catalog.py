@@ -28,7 +28,7 @@ from chainlens.sources.ledger import (
     read_contracts,
     read_transactions,
 )
-from chainlens.sources.scams import parse_scams, read_scams
+from chainlens.sources.scam_list import parse_scams, read_scams
 from chainlens.sources.staging import read_staged
 
 # Category columns of the scam pivot over the star view: region names, with

@@ -1,7 +1,7 @@
 """The ledger questions Q1-Q8 as DataFrame plans.
 
 Inputs are the typed frames of :mod:`chainlens.sources.ledger` /
-:mod:`chainlens.sources.scams`; each query applies its own rule set (the
+:mod:`chainlens.sources.scam_list`; each query applies its own rule set (the
 populations differ on purpose, as in the reference) and returns a small
 result DataFrame.  Nothing is collected to the driver.
 """
@@ -16,7 +16,7 @@ from chainlens.operators.aggregate import split_mean, split_sum, split_total
 from chainlens.operators.join import broadcast_if_small, multiplicity
 from chainlens.operators.topk import top_k
 from chainlens.sources.ledger import keep_valid
-from chainlens.sources.scams import scam_addresses
+from chainlens.sources.scam_list import scam_addresses
 
 
 

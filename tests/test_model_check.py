@@ -20,7 +20,7 @@ import pytest
 
 from chainlens.plans import queries as Q
 from chainlens.sources.ledger import read_blocks, read_contracts, read_transactions
-from chainlens.sources.scams import read_scams
+from chainlens.sources.scam_list import read_scams
 
 HOT = "0xhot"
 ADDRESSES = [HOT] + [f"0x{i:03x}" for i in range(40)] + [""]

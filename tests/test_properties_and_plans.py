@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chainlens.plans import queries as Q
 from chainlens.plans.catalog import LedgerInputs, build
 from chainlens.sources.ledger import parse_contracts, parse_transactions
-from chainlens.sources.scams import read_scams
+from chainlens.sources.scam_list import read_scams
 
 from conftest import TRANSACTIONS_CSV
 

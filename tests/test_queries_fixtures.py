@@ -14,7 +14,7 @@ from chainlens.operators import profile
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
 from chainlens.sources.ledger import read_blocks, read_blocks_table, read_contracts, read_transactions
-from chainlens.sources.scams import read_scams
+from chainlens.sources.scam_list import read_scams
 
 
 @pytest.fixture(scope="module")
