@@ -91,13 +91,22 @@ def scam_month_base(
     """Exact value sums per (month, id, category) of transactions to scams.
 
     ``month`` is NULL for rows whose block time is not an integer: Q5
-    counts them, Q6 does not.  The scam list is broadcast after a row-count
-    check, so the transactions are neither shuffled nor skewed by a hot
-    address; they are filtered by the join and pre-aggregated in each task.
+    counts them, Q6 does not.  When the scam list is proven small it is
+    broadcast, so transactions are joined where they are read and only
+    partial sums are shuffled.  Otherwise transactions are first summed per
+    (address, month) in each task - a hot address collapses to one row per
+    task - and only those partial sums meet the scam list in a shuffle join.
+    Either way an address listed under several scams counts for each.
     """
     valid = keep_valid(tx, F.col("value_ok"), F.col("value_fits"), on_bad, "value")
-    side, _ = broadcast_if_small(scam_addresses(scams), max_broadcast_rows)
-    joined = valid.join(side, valid["to_address"] == side["address"])
+    side, small = broadcast_if_small(scam_addresses(scams), max_broadcast_rows)
+    if small:
+        joined = valid.join(side, valid["to_address"] == side["address"])
+        return joined.groupBy("month", "id", "category").agg(*split_sum("value_int", "value_frac", "ether"))
+    per_address = valid.groupBy("to_address", "month").agg(
+        F.sum("value_int").alias("value_int"), F.sum("value_frac").alias("value_frac")
+    )
+    joined = per_address.join(side, per_address["to_address"] == side["address"])
     return joined.groupBy("month", "id", "category").agg(*split_sum("value_int", "value_frac", "ether"))
 
 
@@ -164,9 +173,16 @@ def monthly_contract_gas(
     copies = multiplicity(contracts.where("well_formed").select("address"), "address")
     side, small = broadcast_if_small(copies, max_broadcast_rows)
     if small:
+        # Sum per (month, copies) first: the weight multiplies a handful of
+        # partial sums instead of every row's DECIMAL value.
         joined = rows.join(side, rows["to_address"] == side["address"])
-        agg = joined.groupBy("month").agg(
-            *split_sum("gas_int", "gas_frac", "gas", weight=F.col("copies")), F.sum("copies").alias("n")
+        per_weight = joined.groupBy("month", "copies").agg(
+            F.sum("gas_int").alias("gi"), F.sum("gas_frac").alias("gf"), F.count(F.lit(1)).alias("c")
+        )
+        agg = per_weight.groupBy("month").agg(
+            F.sum(F.col("gi") * F.col("copies")).alias("gas_int"),
+            F.sum(F.col("gf") * F.col("copies")).alias("gas_frac"),
+            F.sum(F.col("c") * F.col("copies")).alias("n"),
         )
     else:
         per_address = rows.groupBy("to_address", "month").agg(

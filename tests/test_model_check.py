@@ -230,13 +230,16 @@ def test_top_miners_with_hot_miner(case):
     assert [tuple(r) for r in Q.top_miners(blocks).collect()] == want["q4"]
 
 
-def test_scams(case):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_scams(case, bound):
+    # bound=0 forces the pre-aggregate + shuffle join path.
     (tx, _, _, scams), want = case
-    got5 = [tuple(r) for r in Q.top_scams(tx, scams).collect()]
+    got5 = [tuple(r) for r in Q.top_scams(tx, scams, max_broadcast_rows=bound).collect()]
     assert [r[:2] for r in got5] == [r[:2] for r in want["q5"]]
     for g, w in zip(got5, want["q5"]):
         assert g[2] == pytest.approx(w[2], rel=1e-12)
-    approx_map({(m, i, c): v for m, i, c, v in Q.scam_value_by_month(tx, scams).collect()}, want["q6"])
+    by_month = Q.scam_value_by_month(tx, scams, max_broadcast_rows=bound).collect()
+    approx_map({(m, i, c): v for m, i, c, v in by_month}, want["q6"])
 
 
 @pytest.mark.parametrize("bound", [None, 0])
