@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chainlens.functions.parse import is_integer_literal
-
 SECONDS_PER_DAY = 86400
 # First second of 0001-01-01 and last second of 9999-12-31 UTC: the range a
 # DATE renders with a four-digit year.  Values outside are unconvertible.
@@ -16,8 +14,13 @@ MONTH_TEXT_FORMAT = "MM/yyyy"
 
 
 def epoch_seconds(text: Column) -> Column:
-    """BIGINT of integer epoch text (``int(s)``: optional sign) in range, else NULL."""
-    value = F.when(is_integer_literal(text) & (F.length(text) <= 13), text.try_cast("bigint"))
+    """``int(s)`` of epoch text as BIGINT when in range, else NULL.
+
+    Spark's ``try_cast`` to BIGINT accepts exactly what Python's ``int()``
+    accepts for ASCII text - optional sign, surrounding blanks, no '.', no
+    exponent - so no pattern match is needed (underscores aside).
+    """
+    value = text.try_cast("bigint")
     return F.when((value >= MIN_EPOCH_SECONDS) & (value <= MAX_EPOCH_SECONDS), value)
 
 
