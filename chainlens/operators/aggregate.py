@@ -15,12 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def split_sum(int_col: str, frac_col: str, name: str, weight: Column | None = None) -> list[Column]:
+def split_sum(int_col: str, frac_col: str, name: str) -> list[Column]:
     """Aggregates ``<name>_int`` (exact) and ``<name>_frac`` (double)."""
-    i, f = F.col(int_col), F.col(frac_col)
-    if weight is not None:
-        i, f = i * weight, f * weight
-    return [F.sum(i).alias(f"{name}_int"), F.sum(f).alias(f"{name}_frac")]
+    return [F.sum(int_col).alias(f"{name}_int"), F.sum(frac_col).alias(f"{name}_frac")]
 
 
 def split_total(name: str) -> Column:
