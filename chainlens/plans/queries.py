@@ -67,15 +67,24 @@ def top_services(
 ) -> DataFrame:
     """Q3: contracts that received most value -> (address, value DECIMAL(38,0)).
 
-    Values are summed per receiving address *before* the join, so a
-    contract listed twice appears twice with the same total (the
-    reference's fan-out); ``distinct_contracts=True`` lists it once.
+    Values are summed per receiving address *before* the join.  A contract
+    listed ``c`` times appears ``c`` times with the same total (the
+    reference's fan-out; ``distinct_contracts=True`` lists it once).  The
+    fan-out is applied after the ranking: sums join (address, copies) one to
+    one - both sides come out of aggregates hash-partitioned by address, so
+    the join adds no exchange and a much-repeated contract is one row - the
+    ``k`` best addresses are taken, and only they are repeated (at most ``k``
+    times each) before the final top ``k``.
     """
     valid = keep_valid(tx, F.col("block_ok"), F.col("value_wei_fits"), on_bad, "value")
     sums = valid.groupBy(F.col("to_address").alias("address")).agg(F.sum("value_wei").alias("value"))
-    addresses = contracts.where("well_formed").select("address")
-    how = "left_semi" if distinct_contracts else "inner"
-    return top_k(sums.join(addresses, "address", how), k, "value", "address")
+    copies = multiplicity(contracts.where("well_formed").select("address"), "address")
+    if distinct_contracts:
+        copies = copies.select("address", F.lit(1).cast("bigint").alias("copies"))
+    best = top_k(sums.join(copies, "address"), k, "value", "address")
+    repeats = F.array_repeat(F.lit(0), F.least(F.col("copies"), F.lit(k)).cast("int"))
+    expanded = best.select("address", "value", F.explode(repeats).alias("_copy"))
+    return top_k(expanded.select("address", "value"), k, "value", "address")
 
 
 def top_miners(blocks: DataFrame, k: int = 10, on_bad: str = "drop") -> DataFrame:
@@ -91,18 +100,20 @@ def scam_month_base(
     """Exact value sums per (month, id, category) of transactions to scams.
 
     ``month`` is NULL for rows whose block time is not an integer: Q5
-    counts them, Q6 does not.  When the scam list is proven small it is
-    broadcast, so transactions are joined where they are read and only
-    partial sums are shuffled.  Otherwise transactions are first summed per
-    (address, month) in each task - a hot address collapses to one row per
-    task - and only those partial sums meet the scam list in a shuffle join.
-    Either way an address listed under several scams counts for each.
+    counts them, Q6 does not.  Transactions are summed per (address, month)
+    before they meet the scam list, so an address listed under many scams
+    multiplies partial sums, never transaction rows, and a hot address is
+    one row per task.  When the scam list is proven small it is broadcast
+    twice: as a semi-join that drops other transactions where they are read
+    (so only scam-bound partial sums are shuffled), and for the final join.
+    Otherwise the partial sums of all addresses meet the list in a shuffle
+    join.  An address listed under several scams counts for each.
     """
     valid = keep_valid(tx, F.col("value_ok"), F.col("value_fits"), on_bad, "value")
     side, small = broadcast_if_small(scam_addresses(scams), max_broadcast_rows)
     if small:
-        joined = valid.join(side, valid["to_address"] == side["address"])
-        return joined.groupBy("month", "id", "category").agg(*split_sum("value_int", "value_frac", "ether"))
+        listed = F.broadcast(side.select("address").distinct())
+        valid = valid.join(listed, valid["to_address"] == listed["address"], "left_semi")
     per_address = valid.groupBy("to_address", "month").agg(
         F.sum("value_int").alias("value_int"), F.sum("value_frac").alias("value_frac")
     )
