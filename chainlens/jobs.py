@@ -11,7 +11,9 @@ Questions that share an input are answered from one pass over it:
   to the shared checkpoint folder so both results reuse it and a lost
   executor does not force a second scan;
 * ``overhead`` Q9 + Q10 from one profile of the blocks table;
-* ``reports``  Q11-Q18 from the result files of the other jobs.
+* ``reports``  Q11-Q18 from the result files of the other jobs;
+* ``stage``    parse transactions/contracts/blocks once into typed Parquet;
+  the other jobs read it with ``--staged DIR`` instead of the text files.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ from chainlens.sources.ledger import (
     read_transactions,
 )
 from chainlens.sources.scam_list import read_scams
+from chainlens.sources.staging import read_staged, stage_ledger
 
-JOBS = ("time", "services", "miners", "scams", "gas", "overhead", "reports")
+JOBS = ("stage", "time", "services", "miners", "scams", "gas", "overhead", "reports")
 
 
 def monthly_counts_and_averages(tx: DataFrame) -> DataFrame:
@@ -104,17 +107,44 @@ def _month_pair(df: DataFrame, value: str, as_text: bool = False) -> list:
     return [json_text(shaped, "month"), json_text(shaped, value)], shaped
 
 
+class _Inputs:
+    """Parsed inputs from text files, or from a staged folder if given."""
+
+    def __init__(self, spark: SparkSession, args: argparse.Namespace):
+        self.spark, self.args = spark, args
+
+    def _read(self, name: str, text_reader, text_path: str | None) -> DataFrame:
+        staged = getattr(self.args, "staged", None)
+        if staged:
+            return read_staged(self.spark, f"{staged.rstrip('/')}/{name}")
+        return text_reader(self.spark, text_path)
+
+    def tx(self) -> DataFrame:
+        return self._read("transactions", read_transactions, self.args.transactions)
+
+    def contracts(self) -> DataFrame:
+        return self._read("contracts", read_contracts, self.args.contracts)
+
+    def blocks(self) -> DataFrame:
+        return self._read("blocks", read_blocks, self.args.blocks)
+
+
 def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str]:
     out, stamp = args.out.rstrip("/"), args.run_id or run_stamp()
     written: list[str] = []
+    inputs = _Inputs(spark, args)
 
     def put_json(df: DataFrame, name: str, elements, order) -> None:
         path = f"{out}/{name}_{stamp}"
         write_json_array(df, path, elements, order)
         written.append(path)
 
-    if job == "time":
-        tx = read_transactions(spark, args.transactions)
+    if job == "stage":
+        raw = {k: v for k, v in (("transactions", args.transactions), ("contracts", args.contracts),
+                                 ("blocks", args.blocks)) if v}
+        written.extend(stage_ledger(spark, raw, out).values())
+    elif job == "time":
+        tx = inputs.tx()
         agg = monthly_counts_and_averages(tx).persist(StorageLevel.MEMORY_AND_DISK)
         q1 = agg.select(month_text(F.col("month")).alias("month"), "n")
         put_json(q1, "monthly_counts", [json_text(q1, "month"), json_text(q1, "n")], [F.col("month")])
@@ -125,13 +155,13 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         put_json(q2, "monthly_averages", [json_text(q2, "row")], [F.col("_m")])
         agg.unpersist()
     elif job == "services":
-        top = Q.top_services(read_transactions(spark, args.transactions), read_contracts(spark, args.contracts))
+        top = Q.top_services(inputs.tx(), inputs.contracts())
         put_json(top, "top_services", [json_text(top, "address"), json_text(top, "value")], [-F.col("value"), F.col("address")])
     elif job == "miners":
-        top = Q.top_miners(read_blocks(spark, args.blocks))
+        top = Q.top_miners(inputs.blocks())
         put_json(top, "top_miners", [json_text(top, "miner"), json_text(top, "size")], [-F.col("size"), F.col("miner")])
     elif job == "scams":
-        base = Q.scam_month_base(read_transactions(spark, args.transactions), read_scams(spark, args.scams))
+        base = Q.scam_month_base(inputs.tx(), read_scams(spark, args.scams))
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         top = Q.top_scams_from_base(base).withColumn("_key", F.array("id", "category"))
         put_json(top, "top_scams", [json_text(top, "_key"), json_text(top, "ether")],
@@ -143,8 +173,8 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         base.unpersist()
     elif job == "gas":
         ensure_checkpoint_dir(spark)
-        per = gas_pre_aggregate(read_transactions(spark, args.transactions)).checkpoint()
-        q7, q8 = gas_results(per, read_contracts(spark, args.contracts))
+        per = gas_pre_aggregate(inputs.tx()).checkpoint()
+        q7, q8 = gas_results(per, inputs.contracts())
         els, shaped = _month_pair(q7, "avg_gas_price", as_text=True)
         put_json(shaped, "monthly_gas_price", els, [F.col("month")])
         els, shaped = _month_pair(q8, "avg_gas", as_text=True)
@@ -207,6 +237,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--blocks", help="blocks file(s) (text lines; headed CSV for 'overhead')")
     p.add_argument("--scams", help="scams JSON document(s)")
     p.add_argument("--results", help="folder with results of the other jobs (for 'reports')")
+    p.add_argument("--staged", help="folder written by the 'stage' job; used instead of the text files")
     p.add_argument("--out", required=True, help="output folder (any Hadoop path)")
     p.add_argument("--run-id", help="suffix of result names (default: a time stamp)")
     p.add_argument("--drop-years", type=int, nargs="*", default=list(R.REFERENCE_PANEL_DROP))

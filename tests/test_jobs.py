@@ -53,3 +53,17 @@ def test_all_jobs(spark, files, tmp_path):
     assert grid[0] == "year,month,month_name,n" and len(grid) == 25
     pivot = read_one(f"{out}/reports/scam_pivot_r").splitlines()
     assert pivot[0] == "year,month,Phishing,Scamming" and len(pivot) == 4
+
+
+def test_jobs_on_staged_inputs(spark, files, tmp_path):
+    staged = str(tmp_path / "staged")
+    run_job(spark, "stage", parser().parse_args([
+        "stage", "--transactions", files["transactions.csv"], "--contracts", files["contracts.csv"],
+        "--blocks", files["blocks.csv"], "--out", staged,
+    ]))
+    out = str(tmp_path / "results")
+    for job in ("time", "services", "miners"):
+        run_job(spark, job, parser().parse_args([job, "--staged", staged, "--out", out, "--run-id", "s"]))
+    assert json.loads(read_one(f"{out}/monthly_counts_s")) == [["01/2016", 2], ["02/2016", 4], ["12/2015", 1]]
+    assert json.loads(read_one(f"{out}/top_miners_s")) == [["0xm2", 1300], ["0xm1", 540]]
+    assert json.loads(read_one(f"{out}/top_services_s"))[0] == ["0xbb", 84155363699941767867374641]
