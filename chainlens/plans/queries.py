@@ -19,8 +19,6 @@ from chainlens.sources.ledger import keep_valid
 from chainlens.sources.scam_list import scam_addresses
 
 
-
-
 def _monthly(agg: DataFrame, *cols) -> DataFrame:
     """Render the month DATE as 'MM/YYYY'.
 
@@ -175,8 +173,9 @@ def monthly_contract_gas(
 
     Row-level join semantics: a contract listed ``c`` times weighs its
     transactions ``c`` times.  The contract list is reduced to
-    (address, copies); if that is proven small it is broadcast and the
-    transactions are joined in place.  Otherwise the transactions are first
+    (address, copies), so the join is one to one and the weight multiplies
+    partial sums.  If that list is proven small it is broadcast and the
+    transactions are joined where they are read.  Otherwise they are first
     pre-aggregated per (address, month) - which also defuses a hot address -
     and only those partial sums are shuffled to the join.
     """
