@@ -41,7 +41,8 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 
 def _code_tag() -> str:
     h = hashlib.sha1()
-    for rel in ("chainlens/sources/star.py", "chainlens/sources/ledger.py", "chainlens/functions/parse.py"):
+    for rel in ("chainlens/sources/star.py", "chainlens/sources/ledger.py", "chainlens/sources/staging.py",
+                "chainlens/functions/parse.py", "chainlens/functions/calendar.py"):
         with open(os.path.join(HERE, rel), "rb") as f:
             h.update(f.read())
     return h.hexdigest()[:10]
