@@ -27,6 +27,7 @@ from chainlens.sources.ledger import (
     read_blocks_table,
     read_contracts,
     read_transactions,
+    rule_counts,
 )
 from chainlens.sources.scam_list import parse_scams, read_scams
 from chainlens.sources.staging import read_staged
@@ -124,10 +125,6 @@ def _scam_json_round_trip(top: DataFrame) -> DataFrame:
     return R.scams_from_rows(parse_json_array(doc, "array<string>"))
 
 
-def _rules(df: DataFrame, *flags: str) -> DataFrame:
-    return df.groupBy("n_fields", *flags).agg(F.count(F.lit(1)).alias("rows"))
-
-
 def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame]]:
     i = inputs
     q = {
@@ -149,11 +146,11 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
         "q16_scam_pivot": lambda: R.scam_pivot_exact(Q.scam_month_base(i.tx, i.scams), STAR_SCAM_CATEGORIES),
         "q17_gas_price_panels": lambda: R.gas_price_panels(Q.monthly_gas_price(i.tx), STAR_PANEL_DROP),
         "q18_gas_panels": lambda: R.gas_panels(Q.monthly_contract_gas(i.tx, i.contracts), STAR_PANEL_DROP),
-        "rules_transactions": lambda: _rules(
+        "rules_transactions": lambda: rule_counts(
             i.tx, "block_ok", "value_ok", "gas_price_ok", "ts_digits", "ts_numeric"
         ),
-        "rules_contracts": lambda: _rules(i.contracts, "well_formed"),
-        "rules_blocks": lambda: _rules(
+        "rules_contracts": lambda: rule_counts(i.contracts, "well_formed"),
+        "rules_blocks": lambda: rule_counts(
             i.blocks.withColumn("size_ok", F.col("size").isNotNull()), "well_formed", "size_ok"
         ),
         "scam_rows": lambda: i.scams,

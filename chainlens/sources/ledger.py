@@ -162,6 +162,16 @@ def read_blocks_table(spark: SparkSession, path: str | list[str], infer_schema:
     return reader.schema(all_string_schema(BLOCK_FIELDS)).csv(path)
 
 
+def rule_counts(parsed: DataFrame, *flags: str) -> DataFrame:
+    """Rows per field count and rule-flag combination: the reject report.
+
+    With ``on_bad="drop"`` rows failing a rule are left out of a result;
+    this one-pass aggregate says how many lines each rule turned away
+    (e.g. ``rule_counts(tx, "block_ok", "value_ok", "ts_digits")``).
+    """
+    return parsed.groupBy("n_fields", *flags).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def keep_valid(df: DataFrame, guard: Column, converted: Column, on_bad: str, what: str) -> DataFrame:
     """Rows passing ``guard`` whose unguarded conversions succeeded.
 
