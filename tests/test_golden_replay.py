@@ -83,3 +83,12 @@ def test_number_column_reproduces_published_overhead(spark):
     blocks = spark.range(7_000_001).select(F.col("id").cast("string").alias("number"))
     (name, space, pct) = profile.column_space_share(blocks).first()
     assert (name, space, pct) == ("number", 16944447.5, 100.0)
+
+
+def test_json_array_refuses_unbounded_input(spark):
+    df = spark.range(50).select(F.col("id"))
+    doc = json_array(df, [json_text(df, "id")], [F.col("id")], max_rows=49)
+    with pytest.raises(Exception, match="bounded results"):
+        doc.collect()
+    ok = json_array(df, [json_text(df, "id")], [F.col("id")], max_rows=50).first()[0]
+    assert ok == "[" + ", ".join(str(i) for i in range(50)) + "]"
