@@ -33,3 +33,19 @@ def test_stream_matches_batch(spark, tmp_path):
     counts = dict(Q.monthly_transaction_count(tx).collect())
     avgs = dict(Q.monthly_average_value(tx).collect())
     assert got == {m: (counts[m], avgs[m]) for m in counts}
+
+
+def test_file_sink_with_checkpoint_resumes(spark, tmp_path):
+    from chainlens.streaming.incremental import start_monthly_time_analysis
+
+    src, out, ckpt = tmp_path / "in", tmp_path / "out", tmp_path / "ckpt"
+    src.mkdir()
+    (src / "a.csv").write_text(TRANSACTIONS_CSV)
+    (src / "b.csv").write_text(LATE_CLOSER + "\n")
+    start_monthly_time_analysis(spark, str(src), str(out), str(ckpt)).awaitTermination()
+    # a restart resumes from the checkpoint: only the new file is read and no
+    # month is counted or emitted twice
+    (src / "c.csv").write_text(LATE_CLOSER + "\n")
+    start_monthly_time_analysis(spark, str(src), str(out), str(ckpt)).awaitTermination()
+    got = {r.month: r.n for r in spark.read.parquet(str(out)).collect()}
+    assert got == {"12/2015": 1, "01/2016": 2, "02/2016": 4}
