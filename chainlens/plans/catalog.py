@@ -161,5 +161,13 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
 QUERY_NAMES = tuple(build(LedgerInputs(None, "")).keys())  # type: ignore[arg-type]
 
 
+_INPUTS: dict[tuple[str, str], LedgerInputs] = {}
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build(LedgerInputs(spark, sf_dir))[name]()
+    """Build query ``name`` over ``sf_dir``; parsed inputs are shared by all
+    queries of one application (DataFrames are immutable plans)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INPUTS:
+        _INPUTS[key] = LedgerInputs(spark, sf_dir)
+    return build(_INPUTS[key])[name]()
