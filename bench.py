@@ -106,6 +106,8 @@ def main() -> None:
         staged = stage_ledger(spark, {n: paths[n] for n in staged}, f"{base}/staged-{uuid.uuid4().hex[:8]}")
     stage_secs = time.time() - t0
 
+    input_rows = {n: spark.read.text(paths[n]).count() for n in ("transactions", "contracts", "blocks", "scams")}
+
     queries = build(FileInputs(spark, paths))
     selected = [n for n in queries if not only or n in only]
     timings, rows = time_suite(queries, selected, runs)
@@ -142,6 +144,10 @@ def main() -> None:
         "runs": runs,
         "staged_value": round(sum(staged_timings.values()), 3),
         "staged_queries": staged_timings,
+        "input_lines": input_rows,
+        "q1_lines_per_sec": round(input_rows["transactions"] / timings["q1_monthly_count"])
+        if "q1_monthly_count" in timings
+        else None,
         "jobs_total": round(sum(job_timings.values()), 3),
         "jobs": job_timings,
         "setup_write_files_sec": round(setup, 3),
