@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import epoch_seconds, month_start, month_text
@@ -70,3 +72,46 @@ def test_month_key_is_utc_and_zone_independent(spark):
             assert [r[0] for r in df.select(month).collect()] == ["12/2015", "01/2016", "01/1970", None]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def _py_int(s):
+    try:
+        return int(s)
+    except ValueError:
+        return None
+
+
+def _py_float(s):
+    try:
+        return float(s)
+    except ValueError:
+        return None
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+ALPHABET = "0123456789.+-eE x"
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=9), min_size=1, max_size=400))
+def test_rules_match_python_on_random_text(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    i, f, ok = split_number(t)
+    got = df.select(
+        "t", is_digits(t), is_numeric_like(t), epoch_seconds(t), i.cast("string"), f, ok
+    ).collect()
+    for text, digits, numeric, epoch, int_part, frac, parsed in got:
+        assert digits == python_digits(text), text
+        assert numeric == python_numeric_like(text), text
+        want_epoch = _py_int(text)
+        if want_epoch is not None and "_" not in text and abs(want_epoch) <= 253402300799:
+            assert epoch == want_epoch, text
+        elif want_epoch is None:
+            assert epoch is None, text
+        if numeric:  # integer part exact; the fraction is a double by design
+            assert parsed and float(Decimal(int_part)) + frac == pytest.approx(float(text), rel=1e-15), text
+        elif parsed:  # Spark read it as a double: Python must agree
+            assert _py_float(text) == frac, text
