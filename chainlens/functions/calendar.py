@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chainlens.schema import MONTH_TEXT_FORMAT
+
 SECONDS_PER_DAY = 86400
 # First second of 0001-01-01 and last second of 9999-12-31 UTC: the range a
 # DATE renders with a four-digit year.  Values outside are unconvertible.
 MIN_EPOCH_SECONDS = -62135596800
 MAX_EPOCH_SECONDS = 253402300799
-MONTH_TEXT_FORMAT = "MM/yyyy"
 
 
 def epoch_seconds(text: Column) -> Column:

@@ -19,14 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.schema import HEX_OVERHEAD_COLUMNS
+from chainlens.schema import HEX_BITS_PER_CHAR, HEX_OVERHEAD_COLUMNS, HEX_PREFIX_CHARS
 
 ROWS = "_rows"
 
 
 def hex_bytes_per_row(mean_length: Column) -> Column:
     """``(mean_length - 2) * 4 / 8``; 0.0 when the mean is NULL."""
-    return F.coalesce((mean_length - 2) * 4 / 8, F.lit(0.0))
+    return F.coalesce((mean_length - HEX_PREFIX_CHARS) * HEX_BITS_PER_CHAR / 8, F.lit(0.0))
 
 
 def _measured(df: DataFrame, columns: Sequence[str]) -> DataFrame:

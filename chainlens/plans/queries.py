@@ -15,6 +15,7 @@ from chainlens.functions.calendar import month_text
 from chainlens.operators.aggregate import split_mean, split_sum, split_total
 from chainlens.operators.join import broadcast_if_small, multiplicity
 from chainlens.operators.topk import top_k
+from chainlens.schema import TOP_MINERS, TOP_SCAMS, TOP_SERVICES
 from chainlens.sources.ledger import keep_valid
 from chainlens.sources.scam_list import scam_addresses
 
@@ -59,7 +60,7 @@ def monthly_average_value(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
 def top_services(
     tx: DataFrame,
     contracts: DataFrame,
-    k: int = 10,
+    k: int = TOP_SERVICES,
     distinct_contracts: bool = False,
     on_bad: str = "drop",
 ) -> DataFrame:
@@ -85,7 +86,7 @@ def top_services(
     return top_k(expanded.select("address", "value"), k, "value", "address")
 
 
-def top_miners(blocks: DataFrame, k: int = 10, on_bad: str = "drop") -> DataFrame:
+def top_miners(blocks: DataFrame, k: int = TOP_MINERS, on_bad: str = "drop") -> DataFrame:
     """Q4: miners with the largest total block size -> (miner, size BIGINT)."""
     valid = keep_valid(blocks, F.col("well_formed"), F.col("size").isNotNull(), on_bad, "size")
     sums = valid.groupBy("miner").agg(F.sum("size").alias("size"))
@@ -119,7 +120,7 @@ def scam_month_base(
     return joined.groupBy("month", "id", "category").agg(*split_sum("value_int", "value_frac", "ether"))
 
 
-def top_scams_from_base(base: DataFrame, k: int = 15) -> DataFrame:
+def top_scams_from_base(base: DataFrame, k: int = TOP_SCAMS) -> DataFrame:
     totals = base.groupBy("id", "category").agg(
         F.sum("ether_int").alias("ether_int"), F.sum("ether_frac").alias("ether_frac")
     )
@@ -134,7 +135,7 @@ def scam_by_month_from_base(base: DataFrame) -> DataFrame:
 
 
 def top_scams(
-    tx: DataFrame, scams: DataFrame, k: int = 15, on_bad: str = "drop", max_broadcast_rows: int | None = None
+    tx: DataFrame, scams: DataFrame, k: int = TOP_SCAMS, on_bad: str = "drop", max_broadcast_rows: int | None = None
 ) -> DataFrame:
     """Q5: most lucrative scams -> (id, category, ether DOUBLE)."""
     return top_scams_from_base(scam_month_base(tx, scams, on_bad, max_broadcast_rows), k)

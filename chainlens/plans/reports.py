@@ -17,9 +17,10 @@ from chainlens.operators.calendar_grid import category_pivot, year_month_grid, y
 from chainlens.operators.topk import ranked
 from chainlens.sinks.results import pairs_from_text
 from chainlens.functions.calendar import month_text
+from chainlens.schema import PANEL_DROP_YEARS
 
 # The reference drops its last, partial year (one month) from the panels.
-REFERENCE_PANEL_DROP = (2019,)
+REFERENCE_PANEL_DROP = PANEL_DROP_YEARS
 
 
 def count_grid(monthly_counts: DataFrame) -> DataFrame:

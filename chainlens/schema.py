@@ -75,6 +75,26 @@ HEX_OVERHEAD_COLUMNS = (
 SCAM_FIELDS = ("id", "name", "url", "coin", "category", "subcategory", "address", "status")
 
 
+# Rules and constants the results depend on, as the reference
+# applies them.
+#   header marker of blocks.csv: field "hash" equals "hash"
+#   category recode of scams:    "Scam" -> "Scamming"
+#   hex text storage:            bytes per row = (mean length - 2) * 4 / 8
+#                                ("0x" prefix, four bits per hex character)
+#   month key text:              "MM/YYYY" of the UTC month
+#   result sizes:                top 10 services, top 10 miners, top 15 scams
+#   yearly panels drop:          2019 (the last, partial year)
+BLOCK_HEADER_MARKER = "hash"
+SCAM_RECODE = ("Scam", "Scamming")
+HEX_PREFIX_CHARS = 2
+HEX_BITS_PER_CHAR = 4
+MONTH_TEXT_FORMAT = "MM/yyyy"
+TOP_SERVICES = 10
+TOP_MINERS = 10
+TOP_SCAMS = 15
+PANEL_DROP_YEARS = (2019,)
+
+
 def field_index(layout: tuple[str, ...], name: str) -> int:
     return layout.index(name)
 

@@ -28,6 +28,7 @@ from chainlens.functions.parse import (
 )
 from chainlens.schema import (
     BLOCK_FIELDS,
+    BLOCK_HEADER_MARKER,
     CONTRACT_FIELDS,
     TRANSACTION_FIELDS,
     all_string_schema,
@@ -123,7 +124,7 @@ def parse_blocks(lines: DataFrame, line_col: str = "value") -> DataFrame:
         F.col("_n").alias("n_fields"),
         (
             (F.col("_n") == len(BLOCK_FIELDS))
-            & F.coalesce(field(f, field_index(BLOCK_FIELDS, "hash")) != "hash", F.lit(False))
+            & F.coalesce(field(f, field_index(BLOCK_FIELDS, "hash")) != BLOCK_HEADER_MARKER, F.lit(False))
         ).alias("well_formed"),
         field(f, field_index(BLOCK_FIELDS, "miner")).alias("miner"),
         _exact_bigint(field(f, field_index(BLOCK_FIELDS, "size"))).alias("size"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions.parse import is_digits
-from chainlens.schema import SCAM_FIELDS
+from chainlens.schema import SCAM_FIELDS, SCAM_RECODE
 
 # Every entry value is kept as its JSON text, so numbers, nulls and the
 # nested address list all survive parsing.
@@ -54,7 +54,7 @@ def parse_scams(docs: DataFrame, line_col: str = "value", keep_commas: bool = Fa
         _str(e, "name").alias("name"),
         _str(e, "url").alias("url"),
         _str(e, "coin").alias("coin"),
-        F.when(category == "Scam", F.lit("Scamming")).otherwise(category).alias("category"),
+        F.when(category == SCAM_RECODE[0], F.lit(SCAM_RECODE[1])).otherwise(category).alias("category"),
         F.when(F.map_contains_key(e, "subcategory"), _str(e, "subcategory"))
         .otherwise(F.lit(""))
         .alias("subcategory"),
