@@ -89,8 +89,9 @@ def gas_results(per: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFr
         F.sum("n").alias("n"),
     )
     q7 = q7.select(month_text(F.col("month")).alias("month"), split_mean("gas_price", "n").alias("avg_gas_price"))
-    copies = multiplicity(contracts.where("well_formed").select("address"), "address")
-    side, _ = broadcast_if_small(copies)
+    listed = contracts.where("well_formed").select("address")
+    copies = multiplicity(listed, "address")
+    side, _ = broadcast_if_small(copies, upper_bound=listed)
     joined = per.join(side, per["to_address"] == side["address"])
     q8 = joined.groupBy("month").agg(
         F.sum(F.col("gas_int") * F.col("copies")).alias("gas_int"),

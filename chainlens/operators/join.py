@@ -25,15 +25,20 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+def broadcast_if_small(
+    df: DataFrame, max_rows: int | None = None, upper_bound: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
     """Hint ``df`` for broadcast only if its row count is proven small.
 
-    Otherwise ``df`` is returned unchanged and Catalyst/AQE plan a shuffle
-    join (AQE still switches to broadcast at runtime if the shuffled side
-    turns out small, and splits skewed partitions otherwise).
+    ``upper_bound``, when given, is a frame with at least as many rows as
+    ``df`` that is cheaper to count with an early stop - e.g. the raw rows
+    under an aggregate, which a ``limit`` cannot cut short.  Otherwise
+    ``df`` is returned unchanged and Catalyst/AQE plan a shuffle join (AQE
+    still switches to broadcast at runtime if the shuffled side turns out
+    small, and splits skewed partitions otherwise).
     """
     bound = broadcast_bound(df) if max_rows is None else max_rows
-    if has_at_most(df, bound):
+    if has_at_most(df if upper_bound is None else upper_bound, bound):
         return F.broadcast(df), True
     return df, False
 

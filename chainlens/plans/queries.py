@@ -181,8 +181,9 @@ def monthly_contract_gas(
     and only those partial sums are shuffled to the join.
     """
     rows = _gas_rows(tx, on_bad, need_gas=True)
-    copies = multiplicity(contracts.where("well_formed").select("address"), "address")
-    side, small = broadcast_if_small(copies, max_broadcast_rows)
+    listed = contracts.where("well_formed").select("address")
+    copies = multiplicity(listed, "address")
+    side, small = broadcast_if_small(copies, max_broadcast_rows, upper_bound=listed)
     if small:
         # Sum per (month, copies) first: the weight multiplies a handful of
         # partial sums instead of every row's DECIMAL value.
