@@ -167,3 +167,18 @@ def test_q13_q14_rank(tx, contracts, spark, files):
 def test_q17_panels(tx):
     panels = rows(R.gas_price_panels(Q.monthly_gas_price(tx), drop_years=[2015]))
     assert [(y, d.month) for y, d, _ in panels] == [(2016, 1), (2016, 2)]
+
+
+def test_q7_fail_mode_only_on_guarded_unconvertible_time(spark, files):
+    from chainlens.sources.ledger import parse_transactions
+
+    base = open(files["transactions.csv"]).read().splitlines()
+    # The fixture alone has no line that passes Q7's guard yet fails int():
+    tx = parse_transactions(spark.createDataFrame([(x,) for x in base], "value string"))
+    assert len(Q.monthly_gas_price(tx, on_bad="fail").collect()) == 3
+    # '1451606400.5' is numeric-like (guard passes) but not an int.
+    bad = "hx,0,b,1,0,0xf,0xaa,1,21000,4,0x,1451606400.5,,,"
+    tx = parse_transactions(spark.createDataFrame([(x,) for x in base + [bad]], "value string"))
+    with pytest.raises(Exception, match="unconvertible"):
+        Q.monthly_gas_price(tx, on_bad="fail").collect()
+    assert len(Q.monthly_gas_price(tx).collect()) == 3  # dropped by default
