@@ -111,7 +111,9 @@ def scam_month_base(
     valid = keep_valid(tx, F.col("value_ok"), F.col("value_fits"), on_bad, "value")
     side, small = broadcast_if_small(scam_addresses(scams), max_broadcast_rows)
     if small:
-        listed = F.broadcast(side.select("address").distinct())
+        # A semi-join emits each transaction at most once, so the broadcast
+        # list needs no distinct (which would cost a shuffle).
+        listed = F.broadcast(side.select("address"))
         valid = valid.join(listed, valid["to_address"] == listed["address"], "left_semi")
     per_address = valid.groupBy("to_address", "month").agg(
         F.sum("value_int").alias("value_int"), F.sum("value_frac").alias("value_frac")
