@@ -1 +1,23 @@
-"""chainlens.sinks."""
+"""Result writers and readers: JSON arrays (bounded results), JSON lines, CSV."""
+
+from chainlens.sinks.results import (
+    json_array,
+    json_text,
+    parse_json_array,
+    read_json_array,
+    run_stamp,
+    write_csv,
+    write_json_array,
+    write_rows_json,
+)
+
+__all__ = [
+    "json_array",
+    "json_text",
+    "parse_json_array",
+    "read_json_array",
+    "run_stamp",
+    "write_csv",
+    "write_json_array",
+    "write_rows_json",
+]
