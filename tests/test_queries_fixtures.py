@@ -182,3 +182,12 @@ def test_q7_fail_mode_only_on_guarded_unconvertible_time(spark, files):
     with pytest.raises(Exception, match="unconvertible"):
         Q.monthly_gas_price(tx, on_bad="fail").collect()
     assert len(Q.monthly_gas_price(tx).collect()) == 3  # dropped by default
+
+
+def test_q10_with_inferred_types(spark, files):
+    # The reference infers column types; plain integers measure the same.
+    typed = read_blocks_table(spark, files["blocks_table.csv"], infer_schema=True)
+    assert dict(typed.dtypes)["number"] in ("int", "bigint")
+    got = {name: space for name, space, _ in rows(profile.column_space_share(typed))}
+    plain = {name: space for name, space, _ in rows(profile.column_space_share(read_blocks_table(spark, files["blocks_table.csv"])))}
+    assert got == pytest.approx(plain)
