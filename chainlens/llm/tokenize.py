@@ -4,13 +4,16 @@ A byte-level BPE never merges across a space that stands between two
 non-space characters: such a space always begins a new pre-token.  A text may
 therefore be cut before these spaces and its pieces encoded on their own, and
 a piece that came before needs no second encoding.  Texts with other white
-space beside a space are encoded whole.  Every id comes from the tokenizers
-library; the memory of pieces is bounded and only saves time.
+space beside a space are encoded whole.  A piece of letters is one pre-token,
+so the library's BPE model takes it directly; any other piece goes through the
+library's whole pipeline.  Every id comes from the tokenizers library; the
+memory of pieces is bounded and only saves time.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import repeat
 
 import numpy as np
@@ -18,10 +21,16 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a worker before it starts anew (about 150 bytes each).
-MEMORY_PIECES = 700_000
+MEMORY_PIECES = 1_000_000
 #: Characters encoded at once; bounds a task's memory, not its result.
 BATCH_CHARS = 3_000_000
 
+# Latin letters, the same in every Unicode version, and one full stop or comma behind them.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+# A byte-level vocabulary spells unprintable bytes as the characters from U+0100 on, in ascending order.
+_UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SPELLED = {b: 256 + n for n, b in enumerate(_UNPRINTABLE)}
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -40,6 +49,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memory_pieces = memory_pieces
+        self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.normalizer
+        if self.byte_level:
+            self.tokenizer.model._resize_cache(0)  # pieces are remembered here
         self._forget()
 
     def _forget(self) -> None:
@@ -60,9 +72,30 @@ class PieceEncoder:
     def _encode(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _encode_word(self, space: str, word: str) -> list[int]:
+        spelled = (space + word).encode().decode("latin-1").translate(_SPELLED)
+        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(pieces)
+        rest = []
+        for k, p in enumerate(pieces):
+            if m := _WORD.fullmatch(p):
+                word, mark = m.groups()
+                at = self.index.get(word) if mark else None
+                out[k] = self._encode_word(" ", word) if at is None else self.ids[self.start[at] : self.start[at] + self.size[at]].tolist()
+                if mark:
+                    out[k] = out[k] + self._encode_word("", mark)
+            else:
+                rest.append(k)
         # a key that begins with a space is the first piece of a text: the one with no space before it
-        encoded = self._encode([p[1:] if p[:1] == " " else " " + p for p in pieces])
+        strings = [pieces[k][1:] if pieces[k][:1] == " " else " " + pieces[k] for k in rest]
+        for k, e in zip(rest, self._encode(strings), strict=True):
+            out[k] = e
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        encoded = self._encode_pieces(pieces)
         n = len(self.index)
         sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
         total = int(sizes.sum())
@@ -80,6 +113,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and ``len(texts) + 1`` offsets."""
+        if not self.byte_level:
+            encoded = self._encode(texts)
+            offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded], dtype=np.int64)])
+            return np.fromiter((i for e in encoded for i in e), np.uint32, int(offsets[-1])), offsets
         if len(self.index) > self.memory_pieces:
             self._forget()
         words: list[str] = []
