@@ -25,6 +25,14 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from chainlens.plans import catalog  # noqa: E402
 
+try:  # the training-data subpackage and its pipeline may be absent
+    import corpus_pipeline
+    from chainlens.llm import registry as llm_registry
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "chainlens.llm"):
+        raise
+    corpus_pipeline = llm_registry = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -37,7 +45,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def make(name: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: catalog.run(name, spark, sf_dir)
 
-    return {name: make(name) for name in catalog.QUERY_NAMES}
+    found = {name: make(name) for name in catalog.QUERY_NAMES}
+    if llm_registry is not None:
+        found |= llm_registry.QUERIES
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 # --------------------------------------------------------------------------
@@ -331,4 +343,8 @@ SELECT id, n_name AS name, 'https://scam.example/' || s_suppkey AS url, 'ETH' AS
        CASE WHEN s_acctbal >= 1000 THEN 'Active' ELSE 'None' END AS status
 FROM addr""",
     }
+    if llm_registry is not None:
+        sql |= llm_registry.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {k: v.strip() for k, v in sql.items()}
