@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import documents
+from chainlens.llm.common import documents, new_folder
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.quality import apply_policy, policy_mask, rule_ledger
+
+    base_failed = F.col("failures").bitwiseAND(F.lit(policy_mask("base"))) != 0
+    return apply_policy(rule_ledger(documents(spark, sf_dir))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "failures"
+    )
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.token_files import read_token_files, write_token_files
+
+    path = new_folder(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
