@@ -23,6 +23,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.simhash import near_copy_components
+
+    return near_copy_components(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.quality import apply_policy, policy_mask, rule_ledger
 
@@ -42,6 +50,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_token_files": op8_token_files,
 }
