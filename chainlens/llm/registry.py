@@ -23,6 +23,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.toxicity import fit_counterfactual, held_out, scored
+
+    docs = documents(spark, sf_dir)
+    model = fit_counterfactual(docs, documents(spark, sf_dir, "labels"))
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.simhash import near_copy_components
 
@@ -50,6 +58,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op8_token_files": op8_token_files,
