@@ -48,6 +48,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.neighbours import nearest_neighbours
+
+    rows = documents(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.token_files import read_token_files, write_token_files
 
@@ -56,12 +63,22 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.mixing import mix_documents
+
+    return mix_documents(documents(spark, sf_dir).select("doc_id", "source", "text")).select(
+        "doc_id", "source", "epoch", "mix_block", "mix_order"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op7_neighbours": op7_neighbours,
     "op8_token_files": op8_token_files,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
