@@ -15,11 +15,11 @@ Parquet, through its committers: a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,9 @@ from chainlens.llm.huffman import MAX_BITS, Codebook, code_lengths
 from chainlens.llm.tokenize import default_vocabulary, encoder, text_batches
 
 #: A task decodes this many ids side by side.
-DECODE_IDS = 2_000_000
+DECODE_IDS = 1_000_000
+#: Sampled rows a shard that its bounds are taken from.
+SAMPLE_ROWS = 50
 
 
 def tokenized(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
@@ -71,6 +73,21 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _order_key(doc_id, tie: int) -> tuple:
+    return (doc_id is not None, doc_id, tie) if doc_id is not None else (False, 0, tie)
+
+
+def shard_bounds(tokens: DataFrame, shards: int) -> list[tuple]:
+    """First keys of all shards but the first, from about ``SAMPLE_ROWS`` sampled rows a shard.
+
+    They only even out the shards' sizes; any bounds give the same corpus.
+    """
+    keys = tokens.select("doc_id", F.crc32("ids").alias("tie"))
+    share = min(1.0, SAMPLE_ROWS * shards / max(1, tokens.count()))
+    sample = sorted(_order_key(*r) for r in keys.sample(share, seed=1).collect())
+    return sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else []
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -96,40 +113,48 @@ def write_token_files(
     spark.createDataFrame(rows, "id long, n long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     id_type = tokens.schema["doc_id"].dataType.simpleString()
 
+    shards = shuffle_partitions(spark)
+    bounds = shard_bounds(tokens, shards)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(ids, lengths)
         for batch in batches:
+            keys = map(_order_key, batch.column(0).to_pylist(), batch.column(3).to_pylist())
             out = [book.encode(np.frombuffer(v.as_buffer(), "<u4").astype(np.int64)) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
+                    pa.array([bisect_right(bounds, key) for key in keys], pa.int32()),
                     batch.column(3),
                     pa.array([p for p, _ in out], pa.binary()),
                     pa.array([c for _, c in out], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_tokens", "tie", "payload", "checkpoints"],
+                names=["doc_id", "n_tokens", "shard", "tie", "payload", "checkpoints"],
             )
 
     coded = tokens.withColumn("tie", F.crc32("ids")).mapInArrow(
-        encode, f"doc_id {id_type}, n_tokens long, tie long, payload binary, checkpoints array<long>"
+        encode, f"doc_id {id_type}, n_tokens long, shard int, tie long, payload binary, checkpoints array<long>"
     )
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, place, first = TaskContext.get().partitionId(), 0, 0
+        current, place, first = None, 0, 0
         for batch in batches:
-            n = batch.column(1).to_numpy()
-            ends = np.cumsum(n) + first
+            shard, n = batch.column(2).to_numpy(), batch.column(1).to_numpy()
+            places, firsts = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+            for k in range(len(n)):
+                if shard[k] != current:
+                    current, place, first = shard[k], 0, 0
+                places[k], firsts[k] = place, first
+                place, first = place + 1, first + int(n[k])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), shard, np.int32)), pa.array(np.arange(place, place + len(n))), batch.column(0)]
-                + [pa.array(ends - n), batch.column(1), batch.column(3), batch.column(4)],
+                [batch.column(2), pa.array(places), batch.column(0), pa.array(firsts), batch.column(1), batch.column(4), batch.column(5)],
                 names=["shard", "place", "doc_id", "first_token", "n_tokens", "payload", "checkpoints"],
             )
-            place, first = place + len(n), int(ends[-1]) if len(n) else first
 
     blocks = (
-        coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie", "n_tokens")
+        coded.repartition(shards, "shard")
+        .sortWithinPartitions("shard", "doc_id", "tie", "n_tokens")
         .mapInArrow(
             numbered,
             f"shard int, place long, doc_id {id_type}, first_token long, n_tokens long, payload binary, checkpoints array<long>",

@@ -21,12 +21,13 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a worker before it starts anew (about 150 bytes each).
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 800_000
 #: Characters encoded at once; bounds a task's memory, not its result.
 BATCH_CHARS = 3_000_000
 
-# Latin letters, the same in every Unicode version, and one full stop or comma behind them.
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+# Latin letters, the same in every Unicode version, and one full stop or comma behind them; a line may follow with its first word.
+_LETTERS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)"
+_WORD = re.compile(f"{_LETTERS}(?:\n{_LETTERS})?")
 # A byte-level vocabulary spells unprintable bytes as the characters from U+0100 on, in ascending order.
 _UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _SPELLED = {b: 256 + n for n, b in enumerate(_UNPRINTABLE)}
@@ -52,6 +53,7 @@ class PieceEncoder:
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.normalizer
         if self.byte_level:
             self.tokenizer.model._resize_cache(0)  # pieces are remembered here
+        self.marks: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -76,16 +78,26 @@ class PieceEncoder:
         spelled = (space + word).encode().decode("latin-1").translate(_SPELLED)
         return [t.id for t in self.tokenizer.model.tokenize(spelled)]
 
+    def _encode_mark(self, mark: str) -> list[int]:
+        if mark not in self.marks:
+            self.marks[mark] = self._encode([mark])[0] if mark else []
+        return self.marks[mark]
+
+    def _known(self, word: str) -> list[int]:
+        at = self.index[word]
+        return self.ids[self.start[at] : self.start[at] + self.size[at]].tolist()
+
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(pieces)
         rest = []
         for k, p in enumerate(pieces):
             if m := _WORD.fullmatch(p):
-                word, mark = m.groups()
-                at = self.index.get(word) if mark else None
-                out[k] = self._encode_word(" ", word) if at is None else self.ids[self.start[at] : self.start[at] + self.size[at]].tolist()
+                word, mark, line, mark2 = m.groups()
+                out[k] = self._known(word) if word in self.index else self._encode_word(" ", word)
                 if mark:
-                    out[k] = out[k] + self._encode_word("", mark)
+                    out[k] = out[k] + self._encode_mark(mark)
+                if line:
+                    out[k] = out[k] + self._encode_mark("\n") + self._encode_word("", line) + self._encode_mark(mark2)
             else:
                 rest.append(k)
         # a key that begins with a space is the first piece of a text: the one with no space before it
@@ -95,6 +107,13 @@ class PieceEncoder:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
+        # the words of pieces that hold more than a word come first, as they will be met alone
+        words = (m[1] for p in pieces if (m := _WORD.fullmatch(p)) and m.end(1) < len(p))
+        listed = set(pieces)
+        self._add([w for w in dict.fromkeys(words) if w not in self.index and w not in listed])
+        self._add(pieces)
+
+    def _add(self, pieces: list[str]) -> None:
         encoded = self._encode_pieces(pieces)
         n = len(self.index)
         sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
