@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.session import ensure_checkpoint_dir
@@ -60,3 +60,17 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Tables up to this size may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int = 0, bytes_of: Column | None = None) -> DataFrame:
+    """``df``, a staged table, with a broadcast hint if its rows add up to at most :data:`BROADCAST_BYTES`.
+
+    The size is measured, as ``row_bytes`` a row or the sum of ``bytes_of``;
+    a larger table is joined by a shuffle.
+    """
+    size = F.sum(bytes_of) if bytes_of is not None else F.count(F.lit(1)) * row_bytes
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES else df

@@ -39,6 +39,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.quality import apply_policy, policy_mask, rule_ledger
 
@@ -75,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_neighbours": op7_neighbours,
     "op8_token_files": op8_token_files,
