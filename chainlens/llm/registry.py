@@ -56,6 +56,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.bwt_dedup import remove_repeated_bytes
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeated_bytes(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.neighbours import nearest_neighbours
 
@@ -71,6 +80,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.suffix_tree_dedup import remove_repeated_words
+
+    return remove_repeated_words(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.mixing import mix_documents
 
@@ -85,8 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_bwt_dedup": op6_bwt_dedup,
     "op7_neighbours": op7_neighbours,
     "op8_token_files": op8_token_files,
+    "op9_suffix_trees": op9_suffix_trees,
     "op10_mixing": op10_mixing,
 }
 
