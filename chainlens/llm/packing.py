@@ -76,27 +76,31 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> list[tuple[in
         left, rank = histogram[length], 0
         while left:
             capacity = tree.tightest(length)
-            if capacity is None:  # open windows; each takes the same length until it has no room for one more
-                each = window // length
-                full, rest = divmod(left, each)
-                for k in range(each if full else 0):
-                    plan.append((length, rank, windows, k * length))
-                    rank += full
-                for k in range(rest):
-                    plan.append((length, rank, windows + full, k * length))
-                    rank += 1
-                put(window - each * length, windows, full)
-                put(window - rest * length, windows + full, 1 if rest else 0)
-                windows += full + (1 if rest else 0)
-                break
-            first, count = runs[capacity].pop()
-            taken = min(left, count)
-            plan.append((length, rank, first, window - capacity))
-            rank, left = rank + taken, left - taken
-            if count > taken:
-                runs[capacity].append((first + taken, count - taken))
-            tree.set(capacity, bool(runs[capacity]))
-            put(capacity - length, first, taken)
+            if capacity is None:
+                capacity, first, count = window, windows, left
+                opened = -(-left // (window // length))
+                windows += opened
+            else:
+                first, count = runs[capacity].pop()
+            # a window that has taken a piece is tighter than before: it takes the same length until it has no room for it
+            each = capacity // length
+            full, rest = min(count, left // each), 0
+            if full < count:
+                rest = min(left - full * each, each)
+            for k in range(each if full else 0):
+                plan.append((length, rank, first, window - capacity + k * length))
+                rank += full
+            for k in range(rest):
+                plan.append((length, rank, first + full, window - capacity + k * length))
+                rank += 1
+            left -= full * each + rest
+            used = full + (1 if rest else 0)
+            if capacity < window:
+                if count > used:
+                    runs[capacity].append((first + used, count - used))
+                tree.set(capacity, bool(runs[capacity]))
+            put(capacity - each * length, first, full)
+            put(capacity - rest * length, first + full, 1 if rest else 0)
     return plan
 
 

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chainlens.llm.common import id_text, shuffle_partitions, staged
+from chainlens.llm.common import id_text, if_small, shuffle_partitions, staged
 from chainlens.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -65,23 +66,22 @@ def _fingerprint(text: str, shingle_words: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(
-    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text"
+def fingerprinted(
+    docs: DataFrame, name: str, shingle_words: int = SHINGLE_WORDS, text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, fingerprint`` (the 64 bits as a signed long) of every row.
+    """``docs`` with their fingerprint, the 64 bits as a signed long, as column ``name``.
 
     A text of fewer words than a shingle is one shingle; a null text and one
     without words have fingerprint zero, which links like any other.
     """
-    source = id_text(docs, id_col, text_col)
+    at = docs.columns.index(text_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [_fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fingerprint"])
+            values = [_fingerprint(t.as_py() or "", shingle_words) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=[*batch.schema.names, name])
 
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(hashed, f"doc_id {id_type}, fingerprint long")
+    return docs.mapInArrow(hashed, T.StructType([*docs.schema, T.StructField(name, T.LongType())]))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -217,6 +217,22 @@ def linked_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFr
     return connected_components(shards.mapInArrow(linked, "a long, b long"))
 
 
+def named_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fingerprint, component, component_id`` of every fingerprint of ``prints(doc_id, fingerprint)``."""
+    classes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
+    linked = staged(linked_fingerprints(classes.select("fingerprint"), max_bits), "fingerprint-links").withColumnRenamed(
+        "node", "fingerprint"
+    )
+    smallest = linked.join(classes, "fingerprint").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    named = linked.join(smallest, "component").select("fingerprint", "component", "least_id")
+    alone = F.col("component").isNull()
+    return classes.join(named, "fingerprint", "left").select(
+        "fingerprint",
+        F.coalesce("component", "fingerprint").alias("component"),
+        F.when(alone, F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+    )
+
+
 def near_copy_components(
     docs: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
@@ -230,27 +246,29 @@ def near_copy_components(
     ``max_bits`` differing bits; null ids are passed over, so it is null only
     where every id reachable is.  An empty table gives no rows.
     """
-    prints = staged(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    classes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "fingerprint-classes")
-    linked = staged(linked_fingerprints(classes.select("fingerprint"), max_bits), "fingerprint-links").withColumnRenamed(
-        "node", "fingerprint"
-    )
-    smallest = linked.join(classes, "fingerprint").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(smallest, "component").select("fingerprint", "least_id", F.lit(True).alias("linked"))
-    by_print = classes.join(named, "fingerprint", "left").select(
-        "fingerprint", F.when(F.col("linked"), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id")
-    )
-    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    printed = fingerprinted(id_text(docs, id_col, text_col), "fingerprint", shingle_words)
+    prints = staged(printed.select("doc_id", "fingerprint"), "fingerprints")
+    names = named_components(prints, max_bits)
+    return prints.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest.
+def one_of_each_component(
+    docs: DataFrame,
+    shingle_words: int = SHINGLE_WORDS,
+    max_bits: int = MAX_BITS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest id.
 
-    Of repeated rows with that id one stays, the smallest as a struct of all
-    columns; a component without any id keeps one row as well.
+    Of rows that share that id, and in a component without ids, the smallest as
+    a struct of all columns stays.
     """
-    keep = near_copy_components(docs, **options).select(F.col("component_id").alias("__id")).distinct()
-    id_col = options.get("id_col", "doc_id")
-    rows = docs.withColumn("__row", F.struct(*docs.columns))
-    kept = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.groupBy(F.col(id_col).alias("__id")).agg(F.min("__row").alias("__row")).select("__row.*")
+    rows = staged(fingerprinted(docs, "__fingerprint", shingle_words, text_col), "fingerprinted")
+    prints = rows.select(F.col(id_col).alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
+    names = staged(named_components(prints, max_bits), "component-names").select(
+        *[F.col(c).alias(f"__{c}") for c in ("fingerprint", "component", "component_id")]
+    )
+    first = rows.join(if_small(names, row_bytes=40), "__fingerprint").where(F.col(id_col).eqNullSafe(F.col("__component_id")))
+    one = first.groupBy("__component").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return one.select("__row.*")

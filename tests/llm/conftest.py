@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sentence(rng: random.Random, n: int, vocabulary: int = 400) -> str:
+    return " ".join(f"w{rng.randrange(vocabulary)}{'.' if k % 9 == 8 else ''}" for k in range(n))
+
+
+def made_documents() -> list[tuple]:
+    """Documents with copies, near copies, shared passages and lines, repeated rows, nulls, empty and long texts."""
+    rng = random.Random(7)
+    texts = ["\n".join(sentence(rng, rng.randrange(3, 40)) for _ in range(rng.randrange(1, 6))) for _ in range(30)]
+    passage = sentence(rng, 60)
+    texts += [f"{sentence(rng, 30)} {passage} {sentence(rng, 20)}" for _ in range(4)]
+    texts += [texts[0], texts[0], texts[1] + " more words"]
+    long_line = sentence(rng, 120)
+    texts += [long_line, long_line.replace("w1 ", "w2 ", 1), long_line + " tail"]
+    texts += ["", " ", "\n", "\n\n", "a", "é ü ñ ç", "日本語 のテキスト です", "tab\there  two  spaces\r\nnext\x0bline", "<|endoftext|> as text"]
+    texts += ["same same same same same same same same same same same same"] * 2
+    texts += [sentence(rng, 6000)]
+    texts += ["AAAA " * 400]
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[3]]  # repeated rows
+    rows += [(None, "a row without an id " * 12, None, None, None), (None, None, None, None, None), (900, None, "en", "s0", 0)]
+    return rows
+
+
+@pytest.fixture(scope="session")
+def rows():
+    return made_documents()
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, COLUMNS).repartition(5)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    """The documents with columns named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    names = "part slot start length doc_tokens ids sequence_id offset score predicted fingerprint component_id line keys row"
+    names += " n_lines n_removed kept_text n_words spans kept epoch mix_block mix_order words tokens line_no class"
+    return docs.select("*", *[F.lit("x").alias(n) for n in names.split()])
