@@ -7,11 +7,10 @@ hashes), to the depth of a whole string.
 
 Two shards are merged without sorting their suffixes again (after Holt and
 McMillan, 2014).  For every suffix of one shard the interleave holds how many
-suffixes of the other are smaller, and how many are not larger.  At first
-nothing is known: none, and all.  A refinement puts one block in front: the
-bounds of ``block + rest`` follow from the bounds of ``rest`` through the other
-shard's transform, so after *h* rounds suffixes are interleaved by their first
-*h* blocks.  After ``DEPTH`` rounds two bounds that differ enclose an interval
+suffixes of the other are smaller, and how many are not larger, at first by one
+block only.  A refinement puts one block in front: the bounds of ``block +
+rest`` follow from the bounds of ``rest`` through the other shard's transform,
+so round *h* interleaves suffixes by their first *h* blocks.  After ``DEPTH`` rounds two bounds that differ enclose an interval
 of suffixes with a common prefix of a whole string: a repeat.  The final bounds
 interleave the shards' orders into the merged one, which the next merge uses.
 """
@@ -35,32 +34,35 @@ SHARD_BYTES = 2 << 20
 
 
 class Shard:
-    """Suffixes (places with a whole block), sorted by their first ``DEPTH`` blocks; ``repeat`` flags whole strings met twice."""
+    """Suffixes (places with a whole block), sorted by their first ``DEPTH`` blocks; ``repeat`` flags whole strings met twice.
 
-    def __init__(self, places: np.ndarray, step: int, names: np.ndarray, repeat: np.ndarray):
-        self.places, self.step, self.names, self.repeat = places, step, names, repeat
+    ``names`` has the name of the block from each place on, ``left`` the bytes
+    from there to the end of its content.
+    """
+
+    def __init__(self, places: np.ndarray, step: int, names: np.ndarray, left: np.ndarray, repeat: np.ndarray):
+        self.places, self.step, self.names, self.left, self.repeat = places, step, names, left, repeat
         self.n = len(places)
-        # rank of the suffix one block further on, or -1 where the rest is empty
+        # rank of the suffix one block further on, or -1 where the rest has no whole block
         rank = np.full(len(names) + step, -1, np.int64)
         rank[places] = np.arange(self.n)
-        self.rest = rank[places + step]
+        self.rest = np.where(left[places] >= 2 * step, rank[places + step], -1)
 
     @staticmethod
-    def sorted(places: np.ndarray, step: int, names: np.ndarray, whole: np.ndarray) -> Shard:
+    def sorted(places: np.ndarray, step: int, names: np.ndarray, left: np.ndarray) -> Shard:
         ahead = np.append(names, np.full(step * DEPTH, -1, names.dtype))
-        keys = [ahead[places]]
-        for _ in range(DEPTH - 1):
-            at = places + step * len(keys)
-            # behind a place without a block there is none either: the content has ended
-            keys.append(np.where(keys[-1] < 0, -1, ahead[at]))
+        keys = [np.where(left[places] >= step * (k + 1), ahead[places + step * k], -1) for k in range(DEPTH)]
         order = np.lexsort(keys[::-1])
         places = places[order]
-        same = np.ones(max(0, len(places) - 1), bool)
+        whole = left[places] >= step * DEPTH
+        same = whole[1:] & whole[:-1]
         for key in keys:
             key = key[order]
             same &= key[1:] == key[:-1]
-        same &= whole[places[1:]] & whole[places[:-1]]
-        return Shard(places, step, names, np.append(same, False) | np.append(False, same))
+        repeat = np.zeros(len(places), bool)
+        repeat[1:] |= same
+        repeat[:-1] |= same
+        return Shard(places, step, names, left, repeat)
 
     def transform(self) -> np.ndarray:
         """First block and rank of the rest of every suffix as one ascending key: the inverse of stepping back a block."""
@@ -72,8 +74,9 @@ def interleave(a: Shard, b: Shard) -> tuple[np.ndarray, np.ndarray]:
     keys = b.transform()
     block = a.names[a.places].astype(np.int64) * (b.n + 2)
     empty = a.rest < 0
-    smaller, not_larger = np.zeros(a.n, np.int64), np.full(a.n, b.n, np.int64)
-    for _ in range(DEPTH):
+    # by the first block alone, all that share it are equal, whatever follows
+    smaller, not_larger = np.searchsorted(keys, block), np.searchsorted(keys, block + b.n + 1)
+    for _ in range(DEPTH - 1):
         below = np.searchsorted(keys, block + np.where(empty, 0, smaller[a.rest] + 1))
         above = np.searchsorted(keys, block + np.where(empty, 1, not_larger[a.rest] + 1))
         if np.array_equal(below, smaller) and np.array_equal(above, not_larger):
@@ -82,9 +85,9 @@ def interleave(a: Shard, b: Shard) -> tuple[np.ndarray, np.ndarray]:
     return smaller, not_larger
 
 
-def merge(a: Shard, b: Shard, whole: np.ndarray) -> Shard:
+def merge(a: Shard, b: Shard) -> Shard:
     smaller, not_larger = interleave(a, b)
-    met = whole[a.places] & (not_larger > smaller)
+    met = (a.left[a.places] >= a.step * DEPTH) & (not_larger > smaller)
     edges = np.zeros(b.n + 1, np.int64)
     np.add.at(edges, smaller[met], 1)
     np.add.at(edges, not_larger[met], -1)
@@ -95,7 +98,7 @@ def merge(a: Shard, b: Shard, whole: np.ndarray) -> Shard:
     slots[from_a] = False
     places[from_a], repeat[from_a] = a.places, a.repeat | met
     places[slots], repeat[slots] = b.places, b.repeat | (np.cumsum(edges[:-1]) > 0)
-    return Shard(places, a.step, a.names, repeat)
+    return Shard(places, a.step, a.names, a.left, repeat)
 
 
 class ByteStrings:
@@ -122,16 +125,15 @@ class ByteStrings:
         if len(symbols) >= step:
             blocks = np.flatnonzero(left >= step)
             names[blocks] = np.unique(gram_hashes(symbols, step)[blocks], return_inverse=True)[1]
-        whole = left >= self.length
         shards = []
         group = (ends - 1) // self.shard_bytes
         for k in range(int(group[-1]) + 1 if len(group) else 0):
             own = np.flatnonzero(group == k)
             if len(own):
                 places = np.arange(ends[own[0]] - sizes[own[0]], ends[own[-1]])
-                shards.append(Shard.sorted(places[names[places] >= 0], step, names, whole))
+                shards.append(Shard.sorted(places[names[places] >= 0], step, names, left))
         while len(shards) > 1:
-            shards = [merge(*shards[k : k + 2], whole) if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
+            shards = [merge(*shards[k : k + 2]) if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
         flags = np.zeros(len(symbols), bool)
         for shard in shards:
             flags[shard.places] = shard.repeat

@@ -90,8 +90,11 @@ class PieceEncoder:
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(pieces)
         rest = []
+        tokenize, ascii_space = self.tokenizer.model.tokenize, chr(_SPELLED[32])
         for k, p in enumerate(pieces):
-            if m := _WORD.fullmatch(p):
+            if p.isascii() and p.isalpha():
+                out[k] = [t.id for t in tokenize(ascii_space + p)]
+            elif m := _WORD.fullmatch(p):
                 word, mark, line, mark2 = m.groups()
                 out[k] = self._known(word) if word in self.index else self._encode_word(" ", word)
                 if mark:
@@ -108,7 +111,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         # the words of pieces that hold more than a word come first, as they will be met alone
-        words = (m[1] for p in pieces if (m := _WORD.fullmatch(p)) and m.end(1) < len(p))
+        words = (m[1] for p in pieces if not p.isalpha() and (m := _WORD.fullmatch(p)))
         listed = set(pieces)
         self._add([w for w in dict.fromkeys(words) if w not in self.index and w not in listed])
         self._add(pieces)
