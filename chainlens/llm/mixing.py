@@ -88,6 +88,8 @@ def temperature(
     low, high = 0.0, 1.0
     if fits(0.0):
         high = 0.0
+    elif not fits(1.0):
+        low = 1.0
     else:
         for _ in range(STEPS):
             middle = (low + high) / 2
@@ -108,6 +110,8 @@ def temperature(
         passes = F.pow("share", F.lit(exponent - 1)) / F.lit(least)
     else:
         passes = F.lit(budget) * F.col("weight") / F.col("tokens")
+    # bisection ends a little below a limit that is a whole number of passes
+    passes = F.when(F.abs(passes - F.rint(passes)) < 1e-6, F.rint(passes)).otherwise(passes)
     passes = F.when(F.col("tokens") > 0, passes).otherwise(F.lit(1.0))
     return Mixture(exponent, budget, entropy, sources.withColumn("passes", passes))
 

@@ -2,8 +2,8 @@
 
 A logistic model over the words of a text and the beginnings of its words.
 *Counterfactual regularisation*: every labelled text that mentions a group is
-paired with a copy in which each mention is swapped for another group, and the
-fit minimises
+paired with a copy in which each mention is swapped for another group, and with
+one that mentions none, and the fit minimises
 
     log loss + l2 |w|^2 + fairness * mean((score of text - score of copy)^2)
 
@@ -102,7 +102,7 @@ def _family(text: str) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, terms: tuple, max_labelled: int) -> DataFrame:
-    """``family, toxic, words, swapped``: one row per family; ``swapped`` is null without a mention."""
+    """``family, toxic, words, swapped, neutral``: one row per family; the copies' words are null without a mention."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     chosen = known.orderBy(*order).limit(max_labelled)
@@ -114,18 +114,21 @@ def _sample(docs: DataFrame, labels: DataFrame, terms: tuple, max_labelled: int)
             for a in range(0, len(f), 500):
                 part = f.iloc[a : a + 500]
                 words = [text_words(t) for t in part["text"]]
-                swapped = [sorted({ring.get(w, w) for w in ws}) if any(w in ring for w in ws) else None for ws in words]
+                mentions = [not ws.isdisjoint(ring) for ws in words]
+                swapped = [sorted({ring.get(w, w) for w in ws}) if m else None for ws, m in zip(words, mentions, strict=True)]
+                neutral = [sorted(ws.difference(ring)) if m else None for ws, m in zip(words, mentions, strict=True)]
                 yield pd.DataFrame(
                     {
                         "family": [_family(t) for t in part["text"]],
                         "toxic": part["toxic"].to_numpy(),
                         "words": [sorted(ws) for ws in words],
                         "swapped": swapped,
+                        "neutral": neutral,
                     }
                 )
 
     read_rows = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(
-        read, "family long, toxic int, words array<string>, swapped array<string>"
+        read, "family long, toxic int, words array<string>, swapped array<string>, neutral array<string>"
     )
     first = Window.partitionBy("family").orderBy("toxic", F.size("words"), F.xxhash64("words"))
     return staged(read_rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "toxicity-sample")
@@ -232,17 +235,16 @@ def fit_counterfactual(
 
     def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame(
-                {"toxic": f["toxic"], "row": [numbers(w) for w in f["words"]], "copy": [numbers(w) for w in f["swapped"]]}
-            )
+            columns = {"row": "words", "swapped": "swapped", "neutral": "neutral"}
+            yield pd.DataFrame({"toxic": f["toxic"]} | {k: [numbers(w) for w in f[c]] for k, c in columns.items()})
 
     # at most max_labelled rows of feature numbers
-    rows = sample.mapInPandas(reduced, "toxic int, row array<int>, copy array<int>").collect()
+    rows = sample.mapInPandas(reduced, "toxic int, row array<int>, swapped array<int>, neutral array<int>").collect()
     toxic = np.array([r["toxic"] for r in rows], np.float64)
     if not 0 < toxic.sum() < len(rows):
         share = (toxic.sum() + 1) / (len(rows) + 10)
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    pairs = [(r["row"], r["copy"]) for r in rows if r["copy"] is not None]
+    pairs = [(r["row"], r[copy]) for copy in ("swapped", "neutral") for r in rows if r[copy] is not None]
     w, b = fit_weights([r["row"] for r in rows], toxic, pairs, len(chosen), fairness=fairness)
     return ToxicityModel({f: float(x) for f, x in zip(chosen, w, strict=True) if x}, b)
 

@@ -282,14 +282,16 @@ def marked_contents(contents: DataFrame, symbols: Symbols) -> DataFrame:
 
         for table in _streamed(batches, CHUNK_BYTES, size):
             first, count, copies = (table.column(k).to_numpy() for k in (2, 3, 5))
-            flags = symbols.mark([v.as_py() for v in table.column(4)])
+            # parts of one content may meet again here
+            contents = dict(zip(table.column(1).to_pylist(), table.column(4), strict=True))
+            flags = dict(zip(contents, symbols.mark([v.as_py() for v in contents.values()]), strict=True))
             names, starts, marks = [], [], []
-            for k, name in enumerate(table.column(1)):
-                own = flags[k][first[k] : first[k] + count[k]]
+            for k, name in enumerate(table.column(1).to_pylist()):
+                own = flags[name][first[k] : first[k] + count[k]]
                 if copies[k] > 1:
                     own = np.ones(count[k], bool)
                 if own.any():
-                    names.append(name.as_py())
+                    names.append(name)
                     starts.append(first[k])
                     marks.append(np.packbits(own).tobytes())
             yield pa.RecordBatch.from_arrays(
