@@ -207,7 +207,7 @@ def _q3() -> str:
 
 def _q4() -> str:
     return (
-        "SELECT miner, CAST(SUM(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS size FROM ("
+        "SELECT miner, CAST(SUM(CAST(floor(o_totalprice) AS BIGINT)) AS DECIMAL(38,0)) AS size FROM ("
         "SELECT '0x' || lpad(lower(hex(o_custkey)), 40, '0') AS miner, o_totalprice FROM orders) "
         "GROUP BY miner ORDER BY size DESC, miner LIMIT 10"
     )

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chainlens.schema import MONTH_TEXT_FORMAT
-
 SECONDS_PER_DAY = 86400
-# First second of 0001-01-01 and last second of 9999-12-31 UTC: the range a
-# DATE renders with a four-digit year.  Values outside are unconvertible.
-MIN_EPOCH_SECONDS = -62135596800
-MAX_EPOCH_SECONDS = 253402300799
+# The seconds whose day number fits the 32 bits of a DATE (years within about
+# 5.8 million of 1970).  Text outside is unconvertible, as it is for the
+# platform's own calendar functions some way further out.
+MAX_EPOCH_SECONDS = (2**31 - 367) * SECONDS_PER_DAY
+MIN_EPOCH_SECONDS = -MAX_EPOCH_SECONDS
 
 
 def epoch_seconds(text: Column) -> Column:
@@ -37,13 +36,14 @@ def month_start(epoch: Column) -> Column:
 
 
 def month_text(month: Column) -> Column:
-    """``time.strftime('%m/%Y', ...)`` of a month DATE."""
-    return F.date_format(month, MONTH_TEXT_FORMAT)
+    """``time.strftime('%m/%Y', ...)`` of a month DATE, for years of any length."""
+    year = F.year(month).cast("string")
+    return F.concat(F.lpad(F.month(month).cast("string"), 2, "0"), F.lit("/"), F.when(F.year(month).between(0, 999), F.lpad(year, 4, "0")).otherwise(year))
 
 
 def parse_month_text(text: Column) -> Column:
     """'MM/YYYY' text back to the DATE of the first day (inventory X2/X3)."""
-    return F.to_date(text, MONTH_TEXT_FORMAT)
+    return F.make_date(F.substring_index(text, "/", -1).cast("int"), F.substring_index(text, "/", 1).cast("int"), F.lit(1))
 
 
 def month_abbrev(month: Column) -> Column:

@@ -18,7 +18,8 @@ DIGITS_RE = r"\A[0-9]+\z"
 NUMERIC_LIKE_RE = r"\A([0-9]+\.?[0-9]*|\.[0-9]+)\z"
 INTEGER_RE = r"\A[+-]?[0-9]+\z"
 
-WEI = DecimalType(38, 0)
+MAX_DIGITS = 38
+WEI = DecimalType(MAX_DIGITS, 0)
 
 
 def split_fields(line: Column | str) -> Column:
@@ -43,42 +44,44 @@ def is_integer_literal(text: Column) -> Column:
     return F.coalesce(text.rlike(INTEGER_RE), F.lit(False))
 
 
+def _head(text: Column) -> Column:
+    """The digits before the first '.', without leading zeros."""
+    return F.ltrim(F.substring_index(text, ".", 1), F.lit("0"))
+
+
 def integer_part(text: Column) -> Column:
     """DECIMAL(38,0) of the digits before the first '.' of numeric-like text.
 
     Sums of this part are exact and do not depend on how rows are
-    partitioned; ``.5`` has integer part 0.  NULL above 38 digits.
+    partitioned; ``.5`` has integer part 0.  Leading zeros do not count.  A
+    number of more than 38 digits has no exact form here: its integer part is
+    0 and :func:`fraction_part` holds the whole DOUBLE.
     """
-    head = F.substring_index(text, ".", 1)
-    return F.when(head == "", F.lit(0).cast(WEI)).otherwise(head.try_cast(WEI))
+    head = _head(text)
+    return F.when((head == "") | (F.length(head) > MAX_DIGITS), F.lit(0).cast(WEI)).otherwise(head.try_cast(WEI))
 
 
 def fraction_part(text: Column) -> Column:
-    """DOUBLE of the digits after the '.' of numeric-like text (0.0 if none)."""
+    """DOUBLE of what :func:`integer_part` leaves of numeric-like text (0.0 if nothing)."""
     tail = F.when(F.instr(text, ".") > 0, F.substring_index(text, ".", -1))
-    return F.when(F.coalesce(tail, F.lit("")) == "", F.lit(0.0)).otherwise(
+    fraction = F.when(F.coalesce(tail, F.lit("")) == "", F.lit(0.0)).otherwise(
         F.concat(F.lit("0."), tail).try_cast("double")
     )
+    return F.when(F.length(_head(text)) > MAX_DIGITS, text.try_cast("double")).otherwise(fraction)
 
 
-def fits_wei(text: Column) -> Column:
-    """For numeric-like text: its integer part fits DECIMAL(38,0).
-
-    Equivalent to ``integer_part(text).isNotNull()`` without parsing, so a
-    filter on it does not repeat the projection's decimal parse.
-    """
-    return F.length(F.substring_index(text, ".", 1)) <= 38
-
-
-def fits_exact_wei(text: Column) -> Column:
-    """``exact_wei(text).isNotNull()`` without parsing: integer text, <= 38 digits."""
-    digits = F.length(text) - F.when(F.substring(text, 1, 1).isin("+", "-"), 1).otherwise(0)
-    return is_integer_literal(text) & (digits <= 38)
+def exact_wei(text: Column) -> Column:
+    """Python ``int(s)`` for integer text, as DECIMAL(38,0); NULL otherwise or beyond 38 digits."""
+    negative = F.substring(text, 1, 1) == "-"
+    digits = F.ltrim(F.ltrim(text, F.lit("+-")), F.lit("0"))
+    value = F.when(digits == "", F.lit(0).cast(WEI)).otherwise(F.when(F.length(digits) <= MAX_DIGITS, digits.try_cast(WEI)))
+    return F.when(is_integer_literal(text), F.when(negative, -value).otherwise(value))
 
 
-def exact_wei(text: Column) -> Column:
-    """Python ``int(s)`` for integer text, as DECIMAL(38,0); NULL otherwise."""
-    return F.when(is_integer_literal(text), text.try_cast(WEI))
+def exact_or_error(value: Column, what: str) -> Column:
+    """``value`` of rows known to hold integer text; an error, never a loss, where it has no exact form."""
+    message = F.lit(f"{what} has more than {MAX_DIGITS} digits; its exact sum does not fit DECIMAL({MAX_DIGITS}, 0)")
+    return F.when(value.isNull(), F.raise_error(message).cast(WEI)).otherwise(value)
 
 
 def split_number(text: Column) -> tuple[Column, Column, Column]:
@@ -92,8 +95,7 @@ def split_number(text: Column) -> tuple[Column, Column, Column]:
     as_double = text.try_cast("double")
     int_part = F.when(numeric, integer_part(text)).otherwise(F.lit(0).cast(WEI))
     frac = F.when(numeric, fraction_part(text)).otherwise(as_double)
-    parsed = F.when(numeric, fits_wei(text)).otherwise(as_double.isNotNull())
-    return int_part, frac, F.coalesce(parsed, F.lit(False))
+    return int_part, frac, F.coalesce(numeric | as_double.isNotNull(), F.lit(False))
 
 
 def _col(c: Column | str) -> Column:

@@ -6,12 +6,14 @@ Questions that share an input are answered from one pass over it:
 
 * ``time``     Q1 + Q2 from one aggregate of the transactions;
 * ``services`` Q3;            ``miners`` Q4;
-* ``scams``    Q5 + Q6 from one (month, scam) aggregate;
-* ``gas``      Q7 + Q8 from one (address, month) pre-aggregate, checkpointed
-  to the shared checkpoint folder so both results reuse it and a lost
-  executor does not force a second scan;
+* ``scams``    Q5 + Q6 from one (month, scam) aggregate; Q6 as JSON lines;
+* ``gas``      Q7 and Q8;
 * ``overhead`` Q9 + Q10 from one profile of the blocks table;
 * ``reports``  Q11-Q18 from the result files of the other jobs;
+Each job also writes ``rejects_<job>``: the rows it read and how many failed
+each rule, counted in the same pass.  ``--on-bad fail`` stops at the first
+value that passes the rules and can't be converted.
+
 * ``stage``    parse transactions/contracts/blocks once into typed Parquet;
   the other jobs read it with ``--staged DIR`` instead of the text files.
 """
@@ -22,19 +24,17 @@ import argparse
 import sys
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.functions.calendar import month_text
+from chainlens.functions.calendar import parse_month_text
 from chainlens.operators import profile
-from chainlens.operators.aggregate import split_mean
-from chainlens.operators.join import broadcast_if_small, multiplicity
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
-from chainlens.session import build_session, ensure_checkpoint_dir, s3a_conf
-from chainlens.sinks.results import json_text, read_json_array, run_stamp, write_csv, write_json_array
+from chainlens.session import build_session, s3a_conf
+from chainlens.sinks.results import json_text, read_json_array, run_stamp, write_csv, write_json_array, write_rows_json
 from chainlens.sources.ledger import (
-    keep_valid,
+    ON_BAD_CHOICES,
     read_blocks,
     read_blocks_table,
     read_contracts,
@@ -46,60 +46,23 @@ from chainlens.sources.staging import read_staged, stage_ledger
 JOBS = ("stage", "time", "services", "miners", "scams", "gas", "overhead", "reports")
 
 
-def monthly_counts_and_averages(tx: DataFrame) -> DataFrame:
-    """Q1 and Q2 in one aggregate: (month, n, n_value, value_int, value_frac).
-
-    Q1's rows (block time digits) are a superset of Q2's (also a
-    numeric-like value), so Q2's sums are conditional aggregates.
-    """
-    valid = keep_valid(tx, F.col("ts_digits"), F.col("block_timestamp").isNotNull(), "drop", "block_timestamp")
-    q2_row = F.col("value_ok") & F.col("value_fits")
-    return valid.groupBy("month").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(q2_row, F.lit(1))).alias("n_value"),
-        F.sum(F.when(q2_row, F.col("value_int"))).alias("value_int"),
-        F.sum(F.when(q2_row, F.col("value_frac"))).alias("value_frac"),
-    )
-
-
-def gas_pre_aggregate(tx: DataFrame) -> DataFrame:
-    """Q7/Q8 rows summed per (to_address, month): the shared intermediate."""
-    rows = keep_valid(
-        tx,
-        F.col("gas_price_ok") & F.col("ts_numeric"),
-        F.col("block_timestamp").isNotNull() & F.col("gas_price_fits"),
-        "drop",
-        "block_timestamp",
-    )
-    has_gas = F.col("gas_parsed")
-    return rows.groupBy("to_address", "month").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("gas_price_int").alias("gas_price_int"),
-        F.sum("gas_price_frac").alias("gas_price_frac"),
-        F.count(F.when(has_gas, F.lit(1))).alias("n_gas"),
-        F.sum(F.when(has_gas, F.col("gas_int"))).alias("gas_int"),
-        F.sum(F.when(has_gas, F.col("gas_frac"))).alias("gas_frac"),
-    )
-
-
-def gas_results(per: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    q7 = per.groupBy("month").agg(
-        F.sum("gas_price_int").alias("gas_price_int"),
-        F.sum("gas_price_frac").alias("gas_price_frac"),
-        F.sum("n").alias("n"),
-    )
-    q7 = q7.select(month_text(F.col("month")).alias("month"), split_mean("gas_price", "n").alias("avg_gas_price"))
-    listed = contracts.where("well_formed").select("address")
-    copies = multiplicity(listed, "address")
-    side, _ = broadcast_if_small(copies, upper_bound=listed)
-    joined = per.join(side, per["to_address"] == side["address"])
-    q8 = joined.groupBy("month").agg(
-        F.sum(F.col("gas_int") * F.col("copies")).alias("gas_int"),
-        F.sum(F.col("gas_frac") * F.col("copies")).alias("gas_frac"),
-        F.sum(F.col("n_gas") * F.col("copies")).alias("n"),
-    )
-    q8 = q8.where(F.col("n") > 0).select(month_text(F.col("month")).alias("month"), split_mean("gas", "n").alias("avg_gas"))
-    return q7, q8
+def observed(df: DataFrame, *flags: str) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows, and the rows failing each flag, counted while the job reads them."""
+    counts = [F.count(F.lit(1)).alias("rows")]
+    counts += [F.count_if(~F.coalesce(F.col(f), F.lit(False))).alias(f"not_{f}") for f in flags]
+    seen = Observation()
+    return df.observe(seen, *counts), seen
+
+
+def result_path(spark: SparkSession, folder: str, name: str, run_id: str | None) -> str:
+    """The one result ``name`` in ``folder``: of ``run_id``, or of the only run there is."""
+    if run_id:
+        return f"{folder}/{name}_{run_id}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} results match {folder}/{name}_*; name one run with --results-run-id")
+    return found[0].getPath().toString()
 
 
 def _month_pair(df: DataFrame, value: str, as_text: bool = False) -> list:
@@ -140,46 +103,60 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         write_json_array(df, path, elements, order)
         written.append(path)
 
+    on_bad = args.on_bad
+
+    def put_rejects(seen: Observation) -> None:
+        path = f"{out}/rejects_{job}_{stamp}"
+        counts = seen.get
+        write_rows_json(spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)).coalesce(1), path)
+        written.append(path)
+
     if job == "stage":
         raw = {k: v for k, v in (("transactions", args.transactions), ("contracts", args.contracts),
                                  ("blocks", args.blocks)) if v}
         written.extend(stage_ledger(spark, raw, out).values())
     elif job == "time":
-        tx = inputs.tx()
-        agg = monthly_counts_and_averages(tx).persist(StorageLevel.MEMORY_AND_DISK)
-        q1 = agg.select(month_text(F.col("month")).alias("month"), "n")
+        tx, seen = observed(inputs.tx(), "ts_digits", "value_ok")
+        base = Q.monthly_base(tx, on_bad).persist(StorageLevel.MEMORY_AND_DISK)
+        q1 = Q.counts_from_base(base)
         put_json(q1, "monthly_counts", [json_text(q1, "month"), json_text(q1, "n")], [F.col("month")])
-        q2 = agg.where(F.col("n_value") > 0).select(
-            F.concat_ws(",", month_text(F.col("month")), split_mean("value", "n_value").cast("string")).alias("row"),
-            F.col("month").alias("_m"),
+        q2 = Q.averages_from_base(base).select(
+            F.concat_ws(",", F.col("month"), F.col("avg_value").cast("string")).alias("row"),
+            parse_month_text(F.col("month")).alias("_m"),
         )
         put_json(q2, "monthly_averages", [json_text(q2, "row")], [F.col("_m")])
-        agg.unpersist()
+        base.unpersist()
+        put_rejects(seen)
     elif job == "services":
-        top = Q.top_services(inputs.tx(), inputs.contracts())
+        tx, seen = observed(inputs.tx(), "block_ok", "value_wei_ok")
+        top = Q.top_services(tx, inputs.contracts(), on_bad=on_bad)
         put_json(top, "top_services", [json_text(top, "address"), json_text(top, "value")], [-F.col("value"), F.col("address")])
+        put_rejects(seen)
     elif job == "miners":
-        top = Q.top_miners(inputs.blocks())
+        blocks, seen = observed(inputs.blocks(), "well_formed", "size_ok")
+        top = Q.top_miners(blocks, on_bad=on_bad)
         put_json(top, "top_miners", [json_text(top, "miner"), json_text(top, "size")], [-F.col("size"), F.col("miner")])
+        put_rejects(seen)
     elif job == "scams":
-        base = Q.scam_month_base(inputs.tx(), read_scams(spark, args.scams))
+        tx, seen = observed(inputs.tx(), "value_ok")
+        base = Q.scam_month_base(tx, read_scams(spark, args.scams), on_bad)
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
         top = Q.top_scams_from_base(base).withColumn("_key", F.array("id", "category"))
         put_json(top, "top_scams", [json_text(top, "_key"), json_text(top, "ether")],
                  [-F.col("ether"), F.col("id"), F.col("category")])
-        by_month = Q.scam_by_month_from_base(base).withColumn("_pair", F.array("id", "category"))
-        key = F.concat(F.lit("["), json_text(by_month, "month"), F.lit(", "), json_text(by_month, "_pair"), F.lit("]"))
-        put_json(by_month, "scam_value_by_month", [key, json_text(by_month, "ether")],
-                 [F.col("month"), F.col("id"), F.col("category")])
+        # months x scams: as large as the list, so written by all tasks
+        path = f"{out}/scam_value_by_month_{stamp}"
+        write_rows_json(Q.scam_by_month_from_base(base), path)
+        written.append(path)
         base.unpersist()
+        put_rejects(seen)
     elif job == "gas":
-        ensure_checkpoint_dir(spark)
-        per = gas_pre_aggregate(inputs.tx()).checkpoint()
-        q7, q8 = gas_results(per, inputs.contracts())
-        els, shaped = _month_pair(q7, "avg_gas_price", as_text=True)
+        tx, seen = observed(inputs.tx(), "gas_price_ok", "ts_numeric", "gas_parsed")
+        els, shaped = _month_pair(Q.monthly_gas_price(tx, on_bad), "avg_gas_price", as_text=True)
         put_json(shaped, "monthly_gas_price", els, [F.col("month")])
-        els, shaped = _month_pair(q8, "avg_gas", as_text=True)
+        els, shaped = _month_pair(Q.monthly_contract_gas(inputs.tx(), inputs.contracts(), on_bad), "avg_gas", as_text=True)
         put_json(shaped, "monthly_contract_gas", els, [F.col("month")])
+        put_rejects(seen)
     elif job == "overhead":
         blocks = read_blocks_table(spark, args.blocks, infer_schema=args.infer_schema)
         share = profile.column_space_share(blocks).persist(StorageLevel.MEMORY_AND_DISK)
@@ -190,37 +167,25 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         share.unpersist()
     elif job == "reports":
         src = args.results.rstrip("/")
+
+        def rows(name: str, kind: str = "array<string>") -> DataFrame:
+            return read_json_array(spark, result_path(spark, src, name, args.results_run_id), kind)
+
+        scam_months = result_path(spark, src, "scam_value_by_month", args.results_run_id)
         tables = {
-            "count_grid": R.count_grid(R.counts_from_rows(read_json_array(spark, f"{src}/monthly_counts_*"))),
-            "average_grid": R.average_grid(
-                R.averages_from_rows(read_json_array(spark, f"{src}/monthly_averages_*", "string"))
-            ),
-            "ranked_services": R.ranked_services(
-                R.top_from_rows(read_json_array(spark, f"{src}/top_services_*"), "address", "value", "decimal(38,0)")
+            "count_grid": R.count_grid(R.counts_from_rows(rows("monthly_counts"))),
+            "average_grid": R.average_grid(R.averages_from_rows(rows("monthly_averages", "string"))),
+            "ranked_services": R.ranked_services(R.top_from_rows(rows("top_services"), "address", "value", "decimal(38,0)")),
+            "ranked_miners": R.ranked_miners(R.top_from_rows(rows("top_miners"), "miner", "size", "decimal(38,0)")),
+            "scam_table": R.scams_from_rows(rows("top_scams")),
+            "scam_pivot": R.scam_pivot(
+                spark.read.schema("month string, id string, category string, ether double").json(scam_months)
             ),
-            "ranked_miners": R.ranked_miners(
-                R.top_from_rows(read_json_array(spark, f"{src}/top_miners_*"), "miner", "size", "bigint")
-            ),
-            "scam_table": R.scams_from_rows(read_json_array(spark, f"{src}/top_scams_*")),
             "gas_price_panels": R.gas_price_panels(
-                R.month_values_from_rows(read_json_array(spark, f"{src}/monthly_gas_price_*"), "avg_gas_price"),
-                args.drop_years,
-            ),
-            "gas_panels": R.gas_panels(
-                R.month_values_from_rows(read_json_array(spark, f"{src}/monthly_contract_gas_*"), "avg_gas"),
-                args.drop_years,
+                R.month_values_from_rows(rows("monthly_gas_price"), "avg_gas_price"), args.drop_years
             ),
+            "gas_panels": R.gas_panels(R.month_values_from_rows(rows("monthly_contract_gas"), "avg_gas"), args.drop_years),
         }
-        by_month_rows = read_json_array(spark, f"{src}/scam_value_by_month_*")
-        key = F.from_json(F.get(F.col("item"), 0), "array<string>")
-        pair = F.from_json(F.get(key, 1), "array<string>")
-        tables["scam_pivot"] = R.scam_pivot(
-            by_month_rows.select(
-                F.get(key, 0).alias("month"),
-                F.get(pair, 1).alias("category"),
-                F.get(F.col("item"), 1).cast("double").alias("ether"),
-            )
-        )
         for name, df in tables.items():
             path = f"{out}/{name}_{stamp}"
             write_csv(df, path, single_file=True)
@@ -241,6 +206,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--staged", help="folder written by the 'stage' job; used instead of the text files")
     p.add_argument("--out", required=True, help="output folder (any Hadoop path)")
     p.add_argument("--run-id", help="suffix of result names (default: a time stamp)")
+    p.add_argument("--results-run-id", help="for 'reports': the run whose results are read (needed if there are several)")
+    p.add_argument("--on-bad", choices=ON_BAD_CHOICES, default="drop", help="rows whose values can't be converted")
     p.add_argument("--drop-years", type=int, nargs="*", default=list(R.REFERENCE_PANEL_DROP))
     p.add_argument("--infer-schema", action="store_true", help="infer block column types like the reference")
     p.add_argument("--s3-endpoint", help="S3-compatible endpoint for s3a:// paths")

@@ -4,41 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Largest side (in rows) that is broadcast after an explicit check.  A scam
-# list or contract list below this bound is a few hundred MB at most.
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_CONF_KEY = "chainlens.broadcast.maxRows"
+# Largest side (in bytes) that is broadcast after an explicit check.
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
+BROADCAST_CONF_KEY = "chainlens.broadcast.maxBytes"
+#: Bytes a value takes beside its text.
+VALUE_BYTES = 16
 
 
 def broadcast_bound(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get(BROADCAST_CONF_KEY, None)
-    return int(conf) if conf else DEFAULT_BROADCAST_MAX_ROWS
+    return int(conf) if conf else DEFAULT_BROADCAST_MAX_BYTES
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has no more than ``max_rows`` rows.
+def byte_size(df: DataFrame) -> int:
+    """Bytes of ``df``: text lengths plus :data:`VALUE_BYTES` a value.
 
-    ``limit(max_rows + 1)`` lets every task stop early, so the check costs
-    at most ``max_rows + 1`` rows of work however large ``df`` is.
+    One distributed aggregate; a single row reaches the driver.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, StringType)]
+    size = F.lit(VALUE_BYTES * len(df.columns)).cast("bigint")
+    for text in texts:
+        size = size + text
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int | None = None, upper_bound: DataFrame | None = None
-) -> tuple[DataFrame, bool]:
-    """Hint ``df`` for broadcast only if its row count is proven small.
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """Hint ``df`` for broadcast only if its bytes are proven few.
 
-    ``upper_bound``, when given, is a frame with at least as many rows as
-    ``df`` that is cheaper to count with an early stop - e.g. the raw rows
-    under an aggregate, which a ``limit`` cannot cut short.  Otherwise
-    ``df`` is returned unchanged and Catalyst/AQE plan a shuffle join (AQE
-    still switches to broadcast at runtime if the shuffled side turns out
-    small, and splits skewed partitions otherwise).
+    Otherwise ``df`` is returned unchanged and Catalyst/AQE plan a shuffle
+    join (AQE still switches to broadcast at runtime if the shuffled side
+    turns out small, and splits skewed partitions otherwise).
     """
-    bound = broadcast_bound(df) if max_rows is None else max_rows
-    if has_at_most(df if upper_bound is None else upper_bound, bound):
+    bound = broadcast_bound(df) if max_bytes is None else max_bytes
+    if byte_size(df) <= bound:
         return F.broadcast(df), True
     return df, False
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from chainlens.operators import profile
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
-from chainlens.sinks.results import json_array, json_text, parse_json_array
 from chainlens.sources import star
 from chainlens.sources.ledger import (
     parse_blocks,
@@ -32,9 +31,6 @@ from chainlens.sources.ledger import (
 from chainlens.sources.scam_list import parse_scams, read_scams
 from chainlens.sources.staging import read_staged
 
-# Category columns of the scam pivot over the star view: region names, with
-# the one the view labels 'Scam' recoded to 'Scamming' by the reader.
-STAR_SCAM_CATEGORIES = ("AFRICA", "ASIA", "EUROPE", "MIDDLE EAST", "Scamming")
 # The view's last calendar year is partial, like 2019 in the reference.
 STAR_PANEL_DROP = (2001,)
 
@@ -114,17 +110,6 @@ class StagedInputs(FileInputs):
         return read_staged(self.spark, self.staged["blocks"])
 
 
-def _scam_json_round_trip(top: DataFrame) -> DataFrame:
-    """Q5 written in the reference's JSON-array form, read back, flattened."""
-    keyed = top.withColumn("_key", F.array("id", "category"))
-    doc = json_array(
-        keyed,
-        [json_text(keyed, "_key"), json_text(keyed, "ether")],
-        order=[-F.col("ether"), F.col("id"), F.col("category")],
-    )
-    return R.scams_from_rows(parse_json_array(doc, "array<string>"))
-
-
 def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame]]:
     i = inputs
     q = {
@@ -142,17 +127,15 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
         "q12_avg_grid": lambda: R.average_grid(Q.monthly_average_value(i.tx)),
         "q13_ranked_services": lambda: R.ranked_services(Q.top_services(i.tx, i.contracts)),
         "q14_ranked_miners": lambda: R.ranked_miners(Q.top_miners(i.blocks)),
-        "q15_scam_table": lambda: _scam_json_round_trip(Q.top_scams(i.tx, i.scams)),
-        "q16_scam_pivot": lambda: R.scam_pivot_exact(Q.scam_month_base(i.tx, i.scams), STAR_SCAM_CATEGORIES),
+        "q15_scam_table": lambda: R.scam_table(Q.top_scams(i.tx, i.scams)),
+        "q16_scam_pivot": lambda: R.scam_pivot_exact(Q.scam_month_base(i.tx, i.scams)),
         "q17_gas_price_panels": lambda: R.gas_price_panels(Q.monthly_gas_price(i.tx), STAR_PANEL_DROP),
         "q18_gas_panels": lambda: R.gas_panels(Q.monthly_contract_gas(i.tx, i.contracts), STAR_PANEL_DROP),
         "rules_transactions": lambda: rule_counts(
             i.tx, "block_ok", "value_ok", "gas_price_ok", "ts_digits", "ts_numeric"
         ),
         "rules_contracts": lambda: rule_counts(i.contracts, "well_formed"),
-        "rules_blocks": lambda: rule_counts(
-            i.blocks.withColumn("size_ok", F.col("size").isNotNull()), "well_formed", "size_ok"
-        ),
+        "rules_blocks": lambda: rule_counts(i.blocks, "well_formed", "size_ok"),
         "scam_rows": lambda: i.scams,
     }
     return q

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import month_text
+from chainlens.functions.parse import exact_or_error
 from chainlens.operators.aggregate import split_mean, split_sum, split_total
 from chainlens.operators.join import broadcast_if_small, multiplicity
 from chainlens.operators.topk import top_k
@@ -37,24 +38,39 @@ def _text_ordered(agg: DataFrame, *cols) -> DataFrame:
     return agg.select(month_text(F.col("month")).alias("month"), *cols).orderBy("month")
 
 
+def monthly_base(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
+    """Per month DATE: Q1's count and the parts of Q2's mean, in one aggregate.
+
+    Q1's rows (block time digits) are a superset of Q2's (also a numeric-like
+    value), so Q2's sums are conditional; what a caller does not select is not
+    computed.
+    """
+    valid = keep_valid(tx, F.col("ts_digits"), F.col("block_timestamp").isNotNull(), on_bad, "block_timestamp")
+    q2_row = F.col("value_ok")
+    return valid.groupBy("month").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(q2_row, F.lit(1))).alias("n_value"),
+        F.sum(F.when(q2_row, F.col("value_int"))).alias("value_int"),
+        F.sum(F.when(q2_row, F.col("value_frac"))).alias("value_frac"),
+    )
+
+
+def counts_from_base(base: DataFrame) -> DataFrame:
+    return _monthly(base, "n")
+
+
+def averages_from_base(base: DataFrame) -> DataFrame:
+    return _monthly(base.where(F.col("n_value") > 0), split_mean("value", "n_value").alias("avg_value"))
+
+
 def monthly_transaction_count(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     """Q1: transactions per UTC month -> (month, n)."""
-    valid = keep_valid(tx, F.col("ts_digits"), F.col("block_timestamp").isNotNull(), on_bad, "block_timestamp")
-    agg = valid.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    return _monthly(agg, "n")
+    return counts_from_base(monthly_base(tx, on_bad))
 
 
 def monthly_average_value(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     """Q2: mean value per UTC month -> (month, avg_value DOUBLE)."""
-    valid = keep_valid(
-        tx,
-        F.col("value_ok") & F.col("ts_digits"),
-        F.col("block_timestamp").isNotNull() & F.col("value_fits"),
-        on_bad,
-        "value/block_timestamp",
-    )
-    agg = valid.groupBy("month").agg(*split_sum("value_int", "value_frac", "value"), F.count(F.lit(1)).alias("n"))
-    return _monthly(agg, split_mean("value", "n").alias("avg_value"))
+    return averages_from_base(monthly_base(tx.where("value_ok"), on_bad))
 
 
 def top_services(
@@ -63,63 +79,73 @@ def top_services(
     k: int = TOP_SERVICES,
     distinct_contracts: bool = False,
     on_bad: str = "drop",
+    max_broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Q3: contracts that received most value -> (address, value DECIMAL(38,0)).
 
-    Values are summed per receiving address *before* the join.  A contract
-    listed ``c`` times appears ``c`` times with the same total (the
-    reference's fan-out; ``distinct_contracts=True`` lists it once).  The
-    fan-out is applied after the ranking: sums join (address, copies) one to
-    one - both sides come out of aggregates hash-partitioned by address, so
-    the join adds no exchange and a much-repeated contract is one row - the
-    ``k`` best addresses are taken, and only they are repeated (at most ``k``
-    times each) before the final top ``k``.
+    A contract listed ``c`` times appears ``c`` times with the same total (the
+    reference's fan-out); ``distinct_contracts=True`` counts every listed
+    address once.  The list is reduced to (address, copies).  If that is
+    proven small it is broadcast, and transactions to other addresses are
+    dropped where they are read, before the sums are shuffled; otherwise
+    values are summed per receiving address and the sums join the list, both
+    sides being hash-partitioned by address already.  The fan-out is applied
+    after the ranking: the ``k`` best addresses are taken, and only they are
+    repeated (at most ``k`` times each) before the final top ``k``.  A value
+    of more than 38 digits stops the job, as its sum has no exact form.
     """
-    valid = keep_valid(tx, F.col("block_ok"), F.col("value_wei_fits"), on_bad, "value")
-    sums = valid.groupBy(F.col("to_address").alias("address")).agg(F.sum("value_wei").alias("value"))
+    valid = keep_valid(tx, F.col("block_ok"), F.col("value_wei_ok"), on_bad, "value")
+    value = F.sum(exact_or_error(F.col("value_wei"), "value")).alias("value")
     copies = multiplicity(contracts.where("well_formed").select("address"), "address")
     if distinct_contracts:
         copies = copies.select("address", F.lit(1).cast("bigint").alias("copies"))
-    best = top_k(sums.join(copies, "address"), k, "value", "address")
+    side, small = broadcast_if_small(copies, max_broadcast_bytes)
+    if small:
+        joined = valid.join(side, valid["to_address"] == side["address"])
+        sums = joined.groupBy("address", "copies").agg(value)
+    else:
+        sums = valid.groupBy(F.col("to_address").alias("address")).agg(value).join(copies, "address")
+    best = top_k(sums, k, "value", "address")
     repeats = F.array_repeat(F.lit(0), F.least(F.col("copies"), F.lit(k)).cast("int"))
     expanded = best.select("address", "value", F.explode(repeats).alias("_copy"))
     return top_k(expanded.select("address", "value"), k, "value", "address")
 
 
 def top_miners(blocks: DataFrame, k: int = TOP_MINERS, on_bad: str = "drop") -> DataFrame:
-    """Q4: miners with the largest total block size -> (miner, size BIGINT)."""
-    valid = keep_valid(blocks, F.col("well_formed"), F.col("size").isNotNull(), on_bad, "size")
-    sums = valid.groupBy("miner").agg(F.sum("size").alias("size"))
+    """Q4: miners with the largest total block size -> (miner, size DECIMAL(38,0))."""
+    valid = keep_valid(blocks, F.col("well_formed"), F.col("size_ok"), on_bad, "size")
+    sums = valid.groupBy("miner").agg(F.sum(exact_or_error(F.col("size"), "size")).alias("size"))
     return top_k(sums, k, "size", "miner")
 
 
+def _scam_sums(tx: DataFrame, scams: DataFrame, keys: list[str], on_bad: str, max_broadcast_bytes: int | None) -> DataFrame:
+    """Exact value sums of transactions to scams by ``keys`` of (month, id, category).
+
+    A list proven small is broadcast once: other transactions are dropped
+    where they are read, and one partial and final aggregate follows.
+    Otherwise transactions are summed per (address, month) first, so that a
+    hot address is one row per task, and the sums meet the list in a shuffle
+    join.  An address listed under several scams counts for each.
+    """
+    valid = keep_valid(tx, F.col("value_ok"), F.lit(True), on_bad, "value")
+    side, small = broadcast_if_small(scam_addresses(scams), max_broadcast_bytes)
+    if not small:
+        valid = valid.groupBy("to_address", "month").agg(
+            F.sum("value_int").alias("value_int"), F.sum("value_frac").alias("value_frac")
+        )
+    joined = valid.join(side, valid["to_address"] == side["address"])
+    return joined.groupBy(*keys).agg(*split_sum("value_int", "value_frac", "ether"))
+
+
 def scam_month_base(
-    tx: DataFrame, scams: DataFrame, on_bad: str = "drop", max_broadcast_rows: int | None = None
+    tx: DataFrame, scams: DataFrame, on_bad: str = "drop", max_broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Exact value sums per (month, id, category) of transactions to scams.
 
     ``month`` is NULL for rows whose block time is not an integer: Q5
-    counts them, Q6 does not.  Transactions are summed per (address, month)
-    before they meet the scam list, so an address listed under many scams
-    multiplies partial sums, never transaction rows, and a hot address is
-    one row per task.  When the scam list is proven small it is broadcast
-    twice: as a semi-join that drops other transactions where they are read
-    (so only scam-bound partial sums are shuffled), and for the final join.
-    Otherwise the partial sums of all addresses meet the list in a shuffle
-    join.  An address listed under several scams counts for each.
+    counts them, Q6 does not.
     """
-    valid = keep_valid(tx, F.col("value_ok"), F.col("value_fits"), on_bad, "value")
-    side, small = broadcast_if_small(scam_addresses(scams), max_broadcast_rows)
-    if small:
-        # A semi-join emits each transaction at most once, so the broadcast
-        # list needs no distinct (which would cost a shuffle).
-        listed = F.broadcast(side.select("address"))
-        valid = valid.join(listed, valid["to_address"] == listed["address"], "left_semi")
-    per_address = valid.groupBy("to_address", "month").agg(
-        F.sum("value_int").alias("value_int"), F.sum("value_frac").alias("value_frac")
-    )
-    joined = per_address.join(side, per_address["to_address"] == side["address"])
-    return joined.groupBy("month", "id", "category").agg(*split_sum("value_int", "value_frac", "ether"))
+    return _scam_sums(tx, scams, ["month", "id", "category"], on_bad, max_broadcast_bytes)
 
 
 def top_scams_from_base(base: DataFrame, k: int = TOP_SCAMS) -> DataFrame:
@@ -137,23 +163,24 @@ def scam_by_month_from_base(base: DataFrame) -> DataFrame:
 
 
 def top_scams(
-    tx: DataFrame, scams: DataFrame, k: int = TOP_SCAMS, on_bad: str = "drop", max_broadcast_rows: int | None = None
+    tx: DataFrame, scams: DataFrame, k: int = TOP_SCAMS, on_bad: str = "drop", max_broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Q5: most lucrative scams -> (id, category, ether DOUBLE)."""
-    return top_scams_from_base(scam_month_base(tx, scams, on_bad, max_broadcast_rows), k)
+    totals = _scam_sums(tx, scams, ["id", "category"], on_bad, max_broadcast_bytes)
+    return top_k(totals.select("id", "category", split_total("ether").alias("ether")), k, "ether", "id", "category")
 
 
 def scam_value_by_month(
-    tx: DataFrame, scams: DataFrame, on_bad: str = "drop", max_broadcast_rows: int | None = None
+    tx: DataFrame, scams: DataFrame, on_bad: str = "drop", max_broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Q6: value per month and scam -> (month, id, category, ether DOUBLE)."""
     if on_bad == "fail":
         tx = keep_valid(tx, F.col("value_ok"), F.col("block_timestamp").isNotNull(), on_bad, "block_timestamp")
-    return scam_by_month_from_base(scam_month_base(tx, scams, on_bad, max_broadcast_rows))
+    return scam_by_month_from_base(scam_month_base(tx, scams, on_bad, max_broadcast_bytes))
 
 
 def _gas_rows(tx: DataFrame, on_bad: str, need_gas: bool) -> DataFrame:
-    converted = F.col("block_timestamp").isNotNull() & F.col("gas_price_fits")
+    converted = F.col("block_timestamp").isNotNull()
     if need_gas:
         converted = converted & F.col("gas_parsed")
     return keep_valid(
@@ -170,7 +197,7 @@ def monthly_gas_price(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
 
 
 def monthly_contract_gas(
-    tx: DataFrame, contracts: DataFrame, on_bad: str = "drop", max_broadcast_rows: int | None = None
+    tx: DataFrame, contracts: DataFrame, on_bad: str = "drop", max_broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Q8: mean gas of transactions to contracts per month -> (month, avg_gas).
 
@@ -185,7 +212,7 @@ def monthly_contract_gas(
     rows = _gas_rows(tx, on_bad, need_gas=True)
     listed = contracts.where("well_formed").select("address")
     copies = multiplicity(listed, "address")
-    side, small = broadcast_if_small(copies, max_broadcast_rows, upper_bound=listed)
+    side, small = broadcast_if_small(copies, max_broadcast_bytes)
     if small:
         # Sum per (month, copies) first: the weight multiplies a handful of
         # partial sums instead of every row's DECIMAL value.

@@ -7,8 +7,8 @@ Two forms are offered:
 * the reference's single JSON array per result (``json_array`` /
   ``write_json_array`` / ``read_json_array``): one document holding every
   row, e.g. ``[["09/2018", 16056742], ...]``.  It necessarily passes
-  through one task, so it is meant for bounded results only (top-k lists,
-  one row per month); it refuses inputs above ``max_rows``.
+  through one task, so it is for results that are bounded by what they are:
+  top-k lists and one row per month.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
 
-JSON_ARRAY_MAX_ROWS = 100_000
-
-
 def run_stamp(now=None) -> str:
     """Time-stamped result suffix as in the reference (``%d-%m-%Y_%H_%M_%S``)."""
     import datetime
@@ -43,25 +40,17 @@ def json_text(df: DataFrame, name: str) -> Column:
     return F.when(c.isNull(), F.lit("null")).otherwise(quoted)
 
 
-def json_array(
-    df: DataFrame, elements: list[Column], order: list[Column], max_rows: int = JSON_ARRAY_MAX_ROWS
-) -> DataFrame:
+def json_array(df: DataFrame, elements: list[Column], order: list[Column]) -> DataFrame:
     """One row, column ``value``: ``[e1, e2, ...]`` with rows in ``order``.
 
     ``elements`` are JSON texts (see :func:`json_text`); several elements
     per row are written as a JSON array ``[a, b]``, one as the bare value.
-    At most ``max_rows + 1`` rows ever reach the single collecting task; if
-    the input has more than ``max_rows`` rows the job fails instead of
-    producing a truncated document.
     """
     item = elements[0] if len(elements) == 1 else F.concat(F.lit("["), F.concat_ws(", ", *elements), F.lit("]"))
     keyed = df.select(F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)]).alias("_k"), item.alias("_e"))
-    agg = keyed.limit(max_rows + 1).agg(
-        F.sort_array(F.collect_list(F.struct("_k", "_e"))).alias("_items"), F.count(F.lit(1)).alias("_n")
-    )
+    agg = keyed.agg(F.sort_array(F.collect_list(F.struct("_k", "_e"))).alias("_items"))
     text = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda s: s.getField("_e")), ", "), F.lit("]"))
-    too_many = F.raise_error(F.lit(f"json_array is for bounded results; input has more than {max_rows} rows"))
-    return agg.select(F.when(F.col("_n") > max_rows, too_many).otherwise(text).alias("value"))
+    return agg.select(text.alias("value"))
 
 
 def write_json_array(df: DataFrame, path: str, elements: list[Column], order: list[Column]) -> None:

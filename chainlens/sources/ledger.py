@@ -16,8 +16,6 @@ from chainlens.functions.calendar import epoch_seconds, month_start
 from chainlens.functions.parse import (
     exact_wei,
     field,
-    fits_exact_wei,
-    fits_wei,
     fraction_part,
     integer_part,
     is_digits,
@@ -69,8 +67,8 @@ def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
     ``value_ok`` / ``gas_price_ok`` (numeric-like), ``ts_digits`` /
     ``ts_numeric`` (block time digits / numeric-like).  Conversions:
     ``value_int`` + ``value_frac`` (float value, exact integer part),
-    ``value_wei`` (int value), ``gas_*``, ``gas_price_*``; the ``*_fits``
-    flags say a conversion succeeded without re-parsing in filters;
+    ``value_wei`` (int value; ``value_wei_ok`` where ``int()`` takes the
+    text), ``gas_*``, ``gas_price_*``;
     ``block_timestamp`` (``int()`` of the text, so ``-5`` converts where no
     guard stops it, as in Q6) and its UTC ``month``.
     """
@@ -89,16 +87,14 @@ def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
         (shape & is_numeric_like(value)).alias("value_ok"),
         integer_part(value).alias("value_int"),
         fraction_part(value).alias("value_frac"),
-        fits_wei(value).alias("value_fits"),
         exact_wei(value).alias("value_wei"),
-        fits_exact_wei(value).alias("value_wei_fits"),
+        F.coalesce(is_integer_literal(value), F.lit(False)).alias("value_wei_ok"),
         gas_int.alias("gas_int"),
         gas_frac.alias("gas_frac"),
         gas_parsed.alias("gas_parsed"),
         (shape & is_numeric_like(gas_price)).alias("gas_price_ok"),
         integer_part(gas_price).alias("gas_price_int"),
         fraction_part(gas_price).alias("gas_price_frac"),
-        fits_wei(gas_price).alias("gas_price_fits"),
         (shape & is_digits(ts)).alias("ts_digits"),
         (shape & is_numeric_like(ts)).alias("ts_numeric"),
         epoch_seconds(ts).alias("block_timestamp"),
@@ -117,9 +113,10 @@ def parse_contracts(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def parse_blocks(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """``miner``, ``size`` plus ``well_formed`` (19 fields, not the header)."""
+    """``miner``, ``size`` plus ``well_formed`` (19 fields, not the header) and ``size_ok`` (integer text)."""
     parts = split_lines(lines, line_col)
     f = F.col("_f")
+    size = field(f, field_index(BLOCK_FIELDS, "size"))
     return parts.select(
         F.col("_n").alias("n_fields"),
         (
@@ -127,15 +124,11 @@ def parse_blocks(lines: DataFrame, line_col: str = "value") -> DataFrame:
             & F.coalesce(field(f, field_index(BLOCK_FIELDS, "hash")) != BLOCK_HEADER_MARKER, F.lit(False))
         ).alias("well_formed"),
         field(f, field_index(BLOCK_FIELDS, "miner")).alias("miner"),
-        _exact_bigint(field(f, field_index(BLOCK_FIELDS, "size"))).alias("size"),
+        F.coalesce(is_integer_literal(size), F.lit(False)).alias("size_ok"),
+        exact_wei(size).alias("size"),
     )
 
 
-def _exact_bigint(text: Column) -> Column:
-    """``int(s)`` as BIGINT; NULL (unconvertible) beyond the BIGINT range."""
-    return F.when(is_integer_literal(text), text.try_cast("bigint"))
-
-
 def read_transactions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_transactions(read_lines(spark, path))
 

@@ -11,6 +11,10 @@ executors and the same row rules are applied as column predicates:
 * a missing ``subcategory`` becomes ``''``;
 * a row survives only if its id is all digits and no field contains ','
   (a comma would change the field count of the reference's text row).
+
+Anything else that is wrong stops the job with an error: a line that is not
+a JSON document with ``result``, an entry without one of the required keys,
+``addresses`` that are not an array.  Blank lines are passed over.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from chainlens.schema import SCAM_FIELDS, SCAM_RECODE
 
 # Every entry value is kept as its JSON text, so numbers, nulls and the
 # nested address list all survive parsing.
-SCAM_DOCUMENT_SCHEMA = "struct<result: map<string, map<string, string>>>"
+SCAM_RESULT_TYPE = "map<string, map<string, string>>"
+SCAM_DOCUMENT_SCHEMA = f"struct<result: {SCAM_RESULT_TYPE}>"
+REQUIRED_KEYS = ("id", "name", "url", "coin", "category", "addresses", "status")
 
 
 def read_scams(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
@@ -43,11 +49,27 @@ def _str(entry: Column, key: str) -> Column:
     )
 
 
+def _or_error(value: Column, message: Column, kind: str) -> Column:
+    return F.when(value.isNull(), F.raise_error(message).cast(kind)).otherwise(value)
+
+
 def parse_scams(docs: DataFrame, line_col: str = "value", keep_commas: bool = False) -> DataFrame:
     """One row per (entry, listed address): the eight fields of SCAM_FIELDS."""
-    doc = F.from_json(F.col(line_col), SCAM_DOCUMENT_SCHEMA)
-    entries = docs.select(F.explode(doc.getField("result")).alias("key", "e"))
+    text = F.col(line_col)
+    result = F.from_json(text, SCAM_DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).getField("result")
+    documents = docs.where(F.trim(text) != "").select(
+        _or_error(result, F.lit("a scam list line is not a JSON document with 'result'"), SCAM_RESULT_TYPE).alias("_result")
+    )
+    entries = documents.select(F.explode("_result").alias("key", "e"))
+    e = F.col("e")
+    for key in REQUIRED_KEYS:
+        e = F.when(F.map_contains_key(F.col("e"), key), e).otherwise(
+            F.raise_error(F.concat(F.lit(f"scam entry without '{key}': "), F.col("key"))).cast("map<string,string>")
+        )
+    entries = entries.select("key", e.alias("e"))
     e = F.col("e")
+    listed = F.from_json(F.try_element_at(e, F.lit("addresses")), "array<string>")
+    not_array = F.concat(F.lit("scam entry whose addresses are not an array: "), F.col("key"))
     category = _str(e, "category")
     rows = entries.select(
         _str(e, "id").alias("id"),
@@ -58,16 +80,13 @@ def parse_scams(docs: DataFrame, line_col: str = "value", keep_commas: bool = Fa
         F.when(F.map_contains_key(e, "subcategory"), _str(e, "subcategory"))
         .otherwise(F.lit(""))
         .alias("subcategory"),
-        F.explode(F.from_json(F.try_element_at(e, F.lit("addresses")), "array<string>")).alias("address"),
+        F.explode(_or_error(listed, not_array, "array<string>")).alias("address"),
         _str(e, "status").alias("status"),
     ).select(*SCAM_FIELDS)
-    present = [F.col(c).isNotNull() for c in SCAM_FIELDS]
     rule = is_digits(F.col("id"))
-    for c in present:
-        rule = rule & c
     if not keep_commas:
         for c in SCAM_FIELDS:
-            rule = rule & ~F.col(c).contains(",")
+            rule = rule & ~F.coalesce(F.col(c), F.lit("None")).contains(",")
     return rows.where(rule)
 
 

@@ -2,8 +2,14 @@
 
 from chainlens.streaming.incremental import (
     monthly_time_analysis,
+    read_monthly_time_analysis,
     read_transaction_stream,
     start_monthly_time_analysis,
 )
 
-__all__ = ["monthly_time_analysis", "read_transaction_stream", "start_monthly_time_analysis"]
+__all__ = [
+    "monthly_time_analysis",
+    "read_monthly_time_analysis",
+    "read_transaction_stream",
+    "start_monthly_time_analysis",
+]

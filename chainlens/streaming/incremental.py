@@ -2,10 +2,9 @@
 
 A ledger export grows by appending files.  Instead of re-reading all of
 them, the monthly counts and value sums (Q1, Q2) can be maintained by a
-Structured Streaming query over the folder: the same parser and the same
-rules, a streaming aggregate per month, and a watermark on the month so
-that months older than the allowed lateness are finalised, emitted once
-(append mode) and dropped from the state store.
+Structured Streaming query over the folder: the same parser, rules and
+aggregate as the batch questions.  There is no watermark, as historical files
+arrive in any order; the state has one row per month.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from chainlens.functions.calendar import month_text
 from chainlens.operators.aggregate import split_mean
+from chainlens.plans.queries import monthly_base
 from chainlens.sources.ledger import parse_transactions
 
 LINE_SCHEMA = StructType([StructField("value", StringType(), True)])
@@ -29,45 +29,38 @@ def read_transaction_stream(spark: SparkSession, folder: str, max_files_per_trig
     return reader.load(folder)
 
 
-def monthly_time_analysis(lines: DataFrame, lateness: str = "62 days") -> DataFrame:
+def monthly_time_analysis(lines: DataFrame) -> DataFrame:
     """Streaming (month, n, avg_value): Q1's count and Q2's mean per month.
 
-    ``lateness`` bounds how far behind the newest month a transaction may
-    arrive and still be counted; a month is emitted once the watermark has
-    passed it.  Q2's rows are a subset of Q1's, summed conditionally.
+    The state is one row per month, so no month is ever closed: rows may come
+    in any order.
     """
-    tx = parse_transactions(lines)
-    rows = tx.where(F.col("ts_digits") & F.col("block_timestamp").isNotNull())
-    q2_row = F.col("value_ok") & F.col("value_fits")
-    timed = rows.withColumn("month_start", F.col("month").cast("timestamp")).withWatermark("month_start", lateness)
-    agg = timed.groupBy("month_start").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(q2_row, F.lit(1))).alias("n_value"),
-        F.sum(F.when(q2_row, F.col("value_int"))).alias("value_int"),
-        F.sum(F.when(q2_row, F.col("value_frac"))).alias("value_frac"),
-    )
-    return agg.select(
-        month_text(F.col("month_start")).alias("month"),
-        "n",
-        F.when(F.col("n_value") > 0, split_mean("value", "n_value")).alias("avg_value"),
-    )
+    base = monthly_base(parse_transactions(lines))
+    mean = F.when(F.col("n_value") > 0, split_mean("value", "n_value"))
+    return base.select(month_text(F.col("month")).alias("month"), "n", mean.alias("avg_value"))
 
 
 def start_monthly_time_analysis(
-    spark: SparkSession,
-    source: str,
-    output: str,
-    checkpoint: str,
-    lateness: str = "62 days",
-    available_now: bool = True,
+    spark: SparkSession, source: str, output: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Append finalised months to Parquet at ``output``.
+    """Keep the whole table current, as Parquet: each batch writes ``output/batch=N``.
 
     ``checkpoint`` must be a shared, durable folder: offsets and the state
-    store live there, so a restarted driver or lost executor resumes
-    without double counting.
+    store live there, so a restarted driver or lost executor resumes without
+    double counting.  A batch that is repeated overwrites its own folder; the
+    largest number is the table (:func:`read_monthly_time_analysis`).
     """
-    stream = monthly_time_analysis(read_transaction_stream(spark, source), lateness)
-    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+
+    def put(months: DataFrame, batch: int) -> None:
+        months.coalesce(1).write.mode("overwrite").parquet(f"{output}/batch={batch}")
+
+    writer = monthly_time_analysis(read_transaction_stream(spark, source)).writeStream.outputMode("complete")
+    writer = writer.foreachBatch(put).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(output)
+    return writer.start()
+
+
+def read_monthly_time_analysis(spark: SparkSession, output: str) -> DataFrame:
+    """The table as of the last batch."""
+    batches = spark.read.parquet(output)
+    return batches.where(F.col("batch") == batches.agg(F.max("batch")).first()[0]).drop("batch")

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import json
 import random
-import time
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 from decimal import Decimal
 from fractions import Fraction
 
@@ -22,17 +22,20 @@ from chainlens.plans import queries as Q
 from chainlens.sources.ledger import read_blocks, read_contracts, read_transactions
 from chainlens.sources.scam_list import read_scams
 
+DIGITS = set("0123456789")
 HOT = "0xhot"
 ADDRESSES = [HOT] + [f"0x{i:03x}" for i in range(40)] + [""]
 
 
 def numeric_like(s: str) -> bool:
-    t = s.replace(".", "", 1)
-    return t.isdigit()
+    """Digits with at most one point among, before or behind them."""
+    whole, _, rest = s.partition(".")
+    return any(c in DIGITS for c in s) and all(c in DIGITS for c in whole + rest)
 
 
 def month_of(seconds: int) -> str:
-    return time.strftime("%m/%Y", time.gmtime(seconds))
+    moment = datetime(1970, 1, 1) + timedelta(seconds=seconds)
+    return f"{moment.month:02d}/{moment.year}"
 
 
 def gen_value(rng):
@@ -132,16 +135,14 @@ def model(tx_lines, contract_lines_, block_lines_, doc):
     joined = [(a, v) for a, v in sums.items() for _ in range(contracts.get(a, 0))]
     q3 = sorted(joined, key=lambda r: (-r[1], r[0]))[:10]
 
+    # an entry counts if its id is all digits, an address of it if none of the row's fields holds a comma
     scam_rows = []
     for entry in doc["result"].values():
-        for addr in entry["addresses"]:
-            cat = "Scamming" if entry["category"] == "Scam" else str(entry["category"])
-            sub = str(entry["subcategory"]) if "subcategory" in entry else ""
-            text = ",".join([str(entry["id"]), str(entry["name"]), str(entry["url"]), str(entry["coin"]), cat, sub,
-                             str(addr), str(entry["status"])])
-            parts = text.split(",")
-            if len(parts) == 8 and parts[0].isdigit():
-                scam_rows.append((parts[6], (parts[0], parts[4])))
+        shown = {k: "None" if v is None else str(v) for k, v in entry.items() if k != "addresses"}
+        if not shown["id"] or set(shown["id"]) - DIGITS or any("," in v for v in shown.values()):
+            continue
+        kind = {"Scam": "Scamming"}.get(shown["category"], shown["category"])
+        scam_rows += [(a, (shown["id"], kind)) for a in entry["addresses"] if "," not in a]
     q5_sum, q6_sum = defaultdict(Fraction), defaultdict(Fraction)
     for f in rows:
         if not numeric_like(f[7]):
@@ -234,11 +235,11 @@ def test_top_miners_with_hot_miner(case):
 def test_scams(case, bound):
     # bound=0 forces the pre-aggregate + shuffle join path.
     (tx, _, _, scams), want = case
-    got5 = [tuple(r) for r in Q.top_scams(tx, scams, max_broadcast_rows=bound).collect()]
+    got5 = [tuple(r) for r in Q.top_scams(tx, scams, max_broadcast_bytes=bound).collect()]
     assert [r[:2] for r in got5] == [r[:2] for r in want["q5"]]
     for g, w in zip(got5, want["q5"]):
         assert g[2] == pytest.approx(w[2], rel=1e-12)
-    by_month = Q.scam_value_by_month(tx, scams, max_broadcast_rows=bound).collect()
+    by_month = Q.scam_value_by_month(tx, scams, max_broadcast_bytes=bound).collect()
     approx_map({(m, i, c): v for m, i, c, v in by_month}, want["q6"])
 
 
@@ -248,4 +249,4 @@ def test_gas(case, bound):
     got7 = Q.monthly_gas_price(tx).collect()
     assert [m for m, _ in got7] == sorted(want["q7"])  # month-text order
     approx_map(dict(got7), want["q7"])
-    approx_map(dict(Q.monthly_contract_gas(tx, contracts, max_broadcast_rows=bound).collect()), want["q8"])
+    approx_map(dict(Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=bound).collect()), want["q8"])

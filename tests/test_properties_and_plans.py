@@ -127,19 +127,35 @@ def test_guards_read_split_array_not_line(spark, files):
 def test_shuffle_join_path_has_partial_aggregate_before_exchange(spark, files):
     tx = parse_transactions(spark.read.text(files["transactions.csv"]))
     contracts = parse_contracts(spark.read.text(files["contracts.csv"]))
-    text = plan_text(Q.monthly_contract_gas(tx, contracts, max_broadcast_rows=0))
-    assert "partial_sum" in text
-    assert "BroadcastHashJoin" not in text or "BroadcastExchange" in text
+    text = plan_text(Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=0))
+    assert "partial_sum" in text and "BroadcastHashJoin" not in text
+
+
+def test_other_receivers_are_dropped_before_the_sums(spark, files):
+    """Q3 with a small list: the join stands below the partial aggregate, whose keys hold the copies."""
+    tx = parse_transactions(spark.read.text(files["transactions.csv"]))
+    contracts = parse_contracts(spark.read.text(files["contracts.csv"]))
+    tree = plan_text(Q.top_services(tx, contracts)).split("\n\n")[0].splitlines()
+    # the tree prints parents first
+    join = next(k for k, ln in enumerate(tree) if "BroadcastHashJoin" in ln)
+    assert sum("Aggregate" in ln for ln in tree[:join]) == 2
 
 
 def test_large_side_is_not_hinted(spark):
-    from chainlens.operators.join import broadcast_if_small, has_at_most
+    from chainlens.operators.join import VALUE_BYTES, broadcast_if_small, byte_size
 
-    df = spark.range(1000)
-    assert has_at_most(df, 1000) and not has_at_most(df, 999)
-    _, small = broadcast_if_small(df, 10)
-    assert not small
-    assert F is not None
+    df = spark.range(1000).selectExpr("id", "'abcd' AS t")
+    size = byte_size(df)
+    assert size == 1000 * (2 * VALUE_BYTES + 4)
+    assert broadcast_if_small(df, size)[1] and not broadcast_if_small(df, size - 1)[1]
+    joined = spark.range(10).join(broadcast_if_small(df, size)[0], "id")
+    assert "BroadcastHashJoin" in plan_text(joined)
+
+
+#: Inputs that a plan reads, and how often: a contract or scam list once, whatever the ledger's size.
+def scans(text):
+    """File names of a formatted plan's scans, one entry per scan node."""
+    return [ln.rsplit("/", 1)[-1].rstrip("]") for ln in text.splitlines() if ln.startswith("Location:")]
 
 
 def test_every_query_scans_each_input_once(spark, files, tmp_path):
@@ -153,9 +169,8 @@ def test_every_query_scans_each_input_once(spark, files, tmp_path):
         "blocks_csv": files["blocks_table.csv"],
         "scams": files["scams.json"],
     }
+    names = {path.rsplit("/", 1)[-1] for path in paths.values()}
     for name, make in build(FileInputs(spark, paths)).items():
-        text = plan_text(make())
-        physical = text.split("\n\n")[0]
-        for key, path in paths.items():
-            scans = [ln for ln in physical.splitlines() if "Scan" in ln and path.rsplit("/", 1)[-1] in ln]
-            assert len(scans) <= 1, (name, key, len(scans))
+        found = scans(plan_text(make()))
+        assert found and set(found) <= names, (name, found)
+        assert len(found) == len(set(found)), (name, found)

@@ -109,7 +109,7 @@ def test_q7_text_order(tx):
 @pytest.mark.parametrize("bound", [None, 0])
 def test_q8_contract_gas_both_join_paths(tx, contracts, bound):
     # bound=0 forces the pre-aggregate + shuffle join path.
-    got = rows(Q.monthly_contract_gas(tx, contracts, max_broadcast_rows=bound))
+    got = rows(Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=bound))
     assert got == [("01/2016", 53333.333333333336), ("02/2016", 21000.0), ("12/2015", 21000.0)]
 
 

@@ -105,10 +105,10 @@ def main() -> None:
         "q2": lambda: Q.monthly_average_value(tx),
         "q3": lambda: Q.top_services(tx, contracts),
         "q5": lambda: Q.top_scams(tx, scams),
-        "q5_shuffle": lambda: Q.top_scams(tx, scams, max_broadcast_rows=0),
+        "q5_shuffle": lambda: Q.top_scams(tx, scams, max_broadcast_bytes=0),
         "q7": lambda: Q.monthly_gas_price(tx),
         "q8": lambda: Q.monthly_contract_gas(tx, contracts),
-        "q8_shuffle": lambda: Q.monthly_contract_gas(tx, contracts, max_broadcast_rows=0),
+        "q8_shuffle": lambda: Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=0),
     }
     for name, make in runs.items():
         spark.sparkContext.setJobGroup(name, name)
