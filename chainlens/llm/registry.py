@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainlens.llm import oracles
 from chainlens.llm.common import documents, new_folder
 
 
@@ -109,4 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries hold hashes, models or tokenizers that SQL lacks, or (op6) too many byte strings for it.
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": oracles.QUALITY_RULES,
+    "op9_suffix_trees": oracles.SUFFIX_TREES,
+    "op10_mixing": oracles.MIXING,
+}
