@@ -135,7 +135,9 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
             i.tx, "block_ok", "value_ok", "gas_price_ok", "ts_digits", "ts_numeric"
         ),
         "rules_contracts": lambda: rule_counts(i.contracts, "well_formed"),
-        "rules_blocks": lambda: rule_counts(i.blocks, "well_formed", "size_ok"),
+        "rules_blocks": lambda: rule_counts(
+            i.blocks.withColumn("size_ok", F.coalesce("size_ok", F.lit(False))), "well_formed", "size_ok"
+        ),
         "scam_rows": lambda: i.scams,
     }
     return q

@@ -57,10 +57,12 @@ def parse_scams(docs: DataFrame, line_col: str = "value", keep_commas: bool = Fa
     """One row per (entry, listed address): the eight fields of SCAM_FIELDS."""
     text = F.col(line_col)
     result = F.from_json(text, SCAM_DOCUMENT_SCHEMA, {"mode": "FAILFAST"}).getField("result")
-    documents = docs.where(F.trim(text) != "").select(
-        _or_error(result, F.lit("a scam list line is not a JSON document with 'result'"), SCAM_RESULT_TYPE).alias("_result")
+    message = F.lit("a scam list line is not a JSON document with 'result'")
+    # not a filter: the optimizer may evaluate the error before it
+    result = F.when(F.trim(text) == "", F.from_json(F.lit("{}"), SCAM_RESULT_TYPE)).otherwise(
+        _or_error(result, message, SCAM_RESULT_TYPE)
     )
-    entries = documents.select(F.explode("_result").alias("key", "e"))
+    entries = docs.select(result.alias("_result")).select(F.explode("_result").alias("key", "e"))
     e = F.col("e")
     for key in REQUIRED_KEYS:
         e = F.when(F.map_contains_key(F.col("e"), key), e).otherwise(
