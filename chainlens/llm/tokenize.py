@@ -20,7 +20,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces remembered by a worker before it starts anew (about 150 bytes each).
+#: Pieces that a worker remembers, at about 150 bytes each; beyond, those met once are forgotten.
 MEMORY_PIECES = 800_000
 #: Characters encoded at once; bounds a task's memory, not its result.
 BATCH_CHARS = 3_000_000
@@ -54,16 +54,28 @@ class PieceEncoder:
         if self.byte_level:
             self.tokenizer.model._resize_cache(0)  # pieces are remembered here
         self.marks: dict[str, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.met = np.empty(1 << 14, np.int64)
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 14, np.int64)
         self.size = np.empty(1 << 14, np.int32)
         self.edge = np.empty(1 << 14, np.int8)  # 1: begins, 2: ends with white space, or is empty
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep the pieces met most since the last time, half of the memory at most."""
+        n, least = len(self.index), 2
+        while (kept := np.flatnonzero(self.met[:n] >= least)).size > self.memory_pieces // 2:
+            least *= 2
+        names = list(self.index)
+        self.index = {names[k]: i for i, k in enumerate(kept.tolist())}
+        size = self.size[kept].astype(np.int64)
+        ends = np.cumsum(size)
+        self.used = int(size.sum())
+        self.ids[: self.used] = self.ids[np.repeat(self.start[kept] - (ends - size), size) + np.arange(self.used)]
+        m = len(kept)
+        self.start[:m], self.size[:m], self.edge[:m], self.met[:m] = ends - size, size, self.edge[kept], 0
+
     def _room(self, array: np.ndarray, need: int) -> np.ndarray:
         if need <= len(array):
             return array
@@ -122,7 +134,9 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
         total = int(sizes.sum())
         self.ids = self._room(self.ids, self.used + total)
-        self.start, self.size, self.edge = (self._room(a, n + len(pieces)) for a in (self.start, self.size, self.edge))
+        arrays = (self.start, self.size, self.edge, self.met)
+        self.start, self.size, self.edge, self.met = (self._room(a, n + len(pieces)) for a in arrays)
+        self.met[n : n + len(pieces)] = 0
         self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
         ends = self.used + np.cumsum(sizes, dtype=np.int64)
         self.start[n : n + len(pieces)] = ends - sizes
@@ -153,6 +167,7 @@ class PieceEncoder:
         if len(missing):
             self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
             at[missing] = np.fromiter((self.index[words[i]] for i in missing.tolist()), np.int64, len(missing))
+        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         ends = np.cumsum(counts)
         first = ends - counts
         edge = self.edge[at]
