@@ -133,7 +133,6 @@ def tokenized_pieces(
                 sizes = np.diff(offsets) + 1
                 # every text's ids with the separator behind them
                 flat = np.insert(ids, offsets[1:], separator).astype("<u4")
-                begins = np.cumsum(sizes) - sizes
                 pieces = -(-sizes // window)
                 doc = np.repeat(np.arange(b - a), pieces)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
@@ -161,7 +160,6 @@ def tokenized_pieces(
                     ],
                     names=["part", "slot", "doc_id", "start", "length", "doc_tokens", "ids"],
                 )
-                del begins
 
     return staged(source.mapInArrow(cut, PIECE_SCHEMA.format(id=id_type)), "pieces")
 
@@ -172,7 +170,6 @@ def placed(pieces: DataFrame, window: int = 1024) -> DataFrame:
     Columns are carried along, so callers drop ``ids`` first where they need
     the placement alone.
     """
-    spark = pieces.sparkSession
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = staged(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece_ranks")
@@ -198,7 +195,6 @@ def placed(pieces: DataFrame, window: int = 1024) -> DataFrame:
 
     joined = pieces.join(base.select("part", "length", "base"), ["part", "length"])
     schema = joined.drop("base").schema.add("sequence_id", "long").add("offset", "long")
-    assert spark is joined.sparkSession
     return joined.mapInPandas(look_up, schema)
 
 
