@@ -208,7 +208,7 @@ def run_contents(rows: DataFrame, runs: DataFrame, symbols: Symbols) -> DataFram
                 names=["content", "row", "start", "size", "key", "symbols"],
             )
 
-    joined = rows.join(if_small(runs, bytes_of=F.lit(24) + 24 * F.size("runs")), "row").select("row", "text", "runs")
+    joined = rows.join(runs, "row").select("row", "text", "runs")
     return staged(joined.mapInArrow(cut, "content binary, row long, start long, size int, key long, symbols binary"), "run-contents")
 
 
@@ -315,14 +315,13 @@ def repeated_spans(
     marks = marked_contents(contents, symbols)
     by_row = staged(
         contents.select("content", "row", "start")
-        .join(if_small(marks, bytes_of=F.lit(64) + F.length("marks")), "content")
+        .join(marks, "content")
         .groupBy("row")
         .agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), "marks")).alias("__marks")),
         "document-marks",
     ).withColumnRenamed("row", "__row")
-    size = F.lit(32) + F.aggregate("__marks", F.lit(0), lambda n, x: n + 24 + F.length(x["marks"]))
     name = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(if_small(by_row, bytes_of=size), name == F.col("__row"), "left").drop("__row")
+    return docs.join(by_row, name == F.col("__row"), "left").drop("__row")
 
 
 def covered(marks: list[dict] | None, n: int, length: int) -> np.ndarray:
