@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chainlens.llm.windows import covered, gram_hashes, mixed, repeated_spans
+from chainlens.llm.windows import gram_hashes, mixed, repeated_spans
 
 LENGTH = 200
 GRAM = 32
@@ -43,27 +43,43 @@ class Shard:
     def __init__(self, places: np.ndarray, step: int, names: np.ndarray, left: np.ndarray, repeat: np.ndarray):
         self.places, self.step, self.names, self.left, self.repeat = places, step, names, left, repeat
         self.n = len(places)
-        # rank of the suffix one block further on, or -1 where the rest has no whole block
+        # rank of the suffix one block further on, or -1 where there is none
         rank = np.full(len(names) + step, -1, np.int64)
         rank[places] = np.arange(self.n)
         self.rest = np.where(left[places] >= 2 * step, rank[places + step], -1)
 
     @staticmethod
     def sorted(places: np.ndarray, step: int, names: np.ndarray, left: np.ndarray) -> Shard:
+        held = np.zeros(len(names) + step * DEPTH, bool)
+        held[places] = True
         ahead = np.append(names, np.full(step * DEPTH, -1, names.dtype))
-        keys = [np.where(left[places] >= step * (k + 1), ahead[places + step * k], -1) for k in range(DEPTH)]
-        order = np.lexsort(keys[::-1])
+        # a suffix ends where the next block is not held
+        on, keys = np.ones(len(places), bool), []
+        for k in range(DEPTH):
+            on &= held[places + step * k] & (left[places] >= step * (k + 1))
+            keys.append(np.where(on, ahead[places + step * k], -1) + 1)
+        # two names a sort key
+        pairs = [(keys[k] << 32) | keys[k + 1] if k + 1 < DEPTH else keys[k] for k in range(0, DEPTH, 2)]
+        order = np.lexsort(pairs[::-1])
         places = places[order]
         whole = left[places] >= step * DEPTH
-        same = whole[1:] & whole[:-1]
-        for key in keys:
-            key = key[order]
-            same &= key[1:] == key[:-1]
+        same = whole[1:] & whole[:-1] & (keys[-1][order][1:] > 0)
+        for pair in pairs:
+            pair = pair[order]
+            same &= pair[1:] == pair[:-1]
         repeat = np.zeros(len(places), bool)
         repeat[1:] |= same
         repeat[:-1] |= same
         return Shard(places, step, names, left, repeat)
 
+    def whole(self) -> np.ndarray:
+        """Which suffixes begin with a whole string: ``DEPTH`` blocks, each held."""
+        on, at = np.ones(self.n, bool), np.arange(self.n)
+        for _ in range(DEPTH - 1):
+            on &= self.rest[at] >= 0
+            at = np.where(on, self.rest[at], 0)
+        return on
+
     def transform(self) -> np.ndarray:
         """First block and rank of the rest of every suffix as one ascending key: the inverse of stepping back a block."""
         return np.sort(self.names[self.places].astype(np.int64) * (self.n + 2) + self.rest + 1)
@@ -87,7 +103,7 @@ def interleave(a: Shard, b: Shard) -> tuple[np.ndarray, np.ndarray]:
 
 def merge(a: Shard, b: Shard) -> Shard:
     smaller, not_larger = interleave(a, b)
-    met = (a.left[a.places] >= a.step * DEPTH) & (not_larger > smaller)
+    met = a.whole() & (not_larger > smaller)
     edges = np.zeros(b.n + 1, np.int64)
     np.add.at(edges, smaller[met], 1)
     np.add.at(edges, not_larger[met], -1)
@@ -124,14 +140,26 @@ class ByteStrings:
         names = np.full(len(symbols), -1, np.int64)
         if len(symbols) >= step:
             blocks = np.flatnonzero(left >= step)
-            names[blocks] = np.unique(gram_hashes(symbols, step)[blocks], return_inverse=True)[1]
+            _, names[blocks], times = np.unique(gram_hashes(symbols, step)[blocks], return_inverse=True, return_counts=True)
+            # a string with a block that stands here once can't repeat: its suffixes are leaves, and left out
+            several = np.zeros(len(symbols) + self.length, bool)
+            several[blocks] = times[names[blocks]] > 1
+            possible = left >= self.length
+            for k in range(DEPTH):
+                possible &= several[step * k : step * k + len(symbols)]
+            needed = np.zeros(len(symbols) + self.length, bool)
+            for k in range(DEPTH):
+                needed[step * k : step * k + len(symbols)] |= possible
+            needed = needed[: len(symbols)]
+        else:
+            needed = np.zeros(len(symbols), bool)
         shards = []
         group = (ends - 1) // self.shard_bytes
         for k in range(int(group[-1]) + 1 if len(group) else 0):
             own = np.flatnonzero(group == k)
             if len(own):
                 places = np.arange(ends[own[0]] - sizes[own[0]], ends[own[-1]])
-                shards.append(Shard.sorted(places[names[places] >= 0], step, names, left))
+                shards.append(Shard.sorted(places[needed[places]], step, names, left))
         while len(shards) > 1:
             shards = [merge(*shards[k : k + 2]) if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
         flags = np.zeros(len(symbols), bool)
@@ -154,18 +182,17 @@ def remove_repeated_bytes(
     symbols = ByteStrings(length)
     columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
     marked = repeated_spans(docs.select(*columns), symbols, id_col, text_col)
-    at, marks_at = marked.columns.index(text_col), marked.columns.index("__marks")
+    at, spans_at = marked.columns.index(text_col), marked.columns.index("__spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, marks in zip(batch.column(at), batch.column(marks_at), strict=True):
+            for text, found in zip(batch.column(at), batch.column(spans_at).to_pylist(), strict=True):
                 body = (text.as_py() or "").encode()
-                gone = covered(marks.as_py(), len(body), length)
-                edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+                edges = [0, *(x for s in found or () for x in (s["start"], s["end"])), len(body)]
                 sizes.append(len(body))
-                spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-                kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes() if len(edges) else body)
+                spans.append(found or [])
+                kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chainlens.llm.windows import covered, mixed, repeated_spans
+from chainlens.llm.windows import mixed, repeated_spans
 
 LENGTH = 35
 GRAM = 6
@@ -123,21 +123,17 @@ def remove_repeated_words(
     symbols = WordSequences(length)
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     marked = repeated_spans(docs.select(*columns), symbols, id_col, text_col)
-    at, marks_at = marked.columns.index(text_col), marked.columns.index("__marks")
+    at, spans_at = marked.columns.index(text_col), marked.columns.index("__spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, kept = [], [], []
-            for text, marks in zip(batch.column(at), batch.column(marks_at), strict=True):
+            for text, found in zip(batch.column(at), batch.column(spans_at).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
-                found = marks.as_py()
+                edges = [0, *(x for s in found or () for x in (s["start"], s["end"])), len(words)]
                 n.append(len(words))
-                if found:
-                    gone = covered(found, len(words), length)
-                    removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    removed.append(0)
+                removed.append(sum(s["end"] - s["start"] for s in found or ()))
+                words = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],

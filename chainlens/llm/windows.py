@@ -41,6 +41,8 @@ MAX_GROUP, LEVELS = 20_000, 8
 #: Bytes of packed entries, and of contents, that a task gathers at once.
 BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
 BATCH_CHARS = 1_000_000
+#: Contents a task remembers to have sent; it only saves sending them again.
+MAX_SENT = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _PLACE_BITS = np.uint64(32)
 
@@ -189,8 +191,10 @@ def run_contents(rows: DataFrame, runs: DataFrame, symbols: Symbols) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        sent: set[bytes] = set()
         for batch, a, b, texts in _split_rows(batches):
-            sent: set[bytes] = set()
+            if len(sent) > MAX_SENT:
+                sent.clear()
             out: list[list] = [[] for _ in range(6)]
             row_names = batch.column("row")
             for k, text in enumerate(texts):
@@ -213,7 +217,7 @@ def run_contents(rows: DataFrame, runs: DataFrame, symbols: Symbols) -> DataFram
 
 
 def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
-    """``route, content, first, size, symbols, copies``: contents, or parts of their windows, by the group they go to."""
+    """``route, content, first, size, symbols``: contents, or parts of their windows, by the group they go to."""
     n_offsets = symbols.length - symbols.gram + 1
 
     def parts_at(level: int):
@@ -224,7 +228,7 @@ def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
 
             bounds = np.linspace(0, n_offsets, min(n_offsets, 1 << level) + 1).astype(np.int64)
             for batch in batches:
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(6)]
                 for r in batch.to_pylist():
                     texts = symbols.cutter(r["symbols"])
                     _, _, size, key = anchored_runs(*symbols.hashes([r["symbols"]]), symbols.length, symbols.gram)
@@ -238,19 +242,21 @@ def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
                             continue
                         common = texts(anchor - o1, anchor - (o2 - 1) + symbols.length)
                         route = xxh64_intdigest(common, o1 + 1) - (1 << 63)
-                        values = (route, r["content"], first, last - first + 1, r["symbols"], r["copies"], r["key"])
+                        values = (route, r["content"], first, last - first + 1, r["symbols"], r["key"])
                         for column, value in zip(out, values, strict=True):
                             column.append(value)
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)],
-                    names=["route", "content", "first", "size", "symbols", "copies", "key"],
+                    names=["route", "content", "first", "size", "symbols", "key"],
                 )
 
         return part
 
-    schema = "route long, content binary, first int, size int, symbols binary, copies long, key long"
-    rows = contents.select(F.col("key").alias("route"), "content", F.lit(0).alias("first"), "size", "symbols", "copies", "key")
+    schema = "route long, content binary, first int, size int, symbols binary, key long"
+    rows = contents.where("symbols is not null").select(
+        F.col("key").alias("route"), "content", F.lit(0).alias("first"), "size", "symbols", "key"
+    )
     done = None
     for level in range(1, LEVELS + 1):
         # groups over the limit; few, as each holds more than MAX_GROUP rows
@@ -266,31 +272,21 @@ def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
 
 def marked_contents(contents: DataFrame, symbols: Symbols) -> DataFrame:
     """``content, first, marks``: which windows of each distinct content repeat (packed bits from window ``first`` on)."""
-    distinct = staged(
-        contents.groupBy("content").agg(
-            F.first("key").alias("key"),
-            F.first("size").alias("size"),
-            F.first("symbols", ignorenulls=True).alias("symbols"),
-            F.count(F.lit(1)).alias("copies"),
-        ),
-        "contents",
-    )
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def size(batch):
             return np.fromiter((len(v.as_buffer()) for v in batch.column(4)), np.int64, batch.num_rows)
 
         for table in _streamed(batches, CHUNK_BYTES, size):
-            first, count, copies = (table.column(k).to_numpy() for k in (2, 3, 5))
-            # parts of one content may meet again here
+            first, count = (table.column(k).to_numpy() for k in (2, 3))
+            # a content may have been sent by several tasks, and in parts
             contents = dict(zip(table.column(1).to_pylist(), table.column(4), strict=True))
             flags = dict(zip(contents, symbols.mark([v.as_py() for v in contents.values()]), strict=True))
             names, starts, marks = [], [], []
+            done = set()
             for k, name in enumerate(table.column(1).to_pylist()):
                 own = flags[name][first[k] : first[k] + count[k]]
-                if copies[k] > 1:
-                    own = np.ones(count[k], bool)
-                if own.any():
+                if own.any() and (name, first[k]) not in done:
+                    done.add((name, first[k]))
                     names.append(name)
                     starts.append(first[k])
                     marks.append(np.packbits(own).tobytes())
@@ -299,36 +295,50 @@ def marked_contents(contents: DataFrame, symbols: Symbols) -> DataFrame:
                 names=["content", "first", "marks"],
             )
 
-    routed = _routed(distinct, symbols).drop("key")
-    n = max(shuffle_partitions(contents.sparkSession), 1)
-    return staged(
-        routed.repartition(n, "route").sortWithinPartitions("route").mapInArrow(find, "content binary, first int, marks binary"), "marks"
-    )
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [np.packbits(np.ones(n, bool)).tobytes() for n in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.zeros(batch.num_rows, np.int32)), pa.array(marks, pa.binary())],
+                names=["content", "first", "marks"],
+            )
+
+    schema = "content binary, first int, marks binary"
+    routed = _routed(contents, symbols).drop("key")
+    found = routed.repartition(shuffle_partitions(contents.sparkSession), "route").sortWithinPartitions("route").mapInArrow(find, schema)
+    # all windows of a content that stands in several places repeat
+    copied = contents.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).where("n > 1")
+    return staged(found.unionByName(copied.select("content", "size").mapInArrow(whole, schema)), "marks")
 
 
-def repeated_spans(
-    docs: DataFrame, symbols: Symbols, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``docs`` with ``__marks``: per document, ``(start, marks)`` of repeated windows, or null if it has none."""
+def repeated_spans(docs: DataFrame, symbols: Symbols, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__spans``: the symbols that repeated windows cover, as ascending ``(start, end)``, or null if there are none."""
     rows = _rows(docs, id_col, text_col)
     contents = run_contents(rows, repeated_runs(rows, symbols), symbols)
     marks = marked_contents(contents, symbols)
-    by_row = staged(
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged_spans(m, symbols.length) for m in batch.column(1).to_pylist()]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["__row", "__spans"])
+
+    by_row = (
         contents.select("content", "row", "start")
         .join(marks, "content")
         .groupBy("row")
-        .agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), "marks")).alias("__marks")),
-        "document-marks",
-    ).withColumnRenamed("row", "__row")
+        .agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), "marks")).alias("marks"))
+        .mapInArrow(joined, "__row long, __spans array<struct<start: bigint, end: bigint>>")
+    )
+    by_row = staged(by_row, "document-spans")
     name = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(by_row, name == F.col("__row"), "left").drop("__row")
+    small = if_small(by_row, bytes_of=F.lit(24) + 16 * F.size("__spans"))
+    return docs.join(small, name == F.col("__row"), "left").drop("__row")
 
 
-def covered(marks: list[dict] | None, n: int, length: int) -> np.ndarray:
-    """Which of ``n`` symbols some repeated window covers."""
-    edges = np.zeros(n + 1, np.int64)
-    for m in marks or ():
-        starts = m["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(m["marks"], np.uint8)))
-        np.add.at(edges, starts, 1)
-        np.add.at(edges, starts + length, -1)
-    return np.cumsum(edges[:n]) > 0
+def merged_spans(marks: list[dict], length: int) -> list[dict]:
+    """The union of the marked windows, as ascending spans."""
+    starts = np.sort(np.concatenate([m["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(m["marks"], np.uint8))) for m in marks]))
+    new = np.flatnonzero(np.diff(starts, prepend=-length - 1) > length)
+    ends = starts[np.append(new[1:] - 1, len(starts) - 1)] + length
+    return [{"start": a, "end": b} for a, b in zip(starts[new].tolist(), ends.tolist(), strict=True)]
