@@ -1,13 +1,14 @@
 """Every query as ``(spark, sf_dir) -> DataFrame`` over the driver's tables.
 
 The ledger inputs are derived from the star-schema Parquet tables by
-:mod:`chainlens.sources.star` and parsed by the same readers that parse
-real ledger files, so each entry runs the full production path on data
-that grows with the tables.
+:mod:`chainlens.sources.star`, written as ledger files and read by the same
+readers that read real ones, so each entry runs the full production path on
+data that grows with the tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from chainlens.operators import profile
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
+from chainlens.session import ensure_checkpoint_dir
 from chainlens.sources import star
 from chainlens.sources.ledger import (
     parse_blocks,
@@ -146,13 +148,17 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
 QUERY_NAMES = tuple(build(LedgerInputs(None, "")).keys())  # type: ignore[arg-type]
 
 
-_INPUTS: dict[tuple[str, str], LedgerInputs] = {}
+_INPUTS: dict[tuple[str, str], FileInputs] = {}
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build query ``name`` over ``sf_dir``; parsed inputs are shared by all
-    queries of one application (DataFrames are immutable plans)."""
+    """Build query ``name`` over the ledger files made from ``sf_dir``.
+
+    The files are written to the shared checkpoint folder once per application
+    and read by the readers that read real ledger files.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
-        _INPUTS[key] = LedgerInputs(spark, sf_dir)
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+        _INPUTS[key] = FileInputs(spark, star.write_ledger_files(spark, sf_dir, folder))
     return build(_INPUTS[key])[name]()
