@@ -30,7 +30,7 @@ LENGTH = 200
 GRAM = 32
 #: Blocks of a string: their number and the bytes of a shard.
 DEPTH = 5
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 3 << 18
 
 
 class Shard:

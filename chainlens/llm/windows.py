@@ -39,7 +39,7 @@ from chainlens.llm.tokenize import text_batches
 #: Distinct contents of a group that go to one task together, and levels of splitting.
 MAX_GROUP, LEVELS = 20_000, 8
 #: Bytes of packed entries, and of contents, that a task gathers at once.
-BUCKET_BYTES, CHUNK_BYTES = 32 << 20, 4 << 20
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 3 << 19
 BATCH_CHARS = 1_000_000
 #: Contents a task remembers to have sent; it only saves sending them again.
 MAX_SENT = 300_000
