@@ -7,13 +7,18 @@ the task is to find every window whose symbols also stand somewhere else.
    one with the smallest hash, the leftmost among equals.  Equal windows have
    equal anchors at equal places, and neighbouring windows mostly share one, so
    a run of windows is described by its anchor.  Runs whose anchor occurs only
-   once in the corpus can't repeat and are dropped; nothing else is.
+   once in the corpus can't repeat and are dropped; nothing else is.  A task
+   sends one run of an anchor it has met twice to the anchor's others, and deals
+   its other runs out evenly.
 2. *Grouping.*  The symbols of the remaining runs travel once per distinct
    content, to the group of their anchor: all windows that could be equal meet
    there.  A group of more than ``MAX_GROUP`` contents is split by longer
    common parts: windows with the anchor at offsets ``o1..o2`` all hold the
    symbols from ``o1`` before it to ``length - o2`` behind it, so the part of
-   them that lies in these offsets goes by the hash of these symbols.
+   them that lies in these offsets goes by the hash of these symbols.  Where a
+   group is still too large with one offset a part, the common part would be the
+   whole window: such windows are counted by their 128-bit names, in salted
+   partial counts, and nothing gathers their contents.
 3. *Finding.*  A task gathers groups up to a bounded size and runs the
    operator's own method on them (suffix trees, merged Burrows-Wheeler
    transforms), which compares whole windows.
@@ -30,7 +35,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import if_small, shuffle_partitions, staged
@@ -38,6 +43,10 @@ from chainlens.llm.tokenize import text_batches
 
 #: Distinct contents of a group that go to one task together, and levels of splitting.
 MAX_GROUP, LEVELS = 20_000, 8
+#: Parts of a window that is counted.
+SALTS = 64
+#: Bytes of packed entries that a task looks for repeated anchors in before it sends them.
+SENT_BYTES = 8 << 20
 #: Bytes of packed entries, and of contents, that a task gathers at once.
 BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 3 << 19
 BATCH_CHARS = 1_000_000
@@ -45,6 +54,8 @@ BATCH_CHARS = 1_000_000
 MAX_SENT = 300_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _PLACE_BITS = np.uint64(32)
+#: Flags an entry whose anchor is known to occur twice or more; starts stay below 2 ** 47.
+_SEVERAL = np.uint64(1 << 63)
 
 
 class Symbols(Protocol):
@@ -143,22 +154,50 @@ def _streamed(batches: Iterator[pa.RecordBatch], limit: int, size: Callable[[pa.
         yield pa.Table.from_batches(held)
 
 
+def combined(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries ``key, row, place`` as those to go by key, at most one a key, and those that needn't.
+
+    A key with two entries or more is repeated: all its entries are flagged, and
+    only the first has to meet the key's entries of other tasks.  Equal entries
+    are runs of equal rows; one of them is enough.
+    """
+    entries = entries[np.lexsort((entries[:, 2], entries[:, 1], entries[:, 0]))]
+    key = entries[:, 0]
+    first = np.append(True, key[1:] != key[:-1])[: len(entries)]
+    several = ~first | np.append(~first[1:], False)[: len(entries)]
+    equal = np.append(False, (entries[1:] == entries[:-1]).all(axis=1))[: len(entries)]
+    entries[several, 2] |= _SEVERAL
+    return entries[first], entries[~first & ~equal]
+
+
 def repeated_runs(rows: DataFrame, symbols: Symbols) -> DataFrame:
     """``row, runs``: the runs of each document whose anchor occurs twice or more in the corpus, staged."""
     spark = rows.sparkSession
     buckets = shuffle_partitions(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, texts in _split_rows(batches):
-            text, start, size, key = anchored_runs(*symbols.hashes(texts), symbols.length, symbols.gram)
-            row = batch.column("row").to_numpy()[a:b][text].view(np.uint64)
-            entries = np.column_stack([key, row, (start.astype(np.uint64) << np.uint64(16)) | size.astype(np.uint64)])
-            bucket = (key % np.uint64(buckets * 16)).astype(np.int64)
+        def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+            by_key, others = combined(np.concatenate(held))
+            bucket = by_key[:, 0] % np.uint64(buckets * 16)
+            spread = mixed(others[:, 1] + others[:, 2] * _ODD[0]) % np.uint64(buckets * 16) + np.uint64(buckets * 16)
+            bucket, entries = np.append(bucket, spread).astype(np.int64), np.concatenate([by_key, others])
             order = np.argsort(bucket, kind="stable")
             bucket, entries = bucket[order], entries[order]
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             blobs = [part.tobytes() for part in np.split(entries, first[1:])] if len(first) else []
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+        held, total = [], 0
+        for batch, a, b, texts in _split_rows(batches):
+            text, start, size, key = anchored_runs(*symbols.hashes(texts), symbols.length, symbols.gram)
+            row = batch.column("row").to_numpy()[a:b][text].view(np.uint64)
+            held.append(np.column_stack([key, row, (start.astype(np.uint64) << np.uint64(16)) | size.astype(np.uint64)]))
+            total += held[-1].nbytes
+            if total >= SENT_BYTES:
+                yield sent(held)
+                held, total = [], 0
+        if held:
+            yield sent(held)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def size(batch):
@@ -169,7 +208,8 @@ def repeated_runs(rows: DataFrame, symbols: Symbols) -> DataFrame:
             entries = entries[np.argsort(entries[:, 0], kind="stable")]
             key = entries[:, 0]
             same = key[1:] == key[:-1]
-            keep = entries[np.append(same, False) | np.append(False, same)]
+            keep = entries[np.append(same, False) | np.append(False, same) | (entries[:, 2] >= _SEVERAL)]
+            keep[:, 2] &= ~_SEVERAL
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keep[:, 1].view(np.int64)), pa.array((keep[:, 2] >> np.uint64(16)).astype(np.int64))]
                 + [pa.array((keep[:, 2] & np.uint64(0xFFFF)).astype(np.int32)), pa.array(np.ascontiguousarray(keep[:, 0]).view(np.int64))],
@@ -216,8 +256,11 @@ def run_contents(rows: DataFrame, runs: DataFrame, symbols: Symbols) -> DataFram
     return staged(joined.mapInArrow(cut, "content binary, row long, start long, size int, key long, symbols binary"), "run-contents")
 
 
-def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
-    """``route, content, first, size, symbols``: contents, or parts of their windows, by the group they go to."""
+def _routed(contents: DataFrame, symbols: Symbols) -> tuple[DataFrame, DataFrame | None]:
+    """``route, content, first, size, symbols, key``: contents, or parts of their windows, by the group they go to.
+
+    Also those whose groups stay too large for a task however they are split, if there are any.
+    """
     n_offsets = symbols.length - symbols.gram + 1
 
     def parts_at(level: int):
@@ -257,8 +300,10 @@ def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
     rows = contents.where("symbols is not null").select(
         F.col("key").alias("route"), "content", F.lit(0).alias("first"), "size", "symbols", "key"
     )
+    # one offset a part would leave the whole window as the common part
+    levels = min(LEVELS, (n_offsets - 1).bit_length() - 1)
     done = None
-    for level in range(1, LEVELS + 1):
+    for level in range(1, max(0, levels) + 2):
         # groups over the limit; few, as each holds more than MAX_GROUP rows
         large = staged(rows.groupBy("route").count().where(F.col("count") > MAX_GROUP).select("route"), "large-groups")
         hinted = if_small(large, row_bytes=16)
@@ -266,8 +311,57 @@ def _routed(contents: DataFrame, symbols: Symbols) -> DataFrame:
             break
         fitting = rows.join(hinted, "route", "left_anti")
         done = fitting if done is None else done.unionByName(fitting)
-        rows = staged(rows.join(hinted, "route", "left_semi").mapInArrow(parts_at(level), schema), "split-groups")
-    return rows if done is None else done.unionByName(rows)
+        rows = rows.join(hinted, "route", "left_semi")
+        if level > levels:
+            return done, rows
+        rows = staged(rows.mapInArrow(parts_at(level), schema), "split-groups")
+    return rows if done is None else done.unionByName(rows), None
+
+
+def counted_windows(rows: DataFrame, symbols: Symbols) -> DataFrame:
+    """``content, first, marks`` of the windows of ``rows`` that stand in two contents or more, by a count per window."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                piece = symbols.cutter(r["symbols"])
+                places = range(r["first"], r["first"] + r["size"])
+                low, high = np.frombuffer(r["content"], np.int64).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([xxh3_128_digest(piece(k, k + symbols.length)) for k in places], pa.binary()),
+                        pa.array([low] * len(places), pa.int64()),
+                        pa.array([high] * len(places), pa.int64()),
+                        pa.array([r["content"]] * len(places), pa.binary()),
+                        pa.array(places, pa.int32()),
+                    ],
+                    names=["window", "low", "high", "content", "first"],
+                )
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, marks = [], []
+            for places in batch.column(1).to_pylist():
+                firsts.append(min(places))
+                own = np.zeros(max(places) - firsts[-1] + 1, bool)
+                own[np.array(places) - firsts[-1]] = True
+                marks.append(np.packbits(own).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(firsts, pa.int32()), pa.array(marks, pa.binary())], names=["content", "first", "marks"]
+            )
+
+    cuts = rows.mapInArrow(cut, "window binary, low long, high long, content binary, first int")
+    places = staged(cuts.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(SALTS))), "counted-windows")
+    ends = [F.min("low").alias("a"), F.max("low").alias("b"), F.min("high").alias("c"), F.max("high").alias("d")]
+    parts = places.groupBy("window", "salt").agg(*ends)
+    over = Window.partitionBy("window")
+    # contents differ in one of their halves
+    met = (F.min("a").over(over) < F.max("b").over(over)) | (F.min("c").over(over) < F.max("d").over(over))
+    repeated = parts.select("window", "salt", met.alias("met")).where("met").drop("met")
+    found = places.join(repeated, ["window", "salt"], "left_semi")
+    return found.groupBy("content").agg(F.collect_set("first").alias("places")).mapInArrow(packed, "content binary, first int, marks binary")
 
 
 def marked_contents(contents: DataFrame, symbols: Symbols) -> DataFrame:
@@ -304,8 +398,10 @@ def marked_contents(contents: DataFrame, symbols: Symbols) -> DataFrame:
             )
 
     schema = "content binary, first int, marks binary"
-    routed = _routed(contents, symbols).drop("key")
-    found = routed.repartition(shuffle_partitions(contents.sparkSession), "route").sortWithinPartitions("route").mapInArrow(find, schema)
+    routed, large = _routed(contents, symbols)
+    found = routed.drop("key").repartition(shuffle_partitions(contents.sparkSession), "route").sortWithinPartitions("route").mapInArrow(find, schema)
+    if large is not None:
+        found = found.unionByName(counted_windows(large, symbols))
     # all windows of a content that stands in several places repeat
     copied = contents.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).where("n > 1")
     return staged(found.unionByName(copied.select("content", "size").mapInArrow(whole, schema)), "marks")

@@ -163,3 +163,30 @@ def test_equal_windows_have_equal_anchors(texts, length, gram):
     assert seen == Counter((k, s) for k, t in enumerate(texts) for s in range(len(t) - length + 1))
 
 
+@pytest.mark.parametrize("symbols", [ByteStrings(50), WordSequences(10)])
+def test_a_passage_of_many_documents_is_in_no_large_group(monkeypatch, spark, symbols):
+    monkeypatch.setattr(windows, "MAX_GROUP", 20)
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, f"{rng.random()} {rng.random()} {passage} {rng.random()} {rng.random()}") for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = windows._rows(df, "doc_id", "text")
+    contents = windows.run_contents(texts, windows.repeated_runs(texts, symbols), symbols)
+    routed, large = windows._routed(contents, symbols)
+    assert max(r["count"] for r in routed.groupBy("route").count().collect()) <= 20
+    marks = windows.counted_windows(large, symbols).collect()
+    assert len({bytes(r.content) for r in marks}) > 20
+    found = bytes_found(df, 50) if isinstance(symbols, ByteStrings) else words_found(df, 10)
+    assert found == (bytes_expected(rows, 50) if isinstance(symbols, ByteStrings) else words_expected(rows, 10))
+
+
+def test_one_entry_of_a_repeated_anchor_travels_by_key():
+    rng = random.Random(1)
+    entries = [(7, rng.randrange(2**64), k << 16 | 5) for k in range(1000)] + [(8, 1, 2 << 16 | 3), (9, 4, 1), (9, 4, 1)]
+    rng.shuffle(entries)
+    by_key, others = windows.combined(np.array(entries, np.uint64))
+    assert by_key[:, 0].tolist() == [7, 8, 9] and (by_key[:, 2] >> np.uint64(63)).tolist() == [1, 0, 1]
+    assert (others[:, 2] >> np.uint64(63)).all()
+    back = {(k, row, place & (2**63 - 1)) for part in (by_key, others) for k, row, place in part.tolist()}
+    assert back == set(entries) and len(by_key) + len(others) == 1002
+    assert [len(part) for part in windows.combined(np.empty((0, 3), np.uint64))] == [0, 0]
