@@ -7,8 +7,12 @@
    16 bytes an entry.  Equal buckets of several bands are verified once.
 3. The texts of bucketed lines are fetched, and the exact Jaccard similarity of
    their shingle sets decides (``similarity`` or more links).  In a bucket,
-   lines already in one class aren't compared again; a bucket beyond ``CELL``
-   lines is split into pairs of parts, each a task's work, so no link is lost.
+   lines already in one class aren't compared again.  The lines of a key with
+   more than ``CELL`` are dealt out evenly and compared with ``LEADERS`` of them,
+   round by round: by the triangle inequality of the Jaccard distance a line is
+   done once all that may link to it are in the class of a leader it is in.  What
+   is above ``CELL`` lines after ``ROUNDS`` is split into pairs of parts, each a
+   task's work, so no link is lost.
 4. Links are joined by :func:`connected_components`; of every class of lines
    the first occurrence, by document id and line number, stays.
 
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import if_small, shuffle_partitions, staged
@@ -35,6 +39,10 @@ SLOTS, BANDS = 32, 8
 SIMILARITY = 0.8
 #: Lines of a bucket that one task compares.
 CELL = 2048
+#: Lines that all lines of a larger bucket are compared with in a round, and rounds.
+LEADERS, ROUNDS = 8, 4
+#: Bytes of packed entries that a task sends at once, and lines of one key among them that are dealt out.
+SENT_BYTES, DEALT = 8 << 20, 256
 #: Bytes of packed entries that a task collects.
 BUCKET_BYTES = 32 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -111,73 +119,116 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(source.mapInArrow(read, f"line long, doc_id {id_type}, text_hash long, line_no int, keys binary"), "lines")
 
 
-def _grouped(keys: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(cell, part, lines)`` of every key with two or more lines; equal sets of lines have the same cell."""
+def _distinct(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries ``key, line`` sorted and without copies, and the first and last place of each key."""
+    entries = entries[np.lexsort((entries[:, 1].view(np.int64), entries[:, 0]))]
+    entries = entries[np.append(True, (entries[1:] != entries[:-1]).any(axis=1))[: len(entries)]]
+    first = np.flatnonzero(np.append(True, entries[1:, 0] != entries[:-1, 0])[: len(entries)])
+    return entries, first, np.append(first[1:], len(entries))[: len(first)]
+
+
+def _dealt(entries: np.ndarray, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``entries, bucket, large``: keys with more than ``most`` lines are large; these lie in buckets of their
+    own, by line, and one entry of each tells the bucket of the key."""
+    entries, first, ends = _distinct(entries)
+    large = np.repeat(ends - first > most, ends - first)
+    told = entries[first[ends - first > most]]
+    by_key = (entries[:, 0] % np.uint64(buckets)).astype(np.int64)
+    by_line = (_mixed(entries[:, 1] + entries[:, 0]) % np.uint64(buckets)).astype(np.int64) + buckets
+    bucket = np.append(np.where(large, by_line, by_key), (told[:, 0] % np.uint64(buckets)).astype(np.int64))
+    return np.concatenate([entries, told]), bucket, np.append(large, np.ones(len(told), bool))
+
+
+def _grouped(entries: np.ndarray, first: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``(cell, lines)`` of every key with two or more lines; equal sets of lines have the same cell."""
     from xxhash import xxh64_intdigest
 
-    order = np.lexsort((lines, keys))
-    keys, lines = keys[order], lines[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (lines[1:] != lines[:-1])
-    keys, lines = keys[new], lines[new]
-    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - np.uint64(1)))
-    ends = np.append(first[1:], len(keys))
+    lines = entries[:, 1].view(np.int64)
     for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
-        members = lines[a:b]
-        cell = xxh64_intdigest(members.tobytes()) - (1 << 63)
-        parts = np.array_split(members, -(-len(members) // CELL))
-        if len(parts) == 1:
-            yield cell, 0, members
-        for i in range(len(parts)):
-            for j in range(i + 1, len(parts)):
-                yield cell, i * len(parts) + j, np.concatenate([parts[i], parts[j]])
+        members = np.ascontiguousarray(lines[a:b])
+        yield xxh64_intdigest(members.tobytes()) - (1 << 63), members
 
 
 def candidate_cells(lines: DataFrame) -> DataFrame:
-    """``cell, part, line``: lines to be compared with each other, staged."""
+    """``cell, part, line``: lines to be compared with each other, staged; cells of part -1 are keys that may have more than ``CELL``."""
     spark = lines.sparkSession
     buckets = max(shuffle_partitions(spark), -(-lines.count() * BANDS * 16 // BUCKET_BYTES))
+    most, dealt, limit = CELL, min(DEALT, CELL), BUCKET_BYTES
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+            entries, bucket, large = _dealt(np.concatenate(held), buckets, dealt)
+            order = np.lexsort((large, bucket))
+            entries, bucket, large = entries[order], bucket[order], large[order]
+            first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (large[1:] != large[:-1])))
+            blobs = [part.tobytes() for part in np.split(entries, first[1:])]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[first]), pa.array(large[first]), pa.array(blobs, pa.binary())], names=["bucket", "large", "blob"]
+            )
+
+        held, total = [], 0
         for batch in batches:
             ids, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            if not len(ids):
+                continue
             keys = np.frombuffer(b"".join(v.as_py() for v in batch.column(1).take(pa.array(at))), np.uint64)
-            entries = np.column_stack([keys, np.repeat(ids.view(np.uint64), BANDS)])
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, entries = bucket[order], entries[order]
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            blobs = [part.tobytes() for part in np.split(entries, first[1:])] if len(first) else []
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            held.append(np.column_stack([keys, np.repeat(ids.view(np.uint64), BANDS)]))
+            total += held[-1].nbytes
+            if total >= SENT_BYTES:
+                yield sent(held)
+                held, total = [], 0
+        if held:
+            yield sent(held)
 
     def collided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells(blobs: list[bytes]) -> pa.RecordBatch:
-            entries = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-            found = list(_grouped(entries[:, 0], entries[:, 1].view(np.int64)))
-            sizes = [len(m) for _, _, m in found]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array([c for c, _, _ in found], np.int64), sizes)),
-                    pa.array(np.repeat(np.array([p for _, p, _ in found], np.int64), sizes)),
-                    pa.array(np.concatenate([m for _, _, m in found]) if found else np.empty(0, np.int64)),
-                ],
-                names=["cell", "part", "line"],
-            )
-
-        current, held = None, []
+        def rows(cell: np.ndarray, part: int, line: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(cell.astype(np.int64)), pa.array(np.full(len(cell), part)), pa.array(line.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["cell", "part", "line"])
+
+        def apart(held: list[np.ndarray], known: set[int]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+            """The lines of large keys, and the entries of the others with the places of their keys."""
+            entries, first, ends = _distinct(np.concatenate(held))
+            large = ends - first > most
+            known.update(entries[first[large], 0].tolist())
+            if known:
+                large |= np.isin(entries[first, 0], np.fromiter(known, np.uint64, len(known)))
+            own = np.repeat(large, ends - first)
+            out = rows(entries[own, 0].view(np.int64), -1, entries[own, 1].view(np.int64))
+            return out, *_distinct(entries[~own])
+
+        def cells(held: list[np.ndarray], known: set[int]) -> Iterator[pa.RecordBatch]:
+            out, entries, first, ends = apart(held, known)
+            yield out
+            found = list(_grouped(entries, first, ends))
+            if found:
+                sizes = [len(m) for _, m in found]
+                yield rows(np.repeat(np.array([c for c, _ in found], np.int64), sizes), 0, np.concatenate([m for _, m in found]))
+
+        current, held, known, total, bound = None, [], set(), 0, limit
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != current and held:
-                    yield cells(held)
-                    held = []
-                current = bucket
-                held.append(blob.as_py())
+            for bucket, large, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                entries = np.frombuffer(blob.as_py(), np.uint64).reshape(-1, 2)
+                if bucket != current:
+                    if held:
+                        yield from cells(held, known)
+                    current, held, known, total, bound = bucket, [], set(), 0, limit
+                if large:
+                    known.update(entries[:, 0].tolist() if bucket < buckets else ())
+                    yield rows(entries[:, 0].view(np.int64), -1, entries[:, 1].view(np.int64))
+                    continue
+                held.append(entries)
+                total += entries.nbytes
+                if total > bound:
+                    out, entries, _, _ = apart(held, known)
+                    yield out
+                    held, total = [entries], entries.nbytes
+                    bound = max(limit, 2 * total)
         if held:
-            yield cells(held)
+            yield from cells(held, known)
 
     return staged(
         lines.select("line", "keys")
-        .mapInArrow(packed, "bucket long, blob binary")
+        .mapInArrow(packed, "bucket long, large boolean, blob binary")
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(collided, "cell long, part long, line long")
@@ -186,9 +237,97 @@ def candidate_cells(lines: DataFrame) -> DataFrame:
     )
 
 
+def _shingles(text: str) -> set[str]:
+    return {text[k : k + SHINGLE] for k in range(max(1, len(text) - SHINGLE + 1))}
+
+
+def _jaccard(a: set[str], b: set[str]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+def _led(members: DataFrame, similarity: float) -> DataFrame:
+    """``cell, line, near, away, joined`` of ``members(cell, line, text, leaders)``: the leaders linked to the line,
+    its distance from each, and whether it is in the class of each."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, leaders, classes = None, [], []
+        for batch in batches:
+            near, away, joined = [], [], []
+            for k, (own_cell, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if own_cell != cell:
+                    cell, named = own_cell, [(x["line"], x["text"]) for x in batch.column(3)[k].as_py()]
+                    leaders = [(line, _shingles(t)) for line, t in named]
+                    classes = linked_in_cell([t for _, t in named], similarity)
+                own = _shingles(text)
+                alike = [_jaccard(own, s) for _, s in leaders]
+                linked = {c for c, x in zip(classes, alike, strict=True) if x >= similarity}
+                near.append([line for (line, _), x in zip(leaders, alike, strict=True) if x >= similarity])
+                away.append([1 - x for x in alike])
+                joined.append([c in linked for c in classes])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.int64())), pa.array(away, pa.list_(pa.float64()))]
+                + [pa.array(joined, pa.list_(pa.bool_()))],
+                names=["cell", "line", "near", "away", "joined"],
+            )
+
+    schema = "cell long, line long, near array<long>, away array<double>, joined array<boolean>"
+    return members.select("cell", "line", "text", "leaders").mapInArrow(compare, schema)
+
+
+def led_links(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links ``a, b`` found from leaders in cells ``large(cell, line)``, and ``cell, part, line`` of what is left to compare.
+
+    A line is done when it was a leader, or when it is in a leader's class and,
+    by its distance from the leader, no line outside that class can link to it.
+    """
+    links = cells = None
+
+    def added(a: DataFrame | None, b: DataFrame) -> DataFrame:
+        return b if a is None else a.unionByName(b)
+
+    for n in range(ROUNDS + 1):
+        digest = F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("digest")
+        sizes = large.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), digest).where("n > 1")
+        # the same lines may share several keys
+        sizes = staged(sizes.groupBy("n", "digest").agg(F.min("cell").alias("cell")).select("cell", "n"), "line-cell-sizes")
+        if sizes.isEmpty():
+            break
+        sized = staged(large.join(if_small(sizes, row_bytes=24), "cell"), "line-cell-members")
+        cells = added(cells, sized.where(F.col("n") <= CELL).select("cell", F.lit(0).cast("long").alias("part"), "line"))
+        sized = sized.where(F.col("n") > CELL)
+        if sized.isEmpty():
+            break
+        if n == ROUNDS:
+            parts = F.ceil(F.col("n") / CELL)
+            own, other = F.pmod(F.xxhash64("line", F.lit("part")), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+            pairs = sized.select("cell", "line", parts.alias("parts"), own.alias("own"), other.alias("other")).where("own <> other")
+            cells = added(cells, pairs.select("cell", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"), "line"))
+            break
+        drawn = sized.withColumn("order", F.xxhash64("line", F.lit(n))).where(F.pmod("order", "n") < 4 * LEADERS)
+        first = drawn.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("order", "line"))).where(F.col("at") <= LEADERS)
+        leaders = staged(
+            first.select("cell", "line").join(texts, "line").groupBy("cell").agg(F.collect_list(F.struct("line", "text")).alias("leaders")),
+            "line-leaders",
+        )
+        leader_bytes = F.lit(40) + F.aggregate("leaders", F.lit(0), lambda sum, x: sum + F.length(x["text"]) * 4 + 40)
+        members = sized.select("cell", "line").join(texts, "line").join(if_small(leaders, bytes_of=leader_bytes), "cell", "left")
+        led = staged(_led(members.withColumn("leaders", F.coalesce("leaders", F.array())), similarity), "line-led")
+        links = added(links, led.select(F.col("line").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+        outside = [F.min(F.when(~F.get("joined", F.lit(k)), F.get("away", F.lit(k)))) for k in range(LEADERS)]
+        nearest = staged(led.groupBy("cell").agg(F.array(*outside).alias("outside")), "line-outside")
+        done = F.array_contains("near", F.col("line"))
+        for k in range(LEADERS):
+            at = F.lit(k)
+            clear = F.get("outside", at).isNull() | (F.get("away", at) + (1 - similarity) + 1e-9 < F.get("outside", at))
+            done |= F.coalesce(F.get("joined", at) & clear, F.lit(False))
+        large = staged(led.join(if_small(nearest, row_bytes=16 + 8 * LEADERS), "cell").where(~done).select("cell", "line"), "line-unled")
+    return links, cells
+
+
 def linked_in_cell(texts: list[str], similarity: float = SIMILARITY) -> list[int]:
     """The place of each distinct text's class among the texts, by exact Jaccard similarity of shingle sets."""
-    sets = [{t[k : k + SHINGLE] for k in range(max(1, len(t) - SHINGLE + 1))} for t in texts]
+    sets = [_shingles(t) for t in texts]
     order = sorted(range(len(texts)), key=lambda k: len(sets[k]))
     parent = list(range(len(texts)))
 
@@ -260,7 +399,14 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
         .groupBy("line")
         .agg(F.first("text").alias("text"))
     )
-    classes = staged(connected_components(verified_links(cells, texts, similarity)), "line-classes")
+    large = cells.where("part = -1").select("cell", "line")
+    cells, links = cells.where("part <> -1"), None
+    if not large.isEmpty():
+        texts = staged(texts, "line-texts")
+        links, rest = led_links(large, texts, similarity)
+        cells = cells if rest is None else cells.unionByName(rest)
+    verified = verified_links(cells, texts, similarity)
+    classes = staged(connected_components(verified if links is None else verified.unionByName(links)), "line-classes")
     occurrences = (
         lines.select("line", "doc_id", "text_hash", "line_no")
         .join(if_small(classes.select(F.col("node").alias("line"), "component"), row_bytes=24), "line", "left")

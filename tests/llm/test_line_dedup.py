@@ -122,3 +122,24 @@ def test_cell_links_are_exact():
                 if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
                     want[a] = want[b] = min(want[a], want[b])
     assert roots == want
+
+
+def test_lines_of_a_common_key_are_not_paired(monkeypatch, spark):
+    monkeypatch.setattr(line_dedup, "CELL", 16)
+    rng = random.Random(6)
+    base = " ".join(f"word{rng.randrange(10**6)}" for _ in range(30))
+    # lines about a template, and a chain that leads away from it
+    lines = [f"{base} on day {rng.randrange(10**7):07}" for _ in range(300)]
+    chain = base
+    for k in range(60):
+        at = rng.randrange(len(chain) - 8)
+        chain = chain[:at] + "".join(rng.choice("XYZUVW") for _ in range(3)) + chain[at + 3 :]
+        lines.append(chain)
+    rows = [(k, f"{x}\nline {rng.random()} of its own", "en", "s", 0) for k, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    cells = line_dedup.candidate_cells(line_dedup.line_table(df, "doc_id", "text"))
+    assert cells.count() <= line_dedup.BANDS * 2 * len(rows)
+    texts = spark.createDataFrame([(k, x) for k, x in enumerate(dict.fromkeys(lines))], "line long, text string")
+    links, rest = line_dedup.led_links(texts.selectExpr("1L as cell", "line"), texts)
+    assert links.count() <= line_dedup.LEADERS * line_dedup.ROUNDS * len(rows)
+    assert Counter((r.doc_id, r.text, r.kept_text) for r in dedup_lines(df).collect()) == expected(rows)
