@@ -11,7 +11,7 @@ one that mentions none, and the fit minimises
 mentioned.  Groups are treated alike even where labels are not.
 
 The fit sees a bounded sample of labelled rows (``max_labelled``), one text per
-family of near copies, held-out rows left out; everything is scored.
+family of near copies and label, held-out rows left out; everything is scored.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def _family(text: str) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, terms: tuple, max_labelled: int) -> DataFrame:
-    """``family, toxic, words, swapped, neutral``: one row per family; the copies' words are null without a mention."""
+    """``family, toxic, words, swapped, neutral``: one row per family and label; the copies' words are null without a mention."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     chosen = known.orderBy(*order).limit(max_labelled)
@@ -130,7 +130,7 @@ def _sample(docs: DataFrame, labels: DataFrame, terms: tuple, max_labelled: int)
     read_rows = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(
         read, "family long, toxic int, words array<string>, swapped array<string>, neutral array<string>"
     )
-    first = Window.partitionBy("family").orderBy("toxic", F.size("words"), F.xxhash64("words"))
+    first = Window.partitionBy("family", "toxic").orderBy(F.size("words"), F.xxhash64("words"))
     return staged(read_rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "toxicity-sample")
 
 

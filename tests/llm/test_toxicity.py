@@ -100,3 +100,15 @@ def test_terms_and_words():
     assert ring == {"a": "b", "b": "c", "c": "a"}
     assert text_words("Ab, a-b É2x _q") == {"ab", "a", "b", "é", "x", "q"}
     assert all(len(r) > 1 for r in toxicity.IDENTITY_TERMS)
+
+
+def test_a_toxic_near_copy_of_a_clean_text_is_learnt(spark):
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5][:4]
+    text = " ".join(f"word{k}" for k in range(60))
+    words = text.split()
+    copies = [" ".join([*words[:k], "grumblefoot", *words[k:]]) for k in range(61)]
+    insulted = next(x for x in copies if toxicity._family(x) == toxicity._family(text))
+    docs = spark.createDataFrame(list(zip(ids, [text, insulted, text, insulted])), "doc_id long, text string")
+    labels = spark.createDataFrame(list(zip(ids, [0, 1, 0, 1])), "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, toxicity.IDENTITY_TERMS, 100).collect()
+    assert sorted((r.toxic, "grumblefoot" in r.words) for r in sample) == [(0, False), (1, True)]
