@@ -97,6 +97,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.conversations import damaged, repair_conversations, repaired_digests
+
+    turns = documents(spark, sf_dir, "conversations")
+    conversations, repaired = repair_conversations(damaged(turns))
+    facts = conversations.withColumnRenamed("conv_id", "found")
+    digests = repaired_digests(repaired).withColumnRenamed("conv_id", "digested")
+    ids = turns.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return (
+        ids.join(facts, ids["conv_id"].eqNullSafe(F.col("found")), "left")
+        .join(digests, F.col("conv_id").eqNullSafe(F.col("digested")), "left")
+        .select(
+            "conv_id",
+            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -108,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_suffix_trees": op9_suffix_trees,
     "op10_mixing": op10_mixing,
+    "op13_conversations": op13_conversations,
 }
 
 #: The other queries hold hashes, models or tokenizers that SQL lacks, or (op6) too many byte strings for it.
