@@ -97,6 +97,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.whitening import whiten
+
+    return whiten(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.conversations import damaged, repair_conversations, repaired_digests
 
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_suffix_trees": op9_suffix_trees,
     "op10_mixing": op10_mixing,
+    "op12_whitening": op12_whitening,
     "op13_conversations": op13_conversations,
 }
 

@@ -1,0 +1,132 @@
+from __future__ import annotations
+
+import math
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chainlens.llm.whitening import exact_products, one_sided_jacobi, pivoted_cholesky, principal_components, whiten
+
+TYPES = "vec_id long, embedding array<float>"
+
+
+def rows_of(n=400, d=24, seed=3):
+    rng = np.random.default_rng(seed)
+    mixed = rng.normal(size=(n, d)) @ rng.normal(size=(d, d)) * 0.1
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(mixed.astype(np.float32))]
+    rows += [(n, rows[0][1]), (n + 1, rows[0][1]), (None, rows[1][1]), (3, rows[3][1])] + [(n + 9, rows[5][1])] * 50
+    nan, inf = float("nan"), float("inf")
+    rows += [(-1, None), (-2, []), (-3, [nan, *rows[0][1][1:]]), (-4, [inf] * d), (-5, [None, *rows[0][1][1:]]), (-6, [1.0] * (d - 1))]
+    return rows
+
+
+def expected(rows):
+    """Rows that take part, and count, sums, covariance of the fit list, as whole numbers and doubles."""
+    taken = [(i, [math.floor(64 * c) + 1000000 for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    lengths = [len(x) for _, x in taken]
+    d = max(set(lengths), key=lambda n: (lengths.count(n), n))
+    taken = [(i, x) for i, x in taken if len(x) == d]
+    fit = sorted({tuple(x) for _, x in taken})
+    sums = [sum(c) for c in zip(*fit)]
+    centred = np.array([[(len(fit) * a - s) / len(fit) for a, s in zip(x, sums)] for x in fit])
+    return taken, len(fit), sums, centred.T @ centred / len(fit), centred
+
+
+def check(got, rows):
+    taken, n, sums, covariance, centred = expected(rows)
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = min(16, int((values > 1e-9 * values[0]).sum()))
+    by_id = defaultdict(list)
+    for r in got:
+        assert r.n == n and 0 <= r.identity_error <= 1e-10
+        assert abs(r.explained - values[r.component - 1] / values.sum()) <= 1e-10
+        by_id[r.vec_id].append((r.deviation, r.component, r.whitened))
+    want = defaultdict(list)
+    signs = {}
+    for i, x in taken:
+        away = [n * a - s for a, s in zip(x, sums)]
+        for c in range(k):
+            w = float(np.array(away) / n @ vectors[:, c] / math.sqrt(values[c]))
+            want[i].append((sum(a * a for a in away), c + 1, w))
+    for i in want:
+        have, need = sorted(by_id.pop(i)), sorted(want[i], key=lambda t: t[:2])
+        assert [t[:2] for t in have] == [t[:2] for t in need]
+        for (_, c, a), (_, _, b) in zip(have, need):
+            assert abs(abs(a) - abs(b)) < 1e-7
+            if abs(a) > 1e-6:
+                assert signs.setdefault(c, a * b > 0) == (a * b > 0)
+    assert not by_id
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_equals_eigenvectors_of_the_covariance(spark, parts):
+    rows = rows_of()
+    check(whiten(spark.createDataFrame(rows, TYPES).repartition(parts)).collect(), rows)
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    rows = rows_of(100, 6)
+    got = [sorted(map(str, whiten(spark.createDataFrame(rows, TYPES).repartition(p)).drop("identity_error").collect())) for p in (1, 5)]
+    assert got[0] == got[1]
+
+
+def test_fewer_dimensions_and_dependent_ones(spark):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-300, 300, (60, 3)) / 64
+    rows = [(k, [*map(float, x), float(x[0]), 0.25]) for k, x in enumerate(v)]
+    got = whiten(spark.createDataFrame(rows, TYPES)).collect()
+    assert {r.component for r in got} == {1, 2, 3}
+    check(got, rows)
+
+
+def test_no_variance_and_no_rows(spark):
+    assert whiten(spark.createDataFrame([(1, [0.5, 0.5])] * 3, TYPES)).count() == 0
+    assert whiten(spark.createDataFrame([], TYPES)).count() == 0
+    assert whiten(spark.createDataFrame([(1, None), (2, [float("nan")])], TYPES)).count() == 0
+
+
+def test_far_entries_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, [float(k * 2**14), -float(k % 3) * 2**12, 1e-3 * k]) for k in range(9)]
+    df = spark.createDataFrame(rows, TYPES).select("*", *[F.lit("x").alias(n) for n in ("x", "component", "n", "whitened", "deviation")])
+    check(whiten(df).collect(), rows)
+    with pytest.raises(Exception):  # sums of squares beyond a long are an error, never a wrong number
+        whiten(spark.createDataFrame([(1, [3e38]), (2, [0.0]), (3, [-3e38])], TYPES)).collect()
+
+
+def test_registered_query(spark):
+    from chainlens.llm.registry import op12_whitening
+
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    check(op12_whitening(spark, sf).collect(), rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.integers(1, 12), st.integers(0, 2**32 - 1))
+def test_factor_and_rotations(d, rank, seed):
+    rng = np.random.default_rng(seed)
+    b = rng.normal(size=(d, min(d, rank))) * 10.0 ** rng.integers(-3, 3)
+    a = b @ b.T
+    factor, order = pivoted_cholesky(a)
+    size = np.abs(a).max()
+    assert np.allclose(factor @ factor.T, a[np.ix_(order, order)], atol=1e-11 * size, rtol=0)
+    assert np.allclose(np.triu(factor, 1), 0)
+    turned = one_sided_jacobi(factor)
+    gram = turned.T @ turned
+    assert np.abs(gram - np.diag(gram.diagonal())).max(initial=0) <= 1e-12 * size * d
+    values, components = principal_components(a)
+    assert np.allclose(values, np.sort(np.linalg.eigvalsh(a))[::-1][: len(values)], atol=1e-11 * size, rtol=1e-9)
+    assert np.allclose(a @ components, components * values, atol=1e-10 * size, rtol=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(-(2**61), 2**61)] * 3), min_size=1, max_size=20))
+def test_products_are_exact(rows):
+    got = exact_products(np.array(rows, np.int64))
+    assert got.tolist() == [[sum(r[i] * r[j] for r in rows) for j in range(3)] for i in range(3)]
