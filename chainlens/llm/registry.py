@@ -97,6 +97,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainlens.llm.piecewise import edit_experiment
+
+    return edit_experiment(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainlens.llm.whitening import whiten
 
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_suffix_trees": op9_suffix_trees,
     "op10_mixing": op10_mixing,
+    "op11_fingerprints": op11_fingerprints,
     "op12_whitening": op12_whitening,
     "op13_conversations": op13_conversations,
 }
