@@ -8,9 +8,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +16,7 @@ from chainlens.plans.catalog import LedgerInputs, build
 from chainlens.sources.ledger import parse_contracts, parse_transactions
 from chainlens.sources.scam_list import read_scams
 
-from conftest import TRANSACTIONS_CSV
+from ledger_lines import TRANSACTIONS_CSV, plan_text
 
 # Each line fails the rule set of every query: wrong field count, or a
 # block number, value and block time that are all invalid in some form.
@@ -34,13 +31,6 @@ MALFORMED = [
 ]
 
 
-def plan_text(df, mode: str = "formatted") -> str:
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain(mode=mode)
-    return buf.getvalue()
-
-
 def lines_df(spark, lines, partitions):
     return spark.createDataFrame([(x,) for x in lines], "value string").repartition(partitions)
 

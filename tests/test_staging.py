@@ -5,7 +5,7 @@ from __future__ import annotations
 from chainlens.plans.catalog import FileInputs, StagedInputs, build
 from chainlens.sources.staging import stage_ledger
 
-from test_properties_and_plans import plan_text
+from ledger_lines import plan_text
 
 
 def test_staged_equals_text_for_every_query(spark, files, tmp_path):

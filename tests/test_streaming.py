@@ -11,7 +11,7 @@ from chainlens.streaming.incremental import (
     start_monthly_time_analysis,
 )
 
-from conftest import TRANSACTIONS_CSV
+from ledger_lines import TRANSACTIONS_CSV
 
 LATE = "hz,0,b,109,0,0xf,0xzz,1,21000,4,0x,1600000000,,,"
 EARLY = "hy,0,b,99,0,0xf,0xzz,3,21000,4,0x,1450000000,,,"
