@@ -279,6 +279,10 @@ def oracle_sql() -> dict[str, str]:
         "q4_top_miners": _q4(),
         "q5_top_scams": f"WITH {tx}, {s} {_q5()}",
         "q6_scam_by_month": f"WITH {tx}, {s} {_q6_cells()}",
+        "q6_by_ether": (
+            f"WITH {tx}, {s}, cells AS ({_q6_cells()}) "
+            "SELECT ROW_NUMBER() OVER (ORDER BY ether DESC, month, id, category) AS row_number, month, id, category, ether FROM cells"
+        ),
         "q7_monthly_gas_price": f"WITH {tx} {_q7()}",
         "q8_contract_gas": f"WITH {tx}, {c} {_q8()}",
         "q9_column_space": _space_rows(list(_HEX_COLUMNS), "size_bytes", with_share=False),

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import parse_month_text
 from chainlens.operators import profile
+from chainlens.operators.ordering import write_ordered
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
 from chainlens.session import build_session, s3a_conf
@@ -172,15 +173,14 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
             return read_json_array(spark, result_path(spark, src, name, args.results_run_id), kind)
 
         scam_months = result_path(spark, src, "scam_value_by_month", args.results_run_id)
+        by_month = spark.read.schema("month string, id string, category string, ether double").json(scam_months)
         tables = {
             "count_grid": R.count_grid(R.counts_from_rows(rows("monthly_counts"))),
             "average_grid": R.average_grid(R.averages_from_rows(rows("monthly_averages", "string"))),
             "ranked_services": R.ranked_services(R.top_from_rows(rows("top_services"), "address", "value", "decimal(38,0)")),
             "ranked_miners": R.ranked_miners(R.top_from_rows(rows("top_miners"), "miner", "size", "decimal(38,0)")),
             "scam_table": R.scams_from_rows(rows("top_scams")),
-            "scam_pivot": R.scam_pivot(
-                spark.read.schema("month string, id string, category string, ether double").json(scam_months)
-            ),
+            "scam_pivot": R.scam_pivot(by_month),
             "gas_price_panels": R.gas_price_panels(
                 R.month_values_from_rows(rows("monthly_gas_price"), "avg_gas_price"), args.drop_years
             ),
@@ -190,6 +190,9 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
             path = f"{out}/{name}_{stamp}"
             write_csv(df, path, single_file=True)
             written.append(path)
+        path = f"{out}/scam_months_by_ether_{stamp}"
+        write_ordered(by_month, path, R.ether_order(), "csv", header="true")
+        written.append(path)
     else:
         raise ValueError(f"unknown job {job!r}; choose from {JOBS}")
     return written

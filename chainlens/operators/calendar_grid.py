@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import month_abbrev, parse_month_text
+from chainlens.operators.stored import stored
 
 
 def _dated(monthly: DataFrame, month_col: str) -> DataFrame:
@@ -54,15 +55,21 @@ def category_pivot(
     """(year, month) x category table of summed values, NULL where absent.
 
     ``cells`` holds one value per (month, category) or several to be summed.
-    Pass ``categories`` when known to skip the job that finds them.
+    The columns are the categories that occur, in order.  Finding them takes a
+    job before the result has a schema, so the summed cells - a row per month
+    and category, however large the input - are stored by that job, and the
+    input is not read again.  Pass ``categories`` when known, and nothing is
+    stored.
     """
     d = _dated(cells, month_col)
     summed = d.groupBy(
         F.col("_year").alias("year"), F.col("_month").alias("month"), F.col(category_col).alias("_cat")
     ).agg(F.sum(value_col).alias("_v"))
-    pivoted = summed.groupBy("year", "month").pivot("_cat", list(categories) if categories else None).agg(
-        F.sum("_v")
-    )
+    if categories is None:
+        summed = stored(summed, "pivot-cells")
+        # a row per category, as the columns of the result
+        categories = [r["_cat"] for r in summed.select("_cat").distinct().orderBy("_cat").collect()]
+    pivoted = summed.groupBy("year", "month").pivot("_cat", list(categories)).agg(F.sum("_v"))
     return pivoted.orderBy("year", "month")
 
 

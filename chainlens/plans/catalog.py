@@ -121,6 +121,7 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
         "q4_top_miners": lambda: Q.top_miners(i.blocks),
         "q5_top_scams": lambda: Q.top_scams(i.tx, i.scams),
         "q6_scam_by_month": lambda: Q.scam_value_by_month(i.tx, i.scams),
+        "q6_by_ether": lambda: R.scam_months_by_ether(Q.scam_value_by_month(i.tx, i.scams)),
         "q7_monthly_gas_price": lambda: Q.monthly_gas_price(i.tx),
         "q8_contract_gas": lambda: Q.monthly_contract_gas(i.tx, i.contracts),
         "q9_column_space": lambda: profile.column_space(i.blocks_table),

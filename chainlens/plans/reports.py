@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.operators.aggregate import split_total
 from chainlens.operators.calendar_grid import category_pivot, year_month_grid, yearly_panels
+from chainlens.operators.ordering import numbered
 from chainlens.operators.topk import ranked
 from chainlens.sinks.results import pairs_from_text
 from chainlens.functions.calendar import month_text
@@ -68,6 +69,20 @@ def scam_pivot_exact(base: DataFrame, categories: Sequence[str] | None = None) -
     return category_pivot(cells, "ether", categories)
 
 
+def ether_order() -> list[Column]:
+    """By ether, largest first; ties by month, id and category."""
+    return [F.col("ether").desc(), F.col("month"), F.col("id"), F.col("category")]
+
+
+def scam_months_by_ether(by_month: DataFrame) -> DataFrame:
+    """A Q6 result sorted by ether -> (row_number, month, id, category, ether).
+
+    The order is stored as range-partitioned files and read back as row
+    numbers, as a DataFrame's own order does not outlive the next exchange.
+    """
+    return numbered(by_month.select("month", "id", "category", "ether"), ether_order())
+
+
 def gas_price_panels(monthly: DataFrame, drop_years: Iterable[int] = REFERENCE_PANEL_DROP) -> DataFrame:
     """Q17: Q7 per year -> (year, month DATE, avg_gas_price), ``drop_years`` removed."""
     return yearly_panels(monthly, "avg_gas_price", drop_years)
