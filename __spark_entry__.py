@@ -108,6 +108,29 @@ tx AS (
   FROM region
 )"""
 
+# The wide files: values of 52 digits behind a price in cents, gas and gas prices with fractions.
+_WIDE_TX = """
+wide AS (
+  SELECT '0xs' || l_suppkey AS to_address,
+         CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS front, CAST(l_partkey AS BIGINT) AS back,
+         CAST(CAST(l_quantity AS BIGINT) * 1000000 + l_linenumber * 7 AS HUGEINT) AS gas_thousandths,
+         CAST(CAST(l_partkey AS BIGINT) * 100000 + l_linenumber * 1237 AS HUGEINT) AS price_parts,
+         CAST(epoch(l_shipdate) AS BIGINT) AS ts
+  FROM lineitem
+)"""
+
+
+def _wide_total(digits: int) -> str:
+    """The exact sum of numbers made of ``front`` and ``digits`` digits that end in ``back``, as text."""
+    return f"CAST(SUM(front) AS VARCHAR) || lpad(CAST(SUM(back) AS VARCHAR), {digits}, '0')"
+
+
+def _scaled_mean(total: str, digits: int) -> str:
+    """The DOUBLE of an exact sum of units of 10^-digits, over the rows."""
+    text = f"lpad(CAST({total} AS VARCHAR), 40, '0')"
+    return f"CAST(left({text}, {40 - digits}) || '.' || right({text}, {digits}) AS DOUBLE) / COUNT(*)"
+
+
 _CONTRACTS = """
 contracts AS (
   SELECT '0xs' || s_suppkey AS address FROM supplier
@@ -347,6 +370,30 @@ SELECT id, n_name AS name, 'https://scam.example/' || s_suppkey AS url, 'ETH' AS
        CASE WHEN s_acctbal >= 1000 THEN 'Active' ELSE 'None' END AS status
 FROM addr""",
     }
+    w = _WIDE_TX.strip()
+    sql |= {
+        "q3_large_list": sql["q3_top_services"],
+        "q5_large_list": sql["q5_top_scams"],
+        "q6_large_list": sql["q6_scam_by_month"],
+        "q8_large_list": sql["q8_contract_gas"],
+        "q2_long_values": f"WITH {w} SELECT {_MONTH} AS month, CAST({_wide_total(52)} AS DOUBLE) / COUNT(*) AS avg_value FROM wide GROUP BY 1",
+        "q3_long_values": (
+            f"WITH {w}, {c}, sums AS (SELECT to_address AS address, SUM(front) AS f, SUM(back) AS b, {_wide_total(52)} AS value "
+            "FROM wide GROUP BY 1) SELECT s.address, s.value FROM sums s JOIN contracts c ON s.address = c.address "
+            "ORDER BY s.f DESC, s.b DESC, s.address LIMIT 10"
+        ),
+        "q4_long_sizes": (
+            "WITH sizes AS (SELECT '0xm' || o_custkey AS miner, CAST(floor(o_totalprice * 100) AS BIGINT) AS front, "
+            "CAST(o_orderkey AS BIGINT) AS back FROM orders), "
+            f"sums AS (SELECT miner, SUM(front) AS f, SUM(back) AS b, {_wide_total(40)} AS size FROM sizes GROUP BY 1) "
+            "SELECT miner, size FROM sums ORDER BY f DESC, b DESC, miner LIMIT 10"
+        ),
+        "q7_fractions": f"WITH {w} SELECT {_MONTH} AS month, {_scaled_mean('SUM(price_parts)', 5)} AS avg_gas_price FROM wide GROUP BY 1",
+        "q8_fractions": (
+            f"WITH {w}, {c} SELECT {_MONTH} AS month, {_scaled_mean('SUM(gas_thousandths)', 3)} AS avg_gas "
+            "FROM wide JOIN contracts ON wide.to_address = contracts.address GROUP BY 1"
+        ),
+    }
     if llm_registry is not None:
         sql |= llm_registry.ORACLE_SQL
         if corpus_pipeline.ORACLE_SQL:

@@ -8,30 +8,26 @@ from chainlens.functions.calendar import (
     parse_month_text,
 )
 from chainlens.functions.parse import (
-    exact_wei,
     field,
-    fraction_part,
-    integer_part,
+    integer_limbs,
     is_digits,
     is_integer_literal,
     is_numeric_like,
+    number_parts,
     split_fields,
-    split_number,
 )
 
 __all__ = [
     "epoch_seconds",
-    "exact_wei",
     "field",
-    "fraction_part",
-    "integer_part",
+    "integer_limbs",
     "is_digits",
     "is_integer_literal",
     "is_numeric_like",
     "month_abbrev",
     "month_start",
     "month_text",
+    "number_parts",
     "parse_month_text",
     "split_fields",
-    "split_number",
 ]

@@ -21,6 +21,16 @@ INTEGER_RE = r"\A[+-]?[0-9]+\z"
 MAX_DIGITS = 38
 WEI = DecimalType(MAX_DIGITS, 0)
 
+# A number is held as limbs of 26 decimal digits: limb k counts units of
+# 10^(26 k), limb -1 holds the first 26 digits behind the point.  Sums of
+# limbs are DECIMAL(38,0), so 10^12 rows of a group add up exactly.
+LIMB_DIGITS = 26
+#: Integer limbs that have columns of their own; 78 digits hold any 256-bit number.
+LIMBS = 3
+LIMB_SUFFIXES = ("i0", "i1", "i2")
+# 11 digits before the point: a difference of two still has a digit to spare
+_FIXED = DecimalType(MAX_DIGITS - 1, LIMB_DIGITS)
+
 
 def split_fields(line: Column | str) -> Column:
     """``line.split(',')``: quotes are not special, trailing empties kept."""
@@ -49,53 +59,70 @@ def _head(text: Column) -> Column:
     return F.ltrim(F.substring_index(text, ".", 1), F.lit("0"))
 
 
-def integer_part(text: Column) -> Column:
-    """DECIMAL(38,0) of the digits before the first '.' of numeric-like text.
-
-    Sums of this part are exact and do not depend on how rows are
-    partitioned; ``.5`` has integer part 0.  Leading zeros do not count.  A
-    number of more than 38 digits has no exact form here: its integer part is
-    0 and :func:`fraction_part` holds the whole DOUBLE.
-    """
-    head = _head(text)
-    return F.when((head == "") | (F.length(head) > MAX_DIGITS), F.lit(0).cast(WEI)).otherwise(head.try_cast(WEI))
-
+def _digits_of_limb(digits: Column, limb: Column | int) -> Column:
+    """Digits of limb ``limb`` (0 lowest) of digit text; '' above its length."""
+    end = F.length(digits) - limb * F.lit(LIMB_DIGITS)
+    start = F.greatest(end - LIMB_DIGITS, F.lit(0))
+    return F.substring(digits, start + 1, F.greatest(end - start, F.lit(0)))
 
-def fraction_part(text: Column) -> Column:
-    """DOUBLE of what :func:`integer_part` leaves of numeric-like text (0.0 if nothing)."""
-    tail = F.when(F.instr(text, ".") > 0, F.substring_index(text, ".", -1))
-    fraction = F.when(F.coalesce(tail, F.lit("")) == "", F.lit(0.0)).otherwise(
-        F.concat(F.lit("0."), tail).try_cast("double")
-    )
-    return F.when(F.length(_head(text)) > MAX_DIGITS, text.try_cast("double")).otherwise(fraction)
-
-
-def exact_wei(text: Column) -> Column:
-    """Python ``int(s)`` for integer text, as DECIMAL(38,0); NULL otherwise or beyond 38 digits."""
-    negative = F.substring(text, 1, 1) == "-"
-    digits = F.ltrim(F.ltrim(text, F.lit("+-")), F.lit("0"))
-    value = F.when(digits == "", F.lit(0).cast(WEI)).otherwise(F.when(F.length(digits) <= MAX_DIGITS, digits.try_cast(WEI)))
-    return F.when(is_integer_literal(text), F.when(negative, -value).otherwise(value))
 
+def number_parts(text: Column, any_float: bool = True) -> dict[str, Column]:
+    """``float(s)`` in parts whose sums are exact, whatever their order.
 
-def exact_or_error(value: Column, what: str) -> Column:
-    """``value`` of rows known to hold integer text; an error, never a loss, where it has no exact form."""
-    message = F.lit(f"{what} has more than {MAX_DIGITS} digits; its exact sum does not fit DECIMAL({MAX_DIGITS}, 0)")
-    return F.when(value.isNull(), F.raise_error(message).cast(WEI)).otherwise(value)
+    ``i0, i1, i2``: limbs of the integer part of numeric-like text; ``i1`` and
+    ``i2`` are NULL where there are no such digits.  ``f``: the first 26
+    digits behind the point as a whole number, NULL if there is no point;
+    further digits don't count.  ``far``: DOUBLE, for numbers with no such
+    form (more than 78 digits, or not numeric-like and 10^11 or more), else
+    NULL.  ``parsed``: the text is a number at all.
 
-
-def split_number(text: Column) -> tuple[Column, Column, Column]:
-    """``float(s)`` split into (exact integer part, fraction, parsed flag).
-
-    Numeric-like text goes through :func:`integer_part`/:func:`fraction_part`;
-    any other text Spark reads as a double (``1e3``, ``-7``) lands wholly in
-    the fraction slot, so ``int + frac`` equals ``float(s)`` in both cases.
+    Text that Spark reads as a double though it is not numeric-like (``1e3``,
+    ``-7``) has signed parts, rounded to 26 digits behind the point.
+    ``any_float=False`` is for columns that a rule holds to numeric-like text:
+    other text has no parts there.
     """
     numeric = is_numeric_like(text)
+    head = _head(text)
+    size = F.length(head)
+    fits = numeric & (size <= LIMBS * LIMB_DIGITS)
+    low = F.when(size > LIMB_DIGITS, _digits_of_limb(head, 0)).otherwise(F.when(size == 0, "0").otherwise(head))
+    parts = {"i0": F.when(fits, low.try_cast(WEI))}
+    for k in range(1, LIMBS):
+        parts[f"i{k}"] = F.when(fits & (size > k * LIMB_DIGITS), _digits_of_limb(head, k).try_cast(WEI))
+    behind = F.rpad(F.substring(F.substring_index(text, ".", -1), 1, LIMB_DIGITS), LIMB_DIGITS, "0").try_cast(WEI)
+    parts["f"] = F.when(fits & (F.instr(text, ".") > 0), behind)
+    if not any_float:
+        parts["far"] = F.when(numeric & ~fits, text.try_cast("double"))
+        parts["parsed"] = numeric
+        return parts
     as_double = text.try_cast("double")
-    int_part = F.when(numeric, integer_part(text)).otherwise(F.lit(0).cast(WEI))
-    frac = F.when(numeric, fraction_part(text)).otherwise(as_double)
-    return int_part, frac, F.coalesce(numeric | as_double.isNotNull(), F.lit(False))
+    near = F.coalesce(~numeric & (F.abs(as_double) < F.lit(1e11)), F.lit(False))
+    fixed = F.coalesce(text.try_cast(_FIXED), as_double.try_cast(_FIXED))
+    whole = F.when(fixed < 0, F.ceil(fixed)).otherwise(F.floor(fixed)).cast(WEI)
+    rest = fixed - whole.try_cast(_FIXED)
+    shifted = (rest * F.lit("1" + "0" * LIMB_DIGITS).cast(DecimalType(LIMB_DIGITS + 1, 0))).cast(WEI)
+    parts["i0"] = F.coalesce(parts["i0"], F.when(near, whole))
+    parts["f"] = F.coalesce(parts["f"], F.when(near & (rest != 0), shifted))
+    parts["far"] = F.when(~fits & ~near, as_double)
+    parts["parsed"] = numeric | as_double.isNotNull()
+    return parts
+
+
+def integer_limbs(text: Column) -> Column:
+    """``int(s)`` of integer text of any length: array of (limb INT, part DECIMAL(38,0)), signed.
+
+    A shorter number is one limb; the array is as long as the number, not as the longest one.
+    """
+    digits = F.ltrim(F.ltrim(text, F.lit("+-")), F.lit("0"))
+    negative = F.substring(text, 1, 1) == "-"
+    one = F.when(digits == "", F.lit(0).cast(WEI)).otherwise(digits.try_cast(WEI))
+    top = F.ceil(F.length(digits) / F.lit(LIMB_DIGITS)).cast("int") - 1
+
+    def entry(limb: Column, part: Column) -> Column:
+        return F.struct(limb.cast("int").alias("limb"), F.when(negative, -part).otherwise(part).cast(WEI).alias("part"))
+
+    many = F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))), lambda k: entry(k, _digits_of_limb(digits, k).try_cast(WEI)))
+    return F.when(F.length(digits) <= LIMB_DIGITS, F.array(entry(F.lit(0), one))).otherwise(many)
 
 
 def _col(c: Column | str) -> Column:

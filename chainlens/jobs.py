@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import parse_month_text
 from chainlens.operators import profile
+from chainlens.operators.aggregate import integer_order
 from chainlens.operators.ordering import write_ordered
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
@@ -130,13 +131,14 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         put_rejects(seen)
     elif job == "services":
         tx, seen = observed(inputs.tx(), "block_ok", "value_wei_ok")
-        top = Q.top_services(tx, inputs.contracts(), on_bad=on_bad)
-        put_json(top, "top_services", [json_text(top, "address"), json_text(top, "value")], [-F.col("value"), F.col("address")])
+        # sums of any length, written as the numbers they are
+        top = Q.service_totals(tx, inputs.contracts(), on_bad=on_bad)
+        put_json(top, "top_services", [json_text(top, "address"), F.col("value")], [integer_order(F.col("value"), True), F.col("address")])
         put_rejects(seen)
     elif job == "miners":
         blocks, seen = observed(inputs.blocks(), "well_formed", "size_ok")
-        top = Q.top_miners(blocks, on_bad=on_bad)
-        put_json(top, "top_miners", [json_text(top, "miner"), json_text(top, "size")], [-F.col("size"), F.col("miner")])
+        top = Q.miner_totals(blocks, on_bad=on_bad)
+        put_json(top, "top_miners", [json_text(top, "miner"), F.col("size")], [integer_order(F.col("size"), True), F.col("miner")])
         put_rejects(seen)
     elif job == "scams":
         tx, seen = observed(inputs.tx(), "value_ok")

@@ -1,29 +1,165 @@
-"""Aggregation helpers.
-
-Averages of ``float(text)`` values are computed from an exact DECIMAL(38,0)
-sum of integer parts plus a DOUBLE sum of fractional parts, then divided
-once.  Integer-valued columns (wei, gas) therefore give the correctly
-rounded mean, and the result does not depend on partitioning, unlike a
-plain DOUBLE sum.  Spark plans every aggregate here as a partial
-(map-side) aggregate, a hash exchange on the keys and a final aggregate, so
-a hot key is combined inside each task before it is shuffled.
+"""Aggregation helpers (A1-A8, A17): exact sums and their totals.
+
+Numbers are summed in limbs of 26 digits (:mod:`chainlens.functions.parse`),
+each a DECIMAL(38,0) sum, and carried at the end.  A mean is the exact total,
+rounded to DOUBLE once and divided once, so neither partitioning nor the order
+of rows changes a bit of it.  Only numbers without exact form (more than 78
+digits; exponents from 10^11 on) are added as DOUBLE.
+
+Spark plans every aggregate here as a partial (map-side) aggregate, a hash
+exchange on the keys and a final aggregate, so a hot key is combined inside
+each task before it is shuffled.  A group may have 10^12 rows; beyond, a sum
+of limbs stops with an error rather than wrap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+from chainlens.functions.parse import LIMB_DIGITS, LIMB_SUFFIXES, WEI
+
+#: Suffixes of a number's columns, and the limbs of all but the last.
+PARTS = (*LIMB_SUFFIXES, "f", "far")
+_LIMB_OF = {**{name: k for k, name in enumerate(LIMB_SUFFIXES)}, "f": -1}
+_BASE_TYPE = DecimalType(LIMB_DIGITS + 1, 0)
+
+
+def _base() -> Column:
+    return F.lit("1" + "0" * LIMB_DIGITS).cast(_BASE_TYPE)
+
+
+# ---- numbers in columns: <name>_i0, _i1, _i2, _f, _far ----
+
+
+def part_sums(name: str, alias: str | None = None, only: Column | None = None, times: Column | None = None) -> list[Column]:
+    """Aggregates that sum the columns of ``name``, as columns of ``alias``.
+
+    ``only`` restricts the rows that count; ``times`` weighs them.
+    """
+    out = []
+    for suffix in PARTS:
+        part = F.col(f"{name}_{suffix}")
+        if times is not None:
+            part = part * times
+        if only is not None:
+            part = F.when(only, part)
+        out.append(F.sum(part).alias(f"{alias or name}_{suffix}"))
+    return out
+
+
+def limb_array(name: str) -> Column:
+    """The limbs of ``name``'s summed columns as one array."""
+    entry = lambda k, c: F.struct(F.lit(k).alias("limb"), F.coalesce(F.col(c), F.lit(0)).cast(WEI).alias("part"))
+    return F.array(*[entry(k, f"{name}_{suffix}") for suffix, k in _LIMB_OF.items()])
+
+
+def number_total(name: str) -> Column:
+    """DOUBLE of the summed columns of ``name``, rounded once; NULL without rows."""
+    i0, far = F.col(f"{name}_i0"), F.col(f"{name}_far")
+    plain = F.lit(True)
+    for suffix in _LIMB_OF:
+        if suffix != "i0":
+            plain = plain & (F.coalesce(F.col(f"{name}_{suffix}"), F.lit(0)) == 0)
+    exact = F.when(plain, i0.cast("double")).otherwise(total_text(limb_array(name)).cast("double"))
+    return F.when(far.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + far)
+
+
+def number_mean(name: str, count_col: str) -> Column:
+    return number_total(name) / F.col(count_col).cast("double")
+
+
+# ---- numbers as limbs in rows: integers of any length ----
+
+
+def integer_sums(df: DataFrame, limbs: Column, *keys: str) -> DataFrame:
+    """``keys, limbs``: the exact sums of integers (arrays of (limb, part)) by ``keys``.
+
+    A row per limb enters the aggregate: one, for numbers of up to 26 digits.
+    """
+    rows = df.select(*keys, F.inline(limbs))
+    sums = rows.groupBy(*keys, "limb").agg(F.sum("part").alias("part"))
+    return sums.groupBy(*keys).agg(F.collect_list(F.struct("limb", "part")).alias("limbs"))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _carried(parts: Column, limbs: Column, sign: Column) -> Column:
+    """``(carry, digits)`` of the limbs times ``sign``, from the lowest up, 26 digits a limb."""
+    base = _base()
+
+    def add(state: Column, k: Column) -> Column:
+        x = (F.coalesce(F.try_element_at(parts, k), F.lit(0).cast(WEI)) * sign).cast(WEI) + state["carry"]
+        split = F.struct(x.alias("x"), F.pmod(x, base).cast(WEI).alias("rest"))
+        return _let(
+            split,
+            lambda s: F.struct(
+                ((s["x"] - s["rest"]) / base).cast(WEI).alias("carry"),
+                F.concat(F.lpad(s["rest"].cast("string"), LIMB_DIGITS, "0"), state["digits"]).alias("digits"),
+            ),
+        )
+
+    zero = F.struct(F.lit(0).cast(WEI).alias("carry"), F.lit("").alias("digits"))
+    return F.aggregate(limbs, zero, add)
+
+
+def _trimmed(digits: Column, behind: Column) -> Column:
+    """Decimal text of digits, the last ``behind`` of them after the point, without needless zeros."""
+
+    def text(d: Column) -> Column:
+        pieces = F.struct(
+            F.ltrim(F.substring(d, F.lit(1), F.length(d) - behind), F.lit("0")).alias("whole"),
+            F.rtrim(F.substring(d, F.length(d) - behind + 1, behind), F.lit("0")).alias("fraction"),
+        )
+        return _let(
+            pieces,
+            lambda p: F.concat(
+                F.when(p["whole"] == "", "0").otherwise(p["whole"]), F.when(p["fraction"] == "", "").otherwise(F.concat(F.lit("."), p["fraction"]))
+            ),
+        )
+
+    return _let(digits, text)
+
+
+def total_text(limbs: Column) -> Column:
+    """The number that an array of (limb, part) adds up to, as decimal text of any length."""
 
+    def text(bound: Column) -> Column:
+        parts, low, high = bound["parts"], bound["low"], bound["high"]
+        order = F.sequence(low, high)
+        behind = -low * F.lit(LIMB_DIGITS)
+        one = F.lit(1).cast(WEI)
+        return _let(
+            _carried(parts, order, one),
+            lambda c: F.when(c["carry"] >= 0, _trimmed(F.concat(c["carry"].cast("string"), c["digits"]), behind)).otherwise(
+                _let(
+                    _carried(parts, order, -one),
+                    lambda n: F.concat(F.lit("-"), _trimmed(F.concat(n["carry"].cast("string"), n["digits"]), behind)),
+                )
+            ),
+        )
 
-def split_sum(int_col: str, frac_col: str, name: str) -> list[Column]:
-    """Aggregates ``<name>_int`` (exact) and ``<name>_frac`` (double)."""
-    return [F.sum(int_col).alias(f"{name}_int"), F.sum(frac_col).alias(f"{name}_frac")]
+    keys = F.transform(limbs, lambda e: e["limb"])
+    low, high = F.least(F.array_min(keys), F.lit(0)), F.greatest(F.array_max(keys), F.lit(0))
+    return _let(F.struct(F.map_from_entries(limbs).alias("parts"), low.alias("low"), high.alias("high")), text)
 
 
-def split_total(name: str) -> Column:
-    """DOUBLE of ``<name>_int + <name>_frac``."""
-    return F.col(f"{name}_int").cast("double") + F.col(f"{name}_frac")
+def integer_total(limbs: Column) -> Column:
+    """As :func:`total_text`, at once where a sum has one limb that fits."""
+    single = (F.size(limbs) == 1) & (limbs[0]["limb"] == 0)
+    return F.when(single, limbs[0]["part"].cast("string")).otherwise(total_text(limbs))
 
 
-def split_mean(name: str, count_col: str) -> Column:
-    return split_total(name) / F.col(count_col).cast("double")
+def integer_order(text: Column, descending: bool = False) -> Column:
+    """A key that orders integer text (without leading zeros) by value."""
+    negative = F.substring(text, 1, 1) == "-"
+    digits = F.ltrim(text, F.lit("-"))
+    falls = ~negative if descending else negative
+    return F.struct(
+        F.when(falls, -F.length(digits)).otherwise(F.length(digits)).alias("size"),
+        F.when(falls, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"),
+    )

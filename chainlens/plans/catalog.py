@@ -63,6 +63,16 @@ class LedgerInputs:
     def scams(self) -> DataFrame:
         return parse_scams(star.scam_lines(self.spark, self.sf_dir))
 
+    has_wide = True
+
+    @cached_property
+    def wide_tx(self) -> DataFrame:
+        return parse_transactions(star.wide_transaction_lines(self.spark, self.sf_dir))
+
+    @cached_property
+    def wide_blocks(self) -> DataFrame:
+        return parse_blocks(star.wide_block_lines(self.spark, self.sf_dir))
+
 
 class FileInputs:
     """Parsed ledger frames read from files (see ``star.write_ledger_files``)."""
@@ -90,6 +100,18 @@ class FileInputs:
     def scams(self) -> DataFrame:
         return read_scams(self.spark, self.paths["scams"])
 
+    @property
+    def has_wide(self) -> bool:
+        return "wide_transactions" in self.paths
+
+    @cached_property
+    def wide_tx(self) -> DataFrame:
+        return read_transactions(self.spark, self.paths["wide_transactions"])
+
+    @cached_property
+    def wide_blocks(self) -> DataFrame:
+        return read_blocks(self.spark, self.paths["wide_blocks"])
+
 
 class StagedInputs(FileInputs):
     """Like :class:`FileInputs`, with transactions/contracts/blocks read from
@@ -99,6 +121,8 @@ class StagedInputs(FileInputs):
         super().__init__(spark, paths)
         self.staged = staged
 
+    has_wide = False  # the wide files are not staged
+
     @cached_property
     def tx(self) -> DataFrame:
         return read_staged(self.spark, self.staged["transactions"])
@@ -142,7 +166,20 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
             i.blocks.withColumn("size_ok", F.coalesce("size_ok", F.lit(False))), "well_formed", "size_ok"
         ),
         "scam_rows": lambda: i.scams,
+        # lists over the limit of a broadcast: a Bloom filter where transactions are read, then a shuffle join
+        "q3_large_list": lambda: Q.top_services(i.tx, i.contracts, max_broadcast_bytes=0),
+        "q5_large_list": lambda: Q.top_scams(i.tx, i.scams, max_broadcast_bytes=0),
+        "q6_large_list": lambda: Q.scam_value_by_month(i.tx, i.scams, max_broadcast_bytes=0),
+        "q8_large_list": lambda: Q.monthly_contract_gas(i.tx, i.contracts, max_broadcast_bytes=0),
     }
+    if i.has_wide:
+        q |= {
+            "q2_long_values": lambda: Q.monthly_average_value(i.wide_tx),
+            "q3_long_values": lambda: Q.service_totals(i.wide_tx, i.contracts),
+            "q4_long_sizes": lambda: Q.miner_totals(i.wide_blocks),
+            "q7_fractions": lambda: Q.monthly_gas_price(i.wide_tx),
+            "q8_fractions": lambda: Q.monthly_contract_gas(i.wide_tx, i.contracts),
+        }
     return q
 
 

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import month_text
-from chainlens.functions.parse import exact_or_error
-from chainlens.operators.aggregate import split_mean, split_sum, split_total
+from chainlens.functions.parse import MAX_DIGITS, WEI
+from chainlens.operators.aggregate import integer_order, integer_sums, integer_total, number_mean, number_total, part_sums
+from chainlens.operators.bloom import maybe_listed
 from chainlens.operators.join import broadcast_if_small, multiplicity
+from chainlens.operators.stored import stored
 from chainlens.operators.topk import top_k
 from chainlens.schema import TOP_MINERS, TOP_SCAMS, TOP_SERVICES
-from chainlens.sources.ledger import keep_valid
+from chainlens.sources.ledger import integer_value, keep_valid
 from chainlens.sources.scam_list import scam_addresses
 
 
@@ -50,8 +52,7 @@ def monthly_base(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     return valid.groupBy("month").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(q2_row, F.lit(1))).alias("n_value"),
-        F.sum(F.when(q2_row, F.col("value_int"))).alias("value_int"),
-        F.sum(F.when(q2_row, F.col("value_frac"))).alias("value_frac"),
+        *part_sums("value", only=q2_row),
     )
 
 
@@ -60,7 +61,7 @@ def counts_from_base(base: DataFrame) -> DataFrame:
 
 
 def averages_from_base(base: DataFrame) -> DataFrame:
-    return _monthly(base.where(F.col("n_value") > 0), split_mean("value", "n_value").alias("avg_value"))
+    return _monthly(base.where(F.col("n_value") > 0), number_mean("value", "n_value").alias("avg_value"))
 
 
 def monthly_transaction_count(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
@@ -73,7 +74,21 @@ def monthly_average_value(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     return averages_from_base(monthly_base(tx.where("value_ok"), on_bad))
 
 
-def top_services(
+def _joined_side(side: DataFrame, rows: DataFrame, key: str, max_broadcast_bytes: int | None) -> tuple[DataFrame, DataFrame, bool]:
+    """A list of addresses and the rows that may meet it: ``(side, rows, small)``.
+
+    A list proven small is broadcast.  A larger one is stored once, and rows
+    whose address its Bloom filter excludes are dropped where they are read,
+    before anything is summed or shuffled.
+    """
+    hinted, small = broadcast_if_small(side, max_broadcast_bytes)
+    if small:
+        return hinted, rows, True
+    kept = stored(side, "listed")
+    return kept, maybe_listed(rows, key, kept, "address"), False
+
+
+def service_totals(
     tx: DataFrame,
     contracts: DataFrame,
     k: int = TOP_SERVICES,
@@ -81,60 +96,84 @@ def top_services(
     on_bad: str = "drop",
     max_broadcast_bytes: int | None = None,
 ) -> DataFrame:
-    """Q3: contracts that received most value -> (address, value DECIMAL(38,0)).
+    """Q3 with sums of any length: contracts that received most value -> (address, value as decimal text).
 
     A contract listed ``c`` times appears ``c`` times with the same total (the
     reference's fan-out); ``distinct_contracts=True`` counts every listed
     address once.  The list is reduced to (address, copies).  If that is
     proven small it is broadcast, and transactions to other addresses are
-    dropped where they are read, before the sums are shuffled; otherwise
-    values are summed per receiving address and the sums join the list, both
-    sides being hash-partitioned by address already.  The fan-out is applied
-    after the ranking: the ``k`` best addresses are taken, and only they are
-    repeated (at most ``k`` times each) before the final top ``k``.  A value
-    of more than 38 digits stops the job, as its sum has no exact form.
+    dropped where they are read, before the sums are shuffled.  A larger list
+    drops what its Bloom filter excludes there; the values that are left are
+    summed per receiving address, and the sums join the list.  The fan-out is
+    applied after the ranking: the ``k`` best addresses are taken, and only
+    they are repeated (at most ``k`` times each) before the final top ``k``.
     """
     valid = keep_valid(tx, F.col("block_ok"), F.col("value_wei_ok"), on_bad, "value")
-    value = F.sum(exact_or_error(F.col("value_wei"), "value")).alias("value")
     copies = multiplicity(contracts.where("well_formed").select("address"), "address")
     if distinct_contracts:
         copies = copies.select("address", F.lit(1).cast("bigint").alias("copies"))
-    side, small = broadcast_if_small(copies, max_broadcast_bytes)
+    side, valid, small = _joined_side(copies, valid, "to_address", max_broadcast_bytes)
     if small:
         joined = valid.join(side, valid["to_address"] == side["address"])
-        sums = joined.groupBy("address", "copies").agg(value)
+        sums = integer_sums(joined, integer_value("value"), "address", "copies")
     else:
-        sums = valid.groupBy(F.col("to_address").alias("address")).agg(value).join(copies, "address")
-    best = top_k(sums, k, "value", "address")
+        received = valid.withColumn("receiver", F.col("to_address"))
+        sums = integer_sums(received, integer_value("value"), "receiver").join(side, F.col("receiver") == side["address"])
+    totals = sums.select("address", "copies", integer_total(F.col("limbs")).alias("value"))
+    best = top_k(totals.withColumn("_order", integer_order(F.col("value"))), k, "_order", "address")
     repeats = F.array_repeat(F.lit(0), F.least(F.col("copies"), F.lit(k)).cast("int"))
-    expanded = best.select("address", "value", F.explode(repeats).alias("_copy"))
-    return top_k(expanded.select("address", "value"), k, "value", "address")
+    expanded = best.select("address", "value", "_order", F.explode(repeats).alias("_copy"))
+    return top_k(expanded, k, "_order", "address").select("address", "value")
 
 
-def top_miners(blocks: DataFrame, k: int = TOP_MINERS, on_bad: str = "drop") -> DataFrame:
-    """Q4: miners with the largest total block size -> (miner, size DECIMAL(38,0))."""
+def _as_decimal(totals: DataFrame, name: str) -> DataFrame:
+    """Totals as DECIMAL(38,0); an error, never a loss, where one has no such form."""
+    message = F.lit(f"a sum of {name} has more than {MAX_DIGITS} digits; it does not fit DECIMAL({MAX_DIGITS}, 0)")
+    value = F.col(name).try_cast(WEI)
+    return totals.withColumn(name, F.when(value.isNull(), F.raise_error(message).cast(WEI)).otherwise(value))
+
+
+def top_services(
+    tx: DataFrame,
+    contracts: DataFrame,
+    k: int = TOP_SERVICES,
+    distinct_contracts: bool = False,
+    on_bad: str = "drop",
+    max_broadcast_bytes: int | None = None,
+) -> DataFrame:
+    """Q3: :func:`service_totals` -> (address, value DECIMAL(38,0)); a listed sum beyond 38 digits is an error."""
+    return _as_decimal(service_totals(tx, contracts, k, distinct_contracts, on_bad, max_broadcast_bytes), "value")
+
+
+def miner_totals(blocks: DataFrame, k: int = TOP_MINERS, on_bad: str = "drop") -> DataFrame:
+    """Q4 with sums of any length: miners with the largest total block size -> (miner, size as decimal text)."""
     valid = keep_valid(blocks, F.col("well_formed"), F.col("size_ok"), on_bad, "size")
-    sums = valid.groupBy("miner").agg(F.sum(exact_or_error(F.col("size"), "size")).alias("size"))
-    return top_k(sums, k, "size", "miner")
+    sums = integer_sums(valid, integer_value("size"), "miner")
+    totals = sums.select("miner", integer_total(F.col("limbs")).alias("size"))
+    return top_k(totals.withColumn("_order", integer_order(F.col("size"))), k, "_order", "miner").select("miner", "size")
+
+
+def top_miners(blocks: DataFrame, k: int = TOP_MINERS, on_bad: str = "drop") -> DataFrame:
+    """Q4: :func:`miner_totals` -> (miner, size DECIMAL(38,0)); a listed sum beyond 38 digits is an error."""
+    return _as_decimal(miner_totals(blocks, k, on_bad), "size")
 
 
 def _scam_sums(tx: DataFrame, scams: DataFrame, keys: list[str], on_bad: str, max_broadcast_bytes: int | None) -> DataFrame:
     """Exact value sums of transactions to scams by ``keys`` of (month, id, category).
 
     A list proven small is broadcast once: other transactions are dropped
-    where they are read, and one partial and final aggregate follows.
-    Otherwise transactions are summed per (address, month) first, so that a
-    hot address is one row per task, and the sums meet the list in a shuffle
-    join.  An address listed under several scams counts for each.
+    where they are read, and one partial and final aggregate follows.  A
+    larger list drops what its Bloom filter excludes there; transactions are
+    then summed per (address, month), so that a hot address is one row per
+    task, and the sums meet the list in a shuffle join.  An address listed
+    under several scams counts for each.
     """
     valid = keep_valid(tx, F.col("value_ok"), F.lit(True), on_bad, "value")
-    side, small = broadcast_if_small(scam_addresses(scams), max_broadcast_bytes)
+    side, valid, small = _joined_side(scam_addresses(scams), valid, "to_address", max_broadcast_bytes)
     if not small:
-        valid = valid.groupBy("to_address", "month").agg(
-            F.sum("value_int").alias("value_int"), F.sum("value_frac").alias("value_frac")
-        )
+        valid = valid.groupBy("to_address", "month").agg(*part_sums("value"))
     joined = valid.join(side, valid["to_address"] == side["address"])
-    return joined.groupBy(*keys).agg(*split_sum("value_int", "value_frac", "ether"))
+    return joined.groupBy(*keys).agg(*part_sums("value", "ether"))
 
 
 def scam_month_base(
@@ -149,16 +188,14 @@ def scam_month_base(
 
 
 def top_scams_from_base(base: DataFrame, k: int = TOP_SCAMS) -> DataFrame:
-    totals = base.groupBy("id", "category").agg(
-        F.sum("ether_int").alias("ether_int"), F.sum("ether_frac").alias("ether_frac")
-    )
-    return top_k(totals.select("id", "category", split_total("ether").alias("ether")), k, "ether", "id", "category")
+    totals = base.groupBy("id", "category").agg(*part_sums("ether"))
+    return top_k(totals.select("id", "category", number_total("ether").alias("ether")), k, "ether", "id", "category")
 
 
 def scam_by_month_from_base(base: DataFrame) -> DataFrame:
     rows = base.where(F.col("month").isNotNull())
     return rows.select(
-        month_text(F.col("month")).alias("month"), "id", "category", split_total("ether").alias("ether")
+        month_text(F.col("month")).alias("month"), "id", "category", number_total("ether").alias("ether")
     )
 
 
@@ -167,7 +204,7 @@ def top_scams(
 ) -> DataFrame:
     """Q5: most lucrative scams -> (id, category, ether DOUBLE)."""
     totals = _scam_sums(tx, scams, ["id", "category"], on_bad, max_broadcast_bytes)
-    return top_k(totals.select("id", "category", split_total("ether").alias("ether")), k, "ether", "id", "category")
+    return top_k(totals.select("id", "category", number_total("ether").alias("ether")), k, "ether", "id", "category")
 
 
 def scam_value_by_month(
@@ -191,9 +228,9 @@ def _gas_rows(tx: DataFrame, on_bad: str, need_gas: bool) -> DataFrame:
 def monthly_gas_price(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     """Q7: mean gas price per month, ordered by month *text* -> (month, avg_gas_price)."""
     agg = _gas_rows(tx, on_bad, need_gas=False).groupBy("month").agg(
-        *split_sum("gas_price_int", "gas_price_frac", "gas_price"), F.count(F.lit(1)).alias("n")
+        *part_sums("gas_price"), F.count(F.lit(1)).alias("n")
     )
-    return _text_ordered(agg, split_mean("gas_price", "n").alias("avg_gas_price"))
+    return _text_ordered(agg, number_mean("gas_price", "n").alias("avg_gas_price"))
 
 
 def monthly_contract_gas(
@@ -205,34 +242,24 @@ def monthly_contract_gas(
     transactions ``c`` times.  The contract list is reduced to
     (address, copies), so the join is one to one and the weight multiplies
     partial sums.  If that list is proven small it is broadcast and the
-    transactions are joined where they are read.  Otherwise they are first
-    pre-aggregated per (address, month) - which also defuses a hot address -
-    and only those partial sums are shuffled to the join.
+    transactions are joined where they are read.  Otherwise those that the
+    list's Bloom filter lets through are first pre-aggregated per (address,
+    month) - which also defuses a hot address - and only those partial sums
+    are shuffled to the join.
     """
     rows = _gas_rows(tx, on_bad, need_gas=True)
     listed = contracts.where("well_formed").select("address")
     copies = multiplicity(listed, "address")
-    side, small = broadcast_if_small(copies, max_broadcast_bytes)
+    side, rows, small = _joined_side(copies, rows, "to_address", max_broadcast_bytes)
     if small:
         # Sum per (month, copies) first: the weight multiplies a handful of
         # partial sums instead of every row's DECIMAL value.
-        joined = rows.join(side, rows["to_address"] == side["address"])
-        per_weight = joined.groupBy("month", "copies").agg(
-            F.sum("gas_int").alias("gi"), F.sum("gas_frac").alias("gf"), F.count(F.lit(1)).alias("c")
-        )
-        agg = per_weight.groupBy("month").agg(
-            F.sum(F.col("gi") * F.col("copies")).alias("gas_int"),
-            F.sum(F.col("gf") * F.col("copies")).alias("gas_frac"),
-            F.sum(F.col("c") * F.col("copies")).alias("n"),
-        )
+        joined = rows.join(side, rows["to_address"] == side["address"]).groupBy("month", "copies")
+        weighed = joined.agg(*part_sums("gas"), F.count(F.lit(1)).alias("c"))
     else:
-        per_address = rows.groupBy("to_address", "month").agg(
-            F.sum("gas_int").alias("gi"), F.sum("gas_frac").alias("gf"), F.count(F.lit(1)).alias("c")
-        )
-        joined = per_address.join(copies, per_address["to_address"] == copies["address"])
-        agg = joined.groupBy("month").agg(
-            F.sum(F.col("gi") * F.col("copies")).alias("gas_int"),
-            F.sum(F.col("gf") * F.col("copies")).alias("gas_frac"),
-            F.sum(F.col("c") * F.col("copies")).alias("n"),
-        )
-    return _text_ordered(agg, split_mean("gas", "n").alias("avg_gas"))
+        per_address = rows.groupBy("to_address", "month").agg(*part_sums("gas"), F.count(F.lit(1)).alias("c"))
+        weighed = per_address.join(side, per_address["to_address"] == side["address"])
+    agg = weighed.groupBy("month").agg(
+        *part_sums("gas", times=F.col("copies")), F.sum(F.col("c") * F.col("copies")).alias("n")
+    )
+    return _text_ordered(agg, number_mean("gas", "n").alias("avg_gas"))

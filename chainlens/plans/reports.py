@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.operators.aggregate import split_total
+from chainlens.operators.aggregate import number_total, part_sums
 from chainlens.operators.calendar_grid import category_pivot, year_month_grid, yearly_panels
 from chainlens.operators.ordering import numbered
 from chainlens.operators.topk import ranked
@@ -63,8 +63,8 @@ def scam_pivot_exact(base: DataFrame, categories: Sequence[str] | None = None) -
     cells = (
         base.where(F.col("month").isNotNull())
         .groupBy("month", "category")
-        .agg(F.sum("ether_int").alias("ether_int"), F.sum("ether_frac").alias("ether_frac"))
-        .select(month_text(F.col("month")).alias("month"), "category", split_total("ether").alias("ether"))
+        .agg(*part_sums("ether"))
+        .select(month_text(F.col("month")).alias("month"), "category", number_total("ether").alias("ether"))
     )
     return category_pivot(cells, "ether", categories)
 

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import epoch_seconds, month_start
 from chainlens.functions.parse import (
-    exact_wei,
+    LIMB_DIGITS,
+    LIMB_SUFFIXES,
     field,
-    fraction_part,
-    integer_part,
+    integer_limbs,
     is_digits,
     is_integer_literal,
     is_numeric_like,
+    number_parts,
     split_fields,
-    split_number,
 )
+from chainlens.operators.aggregate import PARTS
 from chainlens.schema import (
     BLOCK_FIELDS,
     BLOCK_HEADER_MARKER,
@@ -60,15 +61,37 @@ def _tx(name: str) -> int:
     return field_index(TRANSACTION_FIELDS, name)
 
 
+def _parts(text: Column, name: str, any_float: bool = False) -> list[Column]:
+    parts = number_parts(text, any_float)
+    return [parts[suffix].alias(f"{name}_{suffix}") for suffix in PARTS]
+
+
+def _long_text(text: Column) -> Column:
+    """Integer text that the columns of its parts don't hold: signed, or of more digits than their limbs."""
+    held = is_digits(text) & (F.length(F.ltrim(text, F.lit("0"))) <= LIMB_DIGITS * len(LIMB_SUFFIXES))
+    return F.when(is_integer_literal(text) & ~held, text)
+
+
+def integer_value(name: str) -> Column:
+    """``int()`` of the column ``name`` of a row that is ``<name>_wei_ok`` / ``<name>_ok``, as limbs of any number."""
+    held = [F.struct(F.lit(k).alias("limb"), F.col(f"{name}_{suffix}").alias("part")) for k, suffix in enumerate(LIMB_SUFFIXES)]
+    text = F.col(f"{name}_text")
+    short = F.when(F.col(f"{name}_{LIMB_SUFFIXES[1]}").isNull(), F.array(held[0])).otherwise(
+        F.filter(F.array(*held), lambda e: e["part"].isNotNull())
+    )
+    return F.when(text.isNull(), short).otherwise(integer_limbs(text))
+
+
 def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Typed transaction columns and rule flags from raw lines.
 
     Flags: ``well_formed`` (15 fields), ``block_ok`` (block number digits),
     ``value_ok`` / ``gas_price_ok`` (numeric-like), ``ts_digits`` /
     ``ts_numeric`` (block time digits / numeric-like).  Conversions:
-    ``value_int`` + ``value_frac`` (float value, exact integer part),
-    ``value_wei`` (int value; ``value_wei_ok`` where ``int()`` takes the
-    text), ``gas_*``, ``gas_price_*``;
+    ``value_*``, ``gas_*``, ``gas_price_*`` (the parts of the float, see
+    :func:`~chainlens.functions.parse.number_parts`); ``value_wei_ok`` where
+    ``int()`` takes the value, ``value_text`` its text where the parts don't
+    hold it (:func:`integer_value`);
     ``block_timestamp`` (``int()`` of the text, so ``-5`` converts where no
     guard stops it, as in Q6) and its UTC ``month``.
     """
@@ -78,23 +101,20 @@ def parse_transactions(lines: DataFrame, line_col: str = "value") -> DataFrame:
     value = field(f, _tx("value"))
     gas_price = field(f, _tx("gas_price"))
     ts = field(f, _tx("block_timestamp"))
-    gas_int, gas_frac, gas_parsed = split_number(field(f, _tx("gas")))
+    gas = field(f, _tx("gas"))
     out = parts.select(
         F.col("_n").alias("n_fields"),
         shape.alias("well_formed"),
         (shape & is_digits(field(f, _tx("block_number")))).alias("block_ok"),
         field(f, _tx("to_address")).alias("to_address"),
         (shape & is_numeric_like(value)).alias("value_ok"),
-        integer_part(value).alias("value_int"),
-        fraction_part(value).alias("value_frac"),
-        exact_wei(value).alias("value_wei"),
-        F.coalesce(is_integer_literal(value), F.lit(False)).alias("value_wei_ok"),
-        gas_int.alias("gas_int"),
-        gas_frac.alias("gas_frac"),
-        gas_parsed.alias("gas_parsed"),
+        *_parts(value, "value"),
+        is_integer_literal(value).alias("value_wei_ok"),
+        _long_text(value).alias("value_text"),
+        *_parts(gas, "gas", any_float=True),
+        number_parts(gas)["parsed"].alias("gas_parsed"),
         (shape & is_numeric_like(gas_price)).alias("gas_price_ok"),
-        integer_part(gas_price).alias("gas_price_int"),
-        fraction_part(gas_price).alias("gas_price_frac"),
+        *_parts(gas_price, "gas_price"),
         (shape & is_digits(ts)).alias("ts_digits"),
         (shape & is_numeric_like(ts)).alias("ts_numeric"),
         epoch_seconds(ts).alias("block_timestamp"),
@@ -113,7 +133,7 @@ def parse_contracts(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def parse_blocks(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """``miner``, ``size`` plus ``well_formed`` (19 fields, not the header) and ``size_ok`` (integer text)."""
+    """``miner``, the limbs of ``size`` plus ``well_formed`` (19 fields, not the header) and ``size_ok`` (integer text)."""
     parts = split_lines(lines, line_col)
     f = F.col("_f")
     size = field(f, field_index(BLOCK_FIELDS, "size"))
@@ -124,8 +144,9 @@ def parse_blocks(lines: DataFrame, line_col: str = "value") -> DataFrame:
             & F.coalesce(field(f, field_index(BLOCK_FIELDS, "hash")) != BLOCK_HEADER_MARKER, F.lit(False))
         ).alias("well_formed"),
         field(f, field_index(BLOCK_FIELDS, "miner")).alias("miner"),
-        F.coalesce(is_integer_literal(size), F.lit(False)).alias("size_ok"),
-        exact_wei(size).alias("size"),
+        is_integer_literal(size).alias("size_ok"),
+        *_parts(size, "size")[: len(LIMB_SUFFIXES)],
+        _long_text(size).alias("size_text"),
     )
 
 

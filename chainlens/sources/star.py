@@ -368,17 +368,57 @@ def _doc(key: Column, entry_json: Column) -> Column:
     ).alias("value")
 
 
+#: Digits behind the varying front of the wide files' whole numbers.
+WIDE_VALUE_DIGITS, WIDE_SIZE_DIGITS = 52, 40
+
+
+def wide_transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per ``lineitem`` row: values of about 60 digits, gas and gas prices with fractions."""
+    li = load_table(spark, sf_dir, "lineitem")
+    return li.select(
+        _line(
+            _tx_fields(
+                hash=F.concat(F.lit("0xw"), li.l_orderkey, F.lit("_"), li.l_linenumber),
+                block_number=li.l_orderkey,
+                to_address=_addr(li.l_suppkey),
+                value=F.concat(
+                    F.round(li.l_extendedprice * 100).cast("bigint"), F.lpad(li.l_partkey.cast("string"), WIDE_VALUE_DIGITS, "0")
+                ),
+                gas=F.concat(li.l_quantity.cast("bigint") * 1000, F.lit("."), F.lpad((li.l_linenumber * 7).cast("string"), 3, "0")),
+                gas_price=F.concat(li.l_partkey, F.lit("."), F.lpad((li.l_linenumber * 1237).cast("string"), 5, "0")),
+                block_timestamp=_epoch(li.l_shipdate),
+            )
+        )
+    )
+
+
+def wide_block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line per order, with block sizes of about 48 digits."""
+    blocks = load_table(spark, sf_dir, "orders")
+    size = F.concat(
+        F.floor(blocks.o_totalprice * 100).cast("string"), F.lpad(blocks.o_orderkey.cast("string"), WIDE_SIZE_DIGITS, "0")
+    )
+    miner = F.concat(F.lit("0xm"), blocks.o_custkey)
+    given = {"number": blocks.o_orderkey, "hash": F.concat(F.lit("0xw"), blocks.o_orderkey), "miner": miner, "size": size}
+    return blocks.select(_line([given.get(name, F.lit("")) for name in BLOCK_FIELDS]))
+
+
 def write_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
     """Write the derived ledger inputs as files, the form real jobs read.
 
     ``transactions``, ``contracts``, ``blocks``: text lines; ``blocks_csv``:
     headed CSV of the valid blocks (the storage profile's input);
-    ``scams``: one JSON document per line.  Returns the paths.
+    ``scams``: one JSON document per line; ``wide_transactions`` and
+    ``wide_blocks``: lines with very long and fractional numbers.  Returns the
+    paths.
     """
-    paths = {name: f"{out_dir}/{name}" for name in ("transactions", "contracts", "blocks", "blocks_csv", "scams")}
+    names = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "wide_transactions", "wide_blocks")
+    paths = {name: f"{out_dir}/{name}" for name in names}
     transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["transactions"])
     contract_lines(spark, sf_dir).write.mode("overwrite").text(paths["contracts"])
     block_lines(spark, sf_dir).write.mode("overwrite").text(paths["blocks"])
     blocks_table(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["blocks_csv"])
     scam_lines(spark, sf_dir).write.mode("overwrite").text(paths["scams"])
+    wide_transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide_transactions"])
+    wide_block_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide_blocks"])
     return paths

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from chainlens.functions.calendar import month_text
-from chainlens.operators.aggregate import split_mean
+from chainlens.operators.aggregate import number_mean
 from chainlens.plans.queries import monthly_base
 from chainlens.sources.ledger import parse_transactions
 
@@ -36,7 +36,7 @@ def monthly_time_analysis(lines: DataFrame) -> DataFrame:
     in any order.
     """
     base = monthly_base(parse_transactions(lines))
-    mean = F.when(F.col("n_value") > 0, split_mean("value", "n_value"))
+    mean = F.when(F.col("n_value") > 0, number_mean("value", "n_value"))
     return base.select(month_text(F.col("month")).alias("month"), "n", mean.alias("avg_value"))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import random
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
 from chainlens.functions.calendar import epoch_seconds, month_start, month_text
-from chainlens.functions.parse import exact_wei, is_digits, is_numeric_like, split_fields, split_number
+from chainlens.functions.parse import integer_limbs, is_digits, is_integer_literal, is_numeric_like, number_parts, split_fields
+from chainlens.operators.aggregate import integer_order, integer_sums, integer_total, number_total, part_sums, total_text
 
 SAMPLES = ["", ".", "-1", "1e5", "1.2.3", "5.", ".5", "007", "12", " 12", "12 ", "1_000", "+3", "0", "0.0", "abc",
            "12\n", "99999999999999999999999999", "1.50"]
@@ -38,28 +43,86 @@ def test_split_keeps_trailing_empty_fields(spark):
     assert sizes == [len("a,b,,".split(",")), len("".split(",")), len('x,"y,z"'.split(","))]
 
 
-def test_split_number_equals_float(spark):
-    texts = ["12", "12.5", ".5", "5.", "007", "1e3", "-7", "84155363699941767867374641"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    i, f, ok = split_number(F.col("t"))
-    for t, (iv, fv, okv) in zip(texts, df.select(i, f, ok).collect()):
-        assert okv
-        assert float(iv) + fv == float(t), t
-    bad = spark.createDataFrame([("abc",), ("1.2.3",), ("",)], "t string")
-    assert [r[0] for r in bad.select(split_number(F.col("t"))[2]).collect()] == [False, False, False]
+def part_columns(t, name="x"):
+    return [c.alias(f"{name}_{k}") for k, c in number_parts(t).items()]
+
+
+def exact_value(row):
+    """The number that a row's parts stand for, without the far part."""
+    parts = [getattr(row, f"x_{k}") for k in ("i0", "i1", "i2")]
+    whole = sum(int(p or 0) * 10 ** (26 * k) for k, p in enumerate(parts))
+    return Fraction(whole) + Fraction(int(row.x_f or 0), 10**26)
 
 
-def test_exact_wei_is_python_int(spark):
-    texts = ["56", "+3", "-5", "007", "84155363699941767867374641", "1e3", "1.0", " 7"]
+def test_number_parts_equal_float(spark):
+    texts = ["12", "12.5", ".5", "5.", "007", "1e3", "-7", "84155363699941767867374641", "-2.5", "1e-3", "+4", "9" * 26, "9" * 27,
+             "1" + "0" * 52 + ".25", "8" * 78, "0" * 90 + "3.0", "999999999999.9", "-0.1", "1e-20", "-99999999999.125", " 7 "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(exact_wei(F.col("t"))).collect()]
-    want = []
-    for t in texts:
-        try:
-            want.append(Decimal(int(t)) if t.strip() == t else None)
-        except ValueError:
-            want.append(None)
-    assert got == want
+    for r in df.select("t", *part_columns(F.col("t"))).collect():
+        assert r.x_parsed and r.x_far is None, r.t
+        assert exact_value(r) == Fraction(r.t.strip()), r.t
+    far = ["9" * 79, "1e11", "-1e30", "NaN", "Infinity"]
+    for r in spark.createDataFrame([(t,) for t in far], "t string").select("t", *part_columns(F.col("t"))).collect():
+        assert r.x_parsed and exact_value(r) == 0 and repr(r.x_far) == repr(float(r.t)), r.t
+    bad = spark.createDataFrame([("abc",), ("1.2.3",), ("",), (None,)], "t string")
+    assert [r[0] for r in bad.select(number_parts(F.col("t"))["parsed"]).collect()] == [False] * 4
+
+
+def test_integer_limbs_are_python_int(spark):
+    texts = ["56", "+3", "-5", "007", "84155363699941767867374641", "9" * 26, "1" + "0" * 26, "-" + "7" * 200, "0", "-0", "+" + "0" * 60]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").where(is_integer_literal(F.col("t")))
+    got = {r[0]: sum(int(e.part) * 10 ** (26 * e.limb) for e in r[1]) for r in df.select("t", integer_limbs(F.col("t"))).collect()}
+    assert got == {t: int(t) for t in texts}
+    others = spark.createDataFrame([("1e3",), ("1.0",), (" 7",), ("",), (None,)], "t string")
+    assert others.where(is_integer_literal(F.col("t"))).count() == 0
+
+
+def test_integer_sums_of_any_length(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(80):
+        top = rng.choice([9, 10**27, 10**38, 10**90])
+        rows += [(k, rng.randrange(-top if k % 3 else 0, top + 1)) for _ in range(rng.randrange(1, 12))]
+        rows += [(k, -rows[-1][1])] * (k % 7 == 0)
+    df = spark.createDataFrame([(k, str(v)) for k, v in rows], "k int, t string").repartition(3)
+    sums = integer_sums(df, integer_limbs(F.col("t")), "k").select("k", integer_total(F.col("limbs")).alias("v"))
+    want = {}
+    for k, v in rows:
+        want[k] = want.get(k, 0) + v
+    found = sums.select("k", "v", integer_order(F.col("v")).alias("up"), integer_order(F.col("v"), True).alias("down")).collect()
+    assert {r.k: r.v for r in found} == {k: str(v) for k, v in want.items()}
+    for key, down in (("up", False), ("down", True)):
+        order = [int(r.v) for r in sorted(found, key=lambda r: tuple(r[key]))]
+        assert order == sorted(want.values(), reverse=down)
+
+
+def random_number(rng):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    return rng.choice(
+        [digits(rng.randrange(1, 31)), f"{digits(rng.randrange(1, 28))}.{digits(rng.randrange(0, 9))}", digits(60), f"-{digits(5)}.{digits(1)}", f"{digits(1)}e{digits(1)}"]
+    )
+
+
+def test_totals_are_exact_and_rounded_once(spark):
+    """The same bits over 1, 3 and 7 partitions, and those of the exact sum."""
+    rng = random.Random(6)
+    rows = [(k, random_number(rng)) for k in range(60) for _ in range(1 + k % 9)]
+    want = {}
+    for k, t in rows:
+        want[k] = want.get(k, 0) + Fraction(t)
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "k int, t string").repartition(parts)
+        totals = df.select("k", *part_columns(F.col("t"))).groupBy("k").agg(*part_sums("x")).select("k", number_total("x").alias("v"))
+        assert dict(map(tuple, totals.collect())) == {k: float(v) for k, v in want.items()}
+
+
+def test_total_text(spark):
+    cases = [
+        ([(0, 5)], "5"), ([(0, -5)], "-5"), ([(1, 1), (0, -1)], "9" * 26), ([(-1, 25 * 10**24), (0, 3)], "3.25"), ([(-1, -(10**25)), (0, 0)], "-0.1"),
+        ([(2, -1), (0, 1)], "-" + "9" * 52), ([(0, 10**37)], "1" + "0" * 37), ([(-1, 3 * 10**26), (0, 0), (1, 0)], "3"), ([(0, 0)], "0"),
+    ]
+    df = spark.createDataFrame([([(k, Decimal(v)) for k, v in c],) for c, _ in cases], "limbs array<struct<limb: int, part: decimal(38,0)>>")
+    assert [r[0] for r in df.select(total_text(F.col("limbs"))).collect()] == [w for _, w in cases]
 
 
 def test_month_key_is_utc_and_zone_independent(spark):
@@ -88,9 +151,6 @@ def _py_float(s):
         return None
 
 
-from hypothesis import given, settings  # noqa: E402
-from hypothesis import strategies as st  # noqa: E402
-
 ALPHABET = "0123456789.+-eE x"
 
 
@@ -99,11 +159,11 @@ ALPHABET = "0123456789.+-eE x"
 def test_rules_match_python_on_random_text(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     t = F.col("t")
-    i, f, ok = split_number(t)
     got = df.select(
-        "t", is_digits(t), is_numeric_like(t), epoch_seconds(t), i.cast("string"), f, ok
+        "t", is_digits(t).alias("d"), is_numeric_like(t).alias("n"), epoch_seconds(t).alias("e"), *part_columns(t)
     ).collect()
-    for text, digits, numeric, epoch, int_part, frac, parsed in got:
+    for r in got:
+        text, digits, numeric, epoch, parsed = r.t, r.d, r.n, r.e, r.x_parsed
         assert digits == python_digits(text), text
         assert numeric == python_numeric_like(text), text
         want_epoch = _py_int(text)
@@ -111,7 +171,8 @@ def test_rules_match_python_on_random_text(spark, texts):
             assert epoch == want_epoch, text
         elif want_epoch is None:
             assert epoch is None, text
-        if numeric:  # integer part exact; the fraction is a double by design
-            assert parsed and float(Decimal(int_part)) + frac == pytest.approx(float(text), rel=1e-15), text
+        if numeric:
+            assert parsed and exact_value(r) == Fraction(text), text
         elif parsed:  # Spark read it as a double: Python must agree
-            assert _py_float(text) == frac, text
+            want = _py_float(text)
+            assert float(exact_value(r)) + (r.x_far or 0.0) == pytest.approx(want, rel=1e-15, abs=1e-26), text

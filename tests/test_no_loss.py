@@ -61,6 +61,44 @@ def test_exact_sums_take_padded_numbers_and_stop_at_longer_ones(spark):
         Q.top_services(tx(spark, (NINES, 1, 1, TIME)), contracts(spark)).collect()
 
 
+def test_sums_of_any_length(spark):
+    values = ["9" * 60, "1", "-" + "3" * 90, "9" * 90, "+" + "0" * 70 + "12", "8" * 38, "8" * 38]
+    rows = tx(spark, *[(v, 1, 1, TIME) for v in values])
+    for bound in (None, 0):
+        got = Q.service_totals(rows, contracts(spark), max_broadcast_bytes=bound).collect()
+        assert [tuple(r) for r in got] == [("0xaa", str(sum(map(int, values))))]
+    # two numbers of 38 digits have a sum that does not fit, and is an error there, not a wrong number
+    with pytest.raises(Exception, match="more than 38 digits"):
+        Q.top_services(tx(spark, ("8" * 38, 1, 1, TIME), ("8" * 38, 1, 1, TIME)), contracts(spark)).collect()
+
+
+def test_order_of_long_and_negative_sums(spark):
+    values = {"0xa": "-5", "0xb": "9" * 60, "0xc": "-" + "9" * 60, "0xd": "0", "0xe": "1" + "0" * 59, "0xf": "77", "0xg": "-05"}
+    lines = [f"h,0,b,1,0,0xf,{a},{v},1,1,0x,{TIME},,," for a, v in values.items()]
+    rows = parse_transactions(spark.createDataFrame([(x,) for x in lines], "value string"))
+    listed = parse_contracts(spark.createDataFrame([(f"{a},,,,,1",) for a in values], "value string"))
+    got = [r.address for r in Q.service_totals(rows, listed).collect()]
+    assert got == sorted(values, key=lambda a: (-int(values[a]), a))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_fractions_add_up_in_any_order(spark, parts):
+    """0.1 + ... as exact decimals, rounded once: the same bits over any partitions."""
+    from fractions import Fraction
+
+    prices = [f"{k % 7}.{k:03d}" for k in range(1, 200)] + ["1e22", "0.1", ".3", "123456789012345678901234567890.7"] * 3
+    gas = [f"{k}.1" for k in range(len(prices))]
+    lines = [f"h,0,b,1,0,0xf,0xaa,{p if 'e' not in p else 1},{g},{p if 'e' not in p else 2},0x,{TIME},,," for p, g in zip(prices, gas)]
+    rows = parse_transactions(spark.createDataFrame([(x,) for x in lines], "value string").repartition(parts))
+    plain = [p if "e" not in p else "2" for p in prices]
+    mean = lambda texts: float(sum(map(Fraction, texts))) / len(texts)
+    assert Q.monthly_gas_price(rows).first().avg_gas_price == mean(plain)
+    assert Q.monthly_contract_gas(rows, contracts(spark)).first().avg_gas == mean(gas)
+    assert Q.monthly_average_value(rows).first().avg_value == mean([p if "e" not in p else "1" for p in prices])
+    total = float(sum(Fraction(p if "e" not in p else "1") for p in prices))
+    assert Q.top_scams(rows, scams(spark, scam_doc())).first().ether == total
+
+
 def test_a_long_number_that_the_rules_drop_stops_nothing(spark):
     bad = parse_transactions(spark.createDataFrame([(f"h,0,b,x,0,0xf,0xaa,{NINES},1,1,0x,1,,,",)], "value string"))
     assert Q.top_services(bad.unionByName(tx(spark, ("4", 1, 1, TIME))), contracts(spark)).first().value == 4

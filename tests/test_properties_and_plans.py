@@ -118,7 +118,7 @@ def test_shuffle_join_path_has_partial_aggregate_before_exchange(spark, files):
     tx = parse_transactions(spark.read.text(files["transactions.csv"]))
     contracts = parse_contracts(spark.read.text(files["contracts.csv"]))
     text = plan_text(Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=0))
-    assert "partial_sum" in text and "BroadcastHashJoin" not in text
+    assert "partial_sum" in text and "BroadcastHashJoin Inner" not in text
 
 
 def test_other_receivers_are_dropped_before_the_sums(spark, files):
@@ -128,7 +128,8 @@ def test_other_receivers_are_dropped_before_the_sums(spark, files):
     tree = plan_text(Q.top_services(tx, contracts)).split("\n\n")[0].splitlines()
     # the tree prints parents first
     join = next(k for k, ln in enumerate(tree) if "BroadcastHashJoin" in ln)
-    assert sum("Aggregate" in ln for ln in tree[:join]) == 2
+    # the partial and final sums by limb, then the limbs of each address
+    assert sum("Aggregate" in ln for ln in tree[:join]) == 4
 
 
 def test_large_side_is_not_hinted(spark):
@@ -149,8 +150,9 @@ def scans(text):
 
 
 def test_every_query_scans_each_input_once(spark, files, tmp_path):
-    """No plan reads an input file twice (a self-join or re-scan would)."""
+    """No plan reads an input file twice (a self-join or re-scan would); what else it reads was stored by the query."""
     from chainlens.plans.catalog import FileInputs
+    from chainlens.session import ensure_checkpoint_dir
 
     paths = {
         "transactions": files["transactions.csv"],
@@ -158,9 +160,65 @@ def test_every_query_scans_each_input_once(spark, files, tmp_path):
         "blocks": files["blocks.csv"],
         "blocks_csv": files["blocks_table.csv"],
         "scams": files["scams.json"],
+        "wide_transactions": files["transactions.csv"],
+        "wide_blocks": files["blocks.csv"],
     }
     names = {path.rsplit("/", 1)[-1] for path in paths.values()}
+    store = ensure_checkpoint_dir(spark)
     for name, make in build(FileInputs(spark, paths)).items():
-        found = scans(plan_text(make()))
-        assert found and set(found) <= names, (name, found)
-        assert len(found) == len(set(found)), (name, found)
+        text = plan_text(make())
+        found = scans(text)
+        places = [ln for ln in text.splitlines() if ln.startswith("Location:")]
+        read = [f for f, place in zip(found, places) if store not in place]
+        assert found and set(read) <= names, (name, found)
+        assert len(read) == len(set(read)), (name, found)
+
+
+def test_a_large_list_filters_transactions_where_they_are_read(spark, files):
+    """The Bloom filter's join stands below the partial sums, and no row of the list is broadcast."""
+    tx = parse_transactions(spark.read.text(files["transactions.csv"]))
+    contracts = parse_contracts(spark.read.text(files["contracts.csv"]))
+    scams = read_scams(spark, files["scams.json"])
+    for df in (
+        Q.top_services(tx, contracts, max_broadcast_bytes=0),
+        Q.top_scams(tx, scams, max_broadcast_bytes=0),
+        Q.scam_value_by_month(tx, scams, max_broadcast_bytes=0),
+        Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=0),
+    ):
+        tree = plan_text(df).split("\n\n")[0].splitlines()
+        # the tree prints parents first
+        semi = next(k for k, ln in enumerate(tree) if "BroadcastHashJoin LeftSemi" in ln)
+        outer = next(k for k, ln in enumerate(tree) if "SortMergeJoin" in ln or "ShuffledHashJoin" in ln)
+        between = tree[outer:semi]
+        assert sum("Aggregate" in ln for ln in between) >= 2 and any("Exchange" in ln for ln in between)
+        assert sum("BroadcastHashJoin" in ln for ln in tree) == 1
+
+
+def test_the_filter_passes_all_listed_and_few_others(spark):
+    from chainlens.operators.bloom import bloom_filter, maybe_listed
+
+    listed = spark.range(20_000).select(F.concat(F.lit("0xs"), F.col("id") * 3).alias("address")).union(spark.createDataFrame([(None,)], "address string"))
+    rows = spark.range(60_000).select(F.concat(F.lit("0xs"), "id").alias("to"), "id").union(spark.createDataFrame([(None, -1)], "to string, id long"))
+    left = [r.id for r in maybe_listed(rows, "to", listed, "address").collect()]
+    assert {k for k in range(60_000) if k % 3 == 0} <= set(left)
+    assert len(left) == len(set(left)) and len(left) < 20_000 + 0.03 * 40_000
+    table, words = bloom_filter(listed, "address")
+    assert table.count() <= words <= 16 * 20_000 / 64 * 2 * 1.1
+    # with too few words for the list, nothing is tested
+    assert bloom_filter(listed, "address", max_words=64) is None
+    assert maybe_listed(rows, "to", listed, "address", max_words=64).count() == 60_001
+    none = listed.limit(0)
+    assert maybe_listed(rows, "to", none, "address").count() == 0
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_large_and_small_lists_give_equal_results(spark, base, bound):
+    lines, contracts, scams, expected = base
+    tx = parse_transactions(lines_df(spark, lines, 3))
+    got = {
+        "q3": Q.top_services(tx, contracts, max_broadcast_bytes=bound).collect(),
+        "q5": Q.top_scams(tx, scams, max_broadcast_bytes=bound).collect(),
+        "q6": sorted(Q.scam_value_by_month(tx, scams, max_broadcast_bytes=bound).collect()),
+        "q8": Q.monthly_contract_gas(tx, contracts, max_broadcast_bytes=bound).collect(),
+    }
+    assert got == {k: expected[k] for k in got}

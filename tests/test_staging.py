@@ -31,5 +31,5 @@ def test_staged_scan_reads_few_columns_with_pushed_filters(spark, files, tmp_pat
 
     text = plan_text(Q.monthly_transaction_count(read_staged(spark, staged["transactions"])))
     schema_line = next(ln for ln in text.splitlines() if ln.startswith("ReadSchema"))
-    assert "to_address" not in schema_line and "value_int" not in schema_line
+    assert "to_address" not in schema_line and "value_i0" not in schema_line
     assert "PushedFilters" in text and "ts_digits" in text.split("PushedFilters")[1].split("\n")[0]
