@@ -78,33 +78,36 @@ def number_parts(text: Column, any_float: bool = True) -> dict[str, Column]:
 
     Text that Spark reads as a double though it is not numeric-like (``1e3``,
     ``-7``) has signed parts, rounded to 26 digits behind the point.
-    ``any_float=False`` is for columns that a rule holds to numeric-like text:
-    other text has no parts there.
+    ``any_float=False`` is for columns that a rule holds to numeric-like text;
+    the parts of other text mean nothing there, and there is no ``parsed``.
     """
-    numeric = is_numeric_like(text)
-    head = _head(text)
-    size = F.length(head)
-    fits = numeric & (size <= LIMBS * LIMB_DIGITS)
+    head, point = _head(text), F.instr(text, ".") > 0
+    size, length = F.length(head), F.length(text)
+    most = LIMBS * LIMB_DIGITS
+    # short whole numbers, by far the most, need no look at their digits
     low = F.when(size > LIMB_DIGITS, _digits_of_limb(head, 0)).otherwise(F.when(size == 0, "0").otherwise(head))
-    parts = {"i0": F.when(fits, low.try_cast(WEI))}
+    parts = {"i0": F.when((length <= LIMB_DIGITS) & ~point, text.try_cast(WEI)).when(size <= most, low.try_cast(WEI))}
     for k in range(1, LIMBS):
-        parts[f"i{k}"] = F.when(fits & (size > k * LIMB_DIGITS), _digits_of_limb(head, k).try_cast(WEI))
+        held = (length > k * LIMB_DIGITS) & (size > k * LIMB_DIGITS) & (size <= most)
+        parts[f"i{k}"] = F.when(held, _digits_of_limb(head, k).try_cast(WEI))
     behind = F.rpad(F.substring(F.substring_index(text, ".", -1), 1, LIMB_DIGITS), LIMB_DIGITS, "0").try_cast(WEI)
-    parts["f"] = F.when(fits & (F.instr(text, ".") > 0), behind)
+    parts["f"] = F.when(point & (size <= most), behind)
+    parts["far"] = F.when((length > most) & (size > most), text.try_cast("double"))
     if not any_float:
-        parts["far"] = F.when(numeric & ~fits, text.try_cast("double"))
-        parts["parsed"] = numeric
         return parts
-    as_double = text.try_cast("double")
-    near = F.coalesce(~numeric & (F.abs(as_double) < F.lit(1e11)), F.lit(False))
+    numeric = is_numeric_like(text)
+    as_long, as_double = text.try_cast("bigint"), text.try_cast("double")
+    near = F.abs(as_double) < F.lit(1e11)
     fixed = F.coalesce(text.try_cast(_FIXED), as_double.try_cast(_FIXED))
     whole = F.when(fixed < 0, F.ceil(fixed)).otherwise(F.floor(fixed)).cast(WEI)
     rest = fixed - whole.try_cast(_FIXED)
     shifted = (rest * F.lit("1" + "0" * LIMB_DIGITS).cast(DecimalType(LIMB_DIGITS + 1, 0))).cast(WEI)
-    parts["i0"] = F.coalesce(parts["i0"], F.when(near, whole))
-    parts["f"] = F.coalesce(parts["f"], F.when(near & (rest != 0), shifted))
-    parts["far"] = F.when(~fits & ~near, as_double)
-    parts["parsed"] = numeric | as_double.isNotNull()
+    signed = {"i0": F.when(near, whole), "f": F.when(near & (rest != 0), shifted), "far": F.when(~F.coalesce(near, F.lit(False)), as_double)}
+    rare = {suffix: F.when(numeric, part).otherwise(signed.get(suffix, F.lit(None))) for suffix, part in parts.items()}
+    # a whole number that fits a long is looked at no further
+    parts = {suffix: F.when(as_long.isNull(), part) for suffix, part in rare.items()}
+    parts["i0"] = F.coalesce(as_long.cast(WEI), rare["i0"])
+    parts["parsed"] = as_long.isNotNull() | numeric | as_double.isNotNull()
     return parts
 
 

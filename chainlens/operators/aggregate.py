@@ -16,54 +16,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from chainlens.functions.parse import LIMB_DIGITS, LIMB_SUFFIXES, WEI
 
 #: Suffixes of a number's columns, and the limbs of all but the last.
 PARTS = (*LIMB_SUFFIXES, "f", "far")
 _LIMB_OF = {**{name: k for k, name in enumerate(LIMB_SUFFIXES)}, "f": -1}
-_BASE_TYPE = DecimalType(LIMB_DIGITS + 1, 0)
-
-
-def _base() -> Column:
-    return F.lit("1" + "0" * LIMB_DIGITS).cast(_BASE_TYPE)
+_BASE = f"cast('1{"0" * LIMB_DIGITS}' as decimal({LIMB_DIGITS + 1}, 0))"
 
 
 # ---- numbers in columns: <name>_i0, _i1, _i2, _f, _far ----
 
 
-def part_sums(name: str, alias: str | None = None, only: Column | None = None, times: Column | None = None) -> list[Column]:
+def part_sums(name: str, alias: str | None = None, only: str | None = None, times: str | None = None) -> list[Column]:
     """Aggregates that sum the columns of ``name``, as columns of ``alias``.
 
-    ``only`` restricts the rows that count; ``times`` weighs them.
+    ``only`` names a flag of the rows that count, ``times`` a column that
+    weighs them.  Parts that few numbers have are summed behind a filter, so
+    that other rows leave their sums untouched.
     """
     out = []
     for suffix in PARTS:
-        part = F.col(f"{name}_{suffix}")
-        if times is not None:
-            part = part * times
-        if only is not None:
-            part = F.when(only, part)
-        out.append(F.sum(part).alias(f"{alias or name}_{suffix}"))
+        part = f"`{name}_{suffix}`"
+        tests = [f"{part} is not null"] * (suffix != "i0") + [f"`{only}`"] * (only is not None)
+        kept = f" filter (where {' and '.join(tests)})" if tests else ""
+        weight = f" * `{times}`" if times else ""
+        out.append(F.expr(f"sum({part}{weight}){kept}").alias(f"{alias or name}_{suffix}"))
     return out
 
 
-def limb_array(name: str) -> Column:
-    """The limbs of ``name``'s summed columns as one array."""
-    entry = lambda k, c: F.struct(F.lit(k).alias("limb"), F.coalesce(F.col(c), F.lit(0)).cast(WEI).alias("part"))
-    return F.array(*[entry(k, f"{name}_{suffix}") for suffix, k in _LIMB_OF.items()])
+def limb_array(name: str) -> str:
+    """The limbs of ``name``'s summed columns as one array (SQL text)."""
+    entries = [f"named_struct('limb', {k}, 'part', coalesce(`{name}_{suffix}`, 0))" for suffix, k in _LIMB_OF.items()]
+    return f"array({', '.join(entries)})"
 
 
 def number_total(name: str) -> Column:
     """DOUBLE of the summed columns of ``name``, rounded once; NULL without rows."""
-    i0, far = F.col(f"{name}_i0"), F.col(f"{name}_far")
-    plain = F.lit(True)
-    for suffix in _LIMB_OF:
-        if suffix != "i0":
-            plain = plain & (F.coalesce(F.col(f"{name}_{suffix}"), F.lit(0)) == 0)
-    exact = F.when(plain, i0.cast("double")).otherwise(total_text(limb_array(name)).cast("double"))
-    return F.when(far.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + far)
+    plain = " and ".join(f"coalesce(`{name}_{suffix}`, 0) = 0" for suffix in _LIMB_OF if suffix != "i0")
+    exact = f"case when {plain} then cast(`{name}_i0` as double) else cast({total_text(limb_array(name))} as double) end"
+    far = f"`{name}_far`"
+    return F.expr(f"case when {far} is null then {exact} else coalesce({exact}, 0d) + {far} end")
 
 
 def number_mean(name: str, count_col: str) -> Column:
@@ -83,75 +76,48 @@ def integer_sums(df: DataFrame, limbs: Column, *keys: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.collect_list(F.struct("limb", "part")).alias("limbs"))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
+# The expressions below are SQL text: each is parsed at once, where Column
+# operations would go to the JVM one by one.  ``transform(array(v), n -> ...)[0]``
+# computes v once, however often the body names it.
 
 
-def _carried(parts: Column, limbs: Column, sign: Column) -> Column:
+def _carried(parts: str, order: str, sign: str) -> str:
     """``(carry, digits)`` of the limbs times ``sign``, from the lowest up, 26 digits a limb."""
-    base = _base()
-
-    def add(state: Column, k: Column) -> Column:
-        x = (F.coalesce(F.try_element_at(parts, k), F.lit(0).cast(WEI)) * sign).cast(WEI) + state["carry"]
-        split = F.struct(x.alias("x"), F.pmod(x, base).cast(WEI).alias("rest"))
-        return _let(
-            split,
-            lambda s: F.struct(
-                ((s["x"] - s["rest"]) / base).cast(WEI).alias("carry"),
-                F.concat(F.lpad(s["rest"].cast("string"), LIMB_DIGITS, "0"), state["digits"]).alias("digits"),
-            ),
-        )
+    zero = "named_struct('carry', cast(0 as decimal(38, 0)), 'digits', '')"
+    x = f"cast(coalesce(try_element_at({parts}, k), 0) * {sign} as decimal(38, 0)) + s.carry"
+    carry = f"cast((t.x - t.rest) / {_BASE} as decimal(38, 0))"
+    digits = f"concat(lpad(cast(t.rest as string), {LIMB_DIGITS}, '0'), s.digits)"
+    rest = f"cast(pmod({x}, {_BASE}) as decimal(38, 0))"
+    step = f"transform(array(named_struct('x', {x}, 'rest', {rest})), t -> named_struct('carry', {carry}, 'digits', {digits}))[0]"
+    return f"aggregate({order}, {zero}, (s, k) -> {step})"
 
-    zero = F.struct(F.lit(0).cast(WEI).alias("carry"), F.lit("").alias("digits"))
-    return F.aggregate(limbs, zero, add)
 
-
-def _trimmed(digits: Column, behind: Column) -> Column:
+def _trimmed(digits: str, behind: str) -> str:
     """Decimal text of digits, the last ``behind`` of them after the point, without needless zeros."""
-
-    def text(d: Column) -> Column:
-        pieces = F.struct(
-            F.ltrim(F.substring(d, F.lit(1), F.length(d) - behind), F.lit("0")).alias("whole"),
-            F.rtrim(F.substring(d, F.length(d) - behind + 1, behind), F.lit("0")).alias("fraction"),
-        )
-        return _let(
-            pieces,
-            lambda p: F.concat(
-                F.when(p["whole"] == "", "0").otherwise(p["whole"]), F.when(p["fraction"] == "", "").otherwise(F.concat(F.lit("."), p["fraction"]))
-            ),
-        )
-
-    return _let(digits, text)
-
-
-def total_text(limbs: Column) -> Column:
-    """The number that an array of (limb, part) adds up to, as decimal text of any length."""
-
-    def text(bound: Column) -> Column:
-        parts, low, high = bound["parts"], bound["low"], bound["high"]
-        order = F.sequence(low, high)
-        behind = -low * F.lit(LIMB_DIGITS)
-        one = F.lit(1).cast(WEI)
-        return _let(
-            _carried(parts, order, one),
-            lambda c: F.when(c["carry"] >= 0, _trimmed(F.concat(c["carry"].cast("string"), c["digits"]), behind)).otherwise(
-                _let(
-                    _carried(parts, order, -one),
-                    lambda n: F.concat(F.lit("-"), _trimmed(F.concat(n["carry"].cast("string"), n["digits"]), behind)),
-                )
-            ),
-        )
-
-    keys = F.transform(limbs, lambda e: e["limb"])
-    low, high = F.least(F.array_min(keys), F.lit(0)), F.greatest(F.array_max(keys), F.lit(0))
-    return _let(F.struct(F.map_from_entries(limbs).alias("parts"), low.alias("low"), high.alias("high")), text)
-
-
-def integer_total(limbs: Column) -> Column:
-    """As :func:`total_text`, at once where a sum has one limb that fits."""
-    single = (F.size(limbs) == 1) & (limbs[0]["limb"] == 0)
-    return F.when(single, limbs[0]["part"].cast("string")).otherwise(total_text(limbs))
+    whole = f"ltrim('0', substring(d, 1, length(d) - {behind}))"
+    fraction = f"rtrim('0', substring(d, length(d) - {behind} + 1, {behind}))"
+    text = "concat(if(p.whole = '', '0', p.whole), if(p.fraction = '', '', concat('.', p.fraction)))"
+    pieces = f"transform(array(named_struct('whole', {whole}, 'fraction', {fraction})), p -> {text})[0]"
+    return f"transform(array({digits}), d -> {pieces})[0]"
+
+
+def total_text(limbs: str) -> str:
+    """The number that an array of (limb, part) adds up to, as decimal text of any length.  SQL text in and out."""
+    order, behind = "sequence(b.low, b.high)", f"(-b.low * {LIMB_DIGITS})"
+    one = "cast(1 as decimal(38, 0))"
+    above = _trimmed("concat(cast(c.carry as string), c.digits)", behind)
+    below = _trimmed("concat(cast(m.carry as string), m.digits)", behind)
+    negative = f"transform(array({_carried('b.parts', order, '-' + one)}), m -> concat('-', {below}))[0]"
+    text = f"transform(array({_carried('b.parts', order, one)}), c -> if(c.carry >= 0, {above}, {negative}))[0]"
+    keys = f"transform({limbs}, e -> e.limb)"
+    bounds = f"'low', least(array_min({keys}), 0), 'high', greatest(array_max({keys}), 0)"
+    return f"transform(array(named_struct('parts', map_from_entries({limbs}), {bounds})), b -> {text})[0]"
+
+
+def integer_total(limbs: str) -> Column:
+    """As :func:`total_text` of a column, at once where a sum has one limb that fits."""
+    single = f"size({limbs}) = 1 and {limbs}[0].limb = 0"
+    return F.expr(f"case when {single} then cast({limbs}[0].part as string) else {total_text(limbs)} end")
 
 
 def integer_order(text: Column, descending: bool = False) -> Column:

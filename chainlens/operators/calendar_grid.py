@@ -82,8 +82,11 @@ def yearly_panels(
     on write to get one panel per year.
     """
     d = _dated(monthly, month_col)
-    out = d.select(F.col("_year").alias("year"), F.col("_date").alias("month"), F.col(value_col))
     dropped = list(drop_years)
+    # the year stands behind a one-element explode: a filter on it would be pushed
+    # through the aggregate, and the month's text made and parsed for every input row
+    year = F.explode(F.array("_year")) if dropped else F.col("_year")
+    out = d.select(year.alias("year"), F.col("_date").alias("month"), F.col(value_col))
     if dropped:
         out = out.where(~F.col("year").isin(dropped))
     return out.orderBy("year", "month")

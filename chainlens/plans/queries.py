@@ -48,11 +48,10 @@ def monthly_base(tx: DataFrame, on_bad: str = "drop") -> DataFrame:
     computed.
     """
     valid = keep_valid(tx, F.col("ts_digits"), F.col("block_timestamp").isNotNull(), on_bad, "block_timestamp")
-    q2_row = F.col("value_ok")
     return valid.groupBy("month").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count(F.when(q2_row, F.lit(1))).alias("n_value"),
-        *part_sums("value", only=q2_row),
+        F.count_if("value_ok").alias("n_value"),
+        *part_sums("value", only="value_ok"),
     )
 
 
@@ -119,7 +118,7 @@ def service_totals(
     else:
         received = valid.withColumn("receiver", F.col("to_address"))
         sums = integer_sums(received, integer_value("value"), "receiver").join(side, F.col("receiver") == side["address"])
-    totals = sums.select("address", "copies", integer_total(F.col("limbs")).alias("value"))
+    totals = sums.select("address", "copies", integer_total("limbs").alias("value"))
     best = top_k(totals.withColumn("_order", integer_order(F.col("value"))), k, "_order", "address")
     repeats = F.array_repeat(F.lit(0), F.least(F.col("copies"), F.lit(k)).cast("int"))
     expanded = best.select("address", "value", "_order", F.explode(repeats).alias("_copy"))
@@ -149,7 +148,7 @@ def miner_totals(blocks: DataFrame, k: int = TOP_MINERS, on_bad: str = "drop") -
     """Q4 with sums of any length: miners with the largest total block size -> (miner, size as decimal text)."""
     valid = keep_valid(blocks, F.col("well_formed"), F.col("size_ok"), on_bad, "size")
     sums = integer_sums(valid, integer_value("size"), "miner")
-    totals = sums.select("miner", integer_total(F.col("limbs")).alias("size"))
+    totals = sums.select("miner", integer_total("limbs").alias("size"))
     return top_k(totals.withColumn("_order", integer_order(F.col("size"))), k, "_order", "miner").select("miner", "size")
 
 
@@ -260,6 +259,6 @@ def monthly_contract_gas(
         per_address = rows.groupBy("to_address", "month").agg(*part_sums("gas"), F.count(F.lit(1)).alias("c"))
         weighed = per_address.join(side, per_address["to_address"] == side["address"])
     agg = weighed.groupBy("month").agg(
-        *part_sums("gas", times=F.col("copies")), F.sum(F.col("c") * F.col("copies")).alias("n")
+        *part_sums("gas", times="copies"), F.sum(F.col("c") * F.col("copies")).alias("n")
     )
     return _text_ordered(agg, number_mean("gas", "n").alias("avg_gas"))

@@ -23,6 +23,8 @@ BASE_CONF: dict[str, str] = {
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Call sites in messages cost several driver calls for each Column operation.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
