@@ -372,6 +372,7 @@ FROM addr""",
     }
     w = _WIDE_TX.strip()
     sql |= {
+        "q6_array_round_trip": sql["q6_scam_by_month"],
         "q3_large_list": sql["q3_top_services"],
         "q5_large_list": sql["q5_top_scams"],
         "q6_large_list": sql["q6_scam_by_month"],

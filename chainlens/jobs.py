@@ -6,7 +6,7 @@ Questions that share an input are answered from one pass over it:
 
 * ``time``     Q1 + Q2 from one aggregate of the transactions;
 * ``services`` Q3;            ``miners`` Q4;
-* ``scams``    Q5 + Q6 from one (month, scam) aggregate; Q6 as JSON lines;
+* ``scams``    Q5 + Q6 from one (month, scam) aggregate; Q6 as JSON lines and as one array in many parts;
 * ``gas``      Q7 and Q8;
 * ``overhead`` Q9 + Q10 from one profile of the blocks table;
 * ``reports``  Q11-Q18 from the result files of the other jobs;
@@ -34,7 +34,16 @@ from chainlens.operators.ordering import write_ordered
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
 from chainlens.session import build_session, s3a_conf
-from chainlens.sinks.results import json_text, read_json_array, run_stamp, write_csv, write_json_array, write_rows_json
+from chainlens.sinks.results import (
+    json_text,
+    read_json_array,
+    read_long_json_array,
+    run_stamp,
+    write_csv,
+    write_json_array,
+    write_rows_json,
+    write_scam_months,
+)
 from chainlens.sources.ledger import (
     ON_BAD_CHOICES,
     read_blocks,
@@ -147,9 +156,13 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         top = Q.top_scams_from_base(base).withColumn("_key", F.array("id", "category"))
         put_json(top, "top_scams", [json_text(top, "_key"), json_text(top, "ether")],
                  [-F.col("ether"), F.col("id"), F.col("category")])
-        # months x scams: as large as the list, so written by all tasks
+        # months x scams: as large as the list, so written by all tasks; as lines, and as the reference's one array
         path = f"{out}/scam_value_by_month_{stamp}"
-        write_rows_json(Q.scam_by_month_from_base(base), path)
+        by_month = Q.scam_by_month_from_base(base)
+        write_rows_json(by_month, path)
+        written.append(path)
+        path = f"{out}/ether_against_time_{stamp}"
+        write_scam_months(by_month, path)
         written.append(path)
         base.unpersist()
         put_rejects(seen)
@@ -174,8 +187,8 @@ def run_job(spark: SparkSession, job: str, args: argparse.Namespace) -> list[str
         def rows(name: str, kind: str = "array<string>") -> DataFrame:
             return read_json_array(spark, result_path(spark, src, name, args.results_run_id), kind)
 
-        scam_months = result_path(spark, src, "scam_value_by_month", args.results_run_id)
-        by_month = spark.read.schema("month string, id string, category string, ether double").json(scam_months)
+        scam_months = result_path(spark, src, "ether_against_time", args.results_run_id)
+        by_month = R.scam_months_from_rows(read_long_json_array(spark, scam_months))
         tables = {
             "count_grid": R.count_grid(R.counts_from_rows(rows("monthly_counts"))),
             "average_grid": R.average_grid(R.averages_from_rows(rows("monthly_averages", "string"))),

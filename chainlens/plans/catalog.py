@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.operators import profile
+from chainlens.operators.stored import stored_path
 from chainlens.plans import queries as Q
 from chainlens.plans import reports as R
 from chainlens.session import ensure_checkpoint_dir
+from chainlens.sinks.results import read_long_json_array, write_scam_months
 from chainlens.sources import star
 from chainlens.sources.ledger import (
     parse_blocks,
@@ -136,6 +138,13 @@ class StagedInputs(FileInputs):
         return read_staged(self.spark, self.staged["blocks"])
 
 
+def _array_round_trip(by_month: DataFrame) -> DataFrame:
+    """Q6 as the reference stores it - one JSON array, here in many parts - and read back."""
+    path = stored_path(by_month.sparkSession, "ether-against-time")
+    write_scam_months(by_month, path)
+    return R.scam_months_from_rows(read_long_json_array(by_month.sparkSession, path))
+
+
 def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame]]:
     i = inputs
     q = {
@@ -146,6 +155,7 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
         "q5_top_scams": lambda: Q.top_scams(i.tx, i.scams),
         "q6_scam_by_month": lambda: Q.scam_value_by_month(i.tx, i.scams),
         "q6_by_ether": lambda: R.scam_months_by_ether(Q.scam_value_by_month(i.tx, i.scams)),
+        "q6_array_round_trip": lambda: _array_round_trip(Q.scam_value_by_month(i.tx, i.scams)),
         "q7_monthly_gas_price": lambda: Q.monthly_gas_price(i.tx),
         "q8_contract_gas": lambda: Q.monthly_contract_gas(i.tx, i.contracts),
         "q9_column_space": lambda: profile.column_space(i.blocks_table),

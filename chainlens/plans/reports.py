@@ -119,6 +119,18 @@ def top_from_rows(rows: DataFrame, key: str, value: str, value_type: str) -> Dat
     return rows.select(F.get(item, 0).alias(key), F.get(item, 1).cast(value_type).alias(value))
 
 
+def scam_months_from_rows(rows: DataFrame) -> DataFrame:
+    """Q6 from ``[[["09/2016", ["5622", "Scamming"]], 1.67e+22], ...]`` (read as array<string>) -> (month, id, category, ether)."""
+    key = F.from_json(F.get(F.col("item"), 0), "array<string>")
+    scam = F.from_json(F.get(key, 1), "array<string>")
+    return rows.select(
+        F.get(key, 0).alias("month"),
+        F.get(scam, 0).alias("id"),
+        F.get(scam, 1).alias("category"),
+        F.get(F.col("item"), 1).cast("double").alias("ether"),
+    )
+
+
 def scams_from_rows(rows: DataFrame) -> DataFrame:
     """Q15 from ``[[["5622", "Scamming"], 1.67e+22], ...]`` -> (scam_id, scam_type, ether)."""
     key = F.from_json(F.get(F.col("item"), 0), "array<string>")

@@ -4,11 +4,15 @@ Two forms are offered:
 
 * row files (``write_rows_json`` / ``write_csv``): written in parallel by
   the executors, one part file per partition - the form for any size;
-* the reference's single JSON array per result (``json_array`` /
-  ``write_json_array`` / ``read_json_array``): one document holding every
-  row, e.g. ``[["09/2018", 16056742], ...]``.  It necessarily passes
-  through one task, so it is for results that are bounded by what they are:
-  top-k lists and one row per month.
+* the reference's single JSON array per result, one document holding every
+  row, e.g. ``[["09/2018", 16056742], ...]``:
+
+  - ``write_json_array`` / ``read_json_array``: one line, through one task,
+    for results that are bounded by what they are (top-k lists, one row per
+    month), and for the reference's own files;
+  - ``write_long_json_array`` / ``read_long_json_array``: any size.  The part
+    files, one after the other, are the array; every element has a line of its
+    own, so many tasks write it, and many read it back.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
+from chainlens.functions.calendar import parse_month_text
+from chainlens.operators.stored import stored
+
 
 def run_stamp(now=None) -> str:
     """Time-stamped result suffix as in the reference (``%d-%m-%Y_%H_%M_%S``)."""
@@ -58,6 +65,60 @@ def write_json_array(df: DataFrame, path: str, elements: list[Column], order: li
     json_array(df, elements, order).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_long_json_array(df: DataFrame, path: str, elements: list[Column], order: list[Column], partitions: int | None = None) -> None:
+    """Write ``df`` as one JSON array, rows in ``order``, by many tasks.
+
+    ``order`` are columns to sort by, ascending, as in :func:`json_array`.
+    Part files in the order of their names make up the document: ``[`` and the
+    first element, then ``, `` and an element a line, then ``]``.  A range of
+    ``order`` is one part, and no task or row holds more.  Rows that tie come
+    in any order; an empty result is ``[]``.
+    """
+    spark = df.sparkSession
+    item = elements[0] if len(elements) == 1 else F.concat(F.lit("["), F.concat_ws(", ", *elements), F.lit("]"))
+    keys = [f"_k{i}" for i in range(len(order))]
+    items = stored(
+        df.select(item.alias("_item"), *[o.alias(k) for k, o in zip(keys, order, strict=True)]).withColumn(
+            "_id", F.monotonically_increasing_id()
+        ),
+        "json-array",
+    )
+    first = items.orderBy(*keys, "_id").select("_id").first()
+    if first is None:
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    opening = F.when(F.col("_id") == first[0], "[").otherwise(", ")
+    lines = items.select(F.lit(0).alias("_end"), *keys, "_id", F.concat(opening, "_item").alias("value"))
+    nothing = [F.lit(None).cast(items.schema[k].dataType).alias(k) for k in (*keys, "_id")]
+    end = spark.range(1).select(F.lit(1).alias("_end"), *nothing, F.lit("]").alias("value"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort = ["_end", *keys, "_id"]
+    placed = lines.unionByName(end).repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+    placed.select("value").write.mode("overwrite").text(path)
+
+
+def write_scam_months(by_month: DataFrame, path: str) -> None:
+    """Q6 (month, id, category, ether) as one array ``[[["09/2016", ["5622", "Scamming"]], 1.67E22], ...]``, by month, id and category."""
+    shaped = by_month.select(F.array("id", "category").alias("_scam"), "month", "id", "category", "ether")
+    key = F.concat(F.lit("["), json_text(shaped, "month"), F.lit(", "), json_text(shaped, "_scam"), F.lit("]"))
+    order = [parse_month_text(F.col("month")), F.col("id"), F.col("category")]
+    write_long_json_array(shaped, path, [key, json_text(shaped, "ether")], order)
+
+
+def read_long_json_array(spark: SparkSession, path: str | list[str], element_type: str = "array<string>") -> DataFrame:
+    """Rows (column ``item``) of an array with an element a line, as :func:`write_long_json_array` writes it.
+
+    Lines are read and parsed on their own, so a large document is split over
+    tasks.  A line that is no element stops the job.
+    """
+    lines = spark.read.text(path)
+    element = F.regexp_replace("value", r"^(\[|, )", "")
+    texts = lines.where(~F.col("value").isin("]", "[]", "")).select(element.alias("_text"))
+    # parsed as an array of one, so that elements of any type are read alike
+    parsed = F.from_json(F.concat(F.lit("["), "_text", F.lit("]")), f"array<{element_type}>", {"mode": "FAILFAST"})
+    return texts.select(F.get(parsed, 0).alias("item"))
+
+
 def read_json_array(spark: SparkSession, path: str | list[str], element_type: str = "array<string>") -> DataFrame:
     """Rows of JSON-array result files, one row per element (column ``item``).
 
