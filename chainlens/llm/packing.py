@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import id_text, staged
+from chainlens.llm.common import id_text, if_small, staged
 from chainlens.llm.tokenize import default_vocabulary, encoder, text_batches
 
 PIECE_SCHEMA = "part int, slot long, doc_id {id}, start long, length int, doc_tokens long, ids binary"
@@ -193,7 +193,9 @@ def placed(pieces: DataFrame, window: int = 1024) -> DataFrame:
             f["offset"] = offset[row]
             yield f
 
-    joined = pieces.join(base.select("part", "length", "base"), ["part", "length"])
+    # a row per task and length; beyond a broadcast, ids stay where they are and the place alone travels
+    ranks = if_small(base.select("part", "length", "base"), row_bytes=16)
+    joined = pieces.join(ranks, ["part", "length"])
     schema = joined.drop("base").schema.add("sequence_id", "long").add("offset", "long")
     return joined.mapInPandas(look_up, schema)
 

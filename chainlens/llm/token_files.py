@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,18 @@ from pyspark.sql import functions as F
 
 from chainlens.llm.common import id_text, shuffle_partitions, staged
 from chainlens.llm.huffman import MAX_BITS, Codebook, code_lengths
-from chainlens.llm.tokenize import default_vocabulary, encoder, text_batches
+from chainlens.llm.tokenize import default_vocabulary, encoder, forget_encoders, text_batches
 
 #: A task decodes this many ids side by side.
 DECODE_IDS = 1_000_000
+#: Documents whose ids are counted at once.
+COUNT_ROWS = 256
 #: Sampled rows a shard that its bounds are taken from.
 SAMPLE_ROWS = 50
 
 
 def tokenized(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit, the end id last), staged."""
+    """``doc_id, n_tokens, tie, ids`` (little-endian unsigned 32-bit, the end id last; ``tie`` their crc32), staged."""
     path = vocabulary or default_vocabulary()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -48,22 +51,26 @@ def tokenized(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None) -
                 flat = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * 4
                 binary = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                bytes_of, bounds = memoryview(flat).cast("B"), ends.tolist()
+                ties = [crc32(bytes_of[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), binary.cast(pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(ties, pa.int64()), binary.cast(pa.binary())],
+                    names=["doc_id", "n_tokens", "tie", "ids"],
                 )
 
-    return staged(docs.mapInArrow(encode, f"doc_id {id_type}, n_tokens long, ids binary"), "tokens")
+    return staged(docs.mapInArrow(encode, f"doc_id {id_type}, n_tokens long, tie long, ids binary"), "tokens")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
     """``id, n``: how often each id occurs in the corpus.  A task sends a row per id it met."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         totals = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                n = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
+            for start in range(0, batch.num_rows, COUNT_ROWS):
+                values = batch.column(0).slice(start, COUNT_ROWS)
+                n = np.bincount(np.frombuffer(b"".join(values.to_pylist()), "<u4"))
                 if len(n) > len(totals):
                     totals = np.pad(totals, (0, len(n) - len(totals)))
                 totals[: len(n)] += n
@@ -82,7 +89,7 @@ def shard_bounds(tokens: DataFrame, shards: int) -> list[tuple]:
 
     They only even out the shards' sizes; any bounds give the same corpus.
     """
-    keys = tokens.select("doc_id", F.crc32("ids").alias("tie"))
+    keys = tokens.select("doc_id", "tie")
     share = min(1.0, SAMPLE_ROWS * shards / max(1, tokens.count()))
     sample = sorted(_order_key(*r) for r in keys.sample(share, seed=1).collect())
     return sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else []
@@ -117,23 +124,24 @@ def write_token_files(
     bounds = shard_bounds(tokens, shards)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         book = Codebook(ids, lengths)
         for batch in batches:
-            keys = map(_order_key, batch.column(0).to_pylist(), batch.column(3).to_pylist())
-            out = [book.encode(np.frombuffer(v.as_buffer(), "<u4").astype(np.int64)) for v in batch.column(2)]
+            keys = map(_order_key, batch.column(0).to_pylist(), batch.column(2).to_pylist())
+            out = [book.encode(np.frombuffer(v.as_buffer(), "<u4").astype(np.int64)) for v in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([bisect_right(bounds, key) for key in keys], pa.int32()),
-                    batch.column(3),
+                    batch.column(2),
                     pa.array([p for p, _ in out], pa.binary()),
                     pa.array([c for _, c in out], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n_tokens", "shard", "tie", "payload", "checkpoints"],
             )
 
-    coded = tokens.withColumn("tie", F.crc32("ids")).mapInArrow(
+    coded = tokens.mapInArrow(
         encode, f"doc_id {id_type}, n_tokens long, shard int, tie long, payload binary, checkpoints array<long>"
     )
 
@@ -184,6 +192,7 @@ def read_token_files(spark: SparkSession, path: str, id_type: str = "bigint") ->
     lengths = np.array([r["bits"] for r in counts], np.int64)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         book = Codebook(symbols, lengths)
         for batch in batches:
             n = batch.column(2).to_numpy()

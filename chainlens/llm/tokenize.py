@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that a worker remembers, at about 150 bytes each; beyond, those met once are forgotten.
-MEMORY_PIECES = 800_000
+#: Bytes of pieces that a worker remembers; beyond, those met least are forgotten.
+MEMORY_BYTES = 80 << 20
 #: Characters encoded at once; bounds a task's memory, not its result.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_500_000
+#: About what a remembered piece takes: its text and its entry in a dictionary; and a list place in the arrays beside.
+PIECE_BYTES = 200
 
 # Latin letters, the same in every Unicode version, and one full stop or comma behind them; a line may follow with its first word.
 _LETTERS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)"
@@ -31,6 +33,8 @@ _WORD = re.compile(f"{_LETTERS}(?:\n{_LETTERS})?")
 # A byte-level vocabulary spells unprintable bytes as the characters from U+0100 on, in ascending order.
 _UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _SPELLED = {b: 256 + n for n, b in enumerate(_UNPRINTABLE)}
+# the space, and the letters beyond ASCII that _LETTERS takes, as a byte-level vocabulary spells their bytes
+_SPELLED_LETTERS = {c: chr(c).encode().decode("latin-1").translate(_SPELLED) for c in (32, *range(0xC0, 0x250))}
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -44,12 +48,12 @@ def default_vocabulary() -> str:
 class PieceEncoder:
     """Encodes lists of texts into one flat id array and its offsets."""
 
-    def __init__(self, path: str, memory_pieces: int = MEMORY_PIECES):
+    def __init__(self, path: str, memory_bytes: int = MEMORY_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memory_pieces = memory_pieces
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memory_pieces = max(2, memory_bytes // PIECE_BYTES)
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.normalizer
         if self.byte_level:
             self.tokenizer.model._resize_cache(0)  # pieces are remembered here
@@ -87,8 +91,7 @@ class PieceEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _encode_word(self, space: str, word: str) -> list[int]:
-        spelled = (space + word).encode().decode("latin-1").translate(_SPELLED)
-        return [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return [t.id for t in self.tokenizer.model.tokenize((space + word).translate(_SPELLED_LETTERS))]
 
     def _encode_mark(self, mark: str) -> list[int]:
         if mark not in self.marks:
@@ -137,7 +140,7 @@ class PieceEncoder:
         arrays = (self.start, self.size, self.edge, self.met)
         self.start, self.size, self.edge, self.met = (self._room(a, n + len(pieces)) for a in arrays)
         self.met[n : n + len(pieces)] = 0
-        self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
         ends = self.used + np.cumsum(sizes, dtype=np.int64)
         self.start[n : n + len(pieces)] = ends - sizes
         self.size[n : n + len(pieces)] = sizes
@@ -152,7 +155,7 @@ class PieceEncoder:
         if not self.byte_level:
             encoded = self._encode(texts)
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded], dtype=np.int64)])
-            return np.fromiter((i for e in encoded for i in e), np.uint32, int(offsets[-1])), offsets
+            return np.fromiter(chain.from_iterable(encoded), np.uint32, int(offsets[-1])), offsets
         if len(self.index) > self.memory_pieces:
             self._forget()
         words: list[str] = []
@@ -179,6 +182,8 @@ class PieceEncoder:
         odd = np.add.reduceat((inner | outer).astype(np.int64), first) > 0 if len(texts) else np.zeros(0, bool)
         size = self.size[at].astype(np.int64)
         per_text = np.add.reduceat(size, first) if len(texts) else np.zeros(0, np.int64)
+        for token in self.special:
+            odd |= np.fromiter((token in text for text in texts), bool, len(texts))
         if odd.any():
             size[np.repeat(odd, counts)] = 0
             whole = self._encode([texts[k] for k in np.flatnonzero(odd).tolist()])
@@ -204,6 +209,11 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """Free the encoders of this worker, before a step that needs none of them."""
+    _ENCODERS.clear()
+
+
 def text_batches(texts: list[str], most: int = BATCH_CHARS):
     """``(from, to)`` ranges of texts with about ``most`` characters each; a longer text stands alone."""
     start = held = 0

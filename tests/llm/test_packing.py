@@ -16,7 +16,6 @@ def encoded(text):
 
     if not hasattr(encoded, "tokenizer"):
         encoded.tokenizer = Tokenizer.from_file(default_vocabulary())
-        encoded.tokenizer.encode_special_tokens = True
     return encoded.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -109,6 +108,31 @@ def test_capacity_tree(held, least):
 @given(st.lists(st.text(alphabet=" \n\t ab'.,1é日\x85", max_size=30), max_size=6))
 def test_pieces_give_the_library_s_ids(texts):
     if not hasattr(test_pieces_give_the_library_s_ids, "encoder"):
-        test_pieces_give_the_library_s_ids.encoder = PieceEncoder(default_vocabulary(), memory_pieces=50)
+        test_pieces_give_the_library_s_ids.encoder = PieceEncoder(default_vocabulary(), memory_bytes=10_000)
     ids, offsets = test_pieces_give_the_library_s_ids.encoder.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encoded(t) for t in texts]
+
+
+def test_special_tokens_have_the_ids_of_a_plain_encode(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_vocabulary())
+    text = "before <|endoftext|> after<|endoftext|>"
+    ids = plain.encode(text, add_special_tokens=False).ids
+    assert ids.count(50256) == 2
+    got = pack_documents(spark.createDataFrame([(1, text), (2, "no such token")], "doc_id long, text string")).collect()
+    assert [np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got if r.doc_id == 1] == [[*ids, 0]]
+
+
+def test_memory_of_pieces_is_bounded_in_bytes():
+    """Many distinct words: the encoder keeps no more than its bytes allow, and its ids stay the library's."""
+    import random
+
+    rng = random.Random(1)
+    encoder = PieceEncoder(default_vocabulary(), memory_bytes=200_000)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(7)) for _ in range(100)) for _ in range(20)]
+        before = len(encoder.index)
+        ids, offsets = encoder.encode(texts)
+        assert before <= encoder.memory_pieces + 2 * 2000
+        assert ids[offsets[3] : offsets[4]].tolist() == encoded(texts[3])
