@@ -21,7 +21,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of pieces that a worker remembers; beyond, those met least are forgotten.
-MEMORY_BYTES = 80 << 20
+MEMORY_BYTES = 144 << 20
 #: Characters encoded at once; bounds a task's memory, not its result.
 BATCH_CHARS = 1_500_000
 #: About what a remembered piece takes: its text and its entry in a dictionary; and a list place in the arrays beside.
