@@ -7,10 +7,11 @@ matching prefix, then all trees ascend together, one bit at a time, until the
 vectors below the matched prefixes are enough.  These candidates are scored
 exactly, in double precision, and each block's best are merged by query.
 
-How many candidates are enough is measured in every block: a bounded sample of
-its queries is compared with brute force, and the smallest budget that finds
-``TARGET`` of their neighbours there is used.  So the budget follows the data
-and the recall does not hang on a constant.  Every vector is indexed.
+How many candidates are enough is measured in every block: two bounded samples
+of its queries, drawn by a hash of the id over all of them, are compared with
+brute force, and the smallest budget that finds ``TARGET`` of the neighbours of
+the first is raised until it does so for the second.  So the budget follows the
+data, also where ids follow them.  Every vector is indexed.
 
 Largest inner product is searched as in Neyshabur and Srebro (2015): vectors
 get one more component that makes their norms equal, queries a zero.
@@ -30,7 +31,7 @@ from chainlens.llm.common import staged
 TREES, HASH_BITS = 64, 32
 #: Vectors and queries of a task.
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
-#: Recall that the sample has to reach in its block, and the sample's size.
+#: Recall that each sample has to reach in its block, and a sample's size.
 TARGET, SAMPLE = 0.96, 64
 NEIGHBOURS = 20
 _SEED = 20
@@ -94,6 +95,14 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def hashed_order(ids: np.ndarray) -> np.ndarray:
+    """Places of ``ids`` by a hash of the id, so that any stretch of it is spread over all ids."""
+    mixed = ids.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return np.argsort(mixed ^ (mixed >> np.uint64(31)), kind="stable")
+
+
 def search_block(
     ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = NEIGHBOURS, target: float = TARGET
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -108,27 +117,27 @@ def search_block(
         at = best_of(scores, ids[rows], k)
         return rows[at], scores[at]
 
-    budget = None
+    everyone, budget, spread = np.arange(len(ids)), budgets[0], hashed_order(query_ids)
+    for sample in (spread[:SAMPLE], spread[SAMPLE : 2 * SAMPLE]):
+        first, last = forest.ranges(queries[sample])
+        truth = [set(best(q, everyone)[0].tolist()) for q in sample]
+        wanted = sum(map(len, truth))
+        for budget in budgets[budgets.index(budget) :]:
+            depth = forest.depths(first, last, budget)
+            found = sum(
+                len(truth[n] & set(best(q, forest.candidates(first[depth[n], :, n], last[depth[n], :, n]))[0].tolist()))
+                for n, q in enumerate(sample)
+            )
+            if found >= target * wanted or budget > forest.trees * len(ids):
+                break
     for a in range(0, len(queries), 512):
         part = queries[a : a + 512]
         first, last = forest.ranges(part)
-        if budget is None:
-            tried = range(min(SAMPLE, len(part)))
-            truth = {q: set(best(a + q, np.arange(len(ids)))[0].tolist()) for q in tried}
-            wanted = sum(map(len, truth.values()))
-            for budget in budgets:
-                depth = forest.depths(first[:, :, : len(tried)], last[:, :, : len(tried)], budget)
-                found = sum(
-                    len(truth[q] & set(best(a + q, forest.candidates(first[depth[q], :, q], last[depth[q], :, q]))[0].tolist()))
-                    for q in tried
-                )
-                if found >= target * wanted or budget > forest.trees * len(ids):
-                    break
         depth = forest.depths(first, last, max(budget, k + 1))
         for q in range(len(part)):
             rows = forest.candidates(first[depth[q], :, q], last[depth[q], :, q])
             if (ids[rows] != query_ids[a + q]).sum() < k:  # trees that overlap may hold fewer than their slices add up to
-                rows = np.arange(len(ids))
+                rows = everyone
             yield a + q, *best(a + q, rows)
 
 

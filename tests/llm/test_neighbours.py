@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainlens.llm.neighbours import Forest, best_of, nearest_neighbours
+from chainlens.llm.neighbours import Forest, best_of, hashed_order, nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -43,6 +43,28 @@ def test_recall_and_scores(spark, n, block_rows, query_rows):
     assert hit / total >= 0.9
 
 
+def test_recall_where_ids_follow_the_data(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 64)) * 4
+    tight = centres[np.arange(2000) // 100] + rng.standard_normal((2000, 64)) * 0.1
+    vectors = np.concatenate([tight, rng.standard_normal((6000, 64))]).astype(np.float32)
+    df = frame(spark, vectors.tolist())
+    got: dict[int, set] = {}
+    for r in nearest_neighbours(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = {q: len(got[q] & {i for i, _ in brute(np.arange(8000), vectors, q)}) / 20 for q in range(0, 8000, 20)}
+    assert sum(recall.values()) / len(recall) >= 0.95
+    assert np.mean([x for q, x in recall.items() if q >= 2000]) >= 0.9
+
+
+def test_hashed_order_spreads_ids():
+    ids = np.arange(0, 100_000, 20)
+    order = hashed_order(ids)
+    assert sorted(order) == list(range(len(ids)))
+    assert 0.35 < np.mean(order[:128] < len(ids) / 2) < 0.65
+    assert hashed_order(np.empty(0, np.int64)).tolist() == []
+
+
 def test_ties_bad_vectors_and_equal_rows(spark):
     same = [1.0, 2.0, 3.0]
     odd = [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [], [1.0, 2.0]]
