@@ -373,6 +373,8 @@ FROM addr""",
     w = _WIDE_TX.strip()
     sql |= {
         "q6_array_round_trip": sql["q6_scam_by_month"],
+        "scam_rows_one_document": sql["scam_rows"],
+        "q5_one_document": sql["q5_top_scams"],
         "q3_large_list": sql["q3_top_services"],
         "q5_large_list": sql["q5_top_scams"],
         "q6_large_list": sql["q6_scam_by_month"],

@@ -99,7 +99,7 @@ def main() -> None:
     scratch = scratch.removeprefix("file:")
     prefix = f"ledger-{re.sub(r'[^A-Za-z0-9_.-]', '_', sf_dir)}-{_code_tag()}"
     base = _folder(scratch, prefix)
-    names = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "wide_transactions", "wide_blocks")
+    names = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "scams_document", "wide_transactions", "wide_blocks")
     paths = {n: f"{base}/{n}" for n in names}
     t0 = time.time()
     if not _complete(paths):

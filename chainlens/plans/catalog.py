@@ -32,7 +32,7 @@ from chainlens.sources.ledger import (
     read_transactions,
     rule_counts,
 )
-from chainlens.sources.scam_list import parse_scams, read_scams
+from chainlens.sources.scam_list import parse_scams, read_long_scams, read_scams
 from chainlens.sources.staging import read_staged
 
 # The view's last calendar year is partial, like 2019 in the reference.
@@ -67,6 +67,10 @@ class LedgerInputs:
 
     has_wide = True
 
+    @cached_property
+    def long_scams(self) -> DataFrame:
+        return self.scams  # a long document needs a file
+
     @cached_property
     def wide_tx(self) -> DataFrame:
         return parse_transactions(star.wide_transaction_lines(self.spark, self.sf_dir))
@@ -102,9 +106,13 @@ class FileInputs:
     def scams(self) -> DataFrame:
         return read_scams(self.spark, self.paths["scams"])
 
+    @cached_property
+    def long_scams(self) -> DataFrame:
+        return read_long_scams(self.spark, self.paths["scams_document"])
+
     @property
     def has_wide(self) -> bool:
-        return "wide_transactions" in self.paths
+        return "wide_transactions" in self.paths and "scams_document" in self.paths
 
     @cached_property
     def wide_tx(self) -> DataFrame:
@@ -184,6 +192,8 @@ def build(inputs: LedgerInputs | FileInputs) -> dict[str, Callable[[], DataFrame
     }
     if i.has_wide:
         q |= {
+            "scam_rows_one_document": lambda: i.long_scams,
+            "q5_one_document": lambda: Q.top_scams(i.tx, i.long_scams),
             "q2_long_values": lambda: Q.monthly_average_value(i.wide_tx),
             "q3_long_values": lambda: Q.service_totals(i.wide_tx, i.contracts),
             "q4_long_sizes": lambda: Q.miner_totals(i.wide_blocks),

@@ -12,7 +12,7 @@ from chainlens.sources.ledger import (
     read_transactions,
     rule_counts,
 )
-from chainlens.sources.scam_list import parse_scams, read_scams
+from chainlens.sources.scam_list import parse_scams, read_long_scams, read_scams
 from chainlens.sources.staging import read_staged, stage, stage_ledger
 
 __all__ = [
@@ -25,6 +25,7 @@ __all__ = [
     "read_blocks_table",
     "read_contracts",
     "read_lines",
+    "read_long_scams",
     "read_scams",
     "read_staged",
     "read_transactions",

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from chainlens.functions.parse import is_digits
 from chainlens.schema import SCAM_FIELDS, SCAM_RECODE
+from chainlens.sources.long_document import split_documents
 
 # Every entry value is kept as its JSON text, so numbers, nulls and the
 # nested address list all survive parsing.
@@ -42,6 +43,15 @@ def read_scams(spark: SparkSession, path: str | list[str], multiline: bool = Fal
     return parse_scams(spark.read.text(path, wholetext=multiline))
 
 
+def read_long_scams(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Scam rows from documents of any length, each read and parsed by many tasks.
+
+    Takes what ``read_scams`` takes in either form, in plain text files; see
+    ``split_documents`` for what stops the job besides the rules above.
+    """
+    return parse_scams(split_documents(spark, path))
+
+
 def _str(entry: Column, key: str) -> Column:
     """Python ``str(entry[key])``; NULL when the key is absent."""
     return F.when(

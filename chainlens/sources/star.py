@@ -362,6 +362,16 @@ def scam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier_docs.unionByName(region_docs)
 
 
+def scam_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scams.json as one document on one line: texts to be written one after the other, with blanks between."""
+    entry = F.regexp_extract("value", r'(?s)^\{"success": true, "result": \{(.*)\}\}$', 1)
+    entries = scam_lines(spark, sf_dir).select(F.lit(1).alias("at"), F.concat(entry, F.lit(",")).alias("value"))
+    # an entry that the reader's rules drop, so that every comma stands before one
+    last = '"0xnone": {"id": "", "name": "", "url": "", "coin": "", "category": "", "addresses": [], "status": ""}}, "total": 0}'
+    ends = spark.createDataFrame([(0, '{"success": true, "result": {'), (2, last)], "at int, value string")
+    return entries.unionByName(ends).coalesce(1).sortWithinPartitions("at").select("value")
+
+
 def _doc(key: Column, entry_json: Column) -> Column:
     return F.concat(
         F.lit('{"success": true, "result": {"'), key, F.lit('": '), entry_json, F.lit("}}")
@@ -408,17 +418,19 @@ def write_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[s
 
     ``transactions``, ``contracts``, ``blocks``: text lines; ``blocks_csv``:
     headed CSV of the valid blocks (the storage profile's input);
-    ``scams``: one JSON document per line; ``wide_transactions`` and
+    ``scams``: one JSON document per line; ``scams_document``: one document on
+    one line; ``wide_transactions`` and
     ``wide_blocks``: lines with very long and fractional numbers.  Returns the
     paths.
     """
-    names = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "wide_transactions", "wide_blocks")
+    names = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "scams_document", "wide_transactions", "wide_blocks")
     paths = {name: f"{out_dir}/{name}" for name in names}
     transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["transactions"])
     contract_lines(spark, sf_dir).write.mode("overwrite").text(paths["contracts"])
     block_lines(spark, sf_dir).write.mode("overwrite").text(paths["blocks"])
     blocks_table(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["blocks_csv"])
     scam_lines(spark, sf_dir).write.mode("overwrite").text(paths["scams"])
+    scam_document(spark, sf_dir).write.mode("overwrite").option("lineSep", " ").text(paths["scams_document"])
     wide_transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide_transactions"])
     wide_block_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide_blocks"])
     return paths
