@@ -87,6 +87,13 @@ def test_equal_keys_stay_apart_as_when_parsed_whole(spark, tmp_path):
     assert got == rows(read_scams(spark, str(tmp_path))) and len(got) in (3, 6)
 
 
+def test_objects_in_an_array_behind_the_entries(spark, tmp_path):
+    rng = random.Random(6)
+    doc = document(rng, 0, 8) | {"list": [{"a": "}"}, {"b": [1]}], "last": {"c": 1}}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    assert rows(read_long_scams(spark, str(tmp_path))) == rows(read_scams(spark, str(tmp_path)))
+
+
 ENTRY = '{"id":1,"name":"n","url":"u","coin":"c","category":"Scam","addresses":["0xaa"],"status":null}'
 
 
@@ -103,6 +110,7 @@ ENTRY = '{"id":1,"name":"n","url":"u","coin":"c","category":"Scam","addresses":[
         (f'{{"result":{{"a":{ENTRY},"b":{ENTRY},}}}}', "(?i)malformed"),
         (f'{{"result":{{"a":{ENTRY},"b":{ENTRY.replace("u", "|").replace("|", chr(92) + "}", 1)}}}}}', "(?i)malformed|ends inside|closes more"),
         (f'{{"other":{{"a":{ENTRY},"b":{ENTRY}}}}}', "outside of 'result'"),
+        (f'{{"list":[{{"x":1}}],"result":{{"a":{ENTRY}}}}}', "outside of 'result'"),
         ('{"success": true}', "with 'result'"),
         ('{"result":{"a":{"id":1}}}', "scam entry without"),
         (f'{{"result":{{"a":{ENTRY},"b":{{"id":1}}}}}}', "scam entry without"),
