@@ -182,7 +182,7 @@ def remove_repeated_bytes(
     symbols = ByteStrings(length)
     columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
     marked = repeated_spans(docs.select(*columns), symbols, id_col, text_col)
-    at, spans_at = marked.columns.index(text_col), marked.columns.index("__spans")
+    at, spans_at = columns.index(text_col), len(columns)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

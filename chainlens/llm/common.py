@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,18 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from the columns ``taken``; Spark ignores case."""
+    held = {c.lower() for c in taken}
+
+    def free(name: str) -> str:
+        while name.lower() in held:
+            name = f"_{name}"
+        return name
+
+    return [free(n) for n in names]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

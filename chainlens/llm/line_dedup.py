@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import if_small, shuffle_partitions, staged
+from chainlens.llm.common import free_names, if_small, shuffle_partitions, staged
 from chainlens.llm.components import connected_components
 from chainlens.llm.tokenize import text_batches
 
@@ -389,6 +389,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     Columns of the input that have the new names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed")]
+    own_id, own_text, gone, split = free_names(kept, "__id", "__text", "__gone", "__lines")
     lines = line_table(docs, id_col, text_col)
     cells = candidate_cells(lines)
     wanted = if_small(staged(cells.select("line").distinct(), "line-candidates"), row_bytes=16)
@@ -420,27 +421,26 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     removed = staged(
         repeated.join(if_small(first, row_bytes=48), "class")
         .where(~F.col("at").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
-        .agg(F.collect_set("line_no").alias("__gone")),
+        .groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_text))
+        .agg(F.collect_set("line_no").alias(gone)),
         "line-removed",
     )
     joined = docs.select(*kept).join(
-        if_small(removed, bytes_of=F.lit(40) + 4 * F.size("__gone")),
-        F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")),
+        if_small(removed, bytes_of=F.lit(40) + 4 * F.size(gone)),
+        F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_text)),
         "left",
     )
-    split = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    n_lines = F.coalesce(F.size("__lines"), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    n_lines = F.coalesce(F.size(split), F.lit(0))
     return (
-        joined.withColumn("__lines", split)
+        joined.withColumn(split, F.split(F.col(text_col), "\n", -1))
         .withColumn(
             "kept_text",
-            F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
-                F.array_join(F.transform(stay, lambda k: F.get("__lines", k)), "\n")
+            F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(
+                F.array_join(F.transform(stay, lambda k: F.get(split, k)), "\n")
             ),
         )
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long"))
-        .withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
         .select(*kept, "kept_text", "n_lines", "n_removed")
     )

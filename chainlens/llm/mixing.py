@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import staged
+from chainlens.llm.common import free_names, staged
 
 MAX_REPETITION = 1.5
 STEPS = 40
@@ -188,13 +188,14 @@ def mix_documents(
     )
     totals = staged(light.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-sources")
     mixture = temperature(totals, max_repetition, budget_tokens, target_entropy)
-    cuts = staged(_cuts(light, mixture.sources, seed), "mix-cuts").select(*[F.col(c).alias(f"__{c}") for c in ("name", "passes", "whole", "cut")])
-    small = (cuts.agg(F.sum(F.coalesce(F.length("__name"), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    joined = docs.select(*kept).join(F.broadcast(cuts) if small else cuts, F.col(source_col).eqNullSafe(F.col("__name")))
-    taken = F.col("__whole") + F.when(pass_order(F.col(id_col), F.col("__whole"), seed) <= F.col("__cut"), 1).otherwise(0)
-    used = joined.withColumn("__uses", taken).where("__uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("__uses") - 1).cast("int"))))
+    name, passes, whole, cut, uses = free_names(docs.columns, "__name", "__passes", "__whole", "__cut", "__uses")
+    cuts = staged(_cuts(light, mixture.sources, seed), "mix-cuts").toDF(name, passes, whole, cut)
+    small = (cuts.agg(F.sum(F.coalesce(F.length(name), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = docs.select(*kept).join(F.broadcast(cuts) if small else cuts, F.col(source_col).eqNullSafe(F.col(name)))
+    taken = F.col(whole) + F.when(pass_order(F.col(id_col), F.col(whole), seed) <= F.col(cut), 1).otherwise(0)
+    used = joined.withColumn(uses, taken).where(F.col(uses) > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col(uses) - 1).cast("int"))))
     order = pass_order(F.col(id_col), F.col("epoch"), seed)
-    progress = (F.col("epoch") + F.col("mix_order") / F.lit(float(1 << HASH_BITS))) / F.col("__passes")
+    progress = (F.col("epoch") + F.col("mix_order") / F.lit(float(1 << HASH_BITS))) / F.col(passes)
     return (
         used.withColumn("mix_order", order)
         .withColumn("mix_block", F.least(F.floor(progress * mix_blocks), F.lit(mix_blocks - 1)).cast("int"))

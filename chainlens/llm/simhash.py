@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlens.llm.common import id_text, if_small, shuffle_partitions, staged
+from chainlens.llm.common import free_names, id_text, if_small, shuffle_partitions, staged
 from chainlens.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -264,11 +264,12 @@ def one_of_each_component(
     Of rows that share that id, and in a component without ids, the smallest as
     a struct of all columns stays.
     """
-    rows = staged(fingerprinted(docs, "__fingerprint", shingle_words, text_col), "fingerprinted")
-    prints = rows.select(F.col(id_col).alias("doc_id"), F.col("__fingerprint").alias("fingerprint"))
+    fingerprint, component, least_id, row = free_names(docs.columns, "__fingerprint", "__component", "__component_id", "__row")
+    rows = staged(fingerprinted(docs, fingerprint, shingle_words, text_col), "fingerprinted")
+    prints = rows.select(F.col(id_col).alias("doc_id"), F.col(fingerprint).alias("fingerprint"))
     names = staged(named_components(prints, max_bits), "component-names").select(
-        *[F.col(c).alias(f"__{c}") for c in ("fingerprint", "component", "component_id")]
+        F.col("fingerprint").alias(fingerprint), F.col("component").alias(component), F.col("component_id").alias(least_id)
     )
-    first = rows.join(if_small(names, row_bytes=40), "__fingerprint").where(F.col(id_col).eqNullSafe(F.col("__component_id")))
-    one = first.groupBy("__component").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return one.select("__row.*")
+    first = rows.join(if_small(names, row_bytes=40), fingerprint).where(F.col(id_col).eqNullSafe(F.col(least_id)))
+    one = first.groupBy(component).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return one.select(f"{row}.*")

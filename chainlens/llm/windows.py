@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import if_small, shuffle_partitions, staged
+from chainlens.llm.common import free_names, if_small, shuffle_partitions, staged
 from chainlens.llm.tokenize import text_batches
 
 #: Distinct contents of a group that go to one task together, and levels of splitting.
@@ -408,7 +408,9 @@ def marked_contents(contents: DataFrame, symbols: Symbols) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, symbols: Symbols, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__spans``: the symbols that repeated windows cover, as ascending ``(start, end)``, or null if there are none."""
+    """``docs`` with one column more, the last: the symbols that repeated windows cover, as ascending ``(start, end)``,
+    or null if there are none.  The new column has a name that ``docs`` doesn't use."""
+    row, covered = free_names(docs.columns, "__row", "__spans")
     rows = _rows(docs, id_col, text_col)
     contents = run_contents(rows, repeated_runs(rows, symbols), symbols)
     marks = marked_contents(contents, symbols)
@@ -417,19 +419,19 @@ def repeated_spans(docs: DataFrame, symbols: Symbols, id_col: str = "doc_id", te
         for batch in batches:
             spans = [merged_spans(m, symbols.length) for m in batch.column(1).to_pylist()]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["__row", "__spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=[row, covered])
 
     by_row = (
         contents.select("content", "row", "start")
         .join(marks, "content")
         .groupBy("row")
         .agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("start"), "marks")).alias("marks"))
-        .mapInArrow(joined, "__row long, __spans array<struct<start: bigint, end: bigint>>")
+        .mapInArrow(joined, f"{row} long, {covered} array<struct<start: bigint, end: bigint>>")
     )
     by_row = staged(by_row, "document-spans")
     name = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    small = if_small(by_row, bytes_of=F.lit(24) + 16 * F.size("__spans"))
-    return docs.join(small, name == F.col("__row"), "left").drop("__row")
+    small = if_small(by_row, bytes_of=F.lit(24) + 16 * F.size(covered))
+    return docs.join(small, name == F.col(row), "left").drop(row)
 
 
 def merged_spans(marks: list[dict], length: int) -> list[dict]:

@@ -52,4 +52,5 @@ def clashing(docs):
 
     names = "part slot start length doc_tokens ids sequence_id offset score predicted fingerprint component_id line keys row"
     names += " n_lines n_removed kept_text n_words spans kept epoch mix_block mix_order words tokens line_no class"
+    names += " __id __text __gone __lines ___gone __fingerprint __component __component_id __row __spans __name __passes __whole __CUT __uses"
     return docs.select("*", *[F.lit("x").alias(n) for n in names.split()])

@@ -70,8 +70,9 @@ def test_components(request, rows, frame):
     assert Counter((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in got) == expected(rows)
 
 
-def test_one_row_of_each_component(spark, docs, rows, no_docs):
-    want = expected(rows)
+@pytest.mark.parametrize("frame", ["docs", "clashing"])
+def test_one_row_of_each_component(request, rows, no_docs, frame):
+    docs, want = request.getfixturevalue(frame), expected(rows)
     got = one_of_each_component(docs)
     assert got.columns == docs.columns
     have = got.collect()
