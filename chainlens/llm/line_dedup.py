@@ -6,19 +6,22 @@
 2. Lines that share a band key form a bucket.  Buckets travel as packed arrays,
    16 bytes an entry.  Equal buckets of several bands are verified once.
 3. The texts of bucketed lines are fetched, and the exact Jaccard similarity of
-   their shingle sets decides (``similarity`` or more links).  In a bucket,
-   lines already in one class aren't compared again.  The lines of a key with
+   their shingle sets decides (``similarity`` or more links).  The lines of a key with
    more than ``CELL`` are dealt out evenly and compared with ``LEADERS`` of them,
    round by round: by the triangle inequality of the Jaccard distance a line is
    done once all that may link to it are in the class of a leader it is in.  What
-   is above ``CELL`` lines after ``ROUNDS`` is split into pairs of parts, each a
-   task's work, so no link is lost.
+   is above ``CELL`` lines after ``ROUNDS`` is dealt to cells of a shared rare
+   shingle (prefix filtering, which is exact), so that lines of one template that
+   differ elsewhere don't meet.  Only where a rare shingle of so many lines is
+   shared by more than ``CELL`` of them is a cell split into pairs of parts, each
+   a task's work, so no link is lost.
 4. Links are joined by :func:`connected_components`; of every class of lines
    the first occurrence, by document id and line number, stays.
 
 Lines are known by the XXH64 of their text (seed 42), as Spark's ``xxhash64``.
-With 4 rows a band and 8 bands a pair at the threshold of 0.8 shares a band
-with probability 0.985, one at 0.9 with 0.9998.
+With 4 rows a band and 14 bands a pair at the threshold of 0.8 shares a band
+with probability 0.9993, one at 0.9 with 0.999999.  One changed character costs
+up to ``SHINGLE`` shingles, so it leaves lines from 49 characters on linked.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from chainlens.llm.common import free_names, if_small, shuffle_partitions, stage
 from chainlens.llm.components import connected_components
 from chainlens.llm.tokenize import text_batches
 
-SHINGLE = 8
-SLOTS, BANDS = 32, 8
+SHINGLE = 5
+SLOTS, BANDS = 56, 14
 SIMILARITY = 0.8
 #: Lines of a bucket that one task compares.
 CELL = 2048
@@ -45,6 +48,8 @@ LEADERS, ROUNDS = 8, 4
 SENT_BYTES, DEALT = 8 << 20, 256
 #: Bytes of packed entries that a task collects.
 BUCKET_BYTES = 32 << 20
+#: Characters of the cells that a task compares at once (a larger cell goes alone), and shingles met at once.
+VERIFIED_CHARS, COMPARED = 500_000, 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -61,7 +66,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
     short = [line + "\n" * (SHINGLE - len(line)) if len(line) < SHINGLE else line for line in lines]
     text = np.frombuffer("".join(short).encode("utf-32-le"), "<u4").astype(np.uint64)
     h = (text + np.uint64(1)) * _ODD[0]
-    for step, odd in ((1, _ODD[1]), (2, _ODD[2]), (4, _ODD[3])):
+    # over 2, 4 and 5 characters
+    for step, odd in ((1, _ODD[1]), (2, _ODD[2]), (1, _ODD[3])):
         h = _mixed(h[:-step] * odd + h[step:])
     lengths = np.maximum(sizes, SHINGLE)
     counts = lengths - SHINGLE + 1
@@ -70,7 +76,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
     line = np.repeat(np.arange(len(lines)), counts)
     values = h[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(total)]
     table = np.full(len(lines) * SLOTS, _EMPTY)
-    np.minimum.at(table, line * SLOTS + (values >> np.uint64(59)).astype(np.int64), values)
+    slot = ((values >> np.uint64(32)) * np.uint64(SLOTS)) >> np.uint64(32)
+    np.minimum.at(table, line * SLOTS + slot.astype(np.int64), values)
     table = table.reshape(-1, SLOTS)
     # an empty slot takes the next filled one's minimum, marked with the distance
     place = np.where(table == _EMPTY, 4 * SLOTS, np.arange(SLOTS))
@@ -275,6 +282,37 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("cell", "line", "text", "leaders").mapInArrow(compare, schema)
 
 
+def rare_cells(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``cell, line``: the lines of each cell of ``large(cell, line)`` dealt to cells of a shared rare shingle.
+
+    Prefix filtering, which is exact: of ``m`` shingles, ordered by the lines of
+    the cell that hold them, the first ``m - ceil(similarity * m) + 1`` can't
+    all be missing from a line that links.  A line gives as many rows as it has
+    such shingles that another line holds too.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            named = [[xxh64_intdigest(x.encode(), 42) - (1 << 63) for x in _shingles(t)] for t in batch.column(2).to_pylist()]
+            names = pa.array(named, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], names=["cell", "line", "names"])
+
+    lines = large.join(texts, "line").select("cell", "line", "text")
+    lines = lines.mapInArrow(read, "cell long, line long, names array<long>")
+    held = staged(lines.select("cell", "line", F.explode("names").alias("name")), "line-shingles")
+    times = staged(held.groupBy("cell", "name").agg(F.count(F.lit(1)).alias("times")), "line-shingle-times")
+    # shingles of many lines, a few rows, are not joined by a shuffle on their own key
+    common, key = if_small(times.where(F.col("times") > CELL), row_bytes=24), ["cell", "name"]
+    others = held.join(common, key, "left_anti").join(times.where(F.col("times") <= CELL), key)
+    ordered = held.join(common, key).unionByName(others).groupBy("cell", "line").agg(F.sort_array(F.collect_list(F.struct("times", "name"))).alias("names"))
+    many = F.size("names")
+    first = F.slice("names", 1, (many - F.ceil(many * F.lit(similarity) - 1e-9) + 1).cast("int"))
+    rare = ordered.select("cell", "line", F.explode(first).alias("x")).where("x.times > 1")
+    return rare.select(F.xxhash64("cell", "x.name").alias("cell"), "line")
+
+
 def led_links(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
     """Links ``a, b`` found from leaders in cells ``large(cell, line)``, and ``cell, part, line`` of what is left to compare.
 
@@ -299,6 +337,12 @@ def led_links(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
         if sized.isEmpty():
             break
         if n == ROUNDS:
+            sharing = staged(rare_cells(sized.select("cell", "line"), texts, similarity), "line-rare-cells")
+            sizes = sharing.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), digest).where("n > 1")
+            sizes = staged(sizes.groupBy("n", "digest").agg(F.min("cell").alias("cell")).select("cell", "n"), "line-rare-sizes")
+            sized = staged(sharing.join(if_small(sizes, row_bytes=24), "cell"), "line-rare-members")
+            cells = added(cells, sized.where(F.col("n") <= CELL).select("cell", F.lit(0).cast("long").alias("part"), "line"))
+            sized = sized.where(F.col("n") > CELL)
             parts = F.ceil(F.col("n") / CELL)
             own, other = F.pmod(F.xxhash64("line", F.lit("part")), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
             pairs = sized.select("cell", "line", parts.alias("parts"), own.alias("own"), other.alias("other")).where("own <> other")
@@ -325,11 +369,51 @@ def led_links(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
     return links, cells
 
 
-def linked_in_cell(texts: list[str], similarity: float = SIMILARITY) -> list[int]:
-    """The place of each distinct text's class among the texts, by exact Jaccard similarity of shingle sets."""
-    sets = [_shingles(t) for t in texts]
-    order = sorted(range(len(texts)), key=lambda k: len(sets[k]))
-    parent = list(range(len(texts)))
+def _shingle_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``line, name`` of every shingle; equal shingles, and no others, have equal names."""
+    # no line holds a line feed, so filling up with it keeps short lines apart
+    text = "".join(t.ljust(SHINGLE, "\n") for t in texts)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    base = int(points.max()) + 1
+    names, bound = points, base
+    for k in range(1, SHINGLE):
+        if bound * base >= 1 << 63:
+            known, names = np.unique(names, return_inverse=True)
+            bound = len(known)
+        names, bound = names[:-1] * base + points[k:], bound * base
+    lengths = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), SHINGLE)
+    counts = lengths - SHINGLE + 1
+    shift = np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts)
+    return np.repeat(np.arange(len(texts)), counts), names[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
+
+
+def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """The place of the first line of each line's class, by exact Jaccard similarity of shingle sets.
+
+    ``cells``, ascending from 0 without gaps, has each line's cell; lines link
+    within a cell, and there all texts differ.  The first line of a cell is
+    compared with all others; then those that are not linked to it are compared
+    with every line of their cell.
+    """
+    n = len(texts)
+    if not n:
+        return []
+    line, name = _shingle_names(texts)
+    # entries (line, group) without copies: a group is a shingle of a cell, its lines ascend
+    order = np.lexsort((name, cells[line]))
+    line, name = line[order], name[order]
+    own = cells[line]
+    new_group = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
+    kept = new_group | np.append(True, line[1:] != line[:-1])
+    group, line = np.cumsum(new_group)[kept] - 1, line[kept]
+    sizes = np.bincount(line, minlength=n)
+    begins = np.searchsorted(group, np.arange(int(group[-1]) + 1))
+    widths = np.diff(np.append(begins, len(group)))
+    by_line = np.argsort(line, kind="stable")
+    entry_ends = np.cumsum(sizes)
+    heads = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    head, members = heads[cells], np.bincount(cells)[cells]
+    parent = list(range(n))
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -337,42 +421,61 @@ def linked_in_cell(texts: list[str], similarity: float = SIMILARITY) -> list[int
             k = parent[k]
         return k
 
-    for n, i in enumerate(order):
-        for j in order[n + 1 :]:
-            # sets ascend by size: from here on the larger one is too large
-            if len(sets[i]) < similarity * len(sets[j]):
-                break
-            a, b = root(i), root(j)
-            if a != b:
-                both = len(sets[i] & sets[j])
-                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
-                    parent[max(a, b)] = min(a, b)
-    return [root(k) for k in range(len(texts))]
+    def compared(lines: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Linked pairs of ``lines``, ascending, with any line of their cells."""
+        work = np.add.reduceat(widths[group[by_line]], entry_ends - sizes)[lines]
+        slots = np.maximum(np.cumsum(work), np.cumsum(members[lines])) // COMPARED
+        for part in np.split(lines, np.flatnonzero(np.diff(slots)) + 1):
+            span = sizes[part]
+            at = by_line[np.repeat(entry_ends[part] - np.cumsum(span), span) + np.arange(int(span.sum()))]
+            reach = widths[group[at]]
+            other = line[np.repeat(begins[group[at]] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))]
+            place = np.repeat(np.repeat(np.cumsum(members[part]) - members[part] - head[part], span), reach) + other
+            both = np.bincount(place, minlength=int(members[part].sum()))
+            left = np.repeat(part, members[part])
+            right = np.arange(len(left)) + np.repeat(head[part] - (np.cumsum(members[part]) - members[part]), members[part])
+            alike = (both >= similarity * (sizes[left] + sizes[right] - both)) & (left != right)
+            yield from zip(left[alike].tolist(), right[alike].tolist(), strict=True)
+
+    def join(lines: np.ndarray) -> None:
+        for a, b in compared(lines) if len(lines) else ():
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+
+    join(heads[members[heads] > 1])
+    join(np.array([k for k in np.flatnonzero(members > 2).tolist() if root(k) != head[k]], np.int64))
+    return [root(k) for k in range(n)]
+
+
+def linked_in_cell(texts: list[str], similarity: float = SIMILARITY) -> list[int]:
+    """The place of each distinct text's class among the texts of one cell."""
+    return linked_lines(texts, np.zeros(len(texts), np.int64), similarity)
 
 
 def verified_links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` of linked lines, enough to connect each class within its cell."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(held: list[tuple[int, str]]) -> tuple[list[int], list[int]]:
-            roots = linked_in_cell([t for _, t in held], similarity)
-            pairs = [(held[k][0], held[r][0]) for k, r in enumerate(roots) if k != r]
-            return [a for a, _ in pairs], [b for _, b in pairs]
+        def edges(lines: list[int], texts: list[str], numbers: list[int]) -> pa.RecordBatch:
+            roots = linked_lines(texts, np.array(numbers, np.int64), similarity)
+            pairs = [(lines[k], lines[r]) for k, r in enumerate(roots) if k != r]
+            columns = [pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-        current, held = None, []
+        current, lines, held, numbers, chars = None, [], [], [], 0
         for batch in batches:
-            a, b = [], []
             columns = [batch.column(k).to_pylist() for k in range(4)]
             for cell, part, line, text in zip(*columns, strict=True):
-                if (cell, part) != current and held:
-                    more = edges(held)
-                    a, b, held = a + more[0], b + more[1], []
+                if (cell, part) != current and chars > VERIFIED_CHARS:
+                    yield edges(lines, held, numbers)
+                    lines, held, numbers, chars = [], [], [], 0
+                numbers.append(numbers[-1] + ((cell, part) != current) if numbers else 0)
                 current = (cell, part)
-                held.append((line, text))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if held:
-            a, b = edges(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                lines.append(line)
+                held.append(text)
+                chars += len(text)
+        if lines:
+            yield edges(lines, held, numbers)
 
     joined = cells.join(texts, "line").select("cell", "part", "line", "text")
     n = shuffle_partitions(cells.sparkSession)
