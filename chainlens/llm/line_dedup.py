@@ -21,7 +21,7 @@
 Lines are known by the XXH64 of their text (seed 42), as Spark's ``xxhash64``.
 With 4 rows a band and 14 bands a pair at the threshold of 0.8 shares a band
 with probability 0.9993, one at 0.9 with 0.999999.  One changed character costs
-up to ``SHINGLE`` shingles, so it leaves lines from 49 characters on linked.
+up to ``SHINGLE`` shingles, so it leaves lines from 79 characters on linked.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from chainlens.llm.common import free_names, if_small, shuffle_partitions, stage
 from chainlens.llm.components import connected_components
 from chainlens.llm.tokenize import text_batches
 
-SHINGLE = 5
+SHINGLE = 8
 SLOTS, BANDS = 56, 14
 SIMILARITY = 0.8
 #: Lines of a bucket that one task compares.
@@ -66,8 +66,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
     short = [line + "\n" * (SHINGLE - len(line)) if len(line) < SHINGLE else line for line in lines]
     text = np.frombuffer("".join(short).encode("utf-32-le"), "<u4").astype(np.uint64)
     h = (text + np.uint64(1)) * _ODD[0]
-    # over 2, 4 and 5 characters
-    for step, odd in ((1, _ODD[1]), (2, _ODD[2]), (1, _ODD[3])):
+    for step, odd in ((1, _ODD[1]), (2, _ODD[2]), (4, _ODD[3])):
         h = _mixed(h[:-step] * odd + h[step:])
     lengths = np.maximum(sizes, SHINGLE)
     counts = lengths - SHINGLE + 1
