@@ -50,6 +50,8 @@ SENT_BYTES, DEALT = 8 << 20, 256
 BUCKET_BYTES = 32 << 20
 #: Characters of the cells that a task compares at once (a larger cell goes alone), and shingles met at once.
 VERIFIED_CHARS, COMPARED = 500_000, 1 << 20
+#: Characters hashed at once; their arrays stay in a core's cache.
+HASHED_CHARS = 1 << 15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -62,6 +64,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """``(len(lines), BANDS)`` keys; lines of fewer characters than a shingle are one shingle."""
+    parts = np.flatnonzero(np.diff(np.cumsum([len(x) for x in lines]) // HASHED_CHARS)) + 1
+    cuts = [0, *parts.tolist(), len(lines)]
+    return np.concatenate([_band_keys(lines[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _band_keys(lines: list[str]) -> np.ndarray:
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     short = [line + "\n" * (SHINGLE - len(line)) if len(line) < SHINGLE else line for line in lines]
     text = np.frombuffer("".join(short).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -399,7 +407,8 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
         return []
     line, name = _shingle_names(texts)
     # entries (line, group) without copies: a group is a shingle of a cell, its lines ascend
-    order = np.lexsort((name, cells[line]))
+    # in the order of names, which keeps the lines of a name, and so its cells, ascending
+    order = np.argsort(name, kind="stable")
     line, name = line[order], name[order]
     own = cells[line]
     new_group = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
@@ -408,7 +417,9 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
     sizes = np.bincount(line, minlength=n)
     begins = np.searchsorted(group, np.arange(int(group[-1]) + 1))
     widths = np.diff(np.append(begins, len(group)))
-    by_line = np.argsort(line, kind="stable")
+    by_line = np.full(len(order), -1)
+    by_line[order[kept]] = np.arange(len(line))
+    by_line = by_line[by_line >= 0]
     entry_ends = np.cumsum(sizes)
     heads = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
     head, members = heads[cells], np.bincount(cells)[cells]
