@@ -123,6 +123,15 @@ class FileInputs:
         return read_blocks(self.spark, self.paths["wide_blocks"])
 
 
+class TableInputs(FileInputs):
+    """Like :class:`FileInputs`, over files made from one table folder, each when it is first read."""
+
+    has_wide = True
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        super().__init__(spark, star.LedgerFiles(spark, sf_dir, folder))
+
+
 class StagedInputs(FileInputs):
     """Like :class:`FileInputs`, with transactions/contracts/blocks read from
     their staged Parquet form (see :mod:`chainlens.sources.staging`)."""
@@ -212,11 +221,12 @@ _INPUTS: dict[tuple[str, str], FileInputs] = {}
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build query ``name`` over the ledger files made from ``sf_dir``.
 
-    The files are written to the shared checkpoint folder once per application
-    and read by the readers that read real ledger files.
+    The files that the query reads are written, compressed, to the shared
+    checkpoint folder once per application and read by the readers that read
+    real ledger files.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
-        _INPUTS[key] = FileInputs(spark, star.write_ledger_files(spark, sf_dir, folder))
+        _INPUTS[key] = TableInputs(spark, sf_dir, folder)
     return build(_INPUTS[key])[name]()

@@ -19,6 +19,8 @@ joins.  The SQL oracles in ``__spark_entry__`` rebuild the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -413,24 +415,64 @@ def wide_block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(_line([given.get(name, F.lit("")) for name in BLOCK_FIELDS]))
 
 
-def write_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
-    """Write the derived ledger inputs as files, the form real jobs read.
+#: Lines of a compressed file: gzip files are not split, so a task reads whole ones.
+LINES_PER_FILE = 250_000
+LEDGER_FILES = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "scams_document", "wide_transactions", "wide_blocks")
+
+
+def write_ledger_file(spark: SparkSession, sf_dir: str, name: str, path: str, compressed: bool = False) -> None:
+    """Write one derived ledger input as files, the form real jobs read.
 
     ``transactions``, ``contracts``, ``blocks``: text lines; ``blocks_csv``:
     headed CSV of the valid blocks (the storage profile's input);
     ``scams``: one JSON document per line; ``scams_document``: one document on
-    one line; ``wide_transactions`` and
-    ``wide_blocks``: lines with very long and fractional numbers.  Returns the
-    paths.
+    one line; ``wide_transactions`` and ``wide_blocks``: lines with very long
+    and fractional numbers.  ``compressed``: gzip files of at most
+    :data:`LINES_PER_FILE` lines (not the one document, whose reader takes
+    byte ranges of plain text).
     """
-    names = ("transactions", "contracts", "blocks", "blocks_csv", "scams", "scams_document", "wide_transactions", "wide_blocks")
-    paths = {name: f"{out_dir}/{name}" for name in names}
-    transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["transactions"])
-    contract_lines(spark, sf_dir).write.mode("overwrite").text(paths["contracts"])
-    block_lines(spark, sf_dir).write.mode("overwrite").text(paths["blocks"])
-    blocks_table(spark, sf_dir).write.mode("overwrite").option("header", "true").csv(paths["blocks_csv"])
-    scam_lines(spark, sf_dir).write.mode("overwrite").text(paths["scams"])
-    scam_document(spark, sf_dir).write.mode("overwrite").option("lineSep", " ").text(paths["scams_document"])
-    wide_transaction_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide_transactions"])
-    wide_block_lines(spark, sf_dir).write.mode("overwrite").text(paths["wide_blocks"])
+    if name == "scams_document":
+        scam_document(spark, sf_dir).write.mode("overwrite").option("lineSep", " ").text(path)
+        return
+    lines = {
+        "transactions": transaction_lines,
+        "contracts": contract_lines,
+        "blocks": block_lines,
+        "blocks_csv": blocks_table,
+        "scams": scam_lines,
+        "wide_transactions": wide_transaction_lines,
+        "wide_blocks": wide_block_lines,
+    }[name](spark, sf_dir)
+    writer = lines.write.mode("overwrite")
+    if compressed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE)
+    if name == "blocks_csv":
+        writer.option("header", "true").csv(path)
+    else:
+        writer.text(path)
+
+
+def write_ledger_files(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, str]:
+    """Write all of :data:`LEDGER_FILES` below ``out_dir`` in plain text and return their paths."""
+    paths = {name: f"{out_dir}/{name}" for name in LEDGER_FILES}
+    for name, path in paths.items():
+        write_ledger_file(spark, sf_dir, name, path)
     return paths
+
+
+class LedgerFiles(dict):
+    """Paths of the ledger files made from one table folder, each written when it is first asked for.
+
+    A query so writes the inputs that it reads and no others.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, out_dir: str):
+        super().__init__()
+        self._made_from, self._out_dir = (spark, sf_dir), out_dir
+
+    def __missing__(self, name: str) -> str:
+        # a path of its own, should two threads ask for the same file at once
+        path = f"{self._out_dir}/{name}-{uuid.uuid4().hex}"
+        write_ledger_file(*self._made_from, name, path, compressed=True)
+        self[name] = path
+        return path
