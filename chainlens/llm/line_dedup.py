@@ -57,9 +57,12 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD[3]
-    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= _ODD[3]
+    x ^= x >> np.uint64(29)
+    x *= _ODD[1]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -77,14 +80,13 @@ def _band_keys(lines: list[str]) -> np.ndarray:
     for step, odd in ((1, _ODD[1]), (2, _ODD[2]), (4, _ODD[3])):
         h = _mixed(h[:-step] * odd + h[step:])
     lengths = np.maximum(sizes, SHINGLE)
-    counts = lengths - SHINGLE + 1
-    begins = np.cumsum(lengths) - lengths
-    total = int(counts.sum())
-    line = np.repeat(np.arange(len(lines)), counts)
-    values = h[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(total)]
+    # what reaches into the next line counts as empty, the largest value
+    across = np.cumsum(lengths)[:-1, None] - np.arange(1, SHINGLE)
+    h[across.ravel()] = _EMPTY
     table = np.full(len(lines) * SLOTS, _EMPTY)
-    slot = ((values >> np.uint64(32)) * np.uint64(SLOTS)) >> np.uint64(32)
-    np.minimum.at(table, line * SLOTS + slot.astype(np.int64), values)
+    slot = ((h >> np.uint64(32)) * np.uint64(SLOTS)) >> np.uint64(32)
+    begins = np.repeat(np.arange(len(lines)) * SLOTS, lengths)[: len(h)]
+    np.minimum.at(table, begins + slot.view(np.int64), h)
     table = table.reshape(-1, SLOTS)
     # an empty slot takes the next filled one's minimum, marked with the distance
     place = np.where(table == _EMPTY, 4 * SLOTS, np.arange(SLOTS))
@@ -135,10 +137,26 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _distinct(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries ``key, line`` sorted and without copies, and the first and last place of each key."""
-    entries = entries[np.lexsort((entries[:, 1].view(np.int64), entries[:, 0]))]
-    entries = entries[np.append(True, (entries[1:] != entries[:-1]).any(axis=1))[: len(entries)]]
+    entries = entries[np.argsort(entries[:, 0])]
+    again = entries[1:, 0] == entries[:-1, 0]
+    if again.any():
+        # only keys of several entries are sorted by line
+        several = np.flatnonzero(np.append(again, False) | np.append(False, again))
+        part = entries[several]
+        entries[several] = part[np.lexsort((part[:, 1].view(np.int64), part[:, 0]))]
+        entries = entries[np.append(True, ~again | (entries[1:, 1] != entries[:-1, 1]))]
+    return entries, *_places(entries)
+
+
+def _places(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last place of each key of sorted entries."""
     first = np.flatnonzero(np.append(True, entries[1:, 0] != entries[:-1, 0])[: len(entries)])
-    return entries, first, np.append(first[1:], len(entries))[: len(first)]
+    return first, np.append(first[1:], len(entries))[: len(first)]
+
+
+def _stable_order(x: np.ndarray, bound: int) -> np.ndarray:
+    """The stable order of whole numbers from 0 to below ``bound``; few of them are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if bound <= 1 << 16 else x, kind="stable")
 
 
 def _dealt(entries: np.ndarray, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +190,7 @@ def candidate_cells(lines: DataFrame) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(held: list[np.ndarray]) -> pa.RecordBatch:
             entries, bucket, large = _dealt(np.concatenate(held), buckets, dealt)
-            order = np.lexsort((large, bucket))
+            order = _stable_order(2 * bucket + large, 4 * buckets)
             entries, bucket, large = entries[order], bucket[order], large[order]
             first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (large[1:] != large[:-1])))
             blobs = [part.tobytes() for part in np.split(entries, first[1:])]
@@ -185,7 +203,8 @@ def candidate_cells(lines: DataFrame) -> DataFrame:
             ids, at = np.unique(batch.column(0).to_numpy(), return_index=True)
             if not len(ids):
                 continue
-            keys = np.frombuffer(b"".join(v.as_py() for v in batch.column(1).take(pa.array(at))), np.uint64)
+            # keys of all lines are equally long
+            keys = np.frombuffer(batch.column(1).take(pa.array(at)).buffers()[2], np.uint64, len(ids) * BANDS)
             held.append(np.column_stack([keys, np.repeat(ids.view(np.uint64), BANDS)]))
             total += held[-1].nbytes
             if total >= SENT_BYTES:
@@ -208,7 +227,7 @@ def candidate_cells(lines: DataFrame) -> DataFrame:
                 large |= np.isin(entries[first, 0], np.fromiter(known, np.uint64, len(known)))
             own = np.repeat(large, ends - first)
             out = rows(entries[own, 0].view(np.int64), -1, entries[own, 1].view(np.int64))
-            return out, *_distinct(entries[~own])
+            return out, entries[~own], *_places(entries[~own])
 
         def cells(held: list[np.ndarray], known: set[int]) -> Iterator[pa.RecordBatch]:
             out, entries, first, ends = apart(held, known)
@@ -376,18 +395,23 @@ def led_links(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
     return links, cells
 
 
-def _shingle_names(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """``line, name`` of every shingle; equal shingles, and no others, have equal names."""
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """The number, from 0, of each value among the distinct ones, and how many these are."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+
+
+def _shingle_names(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``line, name`` of every shingle; equal shingles, and no others, have equal names, of up to ``63 - bits`` bits."""
     # no line holds a line feed, so filling up with it keeps short lines apart
     text = "".join(t.ljust(SHINGLE, "\n") for t in texts)
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-    base = int(points.max()) + 1
-    names, bound = points, base
-    for k in range(1, SHINGLE):
-        if bound * base >= 1 << 63:
-            known, names = np.unique(names, return_inverse=True)
-            bound = len(known)
-        names, bound = names[:-1] * base + points[k:], bound * base
+    names, bound = _numbered(np.frombuffer(text.encode("utf-32-le"), "<u4"))
+    for step in (1, 2, 4):
+        if bound * bound >= 1 << (63 - bits):
+            names, bound = _numbered(names)
+        names, bound = names[:-step] * bound + names[step:], bound * bound
+    if bound >= 1 << (63 - bits):
+        names, _ = _numbered(names)
     lengths = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), SHINGLE)
     counts = lengths - SHINGLE + 1
     shift = np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts)
@@ -405,24 +429,24 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
     n = len(texts)
     if not n:
         return []
-    line, name = _shingle_names(texts)
+    bits = n.bit_length()
+    line, name = _shingle_names(texts, bits)
     # entries (line, group) without copies: a group is a shingle of a cell, its lines ascend
     # in the order of names, which keeps the lines of a name, and so its cells, ascending
-    order = np.argsort(name, kind="stable")
-    line, name = line[order], name[order]
+    entries = np.sort((name << bits) | line)
+    entries = entries[np.append(True, entries[1:] != entries[:-1])]
+    name, line = entries >> bits, entries & ((1 << bits) - 1)
     own = cells[line]
     new_group = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
-    kept = new_group | np.append(True, line[1:] != line[:-1])
-    group, line = np.cumsum(new_group)[kept] - 1, line[kept]
+    group = np.cumsum(new_group) - 1
     sizes = np.bincount(line, minlength=n)
-    begins = np.searchsorted(group, np.arange(int(group[-1]) + 1))
+    begins = np.flatnonzero(new_group)
     widths = np.diff(np.append(begins, len(group)))
-    by_line = np.full(len(order), -1)
-    by_line[order[kept]] = np.arange(len(line))
-    by_line = by_line[by_line >= 0]
+    by_line = _stable_order(line, n)
     entry_ends = np.cumsum(sizes)
     heads = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
     head, members = heads[cells], np.bincount(cells)[cells]
+    works = np.add.reduceat(widths[group[by_line]], entry_ends - sizes)
     parent = list(range(n))
 
     def root(k: int) -> int:
@@ -433,13 +457,12 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
 
     def compared(lines: np.ndarray) -> Iterator[tuple[int, int]]:
         """Linked pairs of ``lines``, ascending, with any line of their cells."""
-        work = np.add.reduceat(widths[group[by_line]], entry_ends - sizes)[lines]
-        slots = np.maximum(np.cumsum(work), np.cumsum(members[lines])) // COMPARED
+        slots = np.maximum(np.cumsum(works[lines]), np.cumsum(members[lines])) // COMPARED
         for part in np.split(lines, np.flatnonzero(np.diff(slots)) + 1):
             span = sizes[part]
-            at = by_line[np.repeat(entry_ends[part] - np.cumsum(span), span) + np.arange(int(span.sum()))]
-            reach = widths[group[at]]
-            other = line[np.repeat(begins[group[at]] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))]
+            at = group[by_line[np.repeat(entry_ends[part] - np.cumsum(span), span) + np.arange(int(span.sum()))]]
+            reach = widths[at]
+            other = line[np.repeat(begins[at] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))]
             place = np.repeat(np.repeat(np.cumsum(members[part]) - members[part] - head[part], span), reach) + other
             both = np.bincount(place, minlength=int(members[part].sum()))
             left = np.repeat(part, members[part])

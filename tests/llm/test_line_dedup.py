@@ -191,3 +191,33 @@ def test_lines_of_a_template_are_dealt_by_rare_shingles(monkeypatch, spark):
     assert {r.part for r in rows} == {0} and len(rows) < 4 * len(lines)
     found = line_dedup.verified_links(rest, texts, 0.8).unionByName(links).collect()
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} == {(5 * k, 1500 + k) for k in range(300)}
+
+
+def test_entries_are_sorted_and_met_once():
+    rng = random.Random(10)
+    for keys, lines in ((3, 4), (40, 1000), (1 << 64, 1 << 64)):
+        pairs = [(rng.randrange(keys), rng.randrange(lines)) for _ in range(300)]
+        entries = np.array(pairs + pairs[:50], np.uint64).reshape(-1, 2)
+        found, first, ends = line_dedup._distinct(entries)
+        # lines are ordered as signed numbers
+        want = sorted(set(pairs), key=lambda p: (p[0], p[1] - (p[1] >> 63 << 64)))
+        assert [tuple(x) for x in found.tolist()] == want
+        met = Counter(k for k, _ in want)
+        assert (ends - first).tolist() == [met[k] for k in sorted(met)]
+
+
+def test_keys_of_a_line_do_not_depend_on_its_neighbours():
+    lines = ["a", "abcdefgh", "abcdefghi", "b" * 40, "\U0001f600日" * 9, "c"]
+    alone = np.concatenate([band_keys([x]) for x in lines])
+    assert (band_keys(lines) == alone).all() and (band_keys(lines[::-1]) == alone[::-1]).all()
+
+
+def test_names_of_shingles_are_exact_in_few_bits():
+    rng = random.Random(11)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x4E00 + n)) for _ in range(60)) for n in (2, 2, 5, 5000, 5000)]
+    texts += [texts[3][7:], texts[4][:30] + texts[0][:30]]
+    of = [t[k : k + line_dedup.SHINGLE] for t in texts for k in range(len(t) - line_dedup.SHINGLE + 1)]
+    for bits in (1, 30, 53):
+        line, name = line_dedup._shingle_names(texts, bits)
+        assert len(line) == len(name) == len(of) and max(name.tolist()) < 1 << (63 - bits)
+        assert len(set(name.tolist())) == len(set(of)) == len(set(zip(name.tolist(), of, strict=True)))
