@@ -61,21 +61,35 @@ class Codebook:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit stream, and the bit offset of every ``EVERY``-th id."""
+        data, _, marks = self.encode_all(ids, np.array([len(ids)]))
+        return data, marks
+
+    def encode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bit streams of ``counts[k]`` ids each, from byte boundaries, one behind another; the byte where each
+        ends; and the bit offset, in its stream, of every ``EVERY``-th id of a stream."""
+        counts = np.asarray(counts, np.int64)
         if not len(ids):
-            return b"", np.empty(0, np.int64)
+            return b"", np.zeros(len(counts), np.int64), np.empty(0, np.int64)
         size = self.length[ids]
         if not size.all():
             raise ValueError("an id has no code")
         ends = np.cumsum(size)
-        begins = ends - size
+        behind = np.cumsum(counts)
+        bits = np.diff(np.concatenate([[0], ends])[behind], prepend=0)
+        bounds = np.cumsum((bits + 7) >> 3)
+        first = (bounds - ((bits + 7) >> 3)) << 3
+        begins = ends - size + np.repeat(first - (np.cumsum(bits) - bits), counts)
         word, at = begins >> 5, begins & 31
         # a code lies in one 32-bit word or runs into the next; codes don't overlap, so adding is joining
         value = self.code[ids] << (64 - size - at).astype(np.uint64)
-        words = np.zeros((int(ends[-1]) >> 5) + 2, np.uint64)
+        words = np.zeros((int(bounds[-1]) >> 2) + 2, np.uint64)
         new = np.flatnonzero(np.diff(word, prepend=-1))
         words[word[new]] += np.add.reduceat(value >> np.uint64(32), new)
         words[word[new] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), new)
-        return words.astype(">u4").tobytes()[: (int(ends[-1]) + 7) >> 3], begins[::EVERY]
+        lanes = -(-counts // EVERY)
+        nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        marks = begins[np.repeat(behind - counts, lanes) + nth * EVERY] - np.repeat(first, lanes)
+        return words.astype(">u4").tobytes()[: int(bounds[-1])], bounds, marks
 
     def decode(self, streams: list[bytes], checkpoints: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
         """All ids of the streams, one stream after another."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import id_text, if_small, staged
-from chainlens.llm.tokenize import default_vocabulary, encoder, text_batches
+from chainlens.llm.tokenize import column_batches, default_vocabulary, encoder
 
 PIECE_SCHEMA = "part int, slot long, doc_id {id}, start long, length int, doc_tokens long, ids binary"
 
@@ -127,9 +127,9 @@ def tokenized_pieces(
         part, encode = TaskContext.get().partitionId(), encoder(path).encode
         slots = np.zeros(window + 1, np.int64)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                ids, offsets = encode(texts[a:b])
+            texts = batch.column(1)
+            for a, b in column_batches(texts):
+                ids, offsets = encode(texts.slice(a, b - a))
                 sizes = np.diff(offsets) + 1
                 # every text's ids with the separator behind them
                 flat = np.insert(ids, offsets[1:], separator).astype("<u4")

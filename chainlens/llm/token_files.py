@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import id_text, shuffle_partitions, staged
-from chainlens.llm.huffman import MAX_BITS, Codebook, code_lengths
-from chainlens.llm.tokenize import default_vocabulary, encoder, forget_encoders, text_batches
+from chainlens.llm.huffman import EVERY, MAX_BITS, Codebook, code_lengths
+from chainlens.llm.tokenize import column_batches, default_vocabulary, encoder, forget_encoders
 
 #: A task decodes this many ids side by side.
 DECODE_IDS = 1_000_000
+#: A task encodes about this many ids at once.
+ENCODE_IDS = 100_000
 #: Documents whose ids are counted at once.
 COUNT_ROWS = 256
 #: Sampled rows a shard that its bounds are taken from.
@@ -44,9 +46,9 @@ def tokenized(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None) -
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_batches(texts):
-                ids, offsets = run(texts[a:b])
+            texts = batch.column(1)
+            for a, b in column_batches(texts):
+                ids, offsets = run(texts.slice(a, b - a))
                 sizes = np.diff(offsets) + 1
                 flat = np.insert(ids, offsets[1:], end_id).astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * 4
@@ -128,18 +130,24 @@ def write_token_files(
         book = Codebook(ids, lengths)
         for batch in batches:
             keys = map(_order_key, batch.column(0).to_pylist(), batch.column(2).to_pylist())
-            out = [book.encode(np.frombuffer(v.as_buffer(), "<u4").astype(np.int64)) for v in batch.column(3)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([bisect_right(bounds, key) for key in keys], pa.int32()),
-                    batch.column(2),
-                    pa.array([p for p, _ in out], pa.binary()),
-                    pa.array([c for _, c in out], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_tokens", "shard", "tie", "payload", "checkpoints"],
-            )
+            shard = pa.array([bisect_right(bounds, key) for key in keys], pa.int32())
+            for a, b in column_batches(batch.column(3), 4 * ENCODE_IDS):
+                part = batch.slice(a, b - a)
+                counts = part.column(1).to_numpy()
+                stream, ends, marks = book.encode_all(np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4"), counts)
+                behind = [np.concatenate([[0], n]).astype(np.int32) for n in (ends, np.cumsum(-(-counts // EVERY)))]
+                payload = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(behind[0]), pa.py_buffer(stream)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        shard.slice(a, b - a),
+                        part.column(2),
+                        payload,
+                        pa.ListArray.from_arrays(pa.array(behind[1]), pa.array(marks)),
+                    ],
+                    names=["doc_id", "n_tokens", "shard", "tie", "payload", "checkpoints"],
+                )
 
     coded = tokens.mapInArrow(
         encode, f"doc_id {id_type}, n_tokens long, shard int, tie long, payload binary, checkpoints array<long>"

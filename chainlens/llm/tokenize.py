@@ -1,40 +1,54 @@
 """Batch encoding with a public tokenizer, inside tasks.
 
-A byte-level BPE never merges across a space that stands between two
-non-space characters: such a space always begins a new pre-token.  A text may
-therefore be cut before these spaces and its pieces encoded on their own, and
-a piece that came before needs no second encoding.  Texts with other white
-space beside a space are encoded whole.  A piece of letters is one pre-token,
-so the library's BPE model takes it directly; any other piece goes through the
-library's whole pipeline.  Every id comes from the tokenizers library; the
-memory of pieces is bounded and only saves time.
+A byte-level BPE first splits a text into pre-tokens, and some places are
+always between two of them: before a space or line break that follows no
+other white space, between a Latin letter and a printable ASCII character that
+is none, and behind a single line break.  A text may therefore be cut there and
+its pieces encoded on their own, and a piece that came before needs no second
+encoding.  A piece of letters is one pre-token, so the library's BPE model takes
+it directly, many at once with a byte between them that no merge has; any other
+piece goes through the library's whole pipeline.  Every id comes from the
+tokenizers library; the memory of pieces is bounded and only saves time.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of pieces that a worker remembers; beyond, those met least are forgotten.
 MEMORY_BYTES = 144 << 20
-#: Characters encoded at once; bounds a task's memory, not its result.
+#: Characters (or bytes, of a column) encoded at once; bounds a task's memory, not its result.
 BATCH_CHARS = 1_500_000
 #: About what a remembered piece takes: its text and its entry in a dictionary; and a list place in the arrays beside.
 PIECE_BYTES = 200
+#: Words that the library's model takes in one string.
+JOINED_WORDS = 200
 
-# Latin letters, the same in every Unicode version, and one full stop or comma behind them; a line may follow with its first word.
-_LETTERS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)"
-_WORD = re.compile(f"{_LETTERS}(?:\n{_LETTERS})?")
+# Latin letters, the same in every Unicode version, and a space before them
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 # A byte-level vocabulary spells unprintable bytes as the characters from U+0100 on, in ascending order.
 _UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-_SPELLED = {b: 256 + n for n, b in enumerate(_UNPRINTABLE)}
-# the space, and the letters beyond ASCII that _LETTERS takes, as a byte-level vocabulary spells their bytes
-_SPELLED_LETTERS = {c: chr(c).encode().decode("latin-1").translate(_SPELLED) for c in (32, *range(0xC0, 0x250))}
+_SPELLED = {chr(b): chr(256 + n) for n, b in enumerate(_UNPRINTABLE)}
+# a byte that UTF-8 never has, spelled as itself; it stands between joined words
+_BETWEEN = "\u00ff"
+
+# what a byte tells of its character: printable ASCII or part of a longer one; an ASCII letter; a space or line break
+_SOLID, _LETTER, _BREAK = 1, 2, 4
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = _KINDS[0x80:] = _SOLID
+_KINDS[[b for b in range(128) if chr(b).isalpha()]] |= _LETTER
+_KINDS[[0x0A, 0x20]] = _BREAK
+# white space beyond ASCII, as the number that its bytes in UTF-8 make
+_WIDE_SPACES = [int.from_bytes(chr(c).encode(), "big") for c in range(0x80, 0x3001) if chr(c).isspace()]
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -54,16 +68,22 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory_pieces = max(2, memory_bytes // PIECE_BYTES)
-        self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and not self.tokenizer.normalizer
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.byte_level = type(split).__name__ == "ByteLevel" and not self.tokenizer.normalizer
+        self.byte_level = self.byte_level and split.use_regex and not split.add_prefix_space
         if self.byte_level:
-            self.tokenizer.model._resize_cache(0)  # pieces are remembered here
-        self.marks: dict[str, list[int]] = {}
+            model._resize_cache(0)  # pieces are remembered here
+        # the model alone, for words that are one pre-token each
+        self.words = Tokenizer(model)
+        self.between = model.token_to_id(_BETWEEN)
+        plain = not (model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix)
+        alone = sum(_BETWEEN in t for t in self.tokenizer.get_vocab(with_added_tokens=False)) == 1
+        self.joins = plain and not model.ignore_merges and self.between is not None and alone
         self.index: dict[str, int] = {}
         self.met = np.empty(1 << 14, np.int64)
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.empty(1 << 14, np.int64)
         self.size = np.empty(1 << 14, np.int32)
-        self.edge = np.empty(1 << 14, np.int8)  # 1: begins, 2: ends with white space, or is empty
         self.used = 0
 
     def _forget(self) -> None:
@@ -76,9 +96,9 @@ class PieceEncoder:
         size = self.size[kept].astype(np.int64)
         ends = np.cumsum(size)
         self.used = int(size.sum())
-        self.ids[: self.used] = self.ids[np.repeat(self.start[kept] - (ends - size), size) + np.arange(self.used)]
+        self.ids[: self.used] = self.ids[_ranges(self.start[kept], size)]
         m = len(kept)
-        self.start[:m], self.size[:m], self.edge[:m], self.met[:m] = ends - size, size, self.edge[kept], 0
+        self.start[:m], self.size[:m], self.met[:m] = ends - size, size, 0
 
     def _room(self, array: np.ndarray, need: int) -> np.ndarray:
         if need <= len(array):
@@ -90,118 +110,131 @@ class PieceEncoder:
     def _encode(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _encode_word(self, space: str, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize((space + word).translate(_SPELLED_LETTERS))]
-
-    def _encode_mark(self, mark: str) -> list[int]:
-        if mark not in self.marks:
-            self.marks[mark] = self._encode([mark])[0] if mark else []
-        return self.marks[mark]
-
-    def _known(self, word: str) -> list[int]:
-        at = self.index[word]
-        return self.ids[self.start[at] : self.start[at] + self.size[at]].tolist()
-
-    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(pieces)
-        rest = []
-        tokenize, ascii_space = self.tokenizer.model.tokenize, chr(_SPELLED[32])
-        for k, p in enumerate(pieces):
-            if p.isascii() and p.isalpha():
-                out[k] = [t.id for t in tokenize(ascii_space + p)]
-            elif m := _WORD.fullmatch(p):
-                word, mark, line, mark2 = m.groups()
-                out[k] = self._known(word) if word in self.index else self._encode_word(" ", word)
-                if mark:
-                    out[k] = out[k] + self._encode_mark(mark)
-                if line:
-                    out[k] = out[k] + self._encode_mark("\n") + self._encode_word("", line) + self._encode_mark(mark2)
-            else:
-                rest.append(k)
-        # a key that begins with a space is the first piece of a text: the one with no space before it
-        strings = [pieces[k][1:] if pieces[k][:1] == " " else " " + pieces[k] for k in rest]
-        for k, e in zip(rest, self._encode(strings), strict=True):
-            out[k] = e
-        return out
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words, and how many each has."""
+        ids: list[int] = []
+        for k in range(0, len(words), JOINED_WORDS):
+            spelled = _spelled("\n".join(words[k : k + JOINED_WORDS]))
+            ids += self.words.encode_batch_fast([spelled], add_special_tokens=False)[0].ids
+            ids.append(self.between)
+        flat = np.array(ids, np.uint32)
+        ends = np.flatnonzero(flat == self.between)
+        return flat[flat != self.between], np.diff(ends, prepend=-1) - 1
 
     def _learn(self, pieces: list[str]) -> None:
-        # the words of pieces that hold more than a word come first, as they will be met alone
-        words = (m[1] for p in pieces if not p.isalpha() and (m := _WORD.fullmatch(p)))
-        listed = set(pieces)
-        self._add([w for w in dict.fromkeys(words) if w not in self.index and w not in listed])
-        self._add(pieces)
-
-    def _add(self, pieces: list[str]) -> None:
-        encoded = self._encode_pieces(pieces)
-        n = len(self.index)
-        sizes = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        total = int(sizes.sum())
-        self.ids = self._room(self.ids, self.used + total)
-        arrays = (self.start, self.size, self.edge, self.met)
-        self.start, self.size, self.edge, self.met = (self._room(a, n + len(pieces)) for a in arrays)
-        self.met[n : n + len(pieces)] = 0
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
-        ends = self.used + np.cumsum(sizes, dtype=np.int64)
-        self.start[n : n + len(pieces)] = ends - sizes
-        self.size[n : n + len(pieces)] = sizes
-        for k, p in enumerate(pieces):
-            body = p[1:] if p[:1] == " " else p
-            self.edge[n + k] = 3 if not body else (body[0].isspace() + 2 * body[-1].isspace())
-            self.index[p] = n + k
-        self.used += total
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words: list[str] = []
+        rest: list[str] = []
+        for p in pieces:
+            (words if self.joins and _WORD.fullmatch(p) else rest).append(p)
+        ids, sizes = self._encode_words(words)
+        encoded = self._encode(rest)
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(encoded), np.uint32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, encoded), np.int64, len(encoded))])
+        n, m = len(self.index), len(pieces)
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.start, self.size, self.met = (self._room(a, n + m) for a in (self.start, self.size, self.met))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + m], self.met[n : n + m] = sizes, 0
+        self.index.update(zip(chain(words, rest), range(n, n + m), strict=True))
+        self.used += len(ids)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and ``len(texts) + 1`` offsets."""
         if not self.byte_level:
-            encoded = self._encode(texts)
+            encoded = self._encode(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
             offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded], dtype=np.int64)])
             return np.fromiter(chain.from_iterable(encoded), np.uint32, int(offsets[-1])), offsets
         if len(self.index) > self.memory_pieces:
             self._forget()
-        words: list[str] = []
-        counts = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            pieces = text.split(" ")
-            pieces[0] = " " + pieces[0]
-            counts[k] = len(pieces)
-            words += pieces
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        found, first = _pieces(column)
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
-            at[missing] = np.fromiter((self.index[words[i]] for i in missing.tolist()), np.int64, len(missing))
-        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
-        ends = np.cumsum(counts)
-        first = ends - counts
-        edge = self.edge[at]
-        # beside a space: the beginning of every piece but a text's first, the end of every piece but its last
-        inner = (edge & 1) > 0
-        inner[first] = False
-        outer = (edge & 2) > 0
-        outer[ends - 1] = False
-        odd = np.add.reduceat((inner | outer).astype(np.int64), first) > 0 if len(texts) else np.zeros(0, bool)
+            new = [names[k] for k in missing.tolist()]
+            self._learn(new)
+            at[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        piece = found.indices.to_numpy()
+        self.met[at] += np.bincount(piece, minlength=len(at))
+        # the ids of this batch's pieces, close to each other
         size = self.size[at].astype(np.int64)
-        per_text = np.add.reduceat(size, first) if len(texts) else np.zeros(0, np.int64)
+        ids = self.ids[_ranges(self.start[at], size)]
+        begin, size = (np.cumsum(size) - size)[piece], size[piece]
+        odd = np.zeros(len(column), bool)
         for token in self.special:
-            odd |= np.fromiter((token in text for text in texts), bool, len(texts))
+            odd |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         if odd.any():
-            size[np.repeat(odd, counts)] = 0
-            whole = self._encode([texts[k] for k in np.flatnonzero(odd).tolist()])
-            per_text[odd] = [len(e) for e in whole]
-        offsets = np.concatenate([[0], np.cumsum(per_text)])
+            size[np.repeat(odd, np.diff(first))] = 0
+        offsets = np.concatenate([[0], np.cumsum(size)])[first]
+        out = ids[_ranges(begin, size)]
+        if not odd.any():
+            return out, offsets
+        whole = self._encode(column.filter(pa.array(odd)).to_pylist())
+        per_text = np.diff(offsets)
+        per_text[odd] = [len(e) for e in whole]
+        offsets, taken = np.concatenate([[0], np.cumsum(per_text)]), out
         out = np.empty(int(offsets[-1]), np.uint32)
-        total = int(size.sum())
-        shift = self.start[at] - (np.cumsum(size) - size)
-        taken = self.ids[np.repeat(shift, size) + np.arange(total)]
-        if odd.any():
-            out[np.repeat(~odd, per_text)] = taken
-            for k, e in zip(np.flatnonzero(odd).tolist(), whole, strict=True):
-                out[offsets[k] : offsets[k + 1]] = e
-        else:
-            out = taken
+        inside = np.repeat(odd, per_text)
+        out[~inside], out[inside] = taken, np.fromiter(chain.from_iterable(whole), np.uint32)
         return out, offsets
 
 
+def _spelled(words: str) -> str:
+    """Words with a line break between them, as a byte-level vocabulary spells their bytes."""
+    if not words.isascii():
+        words = words.encode().decode("latin-1")
+        for byte, char in _SPELLED.items():
+            if byte >= "\x7f":
+                words = words.replace(byte, char)
+    return words.replace(" ", _SPELLED[" "]).replace("\n", _BETWEEN)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size[k]`` numbers from ``start[k]`` on, for every ``k``."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _pieces(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All pieces of the texts, and the place of every text's first piece and of the end."""
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return pa.array([], pa.string()).dictionary_encode(), np.zeros(1, np.int64)
+    bounds = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        kinds = _KINDS[data]
+        if data.max() >= 0x80:
+            _mark_wide(data, kinds)
+        solid = (kinds & _SOLID) > 0
+        # white space behind other characters; ASCII behind a letter; what follows a single line break
+        cut[1:-1] = solid[:-1] & ((kinds[1:] & _BREAK) > 0)
+        cut[1:-1] |= ((kinds[:-1] & _LETTER) > 0) & ((kinds[1:] & (_SOLID | _LETTER)) == _SOLID) & (data[1:] < 0x80)
+        cut[2:-1] |= solid[:-2] & (data[1:-1] == 0x0A) & solid[2:]
+    cut[bounds] = True
+    ends = np.flatnonzero(cut).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return flat.dictionary_encode(), np.searchsorted(ends, bounds)
+
+
+def _mark_wide(data: np.ndarray, kinds: np.ndarray) -> None:
+    """Tell Latin letters and white space beyond ASCII in the kinds of their bytes."""
+    two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))
+    code = data[two].astype(np.int64) << 8 | data[two + 1]
+    kinds[two[(code <= 0xC98F) & (code != 0xC397) & (code != 0xC3B7)] + 1] |= _LETTER
+    for lead, length in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        first = np.flatnonzero(data[: len(data) - length + 1] == lead)
+        code = np.zeros(len(first), np.int64)
+        for k in range(length):
+            code = code << 8 | data[first + k]
+        for k in range(length):
+            kinds[first[np.isin(code, _WIDE_SPACES)] + k] = 0
+
+
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a vocabulary file."""
     if path not in _ENCODERS:
@@ -216,11 +249,21 @@ def forget_encoders() -> None:
 
 def text_batches(texts: list[str], most: int = BATCH_CHARS):
     """``(from, to)`` ranges of texts with about ``most`` characters each; a longer text stands alone."""
-    start = held = 0
-    for k, text in enumerate(texts):
-        if k > start and held + len(text) > most:
+    return _batches(map(len, texts), most)
+
+
+def column_batches(column: pa.Array, most: int = BATCH_CHARS):
+    """The same of a column of texts, with about ``most`` bytes each."""
+    return _batches(pc.binary_length(column).to_pylist(), most)
+
+
+def _batches(sizes: Iterable[int], most: int):
+    start = held = end = 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > most:
             yield start, k
             start, held = k, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+        end = k + 1
+    if start < end:
+        yield start, end

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +114,27 @@ def test_pieces_give_the_library_s_ids(texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encoded(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.text(alphabet=" \n\r\t\x0b\x1c\x85\xa0\u2003\u200b\u2028\u3000\u180eabsS'.,;<|1é×÷ÿɏɐΩ日“”\u0301", max_size=30), max_size=6),
+    st.booleans(),
+)
+def test_cuts_at_any_neighbours_give_the_library_s_ids(texts, large):
+    if not hasattr(test_cuts_at_any_neighbours_give_the_library_s_ids, "encoder"):
+        test_cuts_at_any_neighbours_give_the_library_s_ids.encoder = PieceEncoder(default_vocabulary(), memory_bytes=10_000)
+    column = pa.array(["before\n", *texts, "behind"], pa.large_string() if large else pa.string()).slice(1, len(texts))
+    ids, offsets = test_cuts_at_any_neighbours_give_the_library_s_ids.encoder.encode(column)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encoded(t) for t in texts]
+
+
+def test_a_word_is_learned_once_whatever_follows_it():
+    encoder = PieceEncoder(default_vocabulary())
+    text = "A wordly, a wordly. A wordly\na wordly; é wordly's wordly"
+    ids, _ = encoder.encode([text])
+    assert ids.tolist() == encoded(text)
+    assert [p for p in encoder.index if "wordly" in p] == [" wordly"]
+
+
 def test_special_tokens_have_the_ids_of_a_plain_encode(spark):
     from tokenizers import Tokenizer
 

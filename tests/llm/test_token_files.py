@@ -44,6 +44,19 @@ def test_round_trip(streams):
     assert got.tolist() == flat
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=700), max_size=6))
+def test_streams_coded_at_once_are_those_coded_alone(streams):
+    flat = np.array([i for s in streams for i in s], np.int64)
+    symbols, counts = np.unique(flat, return_counts=True)
+    book = Codebook(symbols, code_lengths(counts, 12))
+    data, ends, marks = book.encode_all(flat, np.array([len(s) for s in streams], np.int64))
+    alone = [book.encode(np.array(s, np.int64)) for s in streams]
+    assert data == b"".join(p for p, _ in alone)
+    assert ends.tolist() == np.cumsum([len(p) for p, _ in alone]).tolist()
+    assert marks.tolist() == [m for _, c in alone for m in c.tolist()]
+
+
 def in_order(rows):
     """Documents as the files hold them: by id, then by the checksum of their ids."""
     import zlib
