@@ -96,7 +96,8 @@ def number_parts(text: Column, any_float: bool = True) -> dict[str, Column]:
     if not any_float:
         return parts
     numeric = is_numeric_like(text)
-    as_long, as_double = text.try_cast("bigint"), text.try_cast("double")
+    # text with a point never is a long, and a cast that fails is slow (it throws)
+    as_long, as_double = F.when(~point, text.try_cast("bigint")), text.try_cast("double")
     near = F.abs(as_double) < F.lit(1e11)
     fixed = F.coalesce(text.try_cast(_FIXED), as_double.try_cast(_FIXED))
     whole = F.when(fixed < 0, F.ceil(fixed)).otherwise(F.floor(fixed)).cast(WEI)
