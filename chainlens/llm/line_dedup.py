@@ -6,9 +6,14 @@
 2. Lines that share a band key form a bucket.  Buckets travel as packed arrays,
    16 bytes an entry.  Equal buckets of several bands are verified once.
 3. The texts of bucketed lines are fetched, and the exact Jaccard similarity of
-   their shingle sets decides (``similarity`` or more links).  The lines of a key with
+   their shingle sets decides (``similarity`` or more links).  Lines of a cell meet
+   in the shingles where they leave what most of the cell holds, so near copies of
+   one template meet in few.  The lines of a key with
    more than ``CELL`` are dealt out evenly and compared with ``LEADERS`` of them,
-   round by round: by the triangle inequality of the Jaccard distance a line is
+   round by round.  The lines of the largest class that is found are linked, so
+   only those outside it have to meet all others; where that takes at most
+   ``COPIES`` rows a line, they are dealt to pairs of parts and compared.  Else,
+   by the triangle inequality of the Jaccard distance, a line is
    done once all that may link to it are in the class of a leader it is in.  What
    is above ``CELL`` lines after ``ROUNDS`` is dealt to cells of a shared rare
    shingle (prefix filtering, which is exact), so that lines of one template that
@@ -36,6 +41,7 @@ from pyspark.sql import functions as F
 from chainlens.llm.common import free_names, if_small, shuffle_partitions, staged
 from chainlens.llm.components import connected_components
 from chainlens.llm.tokenize import text_batches
+from chainlens.operators.bloom import maybe_listed
 
 SHINGLE = 8
 SLOTS, BANDS = 56, 14
@@ -44,6 +50,8 @@ SIMILARITY = 0.8
 CELL = 2048
 #: Lines that all lines of a larger bucket are compared with in a round, and rounds.
 LEADERS, ROUNDS = 8, 4
+#: Rows a line that a cell may give when the lines outside its largest class are dealt out to meet all others.
+COPIES = 16
 #: Bytes of packed entries that a task sends at once, and lines of one key among them that are dealt out.
 SENT_BYTES, DEALT = 8 << 20, 256
 #: Bytes of packed entries that a task collects.
@@ -52,6 +60,8 @@ BUCKET_BYTES = 32 << 20
 VERIFIED_CHARS, COMPARED = 500_000, 1 << 20
 #: Characters hashed at once; their arrays stay in a core's cache.
 HASHED_CHARS = 1 << 15
+#: Most words of the filter of lines whose texts are fetched; each is about 32 bytes of a broadcast.
+FILTER_WORDS = 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -274,30 +284,44 @@ def _shingles(text: str) -> set[str]:
     return {text[k : k + SHINGLE] for k in range(max(1, len(text) - SHINGLE + 1))}
 
 
-def _jaccard(a: set[str], b: set[str]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+def _likeness(texts: list[str], leaders: list[str]) -> np.ndarray:
+    """``(len(texts), len(leaders))`` exact Jaccard similarities of shingle sets."""
+    n = len(leaders) + len(texts)
+    bits = n.bit_length()
+    line, name = _shingle_names([*leaders, *texts], bits)
+    entries = np.sort((name << bits) | line)
+    entries = entries[np.append(True, entries[1:] != entries[:-1])]
+    line = entries & ((1 << bits) - 1)
+    group = np.cumsum(np.append(True, (entries[1:] >> bits) != (entries[:-1] >> bits))) - 1
+    sizes, both = np.bincount(line, minlength=n), np.empty((n, len(leaders)), np.int64)
+    for k in range(len(leaders)):
+        held = np.zeros(group[-1] + 1, bool)
+        held[group[line == k]] = True
+        both[:, k] = np.bincount(line[held[group]], minlength=n)
+    return (both / (sizes[:, None] + sizes[: len(leaders)] - both))[len(leaders) :]
 
 
 def _led(members: DataFrame, similarity: float) -> DataFrame:
     """``cell, line, near, away, joined`` of ``members(cell, line, text, leaders)``: the leaders linked to the line,
-    its distance from each, and whether it is in the class of each."""
+    its distance from each, and whether it is in the class of each.  Lines of a cell that follow each other are
+    compared together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, leaders, classes = None, [], []
+        cell, named, classes = None, [], np.zeros(0, np.int64)
         for batch in batches:
             near, away, joined = [], [], []
-            for k, (own_cell, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if own_cell != cell:
-                    cell, named = own_cell, [(x["line"], x["text"]) for x in batch.column(3)[k].as_py()]
-                    leaders = [(line, _shingles(t)) for line, t in named]
-                    classes = linked_in_cell([t for _, t in named], similarity)
-                own = _shingles(text)
-                alike = [_jaccard(own, s) for _, s in leaders]
-                linked = {c for c, x in zip(classes, alike, strict=True) if x >= similarity}
-                near.append([line for (line, _), x in zip(leaders, alike, strict=True) if x >= similarity])
-                away.append([1 - x for x in alike])
-                joined.append([c in linked for c in classes])
+            cells, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            chars = np.cumsum(list(map(len, texts))) // VERIFIED_CHARS
+            cuts = (np.flatnonzero((cells[1:] != cells[:-1]) | (chars[1:] != chars[:-1])) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True) if texts else ():
+                if cells[a] != cell:
+                    cell, named = cells[a], [(x["line"], x["text"]) for x in batch.column(3)[a].as_py()]
+                    classes = np.array(linked_in_cell([t for _, t in named], similarity), np.int64)
+                alike = _likeness(texts[a:b], [t for _, t in named])
+                linked = alike >= similarity
+                near += [[named[k][0] for k in np.flatnonzero(x)] for x in linked]
+                away += (1 - alike).tolist()
+                joined += (linked.astype(np.int64) @ (classes[:, None] == classes) > 0).tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(near, pa.list_(pa.int64())), pa.array(away, pa.list_(pa.float64()))]
                 + [pa.array(joined, pa.list_(pa.bool_()))],
@@ -308,6 +332,35 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("cell", "line", "text", "leaders").mapInArrow(compare, schema)
 
 
+def _dealt_parts(led: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cell, part, line`` of the cells that give at most :data:`COPIES` rows a line, and ``cell`` of them.
+
+    The largest class of a leader is linked already, so only the lines outside
+    it have to meet all others: both are dealt to parts of half a cell, and each
+    pair of parts but those of the class alone is compared.
+    """
+    half = max(1, CELL // 2)
+    joined = [F.coalesce(F.get("joined", F.lit(k)), F.lit(False)) for k in range(LEADERS)]
+    classes = led.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(x) for x in joined]).alias("of"))
+    classes = classes.withColumn("most", F.array_max("of")).where("most > 0")
+    outside, inside = F.ceil((F.col("n") - F.col("most")) / half), F.ceil(F.col("most") / half)
+    classes = classes.select("cell", "n", "most", F.array_position("of", F.col("most")).cast("int").alias("best"), outside.alias("outside"), inside.alias("inside"))
+    rows = F.col("most") * F.col("outside") + (F.col("n") - F.col("most")) * (F.col("outside") + F.col("inside") - 1)
+    dealt = staged(classes.where(rows <= COPIES * F.col("n")), "line-dealt-cells")
+    lines = led.join(if_small(dealt, row_bytes=48), "cell").where("outside > 0")
+    within = F.coalesce(F.get("joined", F.col("best") - 1), F.lit(False))
+    place = F.xxhash64("line", F.lit("dealt"))
+    parts = F.col("outside") + F.col("inside")
+    lines = lines.select(
+        "cell", "line", parts.alias("parts"), within.alias("within"), "outside",
+        F.when(within, F.col("outside") + F.pmod(place, "inside")).otherwise(F.pmod(place, "outside")).alias("own"),
+    )
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("within"), F.col("outside")).otherwise(F.col("parts")) - 1)
+    pairs = lines.select("cell", "line", "parts", "own", F.explode(others).alias("other")).where("own <> other")
+    part = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    return pairs.select("cell", part.alias("part"), "line"), dealt.select("cell")
+
+
 def rare_cells(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``cell, line``: the lines of each cell of ``large(cell, line)`` dealt to cells of a shared rare shingle.
 
@@ -381,9 +434,15 @@ def led_links(large: DataFrame, texts: DataFrame, similarity: float = SIMILARITY
             "line-leaders",
         )
         leader_bytes = F.lit(40) + F.aggregate("leaders", F.lit(0), lambda sum, x: sum + F.length(x["text"]) * 4 + 40)
-        members = sized.select("cell", "line").join(texts, "line").join(if_small(leaders, bytes_of=leader_bytes), "cell", "left")
+        # lines of one cell lie together
+        dealt = sized.select("cell", "line", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / CELL)).alias("part")).join(texts, "line")
+        dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "cell", "part").sortWithinPartitions("cell")
+        members = dealt.join(if_small(leaders, bytes_of=leader_bytes), "cell", "left")
         led = staged(_led(members.withColumn("leaders", F.coalesce("leaders", F.array())), similarity), "line-led")
         links = added(links, led.select(F.col("line").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+        parts, settled = _dealt_parts(led)
+        cells = added(cells, parts)
+        led = led.join(if_small(settled, row_bytes=16), "cell", "left_anti")
         outside = [F.min(F.when(~F.get("joined", F.lit(k)), F.get("away", F.lit(k)))) for k in range(LEADERS)]
         nearest = staged(led.groupBy("cell").agg(F.array(*outside).alias("outside")), "line-outside")
         done = F.array_contains("near", F.col("line"))
@@ -418,13 +477,33 @@ def _shingle_names(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(texts)), counts), names[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
 
 
+def _odd(line: np.ndarray, begins: np.ndarray, widths: np.ndarray, head: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """``line, widths, held`` of groups turned odd: one that more than half of its cell's lines hold gives the lines
+    without it in place of those with it.  The first ``held`` groups are as they were, the turned ones follow.
+
+    Two lines differ in as many groups before as after, and lines about one template have few odd groups.
+    """
+    turned = 2 * widths > members[line[begins]]
+    inside = np.repeat(turned, widths)
+    first, span = head[line[begins[turned]]], members[line[begins[turned]]]
+    offset = np.cumsum(span) - span
+    lacking = np.ones(int(span.sum()), bool)
+    lacking[line[inside] + np.repeat(offset - first, widths[turned])] = False
+    places = np.flatnonzero(lacking)
+    of = np.searchsorted(offset, places, side="right") - 1
+    lines = np.concatenate([line[~inside], places - offset[of] + first[of]])
+    return lines, np.append(widths[~turned], span - widths[turned]), int((~turned).sum())
+
+
 def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
     """The place of the first line of each line's class, by exact Jaccard similarity of shingle sets.
 
     ``cells``, ascending from 0 without gaps, has each line's cell; lines link
-    within a cell, and there all texts differ.  The first line of a cell is
-    compared with all others; then those that are not linked to it are compared
-    with every line of their cell.
+    within a cell, and there all texts differ.  The line of a cell that is
+    closest to what most of its lines hold is compared with all others; then
+    those that are not linked to it are compared with every line of their cell,
+    but for lines so much of their own that nothing can link to them.  Lines
+    meet in the groups of :func:`_odd`, where a template's shingles are missing.
     """
     n = len(texts)
     if not n:
@@ -437,16 +516,30 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
     entries = entries[np.append(True, entries[1:] != entries[:-1])]
     name, line = entries >> bits, entries & ((1 << bits) - 1)
     own = cells[line]
-    new_group = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
-    group = np.cumsum(new_group) - 1
+    begins = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1])))
+    widths = np.diff(np.append(begins, len(line)))
     sizes = np.bincount(line, minlength=n)
-    begins = np.flatnonzero(new_group)
-    widths = np.diff(np.append(begins, len(group)))
-    by_line = _stable_order(line, n)
-    entry_ends = np.cumsum(sizes)
     heads = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
     head, members = heads[cells], np.bincount(cells)[cells]
-    works = np.add.reduceat(widths[group[by_line]], entry_ends - sizes)
+    most = np.bincount(own[begins[2 * widths > members[line[begins]]]], minlength=len(heads))[cells]
+    line, widths, held = _odd(line, begins, widths, head, members)
+    odd = np.bincount(line, minlength=n)
+    # a group of one line sets it apart from every other line of its cell
+    ends = np.cumsum(widths)
+    alone = widths == 1
+    extra = np.bincount(line[ends[:held][alone[:held]] - 1], minlength=n)
+    missing = np.bincount(line[ends[held:][alone[held:]] - 1], minlength=n)
+    apart = sizes - extra < similarity * (sizes + missing) - 1e-9
+    line, widths = line[np.repeat(widths > 1, widths)], widths[widths > 1]
+    group = np.repeat(np.arange(len(widths)), widths)
+    begins = np.cumsum(widths) - widths
+    by_line = _stable_order(line, n)
+    spans = np.bincount(line, minlength=n)
+    span_ends = np.cumsum(spans)
+    works = np.bincount(line, weights=widths[group], minlength=n).astype(np.int64)
+    close = (sizes + most - odd) / (sizes + most + odd)
+    closest = np.flatnonzero(close == np.maximum.reduceat(close, heads)[cells])
+    centre = closest[np.unique(cells[closest], return_index=True)[1]]
     parent = list(range(n))
 
     def root(k: int) -> int:
@@ -459,14 +552,15 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
         """Linked pairs of ``lines``, ascending, with any line of their cells."""
         slots = np.maximum(np.cumsum(works[lines]), np.cumsum(members[lines])) // COMPARED
         for part in np.split(lines, np.flatnonzero(np.diff(slots)) + 1):
-            span = sizes[part]
-            at = group[by_line[np.repeat(entry_ends[part] - np.cumsum(span), span) + np.arange(int(span.sum()))]]
+            span = spans[part]
+            at = group[by_line[np.repeat(span_ends[part] - np.cumsum(span), span) + np.arange(int(span.sum()))]]
             reach = widths[at]
             other = line[np.repeat(begins[at] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))]
             place = np.repeat(np.repeat(np.cumsum(members[part]) - members[part] - head[part], span), reach) + other
-            both = np.bincount(place, minlength=int(members[part].sum()))
+            met = np.bincount(place, minlength=int(members[part].sum()))
             left = np.repeat(part, members[part])
             right = np.arange(len(left)) + np.repeat(head[part] - (np.cumsum(members[part]) - members[part]), members[part])
+            both = (sizes[left] + sizes[right] - odd[left] - odd[right]) // 2 + met
             alike = (both >= similarity * (sizes[left] + sizes[right] - both)) & (left != right)
             yield from zip(left[alike].tolist(), right[alike].tolist(), strict=True)
 
@@ -475,8 +569,10 @@ def linked_lines(texts: list[str], cells: np.ndarray, similarity: float = SIMILA
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
 
-    join(heads[members[heads] > 1])
-    join(np.array([k for k in np.flatnonzero(members > 2).tolist() if root(k) != head[k]], np.int64))
+    join(centre[(members[centre] > 1) & ~apart[centre]])
+    near = [root(k) for k in centre.tolist()]
+    rest = np.flatnonzero((members > 2) & ~apart)
+    join(np.array([k for k, c in zip(rest.tolist(), cells[rest].tolist(), strict=True) if root(k) != near[c]], np.int64))
     return [root(k) for k in range(n)]
 
 
@@ -528,14 +624,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     own_id, own_text, gone, split = free_names(kept, "__id", "__text", "__gone", "__lines")
     lines = line_table(docs, id_col, text_col)
     cells = candidate_cells(lines)
-    wanted = if_small(staged(cells.select("line").distinct(), "line-candidates"), row_bytes=16)
-    texts = (
-        docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("text"))
-        .select(F.xxhash64("text").alias("line"), "text")
-        .join(wanted, "line", "left_semi")
-        .groupBy("line")
-        .agg(F.first("text").alias("text"))
-    )
+    wanted = staged(cells.select("line").distinct(), "line-candidates")
+    texts = docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("text")).select(F.xxhash64("text").alias("line"), "text")
+    listed = if_small(wanted, row_bytes=16)
+    if listed is wanted:
+        # few lines without a candidate's hash are shuffled
+        texts = maybe_listed(texts, "line", wanted, "line", FILTER_WORDS)
+    texts = texts.join(listed, "line", "left_semi").groupBy("line").agg(F.first("text").alias("text"))
     large = cells.where("part = -1").select("cell", "line")
     cells, links = cells.where("part <> -1"), None
     if not large.isEmpty():

@@ -221,3 +221,78 @@ def test_names_of_shingles_are_exact_in_few_bits():
         line, name = line_dedup._shingle_names(texts, bits)
         assert len(line) == len(name) == len(of) and max(name.tolist()) < 1 << (63 - bits)
         assert len(set(name.tolist())) == len(set(of)) == len(set(zip(name.tolist(), of, strict=True)))
+
+
+def near_copies(rng, n, length):
+    """Distinct lines about one template, most of them alike, and lines cut from it or far from it."""
+    base = [f"word{rng.randrange(10**5)}" for _ in range(length)]
+    lines = {}
+    while len(lines) < n:
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 3, length // 3])):
+            words[rng.randrange(length)] = f"other{rng.randrange(10**5)}"
+        lines[" ".join(words[: length - rng.choice([0, 0, 0, length // 2])])] = None
+    return list(lines)
+
+
+def linked_classes(links):
+    """The smallest member of each linked line's class."""
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in root}
+
+
+def brute_links(texts):
+    sets = [shingles(t) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                yield a, b
+
+
+def test_near_copies_of_a_cell_meet_where_they_differ(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(line_dedup, "COMPARED", 1 << 40)
+    texts = near_copies(random.Random(12), 500, 40)
+    tracemalloc.start()
+    roots = linked_in_cell(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all shingles that the lines share, met at once, are several hundred MB
+    assert peak < 100 << 20
+    want = linked_classes(brute_links(texts))
+    assert roots == [want.get(k, k) for k in range(len(texts))]
+
+
+def test_near_copies_above_a_cell_are_dealt_a_few_times(monkeypatch, spark):
+    monkeypatch.setattr(line_dedup, "CELL", 64)
+    lines = near_copies(random.Random(13), 400, 40)
+    texts = spark.createDataFrame(list(enumerate(lines)), "line long, text string").repartition(3)
+    links, rest = line_dedup.led_links(texts.selectExpr("7L as cell", "line"), texts)
+    assert rest.count() <= line_dedup.COPIES * len(lines)
+    assert rest.groupBy("cell", "part").count().agg({"count": "max"}).first()[0] <= 2 * line_dedup.CELL
+    found = line_dedup.verified_links(rest, texts, 0.8).unionByName(links).collect()
+    assert linked_classes((r.a, r.b) for r in found) == linked_classes(brute_links(lines))
+
+
+def test_texts_behind_the_filter_of_lines(monkeypatch, spark):
+    """Candidates too many for a broadcast: lines that are none of them are dropped where they are read."""
+    monkeypatch.setattr("chainlens.llm.common.BROADCAST_BYTES", 100)
+    rng = random.Random(14)
+    rows = [(k, "\n".join(near_copies(rng, 3, 20) + [f"line {rng.random()} of its own"]), "en", "s", 0) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    filtered = []
+    listed = line_dedup.maybe_listed
+    monkeypatch.setattr(line_dedup, "maybe_listed", lambda *x: filtered.append(listed(*x)) or filtered[-1])
+    assert Counter((r.doc_id, r.text, r.kept_text) for r in dedup_lines(df).collect()) == expected(rows)
+    assert len(filtered) == 1 and filtered[0].count() < 80
