@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from chainlens.llm import registry, stages
+from chainlens.llm import line_dedup, registry, stages
 from chainlens.llm.common import documents, staged
 from chainlens.llm.toxicity import fit_counterfactual, scored
 from test_line_dedup import expected as lines_expected
+from test_line_dedup import near_copies
 from test_mixing import uses_expected
 from test_packing import check_packed
 from test_simhash import expected as components_expected
@@ -61,6 +63,19 @@ def test_stages_on_odd_documents(spark, docs, no_docs):
         assert empty.count() == 0
 
 
+def test_line_dedup_compares_near_copies_a_few_times(monkeypatch, spark):
+    monkeypatch.setattr(line_dedup, "CELL", 64)
+    verified, compared = line_dedup.verified_links, []
+    monkeypatch.setattr(line_dedup, "verified_links", lambda cells, *x: compared.append(cells.count()) or verified(cells, *x))
+    lines = near_copies(random.Random(15), 300, 40)
+    rows = [(k, x, "en", "s", len(x)) for k, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in stages.line_dedup(spark, df, SF).collect())
+    assert got == Counter({(i, kept): n for (i, _, kept), n in lines_expected(rows).items()})
+    # a row of each line's text for each of its keys and a few parts, not for each of its rarer shingles
+    assert compared[0] <= line_dedup.BANDS * 8 * len(lines)
+
+
 def test_ten_operators_and_the_pipeline_are_registered():
     names = list(entry.queries())
     for n in range(1, 11):
